@@ -35,7 +35,7 @@ class MergeVocabulary:
         if any(SPACE in pieces[i].lstrip(SPACE) for i in normal):
             raise ValueError("a piece spans two words, so words can't be encoded one by one")
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
-        self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.symbol = {pieces[i]: i for i in normal}
         #: Symbols that only parts of pieces need get numbers beyond the vocabulary.
         for i in normal:
@@ -53,9 +53,12 @@ class MergeVocabulary:
                     self.pairs[a * self.width + b] = (order[sp.get_score(i)], i)
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.orders = np.array([self.pairs[k][0] for k in self.keys.tolist()], np.int32)
-        if len(scores) != len(made):
-            raise ValueError("two pieces have one score")
-        self.piece = np.array(sorted(made, key=sp.get_score, reverse=True), np.int32)  # by order
+        self.piece = np.full(len(scores), -1, np.int32)  # by order
+        for i in made:
+            if pieces[i].strip(SPACE):
+                if self.piece[order[sp.get_score(i)]] >= 0:
+                    raise ValueError("two pieces with letters have one score")
+                self.piece[order[sp.get_score(i)]] = i
         self.size = size
         self.by_code = np.full(0x110000, self.width - 1, np.int32)  # the last: a character of no piece
         for char, i in self.symbol.items():
@@ -101,7 +104,7 @@ class MergeVocabulary:
             return [i for i, _ in merged]
         out = []
         for i, at in merged:
-            out += [i] if i < self.size else [self.byte[b] for b in text[at].encode()] if self.byte[0] != self.unknown else [self.unknown]
+            out += [i] if i < self.size else [int(self.byte[b]) for b in text[at].encode()]
         return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +114,12 @@ class MergeVocabulary:
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = self.by_code[codes]
         ends = np.cumsum(sizes)
-        strange = np.add.reduceat(symbols >= self.size, ends - sizes) > 0 if len(chunks) else np.empty(0, bool)
+        single = (symbols >= self.size) & (codes < 128)  # of no piece, and one byte: it stays alone
+        symbols = np.where(single, self.width - 1, symbols)
+        strange = np.add.reduceat((symbols >= self.size) & ~single, ends - sizes) > 0 if len(chunks) else np.empty(0, bool)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (word, place among its ids, id)
-        by_heap = np.flatnonzero(strange | (sizes > MATRIX_WIDTH))
+        spaced = np.fromiter((SPACE in w for w in words), bool, len(words))  # pieces of spaces share a score
+        by_heap = np.flatnonzero(strange | spaced | (sizes > MATRIX_WIDTH))
         for k in by_heap.tolist():
             ids = np.array(self._ids(self.heap_merge(symbols[ends[k] - sizes[k] : ends[k]].tolist()), chunks[k]))
             found.append((np.full(len(ids), k), np.arange(len(ids)), ids))
@@ -126,7 +132,10 @@ class MergeVocabulary:
                 grid = np.where(np.arange(width) < sizes[rows][:, None], symbols[np.minimum(at, len(symbols) - 1)], -1).astype(np.int32)
                 self._merge(grid)
                 r, c = np.nonzero(grid >= 0)
-                found.append((rows[r], c, grid[r, c]))
+                ids = grid[r, c]
+                raw = np.flatnonzero(ids >= self.size)
+                ids[raw] = self.byte[codes[at[r[raw], c[raw]]]]
+                found.append((rows[r], c, ids))
         if not found:
             return np.empty(0, np.int32), sizes
         word, place, ids = (np.concatenate(x) for x in zip(*found))
@@ -181,7 +190,7 @@ class CheckedEncoder:
         ends = np.cumsum(sizes)
         for at in range(0, len(words), 256):
             some, a, b = words[at : at + 256], ends[at] - sizes[at], ends[min(at + 256, len(words)) - 1]
-            if v.library.encode(" ".join(some)) != flat[a:b].tolist() or "" in some:
+            if "" in some or not np.array_equal(v.library.encode(" ".join(some), return_type="numpy"), flat[a:b]):
                 for k in range(at, at + len(some)):
                     own, said = flat[ends[k] - sizes[k] : ends[k]].tolist(), v.library.encode(words[k])
                     if words[k] and own != said:
@@ -194,23 +203,17 @@ class CheckedEncoder:
 
 def _rows(part: pa.RecordBatch, words: pa.Array, counts: np.ndarray, memo: Memo, vocabulary: MergeVocabulary, with_ids: bool) -> pa.RecordBatch:
     coded = words.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    starts, lengths = memo(distinct)
+    starts, lengths = memo(coded.dictionary.to_pylist())
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    own = memo.flat[ragged(starts, lengths)].tolist()
-    cuts = np.concatenate(([0], np.cumsum(lengths))).tolist()
-    said = pa.array(["".join(f"{i} " for i in own[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    ids = memo.flat[ragged(starts[codes], lengths[codes])]
-    id_ends = np.concatenate(([0], np.cumsum(lengths[codes])))[ends]
-    text = said.take(pa.array(codes))
-    bytes_at = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1][ends] if len(text) else np.zeros(len(ends), np.int64)
-    buffer = memoryview(text.buffers()[2]) if len(text) else memoryview(b"")
-    end = str(vocabulary.end).encode()
-    digest = [hashlib.sha256(bytes(buffer[a:b]) + end).hexdigest() for a, b in zip(bytes_at[:-1], bytes_at[1:])]
-    rows = [[*ids[a:b].tolist(), vocabulary.end] for a, b in zip(id_ends[:-1], id_ends[1:])]
+    sizes = lengths[codes]
+    ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+    ids = np.insert(memo.flat[ragged(starts[codes], sizes)], ends[1:], vocabulary.end).astype(np.int32)
+    ends = ends + np.arange(len(ends))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids).cast(pa.string())), " ").cast(pa.binary())
+    digest = [hashlib.sha256(x).hexdigest() for x in joined.to_pylist()]
+    rows = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
     decoded = vocabulary.library.decode(rows, num_threads=1) if rows else []
-    out = [part.column("doc_id"), pa.array(np.diff(id_ends) + 1), pa.array(digest, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())]
+    out = [part.column("doc_id"), pa.array(np.diff(ends)), pa.array(digest, pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     if with_ids:
         out, names = [*out, pa.array(rows, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*names, "ids", "decoded"]
@@ -220,7 +223,7 @@ def _rows(part: pa.RecordBatch, words: pa.Array, counts: np.ndarray, memo: Memo,
 def _codec(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = MergeVocabulary(path)
-        memo = Memo(CheckedEncoder(vocabulary), 300_000)
+        memo = Memo(CheckedEncoder(vocabulary), 700_000)
         for batch in batches:
             for part in text_slices(batch):
                 texts = part.column("text")
