@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
 from .packing import op6_packing
+from .pii import op2_personal_data
 from .quality import op8_quality
+from .secrets import op9_secrets
 from .sharding import op1_sharding
 from .spm_codec import op5_sentencepiece
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_personal_data": op2_personal_data,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
+    "op9_secrets": op9_secrets,
 }
 ORACLE_SQL = {"op7_chat": OP7_SQL}
