@@ -14,7 +14,7 @@ from .common import mix64, split_words, text_slices, with_columns
 
 #: (UTF-8 bytes of a text or chunk from which the band holds, smallest and largest ratio of bytes to compressed bytes).
 #: Short texts have too little to repeat, so their bands are wide.
-BANDS = ((0, 0.0, 1e9), (200, 0.9, 4.5), (1000, 1.15, 6.0), (4000, 1.25, 8.0), (16000, 1.3, 10.0))
+BANDS = ((0, 0.0, 1e9), (200, 1.0, 4.0), (1000, 1.35, 4.5), (4000, 1.45, 5.0), (16000, 1.5, 6.0))
 CHUNK_BYTES = 4096
 #: Share of a text's full chunks that may lie outside the band.
 BAD_CHUNKS = 0.3
