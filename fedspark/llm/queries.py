@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP7_SQL, op7_chat
+from .jaccard import op4_jaccard
 from .packing import op6_packing
 from .pii import op2_personal_data
 from .quality import op8_quality
@@ -13,6 +14,7 @@ from .spm_codec import op5_sentencepiece
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_personal_data": op2_personal_data,
+    "op4_jaccard": op4_jaccard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
