@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op3_neighbours
 from .chat import OP7_SQL, op7_chat
 from .jaccard import op4_jaccard
 from .packing import op6_packing
@@ -14,6 +15,7 @@ from .spm_codec import op5_sentencepiece
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_personal_data": op2_personal_data,
+    "op3_neighbours": op3_neighbours,
     "op4_jaccard": op4_jaccard,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_packing": op6_packing,
