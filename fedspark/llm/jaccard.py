@@ -91,7 +91,7 @@ def sign(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         total = np.zeros(s, U64)
         np.add.at(total, segment, mix64(shingles + ODD[7]))
         empty = np.flatnonzero(np.bincount(segment, minlength=s) == 0)[:spare]
-        signed = mix64(total + mix64(np.arange(s).astype(U64) * ODD[5] + U64(c + 1) * ODD[6]))
+        signed = mix64(total + mix64(np.arange(s).astype(U64) * ODD[5] + U64((c + 1) * int(ODD[6]) % (1 << 64))))
         out.append(np.delete(signed, empty))
     return np.concatenate(out)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op3_neighbours
 from .chat import OP7_SQL, op7_chat
 from .jaccard import op4_jaccard
+from .lm import op10_lm
 from .packing import op6_packing
 from .pii import op2_personal_data
 from .quality import op8_quality
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
+    "op10_lm": op10_lm,
 }
 ORACLE_SQL = {"op7_chat": OP7_SQL}
