@@ -109,8 +109,9 @@ def _word_encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    plain = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
-    pretokens = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    plain = r"^[\x21-\x7EÀ-ÖØ-öø-ÿ]+$"
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    pretokens = regex.compile(pattern)
     ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
     for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
         ends[i] = token.endswith("</w>")
@@ -127,17 +128,18 @@ def _word_encoder(path: str):
             lengths.append(np.diff(np.concatenate(([-1], last))))
         return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.empty(0, np.int32), np.empty(0, np.int64))
 
-    memo = Memo(many, 300_000)
+    memo = Memo(many, 400_000)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts, per_word, odd = [], np.zeros(len(words), np.int64), {}
-        for k, word in enumerate(words):
-            if plain.fullmatch(word) and "<|" not in word:
-                found = pretokens.findall(word.lower())
-                parts += found
-                per_word[k] = len(found)
-            else:
-                odd[k] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.int32)
+        given = pa.array(words, pa.string())
+        ok = pc.and_(pc.match_substring_regex(given, plain), pc.invert(pc.match_substring(given, "<|")))
+        lower = pc.utf8_lower(given.filter(ok))
+        per_word = np.zeros(len(words), np.int64)
+        per_word[ok.to_numpy(zero_copy_only=False)] = pc.count_substring_regex(lower, pattern).to_numpy(zero_copy_only=False)
+        parts = pretokens.findall(" ".join(lower.to_pylist()))
+        if len(parts) != per_word.sum():
+            raise ValueError("two regular-expression libraries cut words differently")
+        odd = {k: np.array(tokenizer.encode(words[k], add_special_tokens=False).ids, np.int32) for k in np.flatnonzero(~ok.to_numpy(zero_copy_only=False)).tolist()}
         starts, lengths = memo(parts)
         ends_at = np.concatenate(([0], np.cumsum(lengths)))
         word_ends = np.cumsum(per_word)
@@ -156,7 +158,7 @@ def _word_encoder(path: str):
 
 def _pieces(path: str, window: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(_word_encoder(path), 300_000)
+        memo = Memo(_word_encoder(path), 700_000)
         for batch in batches:
             for part in text_slices(batch):
                 words, counts = split_words(part.column("text"))
