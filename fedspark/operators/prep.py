@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_gauss, hash_uniform
-from ..functions.vectors import mean, stddev
+from ..functions.vectors import let, mean, stddev
 
 
 def longest_axis(shape: Column) -> Column:
@@ -22,13 +22,12 @@ def slice_indices(n: Column) -> Column:
 
 def zscore_clip(x: Column, bound: float = 3.0) -> Column:
     """Deviations from the mean in population standard deviations, clipped; zeros where all values are equal."""
-    m, s = mean(x), stddev(x)
-    return F.transform(x, lambda v: F.when(s > 0, F.greatest(F.least((v - m) / s, F.lit(bound)), F.lit(-bound))).otherwise(0.0))
+    scaled = lambda v, m, s: F.when(s > 0, F.greatest(F.least((v - m) / s, F.lit(bound)), F.lit(-bound))).otherwise(0.0)
+    return let(mean(x), lambda m: let(stddev(x), lambda s: F.transform(x, lambda v: scaled(v, m, s))))
 
 
 def minmax(x: Column, guard: float = 1e-8) -> Column:
-    low, high = F.array_min(x), F.array_max(x)
-    return F.transform(x, lambda v: (v - low) / (high - low + guard))
+    return let(F.array_min(x), lambda low: let(F.array_max(x) - low + guard, lambda width: F.transform(x, lambda v: (v - low) / width)))
 
 
 def quantize(x: Column, levels: int = 255) -> Column:
