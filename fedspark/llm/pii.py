@@ -122,18 +122,15 @@ def fit_reliabilities(votes: DataFrame, rounds: int = EM_ROUNDS) -> tuple[float,
     prior = 0.5
     given = {(l, v): (0.6, 0.2) if v == 1 else (0.1, 0.5) if v == -1 else (0.3, 0.3) for l in LABELERS for v in (-1, 0, 1)}
     for _ in range(rounds):
-        p = posterior(prior, given)
-        sums = [F.sum(F.col("n") * p).alias("yes"), F.sum("n").alias("all")]
-        for l in LABELERS:
-            for v in (-1, 0, 1):
-                hit = F.when(F.col(l) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(hit * p).alias(f"y_{l}_{v + 1}"), F.sum(hit * (1 - p)).alias(f"n_{l}_{v + 1}")]
-        got = votes.agg(*sums).first()
-        if not got["all"]:
+        each = F.explode(F.array(*(F.struct(F.lit(l).alias("labeler"), F.col(l).alias("vote")) for l in LABELERS)))
+        scored = votes.select(F.col("n"), posterior(prior, given).alias("p"), each.alias("v"))
+        rows = scored.groupBy("v.labeler", "v.vote").agg(F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")).collect()
+        if not rows:
             break
-        yes, no = got["yes"], got["all"] - got["yes"]
+        got = {(r["labeler"], r["vote"]): (r["yes"], r["no"]) for r in rows}  # 15 rows at most
+        yes, no = (sum(got[l, v][k] for l, v in got if l == LABELERS[0]) for k in (0, 1))
         prior = (yes + 1) / (yes + no + 2)
-        given = {(l, v): ((got[f"y_{l}_{v + 1}"] + 1) / (yes + 3), (got[f"n_{l}_{v + 1}"] + 1) / (no + 3)) for l, v in given}
+        given = {x: ((got.get(x, (0, 0))[0] + 1) / (yes + 3), (got.get(x, (0, 0))[1] + 1) / (no + 3)) for x in given}
     return prior, given
 
 
@@ -155,15 +152,15 @@ def find_personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     digits that touch no base span are candidates of kind "number": labelers (regex, gazetteers of domain endings,
     calling codes and card prefixes, context words, shape, neighbouring characters) vote on all spans, EM estimates how
     reliable each is, and its posteriors train a naive-Bayes classifier on the spans' features, which must give a
-    candidate at least the probability `accept`. Adds base and spans: arrays of (kind, start, end), code points, end
+    candidate at least the probability `accept`; a context word before it must speak for it as well. Adds base and spans: arrays of (kind, start, end), code points, end
     exclusive, by kind and start. A null text counts as empty; repeated rows get equal spans; an empty table gives an
     empty one. Columns of docs named base or spans give way to the new ones.
     """
     docs = docs.drop("base", "spans", "more", *KINDS)
     narrow = written(labeled_spans(docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))).drop("text"), "pii-spans")
     spans = narrow.select(F.explode(F.concat("base", "more")).alias("s")).select("s.*")
-    patterns = written(spans.groupBy(*LABELERS, "features").agg(F.count(F.lit(1)).alias("n")), "pii-votes")
-    prior, given = fit_reliabilities(patterns.groupBy(*LABELERS).agg(F.sum("n").alias("n")))
+    patterns = written(spans.groupBy(*LABELERS, "features").agg(F.count(F.lit(1)).alias("n")), "pii-patterns")
+    prior, given = fit_reliabilities(written(patterns.coalesce(1).groupBy(*LABELERS).agg(F.sum("n").alias("n")), "pii-votes"))
     # the classifier: log odds of each feature value, from soft counts; a feature string has five parts of few values each
     p = posterior(prior, given)
     parts = F.posexplode(F.split("features", r"\|"))
