@@ -82,7 +82,10 @@ def segments(high: int, low: int, percent: int = PERCENT) -> tuple[int, int]:
 
 
 def sign(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set's segments: of its own size class, and of the next, with whose sets it is compared there."""
+    """Signatures of a set's segments: of its own size class, and of the next, with whose sets it is compared there.
+
+    The last byte is the class's number, so that ties of one class can be told from those of others.
+    """
     number, low, high = size_class(len(shingles), percent)
     out = []
     for c, a, b in ((number, low, high), (number + 1, high + 1, (high + 1) * 100 // percent)):
@@ -92,7 +95,7 @@ def sign(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         np.add.at(total, segment, mix64(shingles + ODD[7]))
         empty = np.flatnonzero(np.bincount(segment, minlength=s) == 0)[:spare]
         signed = mix64(total + mix64(np.arange(s).astype(U64) * ODD[5] + U64((c + 1) * int(ODD[6]) % (1 << 64))))
-        out.append(np.delete(signed, empty))
+        out.append((np.delete(signed, empty) & ~U64(255)) | U64(c & 255))
     return np.concatenate(out)
 
 
@@ -111,14 +114,15 @@ def _sign_texts(width: int, percent: int):
     return run
 
 
-def _stars(signs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature once, with its smallest document, and edges from that one to its others, each once."""
+def _stars(signs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature once, with its smallest document, and edges from that one to its others, each once for each class."""
     order = np.lexsort((docs, signs))
     signs, docs = signs[order], docs[order]
     first = np.concatenate(([True], signs[1:] != signs[:-1])) if len(signs) else np.empty(0, bool)
     hub = docs[np.flatnonzero(first)][np.cumsum(first) - 1] if len(signs) else docs
-    pairs = np.unique(np.stack((hub, docs), 1)[hub != docs], axis=0)
-    return signs[first], docs[first], pairs[:, 0], pairs[:, 1]
+    kind = (signs & U64(255)).astype(np.int64)
+    ties = np.unique(np.stack((hub, docs, kind), 1)[hub != docs], axis=0)
+    return signs[first], docs[first], ties[:, 0], ties[:, 1], ties[:, 2]
 
 
 def _deal(ranges: int):
@@ -126,14 +130,13 @@ def _deal(ranges: int):
 
     def chunk(signs: list, docs: list) -> pa.RecordBatch:
         lengths = np.array([len(s) for s in signs])
-        s, d, a, b = _stars(np.concatenate(signs), np.repeat(np.array(docs, np.int64), lengths))
+        s, d, *ties = _stars(np.concatenate(signs), np.repeat(np.array(docs, np.int64), lengths))
         to = ((s >> U64(32)) * U64(ranges)) >> U64(32)
         cuts = np.searchsorted(to, np.arange(ranges + 1))
-        deal = np.arange(len(a)) * ranges // max(len(a), 1)
-        edge_cuts = np.searchsorted(deal, np.arange(ranges + 1))
-        rows = [(k, s[x:y].tobytes(), d[x:y].tobytes(), a[p:q].tobytes(), b[p:q].tobytes()) for k, (x, y, p, q) in enumerate(zip(cuts[:-1], cuts[1:], edge_cuts[:-1], edge_cuts[1:])) if y > x or q > p]
+        tie_cuts = np.searchsorted(np.arange(len(ties[0])) * ranges // max(len(ties[0]), 1), np.arange(ranges + 1))
+        rows = [(k, s[x:y].tobytes(), d[x:y].tobytes(), *(t[p:q].tobytes() for t in ties)) for k, (x, y, p, q) in enumerate(zip(cuts[:-1], cuts[1:], tie_cuts[:-1], tie_cuts[1:])) if y > x or q > p]
         k, *blobs = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["range", "signs", "docs", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["range", "signs", "docs", "a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, docs, held = [], [], 0
@@ -153,8 +156,9 @@ def _deal(ranges: int):
 
 def _meet(group: pa.Table) -> pa.Table:
     read = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    _, _, a, b = _stars(read("signs", U64), read("docs", np.int64))
-    return pa.table({"a": np.concatenate((a, read("a", np.int64))), "b": np.concatenate((b, read("b", np.int64)))})
+    _, _, *ties = _stars(read("signs", U64), read("docs", np.int64))
+    ties = np.unique(np.stack([np.concatenate((t, read(name, np.int64))) for name, t in zip(("a", "b", "kind"), ties)], 1), axis=0)
+    return pa.table(dict(zip(("a", "b", "kind"), ties.T)))
 
 
 class _Groups:
@@ -300,12 +304,12 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     """Components of docs (doc_id, text) under links where 100 * intersection >= percent * union of their shingle sets.
 
     1. One pass signs each document's segments, so that linked ones share a signature for certain. 2. Signatures meet by
-    ranges of values; the documents of each are tied to the smallest: families. 3. Of each family, every different set's
-    smallest document goes through signature trees, exactly and by the whole sets; families beyond HELD shingles are cut
-    into blocks, and pairs of blocks are traversed apart. Returns doc_id, n_shingles (0 without words; fewer than
-    `width` words are one shingle) and component_id, the smallest doc_id that links reach. Documents without words link
-    to none. A null doc_id keeps a null component; rows with one doc_id are one node; an empty table gives an empty one;
-    other columns aren't read.
+    ranges of values; the documents of each are tied to the smallest: families, one size class apart from another, of
+    every different set's smallest document. 3. Each family goes through signature trees, exactly and by the whole sets;
+    families beyond HELD shingles are cut into blocks, and pairs of blocks are traversed apart. Returns doc_id,
+    n_shingles (0 without words; fewer than `width` words are one shingle) and component_id, the smallest doc_id that
+    links reach. Documents without words link to none. A null doc_id keeps a null component; rows with one doc_id are
+    one node; an empty table gives an empty one; other columns aren't read.
     """
     spark = docs.sparkSession
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
@@ -315,18 +319,20 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     first = known.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
     reps = written(known.join(first, ["n", "low", "high"]).select("doc_id", "n", "rep"), "representatives")
     ranges = spread(spark, signed.agg(F.coalesce(F.sum(F.length("signs") / 8), F.lit(0))).first()[0], SORTED)
-    dealt = signed.filter("n > 0 and doc_id is not null").select("doc_id", "signs").mapInArrow(_deal(ranges), "range long, signs binary, docs binary, a binary, b binary")
-    edges = dealt.groupBy("range").applyInArrow(_meet, "a long, b long")
-    # exact copies are settled: ties between different sets are left
-    short = reps.select("doc_id", "rep")
-    edges = edges.join(short.toDF("a", "ra"), "a").join(short.toDF("b", "rb"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    families = connected_components(written(edges, "ties")).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    members = families.join(reps.filter("doc_id = rep").select("doc_id", "n"), "doc_id").dropDuplicates(["doc_id"])
+    # exact copies are settled: only their smallest documents are dealt
+    one = reps.filter("doc_id = rep").select("doc_id", "n").distinct()
+    dealt = signed.select("doc_id", "signs").join(one.select("doc_id"), "doc_id", "left_semi").mapInArrow(_deal(ranges), "range long, signs binary, docs binary, a binary, b binary, kind binary")
+    ties = written(dealt.groupBy("range").applyInArrow(_meet, "a long, b long, kind long").distinct(), "ties")
+    # a document stands in a family of its own class, and of the next; should two nodes' hashes be alike, their families are one
+    node = lambda doc: F.xxhash64("kind", doc)
+    families = connected_components(ties.select(node("a").alias("a"), node("b").alias("b"))).select("node", F.col("component").alias("family"))
+    nodes = ties.select(F.explode(F.array("a", "b")).alias("doc_id"), "kind").distinct()
+    members = nodes.withColumn("node", node("doc_id")).join(families, "node").join(one, "doc_id").select("doc_id", "family", "n").dropDuplicates(["doc_id", "family"])
     sizes = members.groupBy("family").agg(F.sum("n").alias("_n")).select("family", (F.floor(F.col("_n") / HELD) + 1).cast("int").alias("blocks"))
     members = members.join(sizes, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int").alias("block"), "n")
     members = written(members, "members")
     work = members.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
-    sets = docs.join(members.drop("n"), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "doc_id long, family long, blocks int, block int, shingles binary")
+    sets = docs.join(members.drop("n"), "doc_id").dropDuplicates(["doc_id", "family"]).mapInArrow(_sets(width), "doc_id long, family long, blocks int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sets.select("*", other.alias("_other")).select("doc_id", "family", "block", "shingles", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"))
     pairs = pairs.withColumn("bin", F.pmod(F.xxhash64("family", "x", "y"), F.lit(spread(spark, work, HELD))))
