@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,11 @@ from .common import table, written
 
 #: The tree is fitted on so many vectors at most, those of the smallest hashes; all vectors are indexed.
 SAMPLE = 20_000
-BRANCHES, LEAF_SAMPLE = 8, 40
+BRANCHES, LEAF_SAMPLE = 8, 400
 #: Queries on which the number of leaf visits is calibrated against brute force over all vectors.
 CALIBRATION, RECALL = 128, 0.95
-BLOCK = 2048
+#: Vectors of a leaf, and queries that visit it, which meet in one task.
+BLOCK, QUERY_BLOCK = 8192, 8192
 QUERIES_AT_ONCE = 256
 
 FOUND = "query_id long, vec_id long, score double"
@@ -164,11 +166,12 @@ def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """The k vectors of largest inner product for each row of vectors (vec_id, embedding) where is_query holds.
 
-    A k-means tree is fitted on at most `sample` vectors; every vector is put into its leaf, and each leaf is cut into
-    blocks of about BLOCK rows, so that a leaf of many copies is shared among tasks. A query visits leaves best bin
-    first. On CALIBRATION queries, compared with brute force over all rows, the visits are doubled until `recall` is
-    reached; all queries then visit as many. Scores are exact, on the given vectors. Returns query_id, rank, vec_id and
-    score, ties to the smaller vec_id. Null, empty and zero vectors and those with null or non-finite components take no
+    A k-means tree is fitted on at most `sample` vectors; every vector is put into its leaf. A leaf's vectors are cut
+    into blocks of about BLOCK rows and the queries into blocks of about QUERY_BLOCK, so that a leaf of many copies, or one
+    that many queries visit, is shared among tasks. A query visits leaves best bin first. On CALIBRATION queries, compared
+    with brute force over all rows, the visits are widened until `recall` of the true neighbours lie in visited leaves;
+    all queries then visit as many. Scores are exact, on the given vectors. Returns query_id, rank, vec_id and score,
+    ties to the smaller vec_id. Null, empty and zero vectors and those with null or non-finite components take no
     part, nor do those of another length than most; a row never finds its own vec_id; rows with one vec_id count once;
     fewer candidates than k are all given; an empty table gives an empty one; other columns aren't read.
     """
@@ -183,13 +186,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
     tree = KMeansTree(_matrix(fit.column("vector")))
     indexed = written(rows.mapInArrow(_index(tree), "vec_id long, vector array<double>, leaf long"), "indexed")
     leaves = indexed.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))  # a row for each leaf, bounded by the sample
-    blocks = written(indexed.join(F.broadcast(leaves), "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block")), "blocks")
     queries = written(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector"), "queries")
-
-    def search(some: DataFrame, most: int) -> DataFrame:
-        visits = some.mapInArrow(_visit(tree, most), "query_id long, vector array<double>, visits array<long>").select("query_id", "vector", F.explode("visits").alias("leaf"))
-        to = visits.join(F.broadcast(leaves), "leaf").select("query_id", "vector", "leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        return _best(to.groupBy("leaf", "block").cogroup(blocks.groupBy("leaf", "block")).applyInArrow(_search(k), FOUND), k)
+    parts = queries.count() // QUERY_BLOCK + 1
+    blocks = indexed.join(F.broadcast(leaves), "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    keys = ["leaf", "block", "part"]
 
     trial = written(queries.orderBy(F.xxhash64(F.lit(11), "query_id")).limit(CALIBRATION), "trial")
     # brute force for the trial queries: every block of vectors meets all of them, which are few
@@ -202,11 +202,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
                 row, vec, score = exact_top(trial_vectors, trial_ids, _matrix(batch.column("vector")), batch.column("vec_id").to_numpy(), k)
                 yield pa.RecordBatch.from_arrays([pa.array(trial_ids[row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    truth = written(_best(rows.mapInArrow(scan, FOUND), k).select("query_id", "vec_id"), "truth")
-    wanted, most = truth.count(), 16
-    while most < tree.leaves and search(trial, most).join(truth, ["query_id", "vec_id"], "left_semi").count() < recall * wanted:
-        most *= 2
-    return search(queries, min(most, tree.leaves))
+    truth = _best(rows.mapInArrow(scan, FOUND), k).select("query_id", "vec_id")
+    lies = truth.join(indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # CALIBRATION * k rows at most
+    place = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves))} for q, v in zip(trial_ids.tolist(), trial_vectors)}
+    needed = sorted(place[r["query_id"]][r["leaf"]] + 1 for r in lies)
+    most = needed[math.ceil(recall * len(needed)) - 1] if needed else tree.leaves
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    visits = queries.mapInArrow(_visit(tree, most), "query_id long, vector array<double>, visits array<long>").select("query_id", "vector", part, F.explode("visits").alias("leaf"))
+    to = visits.join(F.broadcast(leaves), "leaf").select("query_id", "vector", "leaf", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return _best(to.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(_search(k), FOUND), k)
 
 
 def op3_neighbours(spark, sf_dir):
