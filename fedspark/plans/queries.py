@@ -670,9 +670,9 @@ def shap(spark: SparkSession, d: str) -> DataFrame:
     return explain.shap_linear(rows, centroids(spark, d), chosen)
 
 
-@query(f"with {_SHAP} select id, c, j, round(phi, 6) as phi from phi")
+@query(f"with {_SHAP} select id, c, j, round(phi, 6) + 0.0::double as phi from phi")
 def shap_linear(spark, d):
-    return shap(spark, d).withColumn("phi", F.round("phi", 6))
+    return shap(spark, d).withColumn("phi", F.round("phi", 6) + F.lit(0.0))  # no -0
 
 
 @query(f"with {_SHAP}, b as (select c, sum(w * mu) as base from params join mean using (j) group by c) select id, c, round(sum(phi) + any_value(base), 6) as total from phi join b using (c) group by id, c")
