@@ -57,6 +57,20 @@ def test_scores(spark):
     assert lm.score_texts(empty(spark), path).count() == 0
 
 
+def test_every_training_window_trains(spark, monkeypatch):
+    values = texts()
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    seen = []
+    fit = lm.fit_all
+    monkeypatch.setattr(lm, "fit_all", lambda stats, *more: seen.append((stats.select("held", "id_ends").collect(), fit(stats, *more))))
+    lm.score_texts(documents(spark, values), path, train_windows=10).count()
+    (rows, n), want = seen[0], 0
+    for r in rows:
+        owner, _ = lm.runs_of(np.frombuffer(r["id_ends"], np.int64))
+        want += int((np.frombuffer(r["held"], np.uint8)[owner] == 0).sum())
+    assert n == want > 10
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 40, (6, 3 * lm.STRIDE))
