@@ -71,6 +71,13 @@ def test_every_training_window_trains(spark, monkeypatch):
     assert n == want > 10
 
 
+def test_every_id_has_its_own_place():
+    counts = np.random.default_rng(1).zipf(1.3, 32000).clip(0, 10**6) - 1
+    model = lm.AttentionModel.begin(counts, np.full((1, 3 * lm.STRIDE), 5))
+    assert len(set(zip(model.class_of[model.place_of].tolist(), model.member_of[model.place_of].tolist()))) == len(model.embedding) == 32000
+    assert not model.log_share.any()
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 40, (6, 3 * lm.STRIDE))
