@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fedspark.llm.common import written
@@ -15,24 +15,36 @@ from fedspark.llm.quality import quality_rules
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """docs with _key, a 64-bit hash of doc_id and text: rows of one key are the same document."""
+    return docs.withColumn("_key", F.xxhash64(F.to_json(F.struct("doc_id"), {"ignoreNullFields": "false"}), F.coalesce("text", F.lit(""))))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. All rows of a doc_id go or stay by their own text."""
-    verdict = quality_rules(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_kept"]), "left_semi").select(*COLUMNS)
+    """Documents that the quality rules keep. Each row goes or stays by its own text, whatever its doc_id."""
+    keyed = by_text(docs)
+    verdict = quality_rules(keyed.select(F.col("_key").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(verdict, "_key", "left_semi").select(*COLUMNS)
 
 
 def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component of near duplicates (five words, similarity 0.8); documents
-    without words link to none and stay."""
-    first = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").select(*COLUMNS)
+    without words link to none and stay. Texts of one doc_id, or of none, are documents apart; of equal rows one stays, and
+    a null doc_id comes after all others."""
+    keyed = by_text(docs)
+    near = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("_key"), "n_shingles", F.col("component_id").alias("_component")).distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    rank = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("_key"))
+    first = near.filter("n_shingles > 0").join(ids, "_key").groupBy("_component").agg(F.min(rank).getField("_key").alias("_key")).select("_key", F.lit(True).alias("_worded"))
+    stay = first.unionByName(near.filter("n_shingles = 0").select("_key", F.lit(False).alias("_worded")))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("lang", "source", "n_chars"))
+    return keyed.join(stay, "_key").withColumn("_number", number).filter("_number = 1 or not _worded").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars counted anew."""
-    spans = find_personal_data(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.first("spans").alias("spans"))
-    masked = docs.join(spans.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    masked = masked.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("spans"))))
+    found = find_personal_data(docs.select(*COLUMNS, F.col("text").alias("_text")))
+    masked = found.withColumn("text", mask(F.col("_text"), F.col("spans")))
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

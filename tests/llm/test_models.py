@@ -125,3 +125,18 @@ def test_pipeline(spark, tmp_path):
                 assert r.doc_tokens == len(ids)
                 assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r.start : r.start + r.length]))
     assert corpus_pipeline.ORACLE_SQL is None and [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "PII", "packing"]
+
+
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline
+
+    long = [" ".join(f"{a}{k * 7919 % 1000}x{k}" for k in range(60)) for a in ("red", "blue", "green", "grey")]
+    rows = [(1, long[0] + " mail a.b@c.de"), (1, "too short"), (1, "x " + long[1] + " mail someone.else@example.org now"), (2, long[2]), (2, long[2]), (None, long[3]), (None, long[3]), (None, long[2]), (None, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    good = corpus_pipeline.keep_quality(spark, docs, "")
+    assert found(good) == sorted((i or 0, t) for i, t in rows if "short" not in t)
+    first = corpus_pipeline.keep_first_of_near_duplicates(spark, good, "")
+    assert found(first) == sorted([(1, rows[0][1]), (1, rows[2][1]), (2, long[2]), (0, long[3])])
+    masked = corpus_pipeline.mask_personal_data(spark, first, "")
+    assert found(masked) == sorted([(1, rows[0][1].replace("a.b@c.de", "<EMAIL>")), (1, rows[2][1].replace("someone.else@example.org", "<EMAIL>")), (2, long[2]), (0, long[3])])
