@@ -23,7 +23,10 @@ BASE = (
     ("hex", r"[0-9a-f]{24}", re.compile(r"[0-9a-f]+"), 0, 24),
 )
 LEAST = 20
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+#: '=' stands only at a candidate's end, as padding, so a name and its '=' are no part of the value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
+#: Where a run that fits no alphabet, as it mixes both pairs of separators, is cut into candidates: by either pair, or both.
+CUTS = tuple(re.compile(r"[%s]{%d,}={0,2}" % (chars, LEAST)) for chars in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
 #: Alphabets in which a string's symbols are numbered, by the encoding inferred from its characters.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -102,6 +105,15 @@ def guess_bin(text: str) -> int | None:
     return int(min(max(-math.log10(max(weighted, 1e-300)), 0), MOST_DECADES) * BINS_PER_DECADE)
 
 
+def guessed(text: str, start: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, bin) of a run's candidates that the battery passes: the run, or its parts by the cut with the likeliest code."""
+    if not (("+" in text or "/" in text) and ("-" in text or "_" in text)):
+        found = guess_bin(text)
+        return [] if found is None else [(start, start + len(text), found)]
+    ways = [[(start + m.start(), start + m.end(), b) for m in cut.finditer(text) if (b := guess_bin(m[0])) is not None] for cut in CUTS]
+    return max(ways, key=lambda way: max((b for *_, b in way), default=-1))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch):
@@ -114,14 +126,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for m in exact.finditer(texts[k].as_py()):
                         if len(m[group]) >= least:
                             base[k].append((m.start(), order, m.end()))
-            for k in np.flatnonzero(pc.match_substring_regex(texts, r"[A-Za-z0-9+/_=-]{%d}" % LEAST).to_numpy(zero_copy_only=False)).tolist():
+            for k in np.flatnonzero(pc.match_substring_regex(texts, r"[A-Za-z0-9+/_-]{%d}" % LEAST).to_numpy(zero_copy_only=False)).tolist():
                 taken = sorted((a, b) for a, _, b in base[k])
                 at = 0
                 for m in CANDIDATE.finditer(texts[k].as_py()):
                     while at < len(taken) and taken[at][1] <= m.start():
                         at += 1
-                    if not any(a < m.end() and m.start() < b for a, b in taken[at : at + len(BASE) + 1]) and (found := guess_bin(m[0])) is not None:
-                        guesses[k].append({"start": m.start(), "end": m.end(), "bin": found})
+                    if not any(a < m.end() and m.start() < b for a, b in taken[at : at + len(BASE) + 1]):
+                        guesses[k] += [{"start": a, "end": b, "bin": found} for a, b, found in guessed(m[0], m.start())]
             for spans in base:
                 spans.sort()
             rows = [[{"kind": KINDS[o], "start": a, "end": b} for a, o, b in spans] for spans in base]
@@ -145,7 +157,8 @@ def scan_secrets(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """Finds secrets in the whole texts of docs (doc_id, text), in one pass over the texts.
 
     Base spans (assign, access, hex) are leftmost and don't overlap within a kind; all stay. Strings of 20 characters
-    or more that mix digits and letters and touch no base span go through the battery in the alphabet of their encoding:
+    or more ('=' only as padding at their end; runs that mix '+' or '/' with '-' or '_' by their parts) that mix digits and
+    letters and touch no base span go through the battery in the alphabet of their encoding:
     chi-squared uniformity, runs and serial correlation must not reject randomness, and the chance that text of that
     length looks so even is held to the false-discovery rate `rate` over all such strings of the table, longer ones
     with more weight; they become spans of kind random. Returns doc_id, base and spans (kind, start, end in code points,

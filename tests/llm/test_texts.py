@@ -1,5 +1,6 @@
 """Operators that work text by text, against plain versions of what they must return."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -93,6 +94,21 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_after_names_and_in_mixed_runs(spark):
+    code = "q9XfT2LmZ8aVw3Kc7RjY5tHbN1sDpE6u0GoIvQxM"
+    padded = base64.b64encode(hashlib.sha512(b"key1").digest()).decode().rstrip("=")
+    assert "+" in padded and "/" in padded
+    values = [f"auth={code}", f"AccountKey={padded}==", f"see https://a.b/?key={code}&x=1", f"backup-of_the-old/{code}", f"my-key_is-{padded} here", "a quiet line"]
+    got = by_id(secrets.scan_secrets(documents(spark, values)))
+    want = [code, padded + "==", code, code, padded]
+    for i, found in enumerate(want):
+        at = values[i].index(found)
+        (span,) = got[i]["spans"]
+        # a code without separators of its own may take in the path's last word, never lose a part
+        assert span["kind"] == "random" and span["end"] == at + len(found) and at - (4 if i == 3 else 0) <= span["start"] <= at, values[i]
+    assert got[5]["spans"] == []
+
+
 def test_battery_tells_text_from_codes():
     assert secrets.guess_bin("aaaaaaaaaaaaaaaaaaaaaaaaaa1") is None
     assert secrets.guess_bin("thisisjustalongwordwithoutdigits") is None
