@@ -6,11 +6,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of ids in which rows are numbered apart.
+BUCKETS = 64
+
+
 def client_file_names(assigned: DataFrame, names: dict[int, str]) -> DataFrame:
-    """Adds each row's file name in its client's folder: the class and a counter within client and class."""
-    counter = F.row_number().over(Window.partitionBy("client", "label").orderBy("id")) - 1
+    """Adds each row's file name in its client's folder: the class and a counter within client and class.
+
+    The counter, by id, has four digits at least. Rows are numbered in ranges of ids, so that a client with most rows of a
+    class isn't one task.
+    """
+    cuts = assigned.agg(F.percentile_approx("id", [k / BUCKETS for k in range(1, BUCKETS)], 1000)).first()[0] or []
+    bucketed = assigned.withColumn("_bucket", sum((F.when(F.col("id") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    totals = bucketed.groupBy("client", "label", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("client", "label").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("client").alias("_client"), F.col("label").alias("_label"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("client").eqNullSafe(F.col("_client")) & F.col("label").eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_of"))
+    numbered = bucketed.join(offsets, same)
+    counter = (F.col("_before") + F.row_number().over(Window.partitionBy("client", "label", "_bucket").orderBy("id")) - 1).cast("string")
     name = F.coalesce(F.create_map(*(x for k, v in names.items() for x in (F.lit(k), F.lit(v))))[F.col("label")], F.col("label").cast("string"))
-    return assigned.withColumn("file_name", F.concat(name, F.lit("_"), F.lpad(counter.cast("string"), 4, "0")))
+    padded = F.when(F.length(counter) < 4, F.lpad(counter, 4, "0")).otherwise(counter)
+    return numbered.withColumn("file_name", F.concat(name, F.lit("_"), padded)).select(*assigned.columns, "file_name")
 
 
 def write_clients(assigned: DataFrame, path: str) -> None:
