@@ -34,11 +34,16 @@ def federated_rounds(rows: DataFrame, classes: int, width: int, rounds: int, rat
     return w
 
 
-def local_adam(rows: DataFrame, w: np.ndarray, epochs: int, blocks: int, rate: float = 1e-2, decay: float = 1e-4, batch: int = 32) -> DataFrame:
+#: Rows that one group of local training holds, about.
+BLOCK_ROWS = 100_000
+
+
+def local_adam(rows: DataFrame, w: np.ndarray, epochs: int, blocks: int | None = None, rate: float = 1e-2, decay: float = 1e-4, batch: int = 32) -> DataFrame:
     """Clients' parameters (client, c, j, w, n) after epochs of Adam in mini-batches.
 
     A client's rows are dealt to `blocks` groups, which train apart and are averaged like clients of their own, so a
-    client that holds most rows isn't one task. blocks must grow with the largest client.
+    client that holds most rows isn't one task. Without blocks, each client has one for every BLOCK_ROWS rows: a client of
+    so many rows at most trains in one sequence of mini-batches, and a larger one is the average of such sequences.
     """
     classes, width = w.shape
 
@@ -57,12 +62,18 @@ def local_adam(rows: DataFrame, w: np.ndarray, epochs: int, blocks: int, rate: f
                 own = adam(own, p.T @ x[some] / len(some))
         return pd.DataFrame({"client": group["client"].iloc[0], "c": np.repeat(np.arange(classes), width), "j": np.tile(np.arange(width), classes), "w": own.ravel(), "n": len(y)})
 
-    dealt = rows.select("id", "features", "label", F.col("client").cast("long").alias("client"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block"))
+    rows = rows.withColumn("client", F.col("client").cast("long"))
+    if blocks is None:
+        sizes = rows.groupBy("client").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_blocks")).withColumnRenamed("client", "_of")
+        rows = rows.join(F.broadcast(sizes), rows["client"].eqNullSafe(F.col("_of")))
+    else:
+        rows = rows.withColumn("_blocks", F.lit(blocks))
+    dealt = rows.select("id", "features", "label", "client", F.pmod(F.xxhash64("id"), F.col("_blocks").cast("long")).alias("_block"))
     parts = dealt.groupBy("client", "_block").applyInPandas(fit, "client long, c long, j long, w double, n long")
     return parts.groupBy("client", "c", "j").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n"))
 
 
-def federated_adam(rows: DataFrame, classes: int, width: int, rounds: int, epochs: int, blocks: int = 1, rate: float = 1e-2, validate: DataFrame | None = None) -> tuple[np.ndarray, list[dict]]:
+def federated_adam(rows: DataFrame, classes: int, width: int, rounds: int, epochs: int, blocks: int | None = None, rate: float = 1e-2, validate: DataFrame | None = None) -> tuple[np.ndarray, list[dict]]:
     """Rounds of local Adam and averaging. With validate, the best round by macro F1 on it wins, and it must be neither train nor test rows."""
     from .metrics import macro_f1
 

@@ -1,0 +1,17 @@
+"""Groups of local training on clients of many rows."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from fedspark.operators import federated
+
+
+def test_adam_groups_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(federated, "BLOCK_ROWS", 100)
+    rows = spark.range(1050).select("id", F.array(F.rand(1), F.rand(2)).alias("features"), (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") < 50, 1).otherwise(2).alias("client"))
+    w = np.zeros((2, 2))
+    of = lambda df: {(r.client, r.c, r.j): (r.w, r.n) for r in df.collect()}
+    derived, one, ten = of(federated.local_adam(rows, w, 1)), of(federated.local_adam(rows, w, 1, 1)), of(federated.local_adam(rows, w, 1, 10))
+    for k in derived:
+        assert np.allclose(derived[k], (one if k[0] == 1 else ten)[k])
+    assert any(abs(one[k][0] - derived[k][0]) > 1e-9 for k in derived if k[0] == 2)
