@@ -16,7 +16,7 @@ from .common import mix64, split_words, text_slices, with_columns
 #: Short texts have too little to repeat, so their bands are wide.
 BANDS = ((0, 0.0, 1e9), (200, 1.0, 4.0), (1000, 1.35, 4.5), (4000, 1.45, 5.0), (16000, 1.5, 6.0))
 CHUNK_BYTES = 4096
-#: Share of a text's full chunks that may lie outside the band.
+#: Share of a text's chunks that may lie outside the band.
 BAD_CHUNKS = 0.3
 LEVEL = 3
 
@@ -31,16 +31,22 @@ def band(n_bytes: int, bands: tuple = BANDS) -> tuple[float, float]:
 
 
 def compression(text: bytes, press: zstandard.ZstdCompressor, bands: tuple = BANDS, chunk_bytes: int = CHUNK_BYTES) -> tuple[float, int, int]:
-    """The ratio of the whole text, its number of full chunks, and how many of those lie outside the band."""
+    """The ratio of the whole text, its number of chunks, and how many of those lie outside the band for their length.
+
+    The last chunk is the rest of the text; a rest too short for a band belongs to the chunk before it. A text shorter than
+    a chunk has none.
+    """
     ratio = len(text) / len(press.compress(text)) if text else 0.0
-    n, bad = len(text) // chunk_bytes, 0
-    if n > 1:
-        low, high = band(chunk_bytes, bands)
-        for at in range(0, n * chunk_bytes, chunk_bytes):
-            r = chunk_bytes / len(press.compress(text[at : at + chunk_bytes]))
-            bad += not low <= r <= high
-    else:
-        n = 0
+    n, bad = 0, 0
+    short = min((least for least, *_ in bands if least), default=0)
+    cuts = [*range(0, len(text), chunk_bytes), len(text)] if len(text) >= chunk_bytes else []
+    if cuts and cuts[-1] - cuts[-2] < short and len(cuts) > 2:
+        del cuts[-2]
+    for begin, end in zip(cuts, cuts[1:]):
+        chunk = text[begin:end]
+        low, high = band(len(chunk), bands)
+        n += 1
+        bad += not low <= len(chunk) / len(press.compress(chunk)) <= high
     return ratio, n, bad
 
 
@@ -122,8 +128,8 @@ def quality_rules(docs: DataFrame, bands: tuple = BANDS, chunk_bytes: int = CHUN
     """One row of counts and verdicts for each row of docs (doc_id, text), without a shuffle.
 
     kept is false where base_failed is true (under 10 words, or over 20 % of words in repeated 5-word windows), where
-    the zstandard ratio of the whole text leaves the band for its length, and where more than bad_chunks of its full
-    chunks do. A null text counts as an empty one, which fails with its 0 words; repeated rows get equal rows; a null
+    the zstandard ratio of the whole text leaves the band for its length, and where more than bad_chunks of its
+    chunks, the last partial one included, leave the bands for theirs. A null text counts as an empty one, which fails with its 0 words; repeated rows get equal rows; a null
     doc_id stays null; other columns of docs are not read; an empty table gives an empty one.
     """
     return with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_measure(bands, chunk_bytes, bad_chunks, level), SCHEMA)

@@ -42,6 +42,16 @@ def test_quality_bands(spark):
     assert [got[i].kept for i in range(3)] == [False, True, True]
 
 
+def test_quality_measures_every_chunk(spark):
+    prose = texts()[-6]
+    rest = base64.b64encode(b"".join(hashlib.sha512(bytes([k])).digest() for k in range(48))).decode()
+    chunk = lambda text, n: text.encode()[:n].decode(errors="ignore")
+    values = [chunk(prose, 4200) + rest[:3800], chunk(prose, 4200) + "one line again. " * 230, chunk(prose, 7000), chunk(prose, 4000)]
+    got = by_id(quality.quality_rules(documents(spark, values)))
+    assert [(got[i].n_chunks, got[i].n_bad_chunks) for i in range(4)] == [(2, 1), (2, 1), (2, 0), (0, 0)]
+    assert [got[i].kept for i in range(4)] == [False, False, True, True]
+
+
 BASE_PII = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
