@@ -207,20 +207,23 @@ def may_link(x: tuple, y: tuple, percent: int) -> bool:
     return overlap * (100 + percent) >= percent * int(x[3] + y[3])
 
 
-def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = PERCENT, every: bool = False) -> list[tuple[int, int]]:
     """Links that connect what all links among sets connect; with sides, of links between side 0 and side 1.
 
-    Dual traversal of the tree with itself, or of the two sides' trees. Pairs that are connected already are passed over.
+    Dual traversal of the tree with itself, or of the two sides' trees. Pairs that are connected already are passed over,
+    unless every link is asked for.
     """
     n = len(sets)
+    if sides is not None and len(np.unique(sides)) < 2:
+        return []
     sizes = np.array([len(s) for s in sets])
     if n <= 6:
         groups, out = _Groups(n), []
         for i in range(n):
             for j in range(i + 1, n):
-                if (sides is None or sides[i] != sides[j]) and min(sizes[i], sizes[j]) * 100 >= max(sizes[i], sizes[j]) * percent and groups.root(i) != groups.root(j):
+                if (sides is None or sides[i] != sides[j]) and min(sizes[i], sizes[j]) * 100 >= max(sizes[i], sizes[j]) * percent and (every or groups.root(i) != groups.root(j)):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both) and groups.join(i, j):
+                    if 100 * both >= percent * (sizes[i] + sizes[j] - both) and (groups.join(i, j) or every):
                         out.append((i, j))
         return out
     ends = np.cumsum(sizes)
@@ -231,7 +234,7 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
     groups, out, mark = _Groups(n), [], np.zeros(len(values), bool)
 
     def compare(i: int, others: np.ndarray) -> None:
-        ok = (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent) & (groups.roots(others) != groups.root(i))
+        ok = (np.minimum(sizes[others], sizes[i]) * 100 >= np.maximum(sizes[others], sizes[i]) * percent) & (every | (groups.roots(others) != groups.root(i)))
         others = others[ok]
         if len(others):
             bound = np.minimum(counts[others], counts[i]).sum(1, dtype=np.int64)
@@ -244,14 +247,14 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
         both = np.add.reduceat(hits, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
         mark[own] = False
         for j in others[100 * both >= percent * (sizes[others] + sizes[i] - both)].tolist():
-            if groups.join(i, j):
+            if groups.join(i, j) or every:
                 out.append((i, j))
 
     # documents of widely shared shingles first: in a group of near copies these link most others, which then need no more
     common = np.bincount(ids)[ids]
     typical = np.add.reduceat(common, ends - sizes) / sizes
     everyone = np.arange(n)
-    for i in np.argsort(-typical, kind="stable")[:LEAF].tolist():
+    for i in () if every else np.argsort(-typical, kind="stable")[:LEAF].tolist():
         compare(i, everyone if sides is None else everyone[sides != sides[i]])
     if sides is None:
         a = b = SignatureTree(everyone, counts, sizes).root
@@ -260,7 +263,7 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
-        if not may_link(x, y, percent) or len(np.unique(groups.roots(np.concatenate((x[0], y[0]))))) == 1:
+        if not may_link(x, y, percent) or (not every and len(np.unique(groups.roots(np.concatenate((x[0], y[0]))))) == 1):
             continue
         if not x[1] and not y[1]:
             for i in x[0].tolist():
@@ -271,7 +274,7 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
             stack += [(p, y) for p in x[1]]
         else:
             stack += [(x, q) for q in y[1]]
-    return out
+    return sorted({(min(p), max(p)) for p in out}) if every else out
 
 
 def _sets(width: int):
@@ -284,7 +287,7 @@ def _sets(width: int):
     return run
 
 
-def _trees(percent: int):
+def _trees(percent: int, every: bool = False):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("family", "ascending"), ("x", "ascending"), ("y", "ascending"), ("doc_id", "ascending")])
         family, x, y, block, docs = (group.column(c).to_numpy() for c in ("family", "x", "y", "block", "doc_id"))
@@ -292,7 +295,7 @@ def _trees(percent: int):
         a, b = [], []
         for lo, hi in zip(new, np.append(new[1:], len(family))):
             sets = [np.frombuffer(s, U64) for s in group.column("shingles").slice(lo, hi - lo).to_pylist()]
-            for i, j in tree_links(sets, None if x[lo] == y[lo] else (block[lo:hi] == y[lo]).astype(int), percent) if hi - lo > 1 else ():
+            for i, j in tree_links(sets, None if x[lo] == y[lo] else (block[lo:hi] == y[lo]).astype(int), percent, every) if hi - lo > 1 else ():
                 a.append(docs[lo + i])
                 b.append(docs[lo + j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -300,7 +303,7 @@ def _trees(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, every_link: bool = False) -> DataFrame:
     """Components of docs (doc_id, text) under links where 100 * intersection >= percent * union of their shingle sets.
 
     1. One pass signs each document's segments, so that linked ones share a signature for certain. 2. Signatures meet by
@@ -310,6 +313,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     n_shingles (0 without words; fewer than `width` words are one shingle) and component_id, the smallest doc_id that
     links reach. Documents without words link to none. A null doc_id keeps a null component; rows with one doc_id are
     one node; an empty table gives an empty one; other columns aren't read.
+
+    Pairs connected already are passed over. With every_link they aren't, and all links (a, b), a < b, between the smallest
+    documents of different sets are returned instead.
     """
     spark = docs.sparkSession
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
@@ -336,7 +342,9 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = sets.select("*", other.alias("_other")).select("doc_id", "family", "block", "shingles", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"))
     pairs = pairs.withColumn("bin", F.pmod(F.xxhash64("family", "x", "y"), F.lit(spread(spark, work, HELD))))
-    links = written(pairs.groupBy("bin").applyInArrow(_trees(percent), "a long, b long"), "links")
+    links = written(pairs.groupBy("bin").applyInArrow(_trees(percent, every_link), "a long, b long"), "links")
+    if every_link:
+        return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = connected_components(links).select(F.col("node").alias("rep"), "component")
     whole = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component")).groupBy("doc_id").agg(F.min("_component").alias("_component"))
     return narrow.select("doc_id", "n").join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
