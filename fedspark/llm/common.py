@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one step inside a task handles at once; a single longer text is handled alone.
 SLICE_BYTES = 8 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that stand in the shared folder.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set, as in tests."""
-    try:
-        folder = spark.conf.get("spark.checkpoint.dir")
-    except Exception as error:
-        if "spark.checkpoint.dir" not in str(error):
-            raise
-        folder = None
+    """The folder that the cluster names for checkpoints; where none is set, a temporary one if the session is local, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='fedspark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,24 +38,36 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read again, so that its lineage ends here.
 
-    The folder goes when the driver's process ends.
+    The table goes with forget(), or when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
+        atexit.register(_remove_all)
+    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove() -> None:
-    for spark, path in _written:
+def forget(df: DataFrame) -> None:
+    """Deletes the table of written() that df reads; nothing may read it afterwards."""
+    for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        for known in [p for p in _written if p.partition(":")[2].lstrip("/") == path.partition(":")[2].lstrip("/")]:
+            _remove(known)
+
+
+def _remove(path: str) -> None:
+    spark = _written.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_all() -> None:
+    for path in list(_written):
         try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may have ended before
+            _remove(path)
+        except Exception as error:  # the session may have ended before
+            warnings.warn(f"{path} and what follows stay in the shared folder: {error}", stacklevel=1)
             return
 
 

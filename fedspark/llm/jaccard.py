@@ -1,27 +1,33 @@
-"""Exact join of documents by the Jaccard similarity of their word n-grams, by signature trees."""
+"""Exact join of documents by the Jaccard similarity of their word n-grams, by signature trees.
+
+The tree's upper levels are spread over Spark: the OR of all documents' shingles lies in ranges of hashes, with the sizes of
+the documents that have each, and a document is held against it. Its lower levels stand in tasks: nodes with OR-combined
+bitmaps and ranges of sizes, traversed in pairs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, spread, split_words, table, text_slices, with_columns, written
-from .components import connected_components
+from .common import forget, mix64, ragged, split_words, spread, table, text_slices, with_columns, written
+from .components import connected_components, spanning_stars
 
 WORDS, PERCENT = 4, 85
-#: Signatures that one task sorts at once, and shingles of the documents that one task's trees hold.
-SORTED, HELD = 2_000_000, 1_000_000
+#: Shingles that one task sorts at once, and those of the documents that one task's trees hold.
+SORTED, HELD = 2_000_000, 1_500_000
+#: Documents of a family beyond HELD that are compared with all others of it first.
+PIVOTS = 16
 BITS, LEAF, FANOUT = 2048, 16, 8
 
 U64 = np.uint64
-ODD = (np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], U64))
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], U64)
 
 
 def shingle_sets(texts: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
@@ -34,131 +40,196 @@ def shingle_sets(texts: pa.Array, width: int = WORDS) -> Iterator[np.ndarray]:
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), U64, len(coded.dictionary))
     h = hashes[coded.indices.to_numpy(zero_copy_only=False)]
     m = len(h) - width + 1
-    rolled = mix64(sum((h[j : m + j] * ODD[j] for j in range(1, width)), h[:m] * ODD[0])) if m > 0 else np.empty(0, U64)
+    rolled = mix64(sum((h[j : m + j] * ODD[j % 8] for j in range(1, width)), h[:m] * ODD[0])) if m > 0 else np.empty(0, U64)
     at = 0
     for n in counts.tolist():
         if n >= width:
             yield np.unique(rolled[at : at + n - width + 1])
         elif n:
-            yield mix64(np.array([(h[at : at + n] * ODD[:n]).sum() + U64(n)], U64))
+            yield mix64(np.array([(h[at : at + n] * ODD[np.arange(n) % 8]).sum() + U64(n)], U64))
         else:
             yield np.empty(0, U64)
         at += n
 
 
-@lru_cache(maxsize=4096)
-def size_class(n: int, percent: int = PERCENT) -> tuple[int, int, int]:
-    """(number, smallest, largest) of the class of sizes that holds n. A set links only to its own class and the two beside it."""
-    low, number = 1, 0
-    while True:
-        high = low * 100 // percent
-        if n <= high:
-            return number, low, high
-        low, number = high + 1, number + 1
-
+def node_of(shingles: np.ndarray) -> int:
+    """A set's 64-bit name; documents with one set are one node of the trees."""
+    total = int(shingles.sum()) * int(ODD[1]) + int(np.bitwise_xor.reduce(mix64(shingles + ODD[6]))) + len(shingles) * int(ODD[3])
+    return int(mix64(np.array([total % (1 << 64)], U64))[0].astype(np.int64))
 
-@lru_cache(maxsize=4096)
-def segments(high: int, low: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(segments, empty ones that may go unsigned) under which linked sets of low to high shingles have a signed segment in common.
 
-    Linked sets differ in d <= 2 high (100 - percent) / (100 + percent) shingles, so of d + 1 + e segments e + 1 are equal.
-    Of these the last one by number stays, when each set leaves out its first e empty segments. e is chosen so that
-    sets hardly ever have more than e empty segments.
-    """
-    differ = 2 * high * (100 - percent) // (100 + percent)
-    if not differ:
-        return 1, 0
-    best = None
-    for more in range(1, 2 * differ + 8):
-        s = differ + 1 + more
-        load = low / s
-        empty, spread_ = s * np.exp(-load), s * (np.exp(-load) - (1 + load) * np.exp(-2 * load))
-        margin = (more - empty) / np.sqrt(max(spread_, 1e-9))
-        if best is None or margin > best[0]:
-            best = (margin, s, more)
-        if margin > 6:
-            break
-    return best[1], best[2]
-
-
-def sign(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Signatures of a set's segments: of its own size class, and of the next, with whose sets it is compared there.
-
-    The last byte is the class's number, so that ties of one class can be told from those of others.
-    """
-    number, low, high = size_class(len(shingles), percent)
-    out = []
-    for c, a, b in ((number, low, high), (number + 1, high + 1, (high + 1) * 100 // percent)):
-        s, spare = segments(b, max(1, -(-a * percent // 100)), percent)
-        segment = (shingles % U64(s)).astype(np.int64)
-        total = np.zeros(s, U64)
-        np.add.at(total, segment, mix64(shingles + ODD[7]))
-        empty = np.flatnonzero(np.bincount(segment, minlength=s) == 0)[:spare]
-        signed = mix64(total + mix64(np.arange(s).astype(U64) * ODD[5] + U64((c + 1) * int(ODD[6]) % (1 << 64))))
-        out.append((np.delete(signed, empty) & ~U64(255)) | U64(c & 255))
-    return np.concatenate(out)
-
-
-def _sign_texts(width: int, percent: int):
+def _name_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
-                rows = []
-                for s in shingle_sets(part.column("text"), width):
-                    low = int(s.sum().astype(np.int64)) if len(s) else 0
-                    high = int(np.bitwise_xor.reduce(mix64(s + ODD[6])).astype(np.int64)) if len(s) else 0
-                    rows.append((len(s), low, high, sign(s, percent).tobytes() if len(s) else b""))
-                n, low, high, signs = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n", "low", "high", "signs"])
+                found = [(len(s), node_of(s) if len(s) else None) for s in shingle_sets(part.column("text"), width)]
+                n, node = zip(*found)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
 
     return run
 
 
-def _stars(signs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each signature once, with its smallest document, and edges from that one to its others, each once for each class."""
-    order = np.lexsort((docs, signs))
-    signs, docs = signs[order], docs[order]
-    first = np.concatenate(([True], signs[1:] != signs[:-1])) if len(signs) else np.empty(0, bool)
-    hub = docs[np.flatnonzero(first)][np.cumsum(first) - 1] if len(signs) else docs
-    kind = (signs & U64(255)).astype(np.int64)
-    ties = np.unique(np.stack((hub, docs, kind), 1)[hub != docs], axis=0)
-    return signs[first], docs[first], ties[:, 0], ties[:, 1], ties[:, 2]
+DEALT = "range long, nodes binary, sizes binary, runs binary, low binary, high binary"
+
+
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (((h >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
+
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal neighbours."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
 
-def _deal(ranges: int):
-    """Signatures by ranges of their values, each once for each chunk of a task, so that a frequent one sends little."""
 
-    def chunk(signs: list, docs: list) -> pa.RecordBatch:
-        lengths = np.array([len(s) for s in signs])
-        s, d, *ties = _stars(np.concatenate(signs), np.repeat(np.array(docs, np.int64), lengths))
-        to = ((s >> U64(32)) * U64(ranges)) >> U64(32)
-        cuts = np.searchsorted(to, np.arange(ranges + 1))
-        tie_cuts = np.searchsorted(np.arange(len(ties[0])) * ranges // max(len(ties[0]), 1), np.arange(ranges + 1))
-        rows = [(k, s[x:y].tobytes(), d[x:y].tobytes(), *(t[p:q].tobytes() for t in ties)) for k, (x, y, p, q) in enumerate(zip(cuts[:-1], cuts[1:], tie_cuts[:-1], tie_cuts[1:])) if y > x or q > p]
+def _deal(width: int, ranges: int):
+    """Shingles by ranges of their hashes, each with its set; of equal sets that a task holds at once, one is dealt."""
+
+    def chunk(sets: list, nodes: list) -> pa.RecordBatch:
+        lengths = np.array([len(s) for s in sets])
+        flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+        to = _range_of(flat, ranges)
+        order = np.argsort(to.astype(np.uint16) if ranges < 65536 else to, kind="stable")
+        flat, own, to = flat[order], own[order], to[order]
+        starts, runs = _runs(to * len(sets) + own)
+        node, size = np.array(nodes, np.int64)[own[starts]], lengths[own[starts]].astype(np.uint32)
+        low, high = flat.astype(np.uint32), (flat >> U64(32)).astype(np.uint8)
+        first, many = _runs(to[starts])
+        rows = []
+        for a, n in zip(first.tolist(), many.tolist()):
+            x, y = starts[a], starts[a + n] if a + n < len(starts) else len(flat)
+            rows.append((int(to[x]), node[a : a + n].tobytes(), size[a : a + n].tobytes(), runs[a : a + n].astype(np.uint32).tobytes(), low[x:y].tobytes(), high[x:y].tobytes()))
         k, *blobs = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["range", "signs", "docs", "a", "b", "kind"])
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=[x.split()[0] for x in DEALT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs, docs, held = [], [], 0
+        sets, nodes, held = [], {}, 0
         for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("signs").to_pylist()):
-                signs.append(np.frombuffer(data, U64))
-                docs.append(doc)
-                held += len(signs[-1])
-                if held >= SORTED:
-                    yield chunk(signs, docs)
-                    signs, docs, held = [], [], 0
+            for part in text_slices(batch):
+                for s in shingle_sets(part.column("text"), width):
+                    if len(s) and (node := node_of(s)) not in nodes:
+                        nodes[node] = None
+                        sets.append(s)
+                        held += len(s)
+                    if held >= SORTED:
+                        yield chunk(sets, list(nodes))
+                        sets, nodes, held = [], {}, 0
         if held:
-            yield chunk(signs, docs)
+            yield chunk(sets, list(nodes))
 
     return run
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    read = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    _, _, *ties = _stars(read("signs", U64), read("docs", np.int64))
-    ties = np.unique(np.stack([np.concatenate((t, read(name, np.int64))) for name, t in zip(("a", "b", "kind"), ties)], 1), axis=0)
-    return pa.table(dict(zip(("a", "b", "kind"), ties.T)))
+def _blobs(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+
+
+SHARED = "bin long, range long, nodes binary, sizes binary, runs binary, ids binary, common binary"
+
+
+def _hold_against(percent: int, bins: int):
+    """A range of the OR of all sets: the shingles that a set shares with others of sizes it may link to, each with a number
+    and with how many sets have it, dealt by sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in SHARED.split(", ")]
+        at = group.column("range")[0].as_py()
+        low = _blobs(group, "low", np.uint32)
+        both = (_blobs(group, "high", np.uint8).astype(U64) << U64(32)) | low
+        runs = _blobs(group, "runs", np.uint32)
+        node, size = (np.repeat(_blobs(group, name, kind), runs) for name, kind in (("nodes", np.int64), ("sizes", np.uint32)))
+        order = np.argsort(both)
+        both = both[order]
+        twice = both[1:] == both[:-1]
+        some = np.flatnonzero(np.concatenate((twice, [False])) | np.concatenate(([False], twice))) if len(both) else order
+        both, node, size = both[some], node[order[some]], size[order[some]].astype(np.int64)
+        order = np.lexsort((node, size, both))
+        both, node, size = both[order], node[order], size[order]
+        new = np.concatenate(([True], (both[1:] != both[:-1]) | (node[1:] != node[:-1]))) if len(both) else np.empty(0, bool)
+        both, node, size = both[new], node[new], size[new]
+        starts, many = _runs(both)
+        number, common = np.repeat(np.arange(len(starts)), many), np.repeat(np.minimum(many, 255), many).astype(np.uint8)
+        near = (number[1:] == number[:-1]) & (100 * size[:-1] >= percent * size[1:])
+        shared = np.flatnonzero(np.concatenate((near, [False])) | np.concatenate(([False], near))) if len(both) else np.empty(0, np.int64)
+        number, node, size, common = number[shared], node[shared], size[shared], common[shared]
+        to = (node.astype(U64) % U64(bins)).astype(np.int64)
+        order = np.lexsort((number, node, to))
+        number, node, size, common, to = number[order].astype(np.uint32), node[order], size[order].astype(np.uint32), common[order], to[order]
+        starts, runs = _runs(node)
+        first, many = _runs(to[starts])
+        rows = []
+        for a, n in zip(first.tolist(), many.tolist()):
+            x, y = starts[a], starts[a + n] if a + n < len(starts) else len(node)
+            own = starts[a : a + n]
+            rows.append((int(to[x]), at, node[own].tobytes(), size[own].tobytes(), runs[a : a + n].astype(np.uint32).tobytes(), number[x:y].tobytes(), common[x:y].tobytes()))
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.table({name: pa.array(c, pa.int64() if name in ("bin", "range") else pa.binary()) for name, c in zip(names, columns)})
+
+    return run
+
+
+def packed(ids: np.ndarray) -> bytes:
+    return (ids.astype(np.uint32) if not len(ids) or int(ids.max()) < 1 << 32 else ids.astype(U64)).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * n else U64).astype(U64)
+
+
+def _survivors(percent: int, ranges: int):
+    """Sets that share enough shingles with all others together to link to any; with the shared ones, the rarest first."""
+
+    def run(group: pa.Table) -> pa.Table:
+        per_row = [len(x) // 4 for x in group.column("ids").to_pylist()]
+        runs = _blobs(group, "runs", np.uint32)
+        node, size = np.repeat(_blobs(group, "nodes", np.int64), runs), np.repeat(_blobs(group, "sizes", np.uint32), runs).astype(np.int64)
+        ids = _blobs(group, "ids", np.uint32).astype(U64) * U64(ranges) + np.repeat(group.column("range").to_numpy().astype(U64), per_row)
+        order = np.lexsort((ids, _blobs(group, "common", np.uint8), node))
+        node, size, ids = node[order], size[order], ids[order]
+        starts, many = _runs(node)
+        alive = np.flatnonzero(100 * many >= percent * size[starts])
+        out = [(int(node[a]), int(size[a]), int(n), packed(ids[a : a + n])) for a, n in zip(starts[alive].tolist(), many[alive].tolist())]
+        node, size, n, ids = zip(*out) if out else ((), (), (), ())
+        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(size, pa.int64()), "shared": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+    return run
+
+
+def _deal_rarest(percent: int, ranges: int):
+    """Of each surviving set, so many of its rarest shared shingles that two linked sets have one of them in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for size, shared, ids in zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), batch.column("ids").to_pylist()):
+                kept.append(unpacked(ids, shared)[: shared - -(-percent * size // 100) + 1])
+            if not kept:
+                continue
+            lengths = [len(x) for x in kept]
+            ids, node, size = np.concatenate(kept), np.repeat(batch.column("node").to_numpy(), lengths), np.repeat(batch.column("n").to_numpy(), lengths)
+            to = (mix64(ids) % U64(ranges)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ids, node, size, to = ids[order], node[order], size[order], to[order]
+            starts, many = _runs(to)
+            blobs = [(int(to[a]), ids[a : a + m].tobytes(), node[a : a + m].tobytes(), size[a : a + m].tobytes()) for a, m in zip(starts.tolist(), many.tolist())]
+            k, *rest = zip(*blobs)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(b, pa.binary()) for b in rest)], names=["range", "ids", "nodes", "sizes"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Ties of sets that have a rare shingle in common, from one to the next by size; as stars of what hangs together here."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, node, size = _blobs(group, "ids", U64), _blobs(group, "nodes", np.int64), _blobs(group, "sizes", np.int64)
+        order = np.lexsort((node, size, ids))
+        ids, node, size = ids[order], node[order], size[order]
+        near = np.flatnonzero((ids[1:] == ids[:-1]) & (node[1:] != node[:-1]) & (100 * size[:-1] >= percent * size[1:]))
+        a, b = spanning_stars(node[near], node[near + 1])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 class _Groups:
@@ -190,9 +261,8 @@ class SignatureTree:
     its documents has there (the OR of the documents' bitmaps, with counts), and the range of their sizes."""
 
     def __init__(self, members: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
-        members = members[np.argsort(sizes[members], kind="stable")]
-        level = [(members[k : k + LEAF], ()) for k in range(0, len(members), LEAF)]
-        level = [(docs, (), counts[docs].max(0), sizes[docs].min(), sizes[docs].max()) for docs, _ in level]
+        level = [members[k : k + LEAF] for k in range(0, len(members), LEAF)]
+        level = [(docs, (), counts[docs].max(0), sizes[docs].min(), sizes[docs].max()) for docs in level]
         while len(level) > 1:
             parts = [level[k : k + FANOUT] for k in range(0, len(level), FANOUT)]
             level = [(np.concatenate([x[0] for x in p]), tuple(p), np.max([x[2] for x in p], 0), min(x[3] for x in p), max(x[4] for x in p)) for p in parts]
@@ -207,30 +277,23 @@ def may_link(x: tuple, y: tuple, percent: int) -> bool:
     return overlap * (100 + percent) >= percent * int(x[3] + y[3])
 
 
-def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = PERCENT, every: bool = False) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None = None, percent: int = PERCENT, every: bool = False) -> list[tuple[int, int]]:
     """Links that connect what all links among sets connect; with sides, of links between side 0 and side 1.
 
-    Dual traversal of the tree with itself, or of the two sides' trees. Pairs that are connected already are passed over,
-    unless every link is asked for.
+    sizes: of the whole sets; what is given of them holds all that two of them can have in common. Dual traversal of the
+    tree with itself, or of the two sides' trees. Pairs that are connected already are passed over, unless every link is
+    asked for.
     """
     n = len(sets)
-    if sides is not None and len(np.unique(sides)) < 2:
+    if n < 2 or sides is not None and len(np.unique(sides)) < 2:
         return []
-    sizes = np.array([len(s) for s in sets])
-    if n <= 6:
-        groups, out = _Groups(n), []
-        for i in range(n):
-            for j in range(i + 1, n):
-                if (sides is None or sides[i] != sides[j]) and min(sizes[i], sizes[j]) * 100 >= max(sizes[i], sizes[j]) * percent and (every or groups.root(i) != groups.root(j)):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both) and (groups.join(i, j) or every):
-                        out.append((i, j))
-        return out
-    ends = np.cumsum(sizes)
+    sizes, given = np.asarray(sizes, np.int64), np.array([len(s) for s in sets])
+    ends = np.cumsum(given)
     flat = np.concatenate(sets)
     values, ids = np.unique(flat, return_inverse=True)
-    counts = np.zeros((n, BITS), np.uint8 if sizes.max() < 256 else np.uint16 if sizes.max() < 65536 else np.uint32)
-    np.add.at(counts, (np.repeat(np.arange(n), sizes), (flat % U64(BITS)).astype(np.int64)), 1)
+    bits = 1 << min(int(BITS).bit_length() - 1, max(6, int(4 * given.mean()).bit_length()))
+    counts = np.zeros((n, bits), np.uint8 if given.max() < 256 else np.uint16 if given.max() < 65536 else np.uint32)
+    np.add.at(counts, (np.repeat(np.arange(n), given), (mix64(flat) % U64(bits)).astype(np.int64)), 1)
     groups, out, mark = _Groups(n), [], np.zeros(len(values), bool)
 
     def compare(i: int, others: np.ndarray) -> None:
@@ -241,10 +304,10 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
             others = others[bound * (100 + percent) >= percent * (sizes[others] + sizes[i])]
         if not len(others):
             return
-        own = ids[ends[i] - sizes[i] : ends[i]]
+        own = ids[ends[i] - given[i] : ends[i]]
         mark[own] = True
-        hits = mark[ids[ragged(ends[others] - sizes[others], sizes[others])]]
-        both = np.add.reduceat(hits, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        hits = mark[ids[ragged(ends[others] - given[others], given[others])]]
+        both = np.add.reduceat(hits, np.cumsum(given[others]) - given[others], dtype=np.int64)
         mark[own] = False
         for j in others[100 * both >= percent * (sizes[others] + sizes[i] - both)].tolist():
             if groups.join(i, j) or every:
@@ -252,19 +315,23 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
 
     # documents of widely shared shingles first: in a group of near copies these link most others, which then need no more
     common = np.bincount(ids)[ids]
-    typical = np.add.reduceat(common, ends - sizes) / sizes
-    everyone = np.arange(n)
+    typical = np.add.reduceat(common, ends - given) / sizes
+    everyone = np.lexsort((values[ids[ends - given]], (np.log(sizes) * 12).astype(np.int64)))
     for i in () if every else np.argsort(-typical, kind="stable")[:LEAF].tolist():
-        compare(i, everyone if sides is None else everyone[sides != sides[i]])
+        compare(i, everyone if sides is None else everyone[sides[everyone] != sides[i]])
     if sides is None:
         a = b = SignatureTree(everyone, counts, sizes).root
     else:
-        a, b = (SignatureTree(everyone[sides == k], counts, sizes).root for k in (0, 1))
+        a, b = (SignatureTree(everyone[sides[everyone] == k], counts, sizes).root for k in (0, 1))
     stack = [(a, b)]
     while stack:
         x, y = stack.pop()
-        if not may_link(x, y, percent) or (not every and len(np.unique(groups.roots(np.concatenate((x[0], y[0]))))) == 1):
+        if not may_link(x, y, percent):
             continue
+        if not every:
+            roots = groups.roots(np.concatenate((x[0], y[0])))
+            if (roots == roots[0]).all():
+                continue
         if not x[1] and not y[1]:
             for i in x[0].tolist():
                 compare(i, y[0][y[0] != i])
@@ -277,77 +344,124 @@ def tree_links(sets: list[np.ndarray], sides: np.ndarray | None = None, percent:
     return sorted({(min(p), max(p)) for p in out}) if every else out
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                found = pa.array([s.tobytes() for s in shingle_sets(part.column("text"), width)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "family", "blocks", "block")] + [found], names=["doc_id", "family", "blocks", "block", "shingles"])
-
-    return run
+LINKS = "a long, b long, open boolean"
+#: Sides of a group of documents: all of one, or two that are compared with each other; a pivot is of its block as well.
+ONE, OTHER, PIVOT = 0, 1, 2
 
 
 def _trees(percent: int, every: bool = False):
+    """Links (a, b) of each group (family, x, y); and, where it has pivots, the sets that nothing here connects with the
+    first of them, as open (a: set, b: family)."""
+
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("family", "ascending"), ("x", "ascending"), ("y", "ascending"), ("doc_id", "ascending")])
-        family, x, y, block, docs = (group.column(c).to_numpy() for c in ("family", "x", "y", "block", "doc_id"))
+        group = group.sort_by([("family", "ascending"), ("x", "ascending"), ("y", "ascending"), ("node", "ascending"), ("side", "ascending")])
+        family, x, y, side, node, n, shared = (group.column(c).to_numpy() for c in ("family", "x", "y", "side", "node", "n", "shared"))
         new = np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-        a, b = [], []
+        links, left = [], []
         for lo, hi in zip(new, np.append(new[1:], len(family))):
-            sets = [np.frombuffer(s, U64) for s in group.column("shingles").slice(lo, hi - lo).to_pylist()]
-            for i, j in tree_links(sets, None if x[lo] == y[lo] else (block[lo:hi] == y[lo]).astype(int), percent, every) if hi - lo > 1 else ():
-                a.append(docs[lo + i])
-                b.append(docs[lo + j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            pivots = node[lo:hi][side[lo:hi] == PIVOT]
+            at = np.unique(node[lo:hi], return_index=True)[1] if len(pivots) else np.arange(hi - lo)
+            names = node[lo:hi][at]
+            sets = [unpacked(data, int(s)) for data, s in zip(group.column("ids").slice(lo, hi - lo).take(pa.array(at)).to_pylist(), shared[lo:hi][at])]
+            sides = side[lo:hi][at] if (side[lo:hi] == OTHER).any() else None
+            found = tree_links(sets, n[lo:hi][at], sides, percent, every)
+            links += [(names[i], names[j]) for i, j in found if names[i] != names[j]]
+            if len(pivots):
+                groups = _Groups(len(names))
+                for i, j in found:
+                    groups.join(i, j)
+                main = groups.root(int(np.searchsorted(names, pivots.min())))
+                left += [(names[k], family[lo]) for k in np.flatnonzero(groups.roots(np.arange(len(names))) != main)]
+        both = np.array(links + left, np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1], "open": pa.array(np.arange(len(both)) >= len(links))})
 
     return run
 
 
+def _grow(rows: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """The trees of rows (family, x, y, side, node, n, shared, ids), whose groups are dealt to tasks of about HELD shingles."""
+    work = rows.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0]
+    bins = F.lit(spread(rows.sparkSession, work, HELD))
+    return rows.withColumn("bin", F.pmod(F.xxhash64("family", "x", "y"), bins)).groupBy("bin").applyInArrow(_trees(percent, every), LINKS)
+
+
+def _links(survivors: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) among surviving sets (node, n, shared, ids).
+
+    Sets that have a rare shingle in common hang together in families, each of which goes through a tree. A family beyond
+    HELD shingles is cut into blocks: every block meets the family's pivots, and the sets that this leaves unconnected to
+    the first pivot then meet all blocks. What is connected to it needs no more, so a family of near copies is read twice,
+    however large it is.
+    """
+    ranges = spread(survivors.sparkSession, survivors.agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0], SORTED)
+    dealt = survivors.select("node", "n", "shared", "ids").mapInArrow(_deal_rarest(percent, ranges), "range long, ids binary, nodes binary, sizes binary")
+    ties = written(dealt.groupBy("range").applyInArrow(_meet(percent), "a long, b long").distinct(), "ties")
+    families = connected_components(ties).withColumnRenamed("component", "family")
+    forget(ties)
+    sizes = families.join(survivors.select("node", "shared"), "node").groupBy("family").agg(F.sum("shared").alias("_s"))
+    big = written(sizes.filter(F.col("_s") > HELD).select("family", (F.floor(F.col("_s") / HELD) + 1).cast("int").alias("blocks")), "big-families")
+    one = F.lit(ONE).alias("side")
+    zero = F.lit(0)
+    members = families.join(survivors, "node").join(big, "family", "left").select("node", "family", "n", "shared", "ids", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    data = ("node", "n", "shared", "ids")
+    if every:
+        other = members.select("*", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("_to"))
+        pairs = other.select("family", F.least("block", "_to").alias("x"), F.greatest("block", "_to").alias("y"), F.when(F.col("block") > F.col("_to"), OTHER).otherwise(ONE).alias("side"), *data)
+        return written(_grow(pairs, percent, True), "links").select("a", "b")
+    alone = members.select("family", F.col("block").alias("x"), zero.alias("y"), one, *data)
+    if big.isEmpty():
+        return written(_grow(alone, percent), "links").select("a", "b")
+    cut = members.filter("blocks > 1")
+    first = Window.partitionBy("family").orderBy(F.xxhash64(F.lit(1), "node"), "node")
+    pivots = families.join(big, "family").withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= PIVOTS).join(survivors, "node")
+    pivots = pivots.select("family", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("x"), zero.alias("y"), F.lit(PIVOT).alias("side"), *data)
+    found = written(_grow(alone.unionByName(pivots), percent), "links")
+    left = written(found.filter("open").select(F.col("a").alias("node"), F.col("b").alias("family")).distinct().join(survivors, "node").join(big, "family"), "open-sets")
+    parts = written(left.groupBy("family").agg((F.floor(F.sum("shared") / HELD) + 1).cast("int").alias("parts")), "open-parts")
+    left = left.join(parts, "family").withColumn("y", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    left = left.select("family", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("x"), "y", F.lit(OTHER).alias("side"), *data)
+    all_ = cut.join(parts, "family").select("family", F.col("block").alias("x"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("y"), one, *data)
+    more = written(_grow(all_.unionByName(left), percent), "links")
+    return found.filter("not open").unionByName(more).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, every_link: bool = False) -> DataFrame:
     """Components of docs (doc_id, text) under links where 100 * intersection >= percent * union of their shingle sets.
 
-    1. One pass signs each document's segments, so that linked ones share a signature for certain. 2. Signatures meet by
-    ranges of values; the documents of each are tied to the smallest: families, one size class apart from another, of
-    every different set's smallest document. 3. Each family goes through signature trees, exactly and by the whole sets;
-    families beyond HELD shingles are cut into blocks, and pairs of blocks are traversed apart. Returns doc_id,
-    n_shingles (0 without words; fewer than `width` words are one shingle) and component_id, the smallest doc_id that
-    links reach. Documents without words link to none. A null doc_id keeps a null component; rows with one doc_id are
-    one node; an empty table gives an empty one; other columns aren't read.
+    1. The upper levels: shingles meet by ranges of hashes, which hold the OR of all sets and the sizes of those that have
+    each. A set's largest possible overlap with all others of a size that it may link to is the number of its shingles
+    that one of those has; where it is too small, the set links to none and goes no further. 2. The surviving sets, with their shared
+    shingles, the only ones that two sets can have in common, hang together in families by their rarest ones. 3. Each
+    family goes through a signature tree, by dual traversal of nodes with bitmaps and size ranges, and links are exact.
+
+    Returns doc_id, n_shingles (0 without words; fewer than `width` words are one shingle) and component_id, the smallest
+    doc_id that links reach, for each row. Every row is a document of its own, also where doc_ids repeat or are null; a null one
+    is never a component's id unless all are. Documents without words link to none. An empty table gives an empty one;
+    other columns aren't read. Sets and shingles are told apart by 64-bit hashes, shingles from the range of hashes on by 40 bits of it.
 
     Pairs connected already are passed over. With every_link they aren't, and all links (a, b), a < b, between the smallest
     documents of different sets are returned instead.
     """
     spark = docs.sparkSession
     docs = with_columns(docs, {"doc_id": "long", "text": "string"})
-    signed = written(docs.mapInArrow(_sign_texts(width, percent), "doc_id long, n long, low long, high long, signs binary"), "signed")
-    narrow = signed.select("doc_id", "n", "low", "high")
-    known = narrow.filter("n > 0 and doc_id is not null")
-    first = known.groupBy("n", "low", "high").agg(F.min("doc_id").alias("rep"))
-    reps = written(known.join(first, ["n", "low", "high"]).select("doc_id", "n", "rep"), "representatives")
-    ranges = spread(spark, signed.agg(F.coalesce(F.sum(F.length("signs") / 8), F.lit(0))).first()[0], SORTED)
-    # exact copies are settled: only their smallest documents are dealt
-    one = reps.filter("doc_id = rep").select("doc_id", "n").distinct()
-    dealt = signed.select("doc_id", "signs").join(one.select("doc_id"), "doc_id", "left_semi").mapInArrow(_deal(ranges), "range long, signs binary, docs binary, a binary, b binary, kind binary")
-    ties = written(dealt.groupBy("range").applyInArrow(_meet, "a long, b long, kind long").distinct(), "ties")
-    # a document stands in a family of its own class, and of the next; should two nodes' hashes be alike, their families are one
-    node = lambda doc: F.xxhash64("kind", doc)
-    families = connected_components(ties.select(node("a").alias("a"), node("b").alias("b"))).select("node", F.col("component").alias("family"))
-    nodes = ties.select(F.explode(F.array("a", "b")).alias("doc_id"), "kind").distinct()
-    members = nodes.withColumn("node", node("doc_id")).join(families, "node").join(one, "doc_id").select("doc_id", "family", "n").dropDuplicates(["doc_id", "family"])
-    sizes = members.groupBy("family").agg(F.sum("n").alias("_n")).select("family", (F.floor(F.col("_n") / HELD) + 1).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").select("doc_id", "family", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int").alias("block"), "n")
-    members = written(members, "members")
-    work = members.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
-    sets = docs.join(members.drop("n"), "doc_id").dropDuplicates(["doc_id", "family"]).mapInArrow(_sets(width), "doc_id long, family long, blocks int, block int, shingles binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sets.select("*", other.alias("_other")).select("doc_id", "family", "block", "shingles", F.least("block", "_other").alias("x"), F.greatest("block", "_other").alias("y"))
-    pairs = pairs.withColumn("bin", F.pmod(F.xxhash64("family", "x", "y"), F.lit(spread(spark, work, HELD))))
-    links = written(pairs.groupBy("bin").applyInArrow(_trees(percent, every_link), "a long, b long"), "links")
+    named = written(docs.mapInArrow(_name_sets(width), "doc_id long, n long, node long"), "named")
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = spread(spark, total, SORTED)
+    dealt = docs.select("doc_id", "text").mapInArrow(_deal(width, ranges), DEALT)
+    held = dealt.groupBy("range").applyInArrow(_hold_against(percent, ranges), SHARED)
+    survivors = written(held.groupBy("bin").applyInArrow(_survivors(percent, ranges), "node long, n long, shared long, ids binary"), "survivors")
+    links = _links(survivors, percent, every_link)
+    least = named.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     if every_link:
-        return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
-    whole = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("_component")).groupBy("doc_id").agg(F.min("_component").alias("_component"))
-    return narrow.select("doc_id", "n").join(whole, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+        ends = [least.select(F.col("node").alias(x), F.col("least").alias(f"_{x}")) for x in "ab"]
+        pairs = links.distinct().join(ends[0], "a").join(ends[1], "b")
+        return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    linked = connected_components(links)
+    reached = written(linked.join(least, "node").groupBy("component").agg(F.min("least").alias("component_id")), "reached")
+    whole = written(least.join(linked, "node", "left").join(reached, "component", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "components")
+    forget(survivors)
+    return named.join(whole, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_jaccard(spark, sf_dir):

@@ -17,5 +17,5 @@ def test_every_link(spark):
 def test_an_empty_side_has_no_links():
     sets = [np.arange(20, dtype=np.uint64) + np.uint64(k) for k in range(8)]
     for side in (0, 1):
-        assert jaccard.tree_links(sets, np.full(8, side)) == []
-    assert len(jaccard.tree_links(sets, percent=60, every=True)) == sum(100 * (20 - d) >= 60 * (20 + d) for i in range(8) for d in range(1, 8 - i))
+        assert jaccard.tree_links(sets, np.full(8, 20), np.full(8, side)) == []
+    assert len(jaccard.tree_links(sets, np.full(8, 20), percent=60, every=True)) == sum(100 * (20 - d) >= 60 * (20 + d) for i in range(8) for d in range(1, 8 - i))

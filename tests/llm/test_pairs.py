@@ -66,7 +66,8 @@ def test_near_duplicates(spark):
 
 
 def test_near_duplicates_of_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "HELD", 3000)  # families are cut into blocks
+    monkeypatch.setattr(jaccard, "HELD", 3000)  # families are cut into blocks, whose open sets meet all others
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
     rng = random.Random(8)
     base = [str(k) for k in range(200)]
     values = []
@@ -77,18 +78,35 @@ def test_near_duplicates_of_one_large_group(spark, monkeypatch):
         values.append(" ".join(words))
     got = by_id(jaccard.near_duplicates(documents(spark, values)))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(values, 4, 85)
-
-
-def test_signatures_meet():
+    links = {(r.a, r.b) for r in jaccard.near_duplicates(documents(spark, values), every_link=True).collect()}
+    sets = [{tuple(v.split()[k : k + 4]) for k in range(197)} for v in values]
+    assert links == {(i, j) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    values = near_copies(5) + texts(n=5)
+    ids = [None if i % 7 == 2 else i % 40 for i in range(len(values))]
+    rows = list(zip(ids, values)) * 2
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    brute = brute_components(values, 4, 85)
+    least = {}
+    for i, (n, root) in brute.items():
+        if n and ids[i] is not None:
+            least[root] = min(least.get(root, ids[i]), ids[i])
+    want = [(ids[i], n, least.get(root) if n else ids[i]) for i, (n, root) in brute.items()] * 2
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in got), key=order) == sorted(want, key=order)
+
+
+def test_trees_find_every_link():
     rng = np.random.default_rng(1)
-    for n in (1, 5, 12, 13, 40, 200, 1500):
-        for _ in range(20):
-            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            drop = n * 8 // 100
-            b = np.unique(np.concatenate((a[drop:], rng.integers(0, 1 << 63, drop // 2).astype(np.uint64))))
-            both = len(np.intersect1d(a, b))
-            if 100 * both >= 85 * (len(a) + len(b) - both):
-                assert np.intersect1d(jaccard.sign(a), jaccard.sign(b)).size
+    base = np.arange(300, dtype=np.uint64)
+    sets = [np.setdiff1d(base, rng.choice(300, d)) for d in rng.integers(0, 60, 80)] + [np.array([9], np.uint64)]
+    sizes = np.array([len(s) for s in sets])
+    linked = {(i, j) for j in range(81) for i in range(j) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (sizes[i] + sizes[j] - both)}
+    assert set(jaccard.tree_links(sets, sizes, every=True)) == linked
+    sides = np.arange(81) % 2
+    assert set(jaccard.tree_links(sets, sizes, sides, every=True)) == {(i, j) for i, j in linked if sides[i] != sides[j]}
 
 
 def vectors(spark, rows: list):
