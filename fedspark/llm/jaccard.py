@@ -21,7 +21,7 @@ from .components import connected_components, spanning_stars
 
 WORDS, PERCENT = 4, 85
 #: Shingles that one task sorts at once, and those of the documents that one task's trees hold.
-SORTED, HELD = 2_000_000, 1_500_000
+SORTED, HELD = 3_000_000, 500_000
 #: Documents of a family beyond HELD that are compared with all others of it first.
 PIVOTS = 16
 BITS, LEAF, FANOUT = 2048, 16, 8
@@ -69,6 +69,18 @@ def _name_sets(width: int):
     return run
 
 
+def _slim(x: np.ndarray) -> bytes:
+    """The numbers in as few bytes each as the largest needs."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _unslim(group: pa.Table, name: str) -> np.ndarray:
+    """The numbers of all rows, each row's as many as its nodes."""
+    rows = zip(group.column(name).to_pylist(), group.column("nodes").to_pylist())
+    return np.concatenate([np.frombuffer(x, f"u{8 * len(x) // len(nodes)}").astype(np.int64) for x, nodes in rows])
+
+
 DEALT = "range long, nodes binary, sizes binary, runs binary, low binary, high binary"
 
 
@@ -92,13 +104,13 @@ def _deal(width: int, ranges: int):
         order = np.argsort(to.astype(np.uint16) if ranges < 65536 else to, kind="stable")
         flat, own, to = flat[order], own[order], to[order]
         starts, runs = _runs(to * len(sets) + own)
-        node, size = np.array(nodes, np.int64)[own[starts]], lengths[own[starts]].astype(np.uint32)
+        node, size = np.array(nodes, np.int64)[own[starts]], lengths[own[starts]]
         low, high = flat.astype(np.uint32), (flat >> U64(32)).astype(np.uint8)
         first, many = _runs(to[starts])
         rows = []
         for a, n in zip(first.tolist(), many.tolist()):
             x, y = starts[a], starts[a + n] if a + n < len(starts) else len(flat)
-            rows.append((int(to[x]), node[a : a + n].tobytes(), size[a : a + n].tobytes(), runs[a : a + n].astype(np.uint32).tobytes(), low[x:y].tobytes(), high[x:y].tobytes()))
+            rows.append((int(to[x]), node[a : a + n].tobytes(), _slim(size[a : a + n]), _slim(runs[a : a + n]), low[x:y].tobytes(), high[x:y].tobytes()))
         k, *blobs = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=[x.split()[0] for x in DEALT.split(", ")])
 
@@ -136,8 +148,8 @@ def _hold_against(percent: int, bins: int):
         at = group.column("range")[0].as_py()
         low = _blobs(group, "low", np.uint32)
         both = (_blobs(group, "high", np.uint8).astype(U64) << U64(32)) | low
-        runs = _blobs(group, "runs", np.uint32)
-        node, size = (np.repeat(_blobs(group, name, kind), runs) for name, kind in (("nodes", np.int64), ("sizes", np.uint32)))
+        runs = _unslim(group, "runs")
+        node, size = np.repeat(_blobs(group, "nodes", np.int64), runs), np.repeat(_unslim(group, "sizes").astype(np.int32), runs)
         order = np.argsort(both)
         both = both[order]
         twice = both[1:] == both[:-1]
@@ -154,14 +166,14 @@ def _hold_against(percent: int, bins: int):
         number, node, size, common = number[shared], node[shared], size[shared], common[shared]
         to = (node.astype(U64) % U64(bins)).astype(np.int64)
         order = np.lexsort((number, node, to))
-        number, node, size, common, to = number[order].astype(np.uint32), node[order], size[order].astype(np.uint32), common[order], to[order]
+        number, node, size, common, to = number[order].astype(np.uint32), node[order], size[order], common[order], to[order]
         starts, runs = _runs(node)
         first, many = _runs(to[starts])
         rows = []
         for a, n in zip(first.tolist(), many.tolist()):
             x, y = starts[a], starts[a + n] if a + n < len(starts) else len(node)
             own = starts[a : a + n]
-            rows.append((int(to[x]), at, node[own].tobytes(), size[own].tobytes(), runs[a : a + n].astype(np.uint32).tobytes(), number[x:y].tobytes(), common[x:y].tobytes()))
+            rows.append((int(to[x]), at, node[own].tobytes(), _slim(size[own]), _slim(runs[a : a + n]), number[x:y].tobytes(), common[x:y].tobytes()))
         columns = list(zip(*rows)) if rows else [()] * len(names)
         return pa.table({name: pa.array(c, pa.int64() if name in ("bin", "range") else pa.binary()) for name, c in zip(names, columns)})
 
@@ -181,8 +193,8 @@ def _survivors(percent: int, ranges: int):
 
     def run(group: pa.Table) -> pa.Table:
         per_row = [len(x) // 4 for x in group.column("ids").to_pylist()]
-        runs = _blobs(group, "runs", np.uint32)
-        node, size = np.repeat(_blobs(group, "nodes", np.int64), runs), np.repeat(_blobs(group, "sizes", np.uint32), runs).astype(np.int64)
+        runs = _unslim(group, "runs")
+        node, size = np.repeat(_blobs(group, "nodes", np.int64), runs), np.repeat(_unslim(group, "sizes"), runs)
         ids = _blobs(group, "ids", np.uint32).astype(U64) * U64(ranges) + np.repeat(group.column("range").to_numpy().astype(U64), per_row)
         order = np.lexsort((ids, _blobs(group, "common", np.uint8), node))
         node, size, ids = node[order], size[order], ids[order]
