@@ -11,48 +11,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import forget, table, written
 
 #: The tree is fitted on so many vectors at most, those of the smallest hashes; all vectors are indexed.
-SAMPLE = 20_000
-BRANCHES, LEAF_SAMPLE = 8, 400
+SAMPLE = 100_000
+#: Leaves hold about LEAF_ROWS of all vectors, so their number grows with the table, as far as LEAF_SAMPLE vectors of the
+#: sample fall to each.
+BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 100, 16
 #: Queries on which the number of leaf visits is calibrated against brute force over all vectors.
 CALIBRATION, RECALL = 128, 0.95
-#: Vectors of a leaf, and queries that visit it, which meet in one task.
-BLOCK, QUERY_BLOCK = 8192, 8192
+#: A cell is a subtree of about CELL vectors, which a query is sent to once, with the leaves it visits there. Vectors of a
+#: cell, and queries that visit it, which meet in one task.
+CELL, BLOCK, QUERY_BLOCK = 4096, 8192, 8192
 QUERIES_AT_ONCE = 256
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 class KMeansTree:
-    """Inner nodes hold their children's centres; leaves are numbered. The radius bounds how far a sample lies from its centre."""
+    """Inner nodes hold their children's centres; leaves are numbered, and each belongs to a cell: the largest subtree around
+    it with at most `cell` vectors of the sample."""
 
-    def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, seed: int = 1):
+    def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, cell: int = CELL, seed: int = 1):
         self.centres: list[np.ndarray] = []
         self.children: list[list[int]] = []  # a leaf is ~number
-        self.leaves = 0
-        self._grow(sample, branches, leaf, np.random.default_rng(seed))
-
-    def _grow(self, points: np.ndarray, branches: int, leaf: int, rng) -> int:
+        self.cell_of: list[int] = []
+        self.cells = 0
+        self._grow(sample, branches, leaf, cell, None, np.random.default_rng(seed))
+        self.leaves = len(self.cell_of)
+
+    def _grow(self, points: np.ndarray, branches: int, leaf: int, cell: int, own_cell: int | None, rng) -> int:
+        if own_cell is None and len(points) <= cell:
+            own_cell, self.cells = self.cells, self.cells + 1
         if len(points) <= leaf or len(distinct := np.unique(points, axis=0)) <= branches:
-            self.leaves += 1
-            return ~(self.leaves - 1)
+            return self._leaf(own_cell)
         centres = distinct[rng.choice(len(distinct), branches, replace=False)]
         for _ in range(8):
             own = nearest_centre(points, centres)
             centres = np.stack([points[own == k].mean(0) if (own == k).any() else points[rng.integers(len(points))] for k in range(branches)])
         own = nearest_centre(points, centres)
+        if (np.bincount(own, minlength=branches) == len(points)).any():
+            return self._leaf(own_cell)
         node = len(self.centres)
         self.centres.append(centres)
         self.children.append([])
-        if (np.bincount(own, minlength=branches) == len(points)).any():
-            self.leaves += 1
-            self.centres.pop(), self.children.pop()
-            return ~(self.leaves - 1)
-        self.children[node] = [self._grow(points[own == k], branches, leaf, rng) for k in range(branches)]
+        self.children[node] = [self._grow(points[own == k], branches, leaf, cell, own_cell, rng) for k in range(branches)]
         return node
 
+    def _leaf(self, cell: int | None) -> int:
+        if cell is None:
+            cell, self.cells = self.cells, self.cells + 1
+        self.cell_of.append(cell)
+        return ~(len(self.cell_of) - 1)
+
     def leaf_of(self, points: np.ndarray) -> np.ndarray:
         out = np.zeros(len(points), np.int64)
         stack = [(0, np.arange(len(points)))] if self.centres else []
@@ -89,8 +100,9 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (points @ centres.T - (centres**2).sum(1) / 2).argmax(1)
 
 
-def exact_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, inner product) of each query's k best, ties to smaller ids, the query's own id left out.
+def exact_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, inner product) of each query's k best, ties to smaller ids, the query's own id left out; names
+    are given instead of ids, if there are any.
 
     Products are summed alike for equal vectors, so that copies tie; a blocked product only picks what to compute so.
     """
@@ -109,7 +121,7 @@ def exact_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, i
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
-        out.append((r[rank < k] + at, ids[c][rank < k], score[rank < k]))
+        out.append((r[rank < k] + at, (ids if names is None else names)[c][rank < k], score[rank < k]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
@@ -122,37 +134,70 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def _index(tree: KMeansTree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell_of = np.array(tree.cell_of)
         for batch in batches:
             if len(batch):
-                yield batch.append_column("leaf", pa.array(tree.leaf_of(_matrix(batch.column("vector")))))
+                leaf = tree.leaf_of(_matrix(batch.column("vector")))
+                yield batch.append_column("leaf", pa.array(leaf)).append_column("cell", pa.array(cell_of[leaf]))
 
     return run
 
 
 def _visit(tree: KMeansTree, most: int):
+    """A row for each cell in which a query visits leaves, with those leaves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell_of = np.array(tree.cell_of)
         for batch in batches:
             if len(batch):
-                found = [tree.visits(q, most) for q in _matrix(batch.column("vector"))]
-                yield batch.append_column("visits", pa.array(found, pa.list_(pa.int64())))
+                row, cells, leaves = [], [], []
+                for k, q in enumerate(_matrix(batch.column("vector"))):
+                    found = np.array(tree.visits(q, most))
+                    for cell in np.unique(cell_of[found]).tolist():
+                        row.append(k)
+                        cells.append(cell)
+                        leaves.append(found[cell_of[found] == cell])
+                rows = batch.take(pa.array(row))
+                yield rows.append_column("cell", pa.array(cells, pa.int64())).append_column("leaves", pa.array(leaves, pa.list_(pa.int64())))
 
     return run
 
 
 def _search(k: int):
+    """A block of a cell's vectors, leaf by leaf, against the queries that visit each; a query's k best of them all."""
+
     def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        empty = pa.table({name: pa.array([], pa.float64() if name == "score" else pa.int64()) for name in ("query", "query_id", "vec_id", "score")})
         if not len(queries) or not len(vectors):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = queries.column("query_id").to_numpy()
-        row, vec, score = exact_top(_matrix(queries.column("vector")), ids, _matrix(vectors.column("vector")), vectors.column("vec_id").to_numpy(), k)
-        return pa.table({"query_id": ids[row], "vec_id": vec, "score": score})
+            return empty
+        ids, given = queries.column("query_id").to_numpy(), _matrix(queries.column("vector"))
+        asked = queries.column("leaves").combine_chunks()
+        asked = asked if isinstance(asked, pa.Array) else asked.chunk(0)
+        asker, wanted = np.repeat(np.arange(len(ids)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
+        leaf, vec, data = vectors.column("leaf").to_numpy(), vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vector"))
+        order, by_leaf = np.argsort(leaf, kind="stable"), np.argsort(wanted, kind="stable")
+        leaf, vec, data = leaf[order], vec[order], data[order]
+        found = []
+        for at in np.intersect1d(leaf, wanted).tolist():
+            a, b = np.searchsorted(leaf, [at, at + 1])
+            x, y = np.searchsorted(wanted[by_leaf], [at, at + 1])
+            who = asker[by_leaf[x:y]]
+            row, near, score = exact_top(given[who], ids[who], data[a:b], vec[a:b], k)
+            found.append((who[row], near, score))
+        if not found:
+            return empty
+        row, near, score = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((near, -score, row))
+        row, near, score = row[order], near[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pa.table({"query": queries.column("query").to_numpy()[row[best]], "query_id": ids[row[best]], "vec_id": near[best], "score": score[best]})
 
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -166,51 +211,60 @@ def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """The k vectors of largest inner product for each row of vectors (vec_id, embedding) where is_query holds.
 
-    A k-means tree is fitted on at most `sample` vectors; every vector is put into its leaf. A leaf's vectors are cut
-    into blocks of about BLOCK rows and the queries into blocks of about QUERY_BLOCK, so that a leaf of many copies, or one
-    that many queries visit, is shared among tasks. A query visits leaves best bin first. On CALIBRATION queries, compared
+    A k-means tree is fitted on at most `sample` vectors, with leaves of about LEAF_ROWS of all vectors; every vector is put
+    into its leaf. A query visits leaves best bin first, and is sent once to each cell, a subtree, in which it visits any. A
+    cell's vectors are cut into blocks of about BLOCK rows and the queries that visit it into parts of about
+    QUERY_BLOCK, so that a cell of many copies, or one that many queries visit, is shared among tasks. On CALIBRATION queries, compared
     with brute force over all rows, the visits are widened until `recall` of the true neighbours lie in visited leaves;
     all queries then visit as many. Scores are exact, on the given vectors. Returns query_id, rank, vec_id and score,
     ties to the smaller vec_id. Null, empty and zero vectors and those with null or non-finite components take no
-    part, nor do those of another length than most; a row never finds its own vec_id; rows with one vec_id count once;
-    fewer candidates than k are all given; an empty table gives an empty one; other columns aren't read.
+    part, nor do those of another length than most; a row never finds its own vec_id; rows equal in vec_id and vector count
+    once, and those of one vec_id with other vectors are candidates, and queries, each; fewer candidates than k are all
+    given; an empty table gives an empty one; other columns aren't read.
     """
     spark = vectors.sparkSession
     rows = clean_vectors(vectors, column).withColumn("_length", F.size("vector"))
     lengths = rows.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_length").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if lengths is None:
-        return empty
-    rows = written(rows.filter(F.col("_length") == lengths["_length"]).drop("_length").dropDuplicates(["vec_id"]), "vectors")
-    fit = rows.orderBy(F.xxhash64(F.lit(7), "vec_id"), "vec_id").limit(sample).select("vector").toArrow()
-    tree = KMeansTree(_matrix(fit.column("vector")))
-    indexed = written(rows.mapInArrow(_index(tree), "vec_id long, vector array<double>, leaf long"), "indexed")
-    leaves = indexed.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))  # a row for each leaf, bounded by the sample
-    queries = written(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector"), "queries")
-    parts = queries.count() // QUERY_BLOCK + 1
-    blocks = indexed.join(F.broadcast(leaves), "leaf").select("vec_id", "vector", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    keys = ["leaf", "block", "part"]
-
-    trial = written(queries.orderBy(F.xxhash64(F.lit(11), "query_id")).limit(CALIBRATION), "trial")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.filter(F.col("_length") == lengths["_length"]).drop("_length").withColumn("row", F.xxhash64("vec_id", "vector"))
+    rows = written(rows.dropDuplicates(["row"]), "vectors")
+    n = rows.count()
+    fit = rows.orderBy(F.xxhash64(F.lit(7), "row"), "row").limit(sample).select("vector").toArrow()
+    share = len(fit) / n
+    tree = KMeansTree(_matrix(fit.column("vector")), leaf=max(LEAF_SAMPLE, round(LEAF_ROWS * share)), cell=max(LEAF_SAMPLE, round(CELL * share)))
+    indexed = written(rows.mapInArrow(_index(tree), "vec_id long, vector array<double>, row long, leaf long, cell long"), "indexed")
+    forget(rows)
+    queries = written(indexed.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vector"), "queries")
+
     # brute force for the trial queries: every block of vectors meets all of them, which are few
-    given = trial.toArrow()
-    trial_ids, trial_vectors = given.column("query_id").to_numpy(), _matrix(given.column("vector"))
+    given = queries.orderBy(F.xxhash64(F.lit(11), "query"), "query").limit(CALIBRATION).toArrow()
+    trial, trial_ids, trial_vectors = given.column("query").to_numpy(), given.column("query_id").to_numpy(), _matrix(given.column("vector"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch) and len(trial_ids):
-                row, vec, score = exact_top(trial_vectors, trial_ids, _matrix(batch.column("vector")), batch.column("vec_id").to_numpy(), k)
-                yield pa.RecordBatch.from_arrays([pa.array(trial_ids[row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+                leaves = batch.column("leaf").to_numpy()
+                row, at, score = exact_top(trial_vectors, trial_ids, _matrix(batch.column("vector")), batch.column("vec_id").to_numpy(), k, np.arange(len(batch)))
+                yield pa.RecordBatch.from_arrays([pa.array(trial[row]), pa.array(leaves[at]), pa.array(batch.column("vec_id").to_numpy()[at]), pa.array(score)], names=["query", "query_id", "vec_id", "score"])
 
-    truth = _best(rows.mapInArrow(scan, FOUND), k).select("query_id", "vec_id")
-    lies = truth.join(indexed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # CALIBRATION * k rows at most
-    place = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves))} for q, v in zip(trial_ids.tolist(), trial_vectors)}
-    needed = sorted(place[r["query_id"]][r["leaf"]] + 1 for r in lies)
+    lies = _best(indexed.mapInArrow(scan, FOUND), k).select("query", F.col("query_id").alias("leaf")).collect()  # CALIBRATION * k rows at most
+    place = {q: {leaf: i for i, leaf in enumerate(tree.visits(v, tree.leaves))} for q, v in zip(trial.tolist(), trial_vectors)}
+    needed = sorted(place[r["query"]][r["leaf"]] + 1 for r in lies)
     most = needed[math.ceil(recall * len(needed)) - 1] if needed else tree.leaves
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
-    visits = queries.mapInArrow(_visit(tree, most), "query_id long, vector array<double>, visits array<long>").select("query_id", "vector", part, F.explode("visits").alias("leaf"))
-    to = visits.join(F.broadcast(leaves), "leaf").select("query_id", "vector", "leaf", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return _best(to.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(_search(k), FOUND), k)
+
+    visits = queries.mapInArrow(_visit(tree, most), "query long, query_id long, vector array<double>, cell long, leaves array<long>")
+    # a row for each cell, whose number the sample bounds
+    blocks = indexed.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
+    parts = visits.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / QUERY_BLOCK) + 1).cast("int").alias("parts"))
+    cells = F.broadcast(blocks.join(parts, "cell"))
+    of = lambda name, by: F.pmod(F.xxhash64(name), F.col(by).cast("long")).cast("int")
+    each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    asked = visits.join(cells, "cell").select("query", "query_id", "vector", "leaves", "cell", of("query", "parts").alias("part"), each("blocks").alias("block"))
+    held = indexed.join(cells, "cell").select("vec_id", "vector", "leaf", "cell", of("row", "blocks").alias("block"), each("parts").alias("part"))
+    keys = ["cell", "block", "part"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_search(k), FOUND)
+    return _best(found, k).drop("query")
 
 
 def op3_neighbours(spark, sf_dir):

@@ -116,7 +116,8 @@ def vectors(spark, rows: list):
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(ann, "LEAF_SAMPLE", 40)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 30)
+    monkeypatch.setattr(ann, "CELL", 150)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((12, 16))
     m = (centres[rng.integers(0, 12, 700)] + 0.3 * rng.standard_normal((700, 16))).astype(np.float32)
@@ -140,3 +141,25 @@ def test_neighbours(spark, monkeypatch):
     few = ann.nearest(vectors(spark, rows[:3]), F.col("vec_id") == 0, 10).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert ann.nearest(vectors(spark, []), F.col("vec_id") == 0, 10).count() == 0
+
+
+def test_neighbours_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 1000)  # one leaf: all candidates are found
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((50, 8)).astype(np.float32)
+    rows = [(i % 45, m[i].tolist(), 0, "") for i in range(50)]
+    got = ann.nearest(vectors(spark, rows + rows[:20]), F.col("vec_id") % 20 == 0, 5).collect()
+    queries = [i for i in range(50) if i % 45 % 20 == 0]
+    want = []
+    for q in queries:
+        score = m.astype(float) @ m[q].astype(float)
+        order = [i for i in np.lexsort((np.arange(50) % 45, -score)) if i % 45 != q % 45][:5]
+        want += [(q % 45, r + 1, i % 45, round(float(score[i]), 9)) for r, i in enumerate(order)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_leaves_grow_with_the_table():
+    rng = np.random.default_rng(2)
+    small, large = (ann.KMeansTree(rng.standard_normal((n, 8)), leaf=100, cell=1000) for n in (2000, 16000))
+    assert 5 * small.leaves < large.leaves and small.cells < large.cells <= large.leaves
+    assert set(large.cell_of) == set(range(large.cells))
