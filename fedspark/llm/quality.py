@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +11,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mix64, split_words, text_slices, with_columns
+from .common import mix64, split_words, table, text_slices, with_columns
 
-#: (UTF-8 bytes of a text or chunk from which the band holds, smallest and largest ratio of bytes to compressed bytes).
-#: Short texts have too little to repeat, so their bands are wide.
+#: (UTF-8 bytes from which the band holds, smallest and largest ratio of bytes to compressed bytes). These outer bands hold
+#: everywhere; the table's own ratios narrow them.
 BANDS = ((0, 0.0, 1e9), (200, 1.0, 4.0), (1000, 1.35, 4.5), (4000, 1.45, 5.0), (16000, 1.5, 6.0))
+#: A length class holds texts of like length: two classes for each doubling. Its band reaches SPREADS robust deviations to
+#: either side of the median ratio of the texts that pass the base rules, NARROWEST of the median at least; a class of
+#: fewer than LEAST_TEXTS has the outer band only.
+SPREADS, NARROWEST, LEAST_TEXTS = 5.5, 0.06, 200
+#: Ratios are counted in hundredths, up to MOST_RATIO.
+MOST_RATIO = 20
 CHUNK_BYTES = 4096
+#: A rest of a text shorter than this belongs to the chunk before it.
+SHORT = 200
 #: Share of a text's chunks that may lie outside the band.
 BAD_CHUNKS = 0.3
 LEVEL = 3
@@ -26,28 +37,43 @@ SCHEMA = (
 )
 
 
-def band(n_bytes: int, bands: tuple = BANDS) -> tuple[float, float]:
-    return next((low, high) for least, low, high in reversed(bands) if n_bytes >= least)
+def outer_band(n_bytes: int) -> tuple[float, float]:
+    return next((low, high) for least, low, high in reversed(BANDS) if n_bytes >= least)
 
 
-def compression(text: bytes, press: zstandard.ZstdCompressor, bands: tuple = BANDS, chunk_bytes: int = CHUNK_BYTES) -> tuple[float, int, int]:
-    """The ratio of the whole text, its number of chunks, and how many of those lie outside the band for their length.
+def length_class(n_bytes: int) -> int:
+    return int(2 * math.log2(max(n_bytes, 1)))
 
-    The last chunk is the rest of the text; a rest too short for a band belongs to the chunk before it. A text shorter than
-    a chunk has none.
-    """
-    ratio = len(text) / len(press.compress(text)) if text else 0.0
-    n, bad = 0, 0
-    short = min((least for least, *_ in bands if least), default=0)
+
+def band(n_bytes: int, fitted: dict[int, tuple[float, float]]) -> tuple[float, float]:
+    """The smallest and largest ratio that a text or chunk of so many bytes may have."""
+    low, high = outer_band(n_bytes)
+    own = fitted.get(length_class(n_bytes), (low, high))
+    return max(low, own[0]), min(high, own[1])
+
+
+def bands_of(counts: dict[tuple[int, int], int]) -> dict[int, tuple[float, float]]:
+    """Bands by length class from counts of (length class, ratio in hundredths): medians and quartiles of what was counted."""
+    by_class: dict[int, list] = {}
+    for (kind, at), n in sorted(counts.items()):
+        by_class.setdefault(kind, []).append((at, n))
+    out = {}
+    for kind, rows in by_class.items():
+        at, n = np.array(rows).T
+        if n.sum() < LEAST_TEXTS:
+            continue
+        first, median, third = (at[np.searchsorted(np.cumsum(n), q * n.sum())] / 100 + 0.005 for q in (0.25, 0.5, 0.75))
+        reach = max(SPREADS * (third - first) / 1.349, NARROWEST * median)
+        out[kind] = (median - reach, median + reach)
+    return out
+
+
+def chunks_of(text: bytes, chunk_bytes: int = CHUNK_BYTES) -> list[bytes]:
+    """A text's chunks, the partial one at its end included; a text shorter than a chunk has none."""
     cuts = [*range(0, len(text), chunk_bytes), len(text)] if len(text) >= chunk_bytes else []
-    if cuts and cuts[-1] - cuts[-2] < short and len(cuts) > 2:
+    if len(cuts) > 2 and cuts[-1] - cuts[-2] < SHORT:
         del cuts[-2]
-    for begin, end in zip(cuts, cuts[1:]):
-        chunk = text[begin:end]
-        low, high = band(len(chunk), bands)
-        n += 1
-        bad += not low <= len(chunk) / len(press.compress(chunk)) <= high
-    return ratio, n, bad
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def repeated_window_words(codes: np.ndarray, counts: np.ndarray, width: int = 5) -> np.ndarray:
@@ -66,7 +92,11 @@ def repeated_window_words(codes: np.ndarray, counts: np.ndarray, width: int = 5)
     same = key[order][1:] == key[order][:-1]
     a, b = inside[order][:-1][same], inside[order][1:][same]
     if not all(np.array_equal(codes[a + j], codes[b + j]) for j in range(width)) or not np.array_equal(doc[a], doc[b]):
-        raise ValueError("two different windows have one 64-bit hash")
+        # two different windows have one hash: number the windows by themselves
+        key = np.unique(np.stack((doc[inside], *(codes[inside + j] for j in range(width))), 1), axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        a, b = inside[order][:-1][same], inside[order][1:][same]
     hit = np.zeros(n, bool)
     for j in range(width):
         hit[a + j] = True
@@ -94,48 +124,97 @@ def duplicate_lines(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _measure(bands: tuple, chunk_bytes: int, bad_chunks: float, level: int):
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """All words, and each text's number of words, number of those in repeated windows, and whether the base rules fail it."""
+    words, counts = split_words(texts)
+    codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(words) else np.empty(0, np.int64)
+    repeats = repeated_window_words(codes, counts)
+    return words, counts, repeats, (counts < 10) | (100 * repeats > 20 * counts)
+
+
+def _count_ratios(level: int):
+    """Counts of (length class, ratio in hundredths) over texts that pass the base rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, counts = zstandard.ZstdCompressor(level=level), Counter()
+        for batch in batches:
+            for part in text_slices(batch):
+                texts = part.column("text")
+                for text, failed in zip(texts.cast(pa.binary()).to_pylist(), _words(texts)[3].tolist()):
+                    if not failed:
+                        counts[length_class(len(text)), int(min(100 * len(text) / len(press.compress(text)), 100 * MOST_RATIO))] += 1
+        if counts:
+            kind, at = zip(*counts)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(at), pa.array(list(counts.values()))], names=["kind", "at", "n"])
+
+    return run
+
+
+def fit_bands(docs: DataFrame, level: int = LEVEL) -> dict[int, tuple[float, float]]:
+    """The bands by length class from the ratios of all texts of docs (text) that pass the base rules."""
+    counts = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(_count_ratios(level), "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+    return bands_of({(r["kind"], r["at"]): r["n"] for r in counts.collect()})  # 64 classes of 2,001 ratios at most
+
+
+def _judge(texts: pa.Array, press: zstandard.ZstdCompressor, fitted: dict, chunk_bytes: int, bad_chunks: float) -> dict[str, np.ndarray]:
+    words, counts, repeats, failed = _words(texts)
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    chars = np.concatenate(([0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    outside = lambda data: not (lambda low, high: low <= len(data) / len(press.compress(data)) <= high)(*band(len(data), fitted))
+    ratio, n_chunks, bad = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    kept = ~failed
+    for k, text in enumerate(texts.cast(pa.binary()).to_pylist()):
+        if text:
+            ratio[k] = len(text) / len(press.compress(text))
+            chunks = chunks_of(text, chunk_bytes)
+            n_chunks[k], bad[k] = len(chunks), sum(map(outside, chunks))
+            low, high = band(len(text), fitted)
+            kept[k] &= low <= ratio[k] <= high and bad[k] <= bad_chunks * len(chunks)
+    return {"n_words": counts.astype(np.int64), "word_chars": chars[ends[1:]] - chars[ends[:-1]], "n_repeat_words": repeats, "ratio": ratio, "n_chunks": n_chunks, "n_bad_chunks": bad, "base_failed": failed, "kept": kept}
+
+
+def _measure(fitted: dict, chunk_bytes: int, bad_chunks: float, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=level)
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
             for part in text_slices(batch):
                 texts = part.column("text")
-                words, counts = split_words(texts)
-                ends = np.concatenate(([0], np.cumsum(counts)))
-                chars = np.concatenate(([0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)))
-                codes = words.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(words) else np.empty(0, np.int64)
-                repeats = repeated_window_words(codes, counts)
-                pressed = [compression(t, press, bands, chunk_bytes) for t in texts.cast(pa.binary()).to_pylist()]
-                ratio = np.array([x[0] for x in pressed])
-                chunks, bad = (np.array([x[i] for x in pressed], np.int64) for i in (1, 2))
-                sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-                low, high = np.array([band(int(n), bands) for n in sizes]).T
-                failed = (counts < 10) | (100 * repeats > 20 * counts)
-                kept = ~failed & (ratio >= low) & (ratio <= high) & (bad <= bad_chunks * chunks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(chars[ends[1:]] - chars[ends[:-1]]),
-                        pc.count_substring_regex(texts, "[#*$%&|<>]").cast(pa.int64()), pa.array(duplicate_lines(texts)), pa.array(repeats),
-                        pa.array(ratio), pa.array(chunks), pa.array(bad), pa.array(failed), pa.array(kept),
-                    ],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
-                )
+                found = {name: pa.array(x) for name, x in _judge(texts, press, fitted, chunk_bytes, bad_chunks).items()}
+                found |= {"doc_id": part.column("doc_id"), "n_symbols": pc.count_substring_regex(texts, "[#*$%&|<>]").cast(pa.int64()), "n_dup_lines": pa.array(duplicate_lines(texts))}
+                yield pa.RecordBatch.from_arrays([found[name] for name in names], names=names)
 
     return run
 
 
-def quality_rules(docs: DataFrame, bands: tuple = BANDS, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS, level: int = LEVEL) -> DataFrame:
-    """One row of counts and verdicts for each row of docs (doc_id, text), without a shuffle.
+def quality_rules(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS, level: int = LEVEL) -> DataFrame:
+    """One row of counts and verdicts for each row of docs (doc_id, text); only counts of ratios are shuffled.
 
     kept is false where base_failed is true (under 10 words, or over 20 % of words in repeated 5-word windows), where
     the zstandard ratio of the whole text leaves the band for its length, and where more than bad_chunks of its
-    chunks, the last partial one included, leave the bands for theirs. A null text counts as an empty one, which fails with its 0 words; repeated rows get equal rows; a null
-    doc_id stays null; other columns of docs are not read; an empty table gives an empty one.
+    chunks, the last partial one included, leave the bands for theirs. The bands come from the ratios of all texts of
+    the table that pass the base rules, by length class, within fixed outer bands. A null text counts as an empty one,
+    which fails with its 0 words; repeated rows get equal rows; a null doc_id stays null; other columns of docs are not
+    read; an empty table gives an empty one.
     """
-    return with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_measure(bands, chunk_bytes, bad_chunks, level), SCHEMA)
+    docs = with_columns(docs, {"doc_id": "long", "text": "string"})
+    return docs.mapInArrow(_measure(fit_bands(docs, level), chunk_bytes, bad_chunks, level), SCHEMA)
 
 
-def op8_quality(spark, sf_dir):
-    from .common import table
+def keep_good(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bad_chunks: float = BAD_CHUNKS, level: int = LEVEL) -> DataFrame:
+    """The rows of docs (text and any other columns, as they are) that quality_rules would keep, each by its own text."""
+    fitted = fit_bands(docs, level)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=level)
+        for batch in batches:
+            for part in text_slices(batch):  # a null text has no words and goes
+                kept = _judge(part.column("text"), press, fitted, chunk_bytes, bad_chunks)["kept"]
+                if kept.any():
+                    yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def op8_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))

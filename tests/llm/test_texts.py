@@ -52,6 +52,70 @@ def test_quality_measures_every_chunk(spark):
     assert [got[i].kept for i in range(4)] == [False, False, True, True]
 
 
+def plain_kept(values: list) -> list:
+    """kept by a plain reading of the rules, bands fitted to the table included."""
+    import math
+
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=quality.LEVEL)
+    ratio = lambda data: len(data) / len(press.compress(data))
+    passed, by_class = [], {}
+    for text in values:
+        words = WORD.findall(text or "")
+        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        hit = {j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(k, k + 5)}
+        passed.append(len(words) >= 10 and 100 * len(hit) <= 20 * len(words))
+        if passed[-1]:
+            data = text.encode()
+            by_class.setdefault(int(2 * math.log2(len(data))), []).append(min(int(100 * ratio(data)), 2000))
+    fitted = {}
+    for kind, found in by_class.items():
+        if len(found) >= quality.LEAST_TEXTS:
+            first, median, third = (sorted(found)[math.ceil(q * len(found)) - 1] / 100 + 0.005 for q in (0.25, 0.5, 0.75))
+            reach = max(quality.SPREADS * (third - first) / 1.349, quality.NARROWEST * median)
+            fitted[kind] = (median - reach, median + reach)
+    def inside(data):
+        low, high = next((low, high) for least, low, high in reversed(quality.BANDS) if len(data) >= least)
+        own = fitted.get(int(2 * math.log2(len(data))), (low, high))
+        return max(low, own[0]) <= ratio(data) <= min(high, own[1])
+    out = []
+    for text, ok in zip(values, passed):
+        data = (text or "").encode()
+        chunks = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) >= 4096 else []
+        if len(chunks) > 2 and len(chunks[-1]) < quality.SHORT:
+            chunks[-2:] = [chunks[-2] + chunks[-1]]
+        out.append(ok and inside(data) and sum(not inside(c) for c in chunks) <= 0.3 * len(chunks))
+    return out
+
+
+def test_quality_bands_follow_the_table(spark):
+    import random
+
+    rng = random.Random(4)
+    syllables = ["th", "an", "er", "on", "in", "the", "ou", "ti", "ed", "re", "st", "ly"]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+    marked = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) + rng.choice(["###", "$$$"]) + " |" for _ in range(n))
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    values = [prose(rng.randint(200, 220)) for _ in range(400)] + [marked(115), " ".join(noise(9) for _ in range(100)), prose(900) + " " + noise(3000), None, "", prose(5000)]
+    got = by_id(quality.quality_rules(documents(spark, values)))
+    kept = [got[i].kept for i in range(len(values))]
+    assert kept == plain_kept(values)
+    assert all(kept[:400]) and kept[400:] == [False, False, False, False, False, True]
+    assert not any(got[i].base_failed for i in (400, 401, 402))  # the bands alone reject these
+    whole = documents(spark, values)
+    assert sorted(r.doc_id for r in quality.keep_good(whole).collect()) == [i for i, k in enumerate(kept) if k]
+    assert quality.keep_good(whole).schema == whole.schema
+
+
+def test_repeated_windows_of_one_hash(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality, "mix64", lambda x: x & np.uint64(3))
+    codes = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 5, 7, 7, 7, 7, 7, 7])
+    assert quality.repeated_window_words(codes, np.array([11, 6])).tolist() == [10, 6]
+
+
 BASE_PII = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
