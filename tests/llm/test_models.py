@@ -40,7 +40,7 @@ def test_chat(spark):
 def test_scores(spark):
     values = texts()
     path = public_tokenizers.path("piece_bpe_32k.model")
-    got = {r.doc_id: r for r in lm.score_texts(documents(spark, values), path, train_windows=2000).collect()}
+    got = {r.doc_id: r for r in lm.score_texts(documents(spark, values), path).collect()}
     assert sorted(got) == list(range(len(values)))
     tokens = [[*WORD.findall(lower(t or "")), None] for t in values]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(values))]
@@ -57,32 +57,86 @@ def test_scores(spark):
     assert lm.score_texts(empty(spark), path).count() == 0
 
 
-def test_every_training_window_trains(spark, monkeypatch):
-    values = texts()
+def test_a_fixed_share_of_windows_trains(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ID_SLICE", 2000)
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 10)
     path = public_tokenizers.path("piece_bpe_32k.model")
     seen = []
     fit = lm.fit_all
-    monkeypatch.setattr(lm, "fit_all", lambda stats, *more: seen.append((stats.select("held", "id_ends").collect(), fit(stats, *more))))
-    lm.score_texts(documents(spark, values), path, train_windows=10).count()
+    monkeypatch.setattr(lm, "fit_all", lambda texts, *more: seen.append((texts.select("held", "ids", "id_ends").collect(), fit(texts, *more))))
+    lm.score_texts(documents(spark, texts()), path).count()
     (rows, n), want = seen[0], 0
     for r in rows:
         owner, _ = lm.runs_of(np.frombuffer(r["id_ends"], np.int64))
-        want += int((np.frombuffer(r["held"], np.uint8)[owner] == 0).sum())
+        held = np.frombuffer(r["held"], np.uint8).astype(bool)
+        some = lm.training_windows(owner, held, zlib.crc32(r["ids"]), 8)
+        assert not held[owner[some]].any() and abs(len(some) - (~held[owner]).sum() / 8) < 1
+        want += len(some)
     assert n == want > 10
+    assert lm.schedule(10**9) == (lm.TRAIN_EVERY, 1) and lm.schedule(0)[0] == 1 < lm.schedule(0)[1] and lm.schedule(3 * lm.LEAST_WINDOWS) == (3, 1)
 
 
-def test_every_id_has_its_own_place():
+def test_every_seen_id_has_its_own_place():
     counts = np.random.default_rng(1).zipf(1.3, 32000).clip(0, 10**6) - 1
-    model = lm.AttentionModel.begin(counts, np.full((1, 3 * lm.STRIDE), 5))
-    assert len(set(zip(model.class_of[model.place_of].tolist(), model.member_of[model.place_of].tolist()))) == len(model.embedding) == 32000
-    assert not model.log_share.any()
+    model = lm.AttentionModel.begin(counts, np.arange(32000) % 7)
+    seen = np.flatnonzero(counts)
+    at = list(zip(model.class_of[model.place_of].tolist(), model.member_of[model.place_of].tolist()))
+    assert len({at[i] for i in seen}) == len(seen) == len(model.embedding) - 1
+    unseen = np.flatnonzero(counts == 0)
+    assert len({at[i] for i in unseen}) == 1 and not model.log_share[seen].any()
+    assert np.allclose(np.exp(model.log_share[unseen]).sum(), 1)
+
+
+def plain_score(model, ids: list) -> float:
+    """One token after another, each with the keys that its window gives it."""
+    inputs, total = [lm.BEGIN, *ids], 0.0
+    soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for k, target in enumerate([*ids, lm.END]):
+        first = k // lm.STRIDE * lm.STRIDE - lm.STRIDE
+        keys = [(j, model.embedding[model.place_of[inputs[j]]]) for j in range(max(first, 0), k + 1)]
+        own = keys[-1][1]
+        query = own @ model.query + model.place_query[k % lm.STRIDE]
+        a = soft(np.array([query @ (e @ model.key + model.place_key[j - first]) for j, e in keys]) / math.sqrt(len(own)))
+        h = np.tanh(sum(w * (e @ model.value) for w, (_, e) in zip(a, keys)) + own @ model.residual + model.hidden_bias)
+        place = model.place_of[target]
+        c = model.class_of[place]
+        total += math.log(soft(h @ model.out + model.out_bias)[c]) + math.log(soft(h @ model.inner[c] + model.inner_bias[c])[model.member_of[place]]) + model.log_share[target]
+    return total / math.log(10)
+
+
+def test_scores_equal_those_of_one_token_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "SCORED_WINDOWS", 3)
+    rng = np.random.default_rng(2)
+    model = lm.AttentionModel.begin(np.bincount(rng.integers(3, 80, 900), minlength=100))
+    for name in model.WEIGHTS:
+        setattr(model, name, getattr(model, name) + 0.3 * rng.standard_normal(getattr(model, name).shape).astype(np.float32))
+    docs = [rng.integers(3, 100, n).tolist() for n in (0, 1, lm.STRIDE - 1, lm.STRIDE, 5 * lm.STRIDE + 3, 7)]
+    got = model.scores(np.concatenate(docs).astype(np.uint16), np.cumsum([len(d) for d in docs]))
+    assert np.allclose(got, [plain_score(model, d) for d in docs], rtol=1e-4)
+
+
+def test_model_learns_what_follows_what(spark):
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(30)]
+    follow = {w: rng.sample(names, 2) for w in names}
+    values = []
+    for _ in range(500):
+        words = [rng.choice(names)]
+        while len(words) < 80:
+            words.append(rng.choice(follow[words[-1]]))
+        values.append(" ".join(words))
+    got = lm.score_texts(documents(spark, values), public_tokenizers.path("piece_bpe_32k.model")).filter("held_out").collect()
+    # the counts of words know nothing of what stands before them
+    assert sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
 
 
 def test_gradients():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 40, (6, 3 * lm.STRIDE))
     rows[0, : lm.STRIDE] = -1
-    model = lm.AttentionModel.begin(np.bincount(rows[rows >= 0], minlength=40), rows, width=8, places=16, classes=4)
+    model = lm.AttentionModel.begin(np.bincount(rows[rows >= 0], minlength=40), width=8)
     for name in model.WEIGHTS:
         setattr(model, name, getattr(model, name).astype(np.float64))
     places = model.places(rows)
