@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from .hashing import hash_hex
 def running(df: DataFrame, bucket: Column, order: list, sums: dict[str, Column | str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds, for each name of sums, the sum up to and with the row's peers, in the order of `bucket` and then `order`.
 
-    bucket must not fall as order rises. Each bucket is one window; what earlier buckets hold is added from a table with
+    bucket must not fall as order rises. Null keys are keys, and rows without a bucket stand before all others. Each bucket is one window; what earlier buckets hold is added from a table with
     a row for each bucket.
     """
     df = df.withColumn("_bucket", bucket)
@@ -19,9 +22,11 @@ def running(df: DataFrame, bucket: Column, order: list, sums: dict[str, Column |
         df = df.withColumn(f"_v_{name}", F.col(value) if isinstance(value, str) else value)
     totals = df.groupBy(*keys, "_bucket").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums))
+    of = [F.col(k).alias(f"_of_{k}") for k in (*keys, "_bucket")]
+    offsets = totals.select(*of, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rangeBetween(Window.unboundedPreceding, 0)
-    out = df.join(offsets, [*keys, "_bucket"])
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_bucket")))
+    out = df.join(offsets, same).drop(*(f"_of_{k}" for k in (*keys, "_bucket")))
     for n in sums:
         out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(inner))
     return out.drop("_bucket", *(f"_{p}_{n}" for p in "vo" for n in sums))

@@ -27,6 +27,12 @@ def shap_linear(rows: DataFrame, params: DataFrame, background: DataFrame) -> Da
     return long.join(table, "j").select("id", "c", "j", (F.col("w") * (F.col("x") - F.col("_mean"))).alias("phi"))
 
 
+def background_logits(params: DataFrame, background: DataFrame) -> DataFrame:
+    """(c, base): the logits of the background's mean."""
+    mean = background.select(F.posexplode("features").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("_mean"))
+    return params.join(F.broadcast(mean), "j").groupBy("c").agg(F.sum(F.col("w") * F.col("_mean")).alias("base"))
+
+
 def importance(phi: DataFrame) -> DataFrame:
     return phi.groupBy("c", "j").agg(F.avg(F.abs("phi")).alias("importance"))
 

@@ -26,20 +26,19 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def precision_recall(counts: DataFrame) -> DataFrame:
-    """(c, support, precision, recall, f1) from confusion counts; 0 where undefined."""
+    """(c, support, hits, precision, recall, f1) from confusion counts; 0 where undefined."""
     both = counts.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(True).alias("is_label")), F.struct(F.col("pred").alias("c"), F.lit(False).alias("is_label")))).alias("x"), "label", "pred", "n")
     sums = both.groupBy(F.col("x.c").alias("c")).agg(
         F.sum(F.when(F.col("x.is_label") & (F.col("label") == F.col("pred")), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("x.is_label"), F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(~F.col("x.is_label"), F.col("n")).otherwise(0)).alias("predicted")
     )
     p, r = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    return sums.select("c", "support", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+    return sums.select("c", "support", F.col("tp").alias("hits"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
 def macro(scored: DataFrame, classes: int) -> DataFrame:
     """One row: accuracy as a fraction, and means over all classes."""
-    counts = confusion(scored, classes)
-    accuracy = counts.agg(ratio(F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
-    return accuracy.crossJoin(precision_recall(counts).agg(F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), F.avg("f1").alias("f1_macro")))
+    by_class = precision_recall(confusion(scored, classes))
+    return by_class.agg(ratio(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), F.avg("f1").alias("f1_macro"))
 
 
 def macro_f1_present(scored: DataFrame) -> DataFrame:
@@ -65,6 +64,12 @@ def auroc(points: DataFrame) -> DataFrame:
     return won.select("c", F.try_divide(F.col("won").cast("double"), (F.col("_p") * F.col("_n")).cast("double")).alias("auroc"))
 
 
+def auroc_macro(points: DataFrame) -> DataFrame:
+    """Mean over the classes; 0 where any class has no positives or no negatives, as the mean is then undefined."""
+    of = auroc(points)
+    return of.agg(F.when(F.count("auroc") == F.count(F.lit(1)), F.avg("auroc")).otherwise(0.0).alias("auroc_macro")).select(F.coalesce("auroc_macro", F.lit(0.0)).alias("auroc_macro"))
+
+
 def roc_points(points: DataFrame) -> DataFrame:
     """(c, score, tpr, fpr), from the highest score down."""
     down = running(points, -F.floor(F.col("score") * SCORE_BUCKETS), [F.desc("score")], {"tp": "pos", "fp": "neg"}, ("c",))

@@ -49,6 +49,11 @@ def score(rows: DataFrame, params: DataFrame | np.ndarray) -> DataFrame:
     return out.withColumn("confidence", F.array_max("probs"))
 
 
+def matrix(features: pa.Array) -> np.ndarray:
+    """A column of equally long arrays."""
+    return features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(features), -1)
+
+
 def gradients(rows: DataFrame, w: np.ndarray, keys: list[str] = [], weights: list[float] | None = None) -> DataFrame:  # noqa: B006
     """Sums over rows, by keys, of the cross-entropy's gradient (c, j, g), its loss and the rows' weights.
 
@@ -60,7 +65,7 @@ def gradients(rows: DataFrame, w: np.ndarray, keys: list[str] = [], weights: lis
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.array(batch.column("features").to_pylist(), float)
+            x = matrix(batch.column("features"))
             y = batch.column("label").to_numpy()
             z = x @ w.T
             z -= z.max(1, keepdims=True)
@@ -147,10 +152,6 @@ def clip_by_norm(grads: DataFrame, most: float, guard: float = 1e-6) -> DataFram
     return grads.crossJoin(F.broadcast(grad_norm(grads))).withColumn("clipped", F.col("g") * F.least(F.lit(1.0), most / (F.col("norm") + guard)))
 
 
-def log_loss(prob: Column) -> Column:
-    return -F.log(prob)
-
-
 def count_params(params: DataFrame, frozen: Column) -> DataFrame:
     return params.agg(F.count(F.lit(1)).alias("total"), F.count_if(~frozen).alias("trainable"))
 
@@ -159,5 +160,3 @@ def freeze_schedule(spark: SparkSession, epochs: int, freeze_epochs: int, rate:
     e = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"))
     on = F.col("epoch") < freeze_epochs
     return e.select("epoch", F.when(on, "frozen").otherwise("all").alias("phase"), F.when(on, rate).otherwise(rate * 0.1).alias("rate"), (F.col("epoch") == freeze_epochs).alias("fresh_optimiser"))
-
-

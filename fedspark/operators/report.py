@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One variable at a time around a base configuration (name, setting, model, alpha, clients, epochs).
+#: Experiments by name (setting, model, alpha, clients, epochs), one variable at a time around a base configuration.
 ABLATIONS = (
-    ("A1_no_dp", "central", "softmax", 0.5, 1, 5), ("A2_with_dp", "private", "softmax", 0.5, 1, 5), ("A5_alpha0.1", "federated", "softmax", 0.1, 4, 5), ("A5_alpha0.5", "federated", "softmax", 0.5, 4, 5),
-    ("A5_alpha1.0", "federated", "softmax", 1.0, 4, 5), ("A5_alpha100.0", "federated", "softmax", 100.0, 4, 5), ("A6_K2", "federated", "softmax", 0.5, 2, 5), ("A6_K4", "federated", "softmax", 0.5, 4, 5),
-    ("A6_K6", "federated", "softmax", 0.5, 6, 5), ("A7_E1", "federated", "softmax", 0.5, 4, 1), ("A7_E3", "federated", "softmax", 0.5, 4, 3), ("A7_E5", "federated", "softmax", 0.5, 4, 5),
-)
+    ("A1_no_dp", "federated", "resnet50", 0.5, 4, 5),
+    ("A2_with_dp", "private", "resnet50", 0.5, 1, 5),
+    ("A4_resnet50", "central", "resnet50", 0.5, 1, 5),
+    ("A4_vgg19", "central", "vgg19", 0.5, 1, 5),
+    ("A5_alpha0.1", "federated", "resnet50", 0.1, 4, 5),
+    ("A5_alpha0.5", "federated", "resnet50", 0.5, 4, 5),
+    ("A5_alpha1.0", "federated", "resnet50", 1.0, 4, 5),
+    ("A5_alpha100.0", "federated", "resnet50", 100.0, 4, 5),
+    ("A6_K2", "federated", "resnet50", 0.5, 2, 5),
+    ("A6_K4", "federated", "resnet50", 0.5, 4, 5),
+    ("A6_K6", "federated", "resnet50", 0.5, 6, 5),
+    ("A7_E1", "federated", "resnet50", 0.5, 4, 1),
+    ("A7_E3", "federated", "resnet50", 0.5, 4, 3),
+    ("A7_E5", "federated", "resnet50", 0.5, 4, 5),
+)
+
+
+def strip_extension(name: Column) -> Column:
+    """A file's name without its folder and without what follows its first dot."""
+    return F.regexp_extract(name, r"([^/.]*)[^/]*$", 1)
+
+
+def strip_wrapper(key: Column) -> Column:
+    """A parameter's name without the prefix that a wrapping module gives it."""
+    return F.regexp_replace(key, r"_module\.", "")
 
 
 def percent(value: Column) -> Column:
@@ -51,3 +72,12 @@ def run_sweep(spark: SparkSession, run: Callable[..., dict], configs=ABLATIONS)
         except Exception as error:  # a failed experiment is a row
             out.append((name, None, str(error)))
     return spark.createDataFrame(out, "experiment string, metrics map<string,double>, error string")
+
+
+def ablation_table(results: DataFrame) -> DataFrame:
+    """A sweep's rows as shown: figures in percent to one decimal, 0 where an experiment failed or lacks one."""
+    of = lambda name: F.coalesce(F.try_element_at("metrics", F.lit(name)), F.lit(0.0))
+    shown = lambda name: F.format_string("%.1f%%", F.round(of(name), 1))
+    return results.select(
+        "experiment", percent(of("accuracy")).alias("accuracy"), percent(of("f1_macro")).alias("f1"), percent(of("auroc_macro")).alias("auroc"), shown("mia_accuracy").alias("mia_accuracy"), shown("mia_advantage").alias("mia_advantage"), F.col("error").isNotNull().alias("failed")
+    )

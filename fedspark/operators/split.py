@@ -14,7 +14,7 @@ def split_by_cuts(rows: DataFrame, cuts: list[tuple[str, float]], rest: str, see
 
     With sizes, the fractions are sizes of their own and not cumulative: int(f1 n) rows, then int(f2 n) rows.
     """
-    n = rows.count()
+    n = rows.select(key).count()
     at, column, ends = 0, F.lit(rest), []
     for name, share in cuts:
         at = at + int(share * n) if sizes else int(share * n)
@@ -42,13 +42,25 @@ def dirichlet_proportions(classes: int, clients: int, alpha: float, seed: int =
 
 def dirichlet_partition(rows: DataFrame, classes: int, clients: int = 4, alpha: float = 0.5, seed: int = 42) -> DataFrame:
     """Adds `client`. Each class's shuffle is cut at floor(cumulative share * its rows); the last client takes the rest."""
+    dealt = deal_by_cuts(rows, classes, [(alpha, clients)], seed)
+    return dealt.drop("alpha", "clients")
+
+
+def deal_by_cuts(rows: DataFrame, classes: int, ways: list[tuple[float, int]], seed: int = 42) -> DataFrame:
+    """Rows with alpha, clients and client for each way (alpha, clients) of dealing them out; the rows are ranked once.
+
+    Labels outside 0 to classes - 1, and null ones, have no shares: they go to client 0.
+    """
     spark = rows.sparkSession
-    shares = dirichlet_proportions(classes, clients, alpha, seed)
-    cuts = spark.createDataFrame([(c, [float(x) for x in shares[c][:-1]]) for c in range(classes)], "label int, shares array<double>")
-    n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = F.broadcast(n.join(cuts, "label").select("label", F.transform("shares", lambda s: F.floor(s * F.col("_n"))).alias("_cuts")))
-    ranked = hash_rank(rows, seed, keys=("label",))
-    return ranked.join(cuts, "label").withColumn("client", F.size(F.filter("_cuts", lambda c: F.col("rn") > c)).cast("int")).drop("rn", "_cuts")
+    shares = [(a, k, c, [float(x) for x in row[:-1]]) for a, k in ways for c, row in enumerate(dirichlet_proportions(classes, k, a, seed))]
+    cuts = spark.createDataFrame(shares, "alpha double, clients int, _label int, shares array<double>")
+    n = rows.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = n.join(cuts, "_label").withColumn("_cuts", F.transform("shares", lambda s: F.floor(s * F.col("_n"))))
+    by_label = F.broadcast(cuts.groupBy("_label").agg(F.collect_list(F.struct("alpha", "clients", "_cuts")).alias("_ways")))  # a row for each class
+    none = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(k).alias("clients"), F.expr("cast(array() as array<bigint>)").alias("_cuts")) for a, k in ways))
+    ranked = hash_rank(rows, seed, keys=("label",)).join(by_label, F.col("label") == F.col("_label"), "left")
+    each = ranked.select(*rows.columns, "rn", F.explode(F.coalesce("_ways", none)).alias("_way")).select(*rows.columns, "rn", "_way.*")
+    return each.withColumn("client", F.size(F.filter("_cuts", lambda c: F.col("rn") > c)).cast("int")).drop("rn", "_cuts")
 
 
 def partition_stats(assigned: DataFrame, classes: list[int], total_row: bool = False) -> DataFrame:

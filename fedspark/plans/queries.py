@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import explain, federated, metrics, model, prep, privacy, report, split
-from ..sources import files
+from ..functions.vectors import mean, total
+from ..operators import experiment, explain, federated, metrics, model, prep, privacy, report, split
+from ..sources import files, nifti
 from ..sources.tables import samples, table
 from . import sql
 from .sql import CLASSES, CLIENTS, HISTORY, MODEL_CLASSES, PX, PX3, SCORED, WIDTH
@@ -61,7 +62,10 @@ def scan_samples(spark, d):
 
 @query(f"with {sql.dealt()} select id, label from dealt where client = 1")
 def client_scan(spark, d):
-    return dealt(spark, d).filter("client = 1").select("id", "label")
+    """All clients are written to folders of their own, and one is read again."""
+    folder = files.scratch_folder(spark)
+    files.write_clients(dealt(spark, d).select("id", "client", "label"), folder)
+    return files.read_client(spark, folder, 1).select("id", "label")
 
 
 NAMES = {0: "CN", 1: "MCI", 2: "AD"}
@@ -125,7 +129,59 @@ def _weights_sql(source: int, target: int) -> str:
 @query(f"""with {PX}, wt as (select * from (values {_weights_sql(8, 12)}) t(o, i, w))
 select id, cast(a.o * 12 + b.o as int) as j, round(sum(a.w * b.w * v), 6) as v from px join wt a on a.i = j // 8 join wt b on b.i = j % 8 group by all""")
 def bilinear_resize(spark, d):
-    return long(samples(spark, d).withColumn("z", prep.resize(F.col("features"), 8, 12)), "z", "id")
+    return long(prep.resize(samples(spark, d).select("id", "features"), "features", (8, 8), (12, 12)), "features", "id")
+
+
+def _kernel_sql(name: str, source: int, target: int, method) -> str:
+    rows = ", ".join(f"({t}, {i}, {w!r}::double)" for t, row in enumerate(method(source, target)) for i, w in enumerate(row) if w)
+    return f"{name} as (select * from (values {rows}) t(o, i, w))"
+
+
+@query(f"""with {PX}, {_kernel_sql("wt", 8, 12, prep.lanczos_weights)}
+select id, cast(a.o * 12 + b.o as int) as j, round(sum(a.w * b.w * v), 6) as v from px join wt a on a.i = j // 8 join wt b on b.i = j % 8 group by all""")
+def lanczos_resize(spark, d):
+    return long(prep.resize(samples(spark, d).select("id", "features"), "features", (8, 8), (12, 12), "lanczos"), "features", "id")
+
+
+@query(f"""with {PX}, {_kernel_sql("wt", 8, 224, prep.lanczos_weights)}, m as (select i, sum(w) / 224 as w from wt group by i), spot as (select a.i as y, b.i as x, a.w * b.w as w from wt a join wt b on a.o = 100 and b.o = 57),
+s as (select id, sum(a.w * b.w * v) as mean from px join m a on a.i = j // 8 join m b on b.i = j % 8 group by id), t as (select id, sum(w * v) as pixel from px join spot on y = j // 8 and x = j % 8 group by id)
+select id, 50176 as pixels, round(mean, 6) as mean, round(pixel, 6) as pixel from s join t using (id)""")
+def lanczos_resize_224(spark, d):
+    large = prep.resize(samples(spark, d).select("id", "features"), "features", (8, 8), (224, 224), "lanczos")
+    return large.select("id", F.size("features").alias("pixels"), F.round(mean("features"), 6).alias("mean"), F.round(F.col("features")[100 * 224 + 57], 6).alias("pixel"))
+
+
+def volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Each sample as the file of a volume of 8 x 4 x 2 voxels; every seventh file is cut short."""
+
+    def files_of(batches):
+        for batch in batches:
+            batch["content"] = [nifti.encode(np.round(np.array(x), 6).reshape(8, 4, 2))[: 200 if i % 7 == 0 else None] for i, x in zip(batch["id"], batch.pop("features"))]
+            yield batch[["path", "label", "content"]].assign(label=batch["label"].astype(str))
+
+    rows = samples(spark, d).select("id", F.concat(F.lit("/"), F.col("id")).alias("path"), "label", "features")
+    return rows.mapInPandas(files_of, "path string, label string, content binary")
+
+
+@query("""with px as (select vec_id as id, label, cast(cast(round(cast(unnest(embedding) as double), 6) as float) as double) as v, unnest(range(64)) as j from embeddings where vec_id % 7 <> 0),
+sl as materialized (select id, nth, k, j % 8 as p, v from px join (values (0, 3), (1, 4), (2, 5)) t(nth, k) on j // 8 = k),
+z as (select *, greatest(-3, least(3, (v - avg(v) over w) / stddev_pop(v) over w)) as z from sl window w as (partition by id, nth)),
+r as (select *, (z - min(z) over w) / (max(z) over w - min(z) over w + 1e-8::double) * 255 as level from z window w as (partition by id, nth))
+select '/' || id as path, nth::int as nth, k::int as slice, 4 as h, 2 as w, round(sum(floor(level) / 255.0::double), 4) as total from r group by all""")
+def ingest_slices(spark, d):
+    slices = nifti.read_slices(volumes(spark, d), None).filter("ok")
+    return slices.select("path", "nth", "slice", "h", "w", F.round(total(F.transform("image", lambda v: v.cast("double"))), 4).alias("total"))
+
+
+@query("select label::varchar as label, count(*) as total, count(*) filter (vec_id % 7 <> 0) as processed, count(*) filter (vec_id % 7 = 0) as failed, 3 * count(*) filter (vec_id % 7 <> 0) as output_slices from embeddings group by label")
+def ingest_files(spark, d):
+    return nifti.ingest_stats(nifti.read_slices(volumes(spark, d)))
+
+
+@query("select label, path from (select label::varchar as label, '/' || vec_id as path, row_number() over (partition by label order by '/' || vec_id) as k from embeddings) where k <= 5")
+def first_files(spark, d):
+    rows = samples(spark, d).select(F.col("label").cast("string").alias("label"), F.concat(F.lit("/"), F.col("id")).alias("path"))
+    return nifti.first_paths(rows, 5)
 
 
 @query(f"""with {PX}, s as (select *, {sql.uniform('42flip')} < 0.5 as coin from px)
@@ -332,6 +388,13 @@ def auroc_ovr(spark, d):
     return metrics.auroc(metrics.one_vs_rest(scored(spark, d))).withColumn("auroc", F.round("auroc", 6))
 
 
+@query(f"""with {SCORED}, {_OVR}, r as (select *, rank() over (partition by c order by score) + (count(*) over (partition by c, score) - 1) / 2.0::double as rk from ovr),
+a as (select c, (sum(rk) filter (y = 1) - sum(y) * (sum(y) + 1) / 2.0::double) / nullif(sum(y) * sum(1 - y), 0) as auroc from r group by c)
+select case when count(auroc) = count(*) then round(avg(auroc), 6) else 0 end as auroc_macro from a""")
+def auroc_macro(spark, d):
+    return metrics.auroc_macro(metrics.one_vs_rest(scored(spark, d))).withColumn("auroc_macro", F.round("auroc_macro", 6))
+
+
 _ROC = """pts as (select c, score, sum(y) as pos, sum(1 - y) as neg from ovr group by all),
 roc as (select c, score, sum(pos) over w / sum(pos) over (partition by c)::double as tpr, sum(neg) over w / sum(neg) over (partition by c)::double as fpr from pts window w as (partition by c order by score desc))"""
 
@@ -498,6 +561,21 @@ def freeze_schedule(spark, d):
     return model.freeze_schedule(spark, 10, 3)
 
 
+_FIRST = "w - {rate} * (g + 1e-4::double * w) / (abs(g + 1e-4::double * w) + 1e-8::double)"
+
+
+@query(f"""with {PX}, p3 as materialized (select * from px where label < 3), n as (select count(*) / 64 as n from p3),
+g0 as (select c, j, sum((1 / 3.0::double - (c = label)::int) * v) / (select n from n) as g from p3, range(3) t(c) group by all),
+w1 as materialized (select c, j, case when j < 32 then 0 else -1e-2::double * g / (abs(g) + 1e-8::double) end as w from g0),
+z as materialized (select id, label, c, sum(v * w) as z from p3 join w1 using (j) group by all), p as (select id, c, exp(z) / sum(exp(z)) over (partition by id) - (c = label)::int as e from z),
+g1 as (select c, j, sum(e * v) / (select n from n) as g from p join p3 using (id) group by all)
+select c::int as c, j::int as j, round({_FIRST.format(rate="1e-3::double")}, 5) as w from w1 join g1 using (c, j)""")
+def two_phase_params(spark, d):
+    """An epoch with the first half of the features frozen, and one of all at a tenth of the rate by a fresh optimiser."""
+    w, _ = model.train_two_phase(three(spark, d), MODEL_CLASSES, WIDTH, 2, 1, list(range(32)))
+    return model.from_matrix(spark, w).withColumn("w", F.round("w", 5))
+
+
 @query(f"with {PX3} select c, (j // 4)::bigint as cell, round(avg(w), 6) as w from params group by all")
 def channel_mean_init(spark, d):
     return prep.channel_mean(centroids(spark, d).withColumn("cell", F.expr("cast(j div 4 as bigint)")), ["c", "cell"]).withColumn("w", F.round("w", 6))
@@ -561,7 +639,7 @@ def privacy_utility_table(spark, d):
     rows = three(spark, d)
     out = []
     for sigma in (1.1, 0.5, 0.0):
-        w, ledger = privacy.private_train(rows, MODEL_CLASSES, WIDTH, 2, sigma, 1.0)
+        w, ledger = privacy.private_train(rows, MODEL_CLASSES, WIDTH, 2, sigma, 1.0, seed=42)
         got = metrics.macro(model.score(rows, w), MODEL_CLASSES).first()
         out.append((sigma, float(ledger[-1]["epsilon_simple"]), got["accuracy"], got["f1_macro"]))
     return spark.createDataFrame(out, "sigma double, epsilon_simple double, accuracy double, f1_macro double")
@@ -653,6 +731,14 @@ def gradcam_map(spark, d):
     return explain.activation_map(activations(spark, d)).withColumn("heat", F.round("heat", 6))
 
 
+@query(f"""with {_CAM}, {_kernel_sql("wt", 4, 8, prep.bilinear_weights)}
+select id, cast(a.o * 8 + b.o as int) as j, round(sum(a.w * b.w * heat), 6) as heat from cam join wt a on a.i = y join wt b on b.i = x group by all""")
+def gradcam_upsampled(spark, d):
+    heat = explain.activation_map(activations(spark, d))
+    maps = heat.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "heat"))), lambda m: m["heat"]).alias("map"))  # 16 cells each
+    return long(prep.resize(maps, "map", (4, 4), (8, 8)), "map", "id", name="heat")
+
+
 @query(f"""with {_CAM}, s as (select *, min(heat) over (partition by id) as lo, max(heat) over (partition by id) as hi from cam)
 select id, y, x, round(case when hi > 0 then (heat - lo) / nullif(hi - lo, 0) else heat end, 6) as heat from s""")
 def gradcam_norm(spark, d):
@@ -675,10 +761,12 @@ def shap_linear(spark, d):
     return shap(spark, d).withColumn("phi", F.round("phi", 6) + F.lit(0.0))  # no -0
 
 
-@query(f"with {_SHAP}, b as (select c, sum(w * mu) as base from params join mean using (j) group by c) select id, c, round(sum(phi) + any_value(base), 6) as total from phi join b using (c) group by id, c")
+@query(f"with {SCORED} select id, c, round(z, 6) as total from logits")
 def shap_additivity(spark, d):
-    """Attributions and the background's logit add up to the row's logit."""
-    return model.score(three(spark, d), centroids(spark, d)).select("id", F.posexplode("logits").alias("c", "total")).withColumn("total", F.round("total", 6))
+    """A row's attributions and the background's logit, summed."""
+    base = explain.background_logits(centroids(spark, d), split.draw(three(spark, d), 20, "bg"))
+    summed = shap(spark, d).groupBy("id", "c").agg(F.sum("phi").alias("phi"))
+    return summed.join(F.broadcast(base), "c").select("id", "c", F.round(F.col("phi") + F.col("base"), 6).alias("total"))
 
 
 @query(f"with {_SHAP} select c, j, round(avg(abs(phi)), 6) as importance from phi group by c, j")
@@ -699,9 +787,64 @@ def compile_metrics(spark, d):
     return report.compile_metrics(table(spark, d, "events").select("event_id", "props"), "k double, accuracy double").drop("props")
 
 
-@query(None)
+@query(f"""with {SCORED}, {_GRID}, {_PRF}, m as (select round((select avg(case when label = pred then 1.0 else 0.0 end) from pred), 6)::double as accuracy,
+round(avg(precision), 6) as precision_macro, round(avg(recall), 6) as recall_macro, round(avg(f1), 6) as f1_macro from prf)
+select '{{"accuracy":' || accuracy || ',"precision_macro":' || precision_macro || ',"recall_macro":' || recall_macro || ',"f1_macro":' || f1_macro || '}}' as json from m""")
 def metrics_to_json(spark, d):
-    return files.metrics_to_json(metrics.macro(scored(spark, d), MODEL_CLASSES))
+    return files.metrics_to_json(macro_metrics(spark, d))
+
+
+_CLIENT_METRICS = f"""{SCORED}, {sql.dealt(where='label < 3')},
+m as (select 'client_' || client as experiment, avg(-ln(p)) as loss, avg((pred = pred.label)::int) * 100 as accuracy_pct from pred join dealt using (id) join probs on probs.id = pred.id and probs.c = pred.label group by client)"""
+
+
+@query(f"with {_CLIENT_METRICS} select experiment, round(loss, 6) as loss, round(accuracy_pct, 6) as accuracy_pct, 0.0::double as auroc_macro from m")
+def metric_files(spark, d):
+    """Metrics are written as JSON files by experiment, found again by name, compiled, written as CSV and read again."""
+    folder = files.scratch_folder(spark)
+    rows = federated.client_metrics(model.score(dealt3(spark, d), centroids(spark, d)))
+    rows = rows.select(F.concat(F.lit("client_"), F.col("client")).alias("experiment"), F.round("loss", 6).alias("loss"), F.round("accuracy_pct", 6).alias("accuracy_pct"))
+    files.write_metrics(rows, f"{folder}/metrics")
+    files.write_metrics(rows.limit(1).withColumn("experiment", F.lit("other")), f"{folder}/metrics")
+    found = files.read_metrics(spark, f"{folder}/metrics", "loss double, accuracy_pct double, auroc_macro double", "client_*")
+    files.write_csv(found.select("experiment", "loss", "accuracy_pct", "auroc_macro"), f"{folder}/table")
+    return files.read_csv(spark, f"{folder}/table", "experiment string, loss double, accuracy_pct double, auroc_macro double")
+
+
+@query("with " + HISTORY + " select (row_number() over (order by step) - 1)::int as step, f1, n::double as n from history")
+def history_file(spark, d):
+    """A history is written as one row of parallel arrays, and read as a row for each step."""
+    folder = files.scratch_folder(spark)
+    one = F.array_sort(F.collect_list(F.struct("step", "f1", F.col("n").cast("double").alias("n"))))
+    arrays = history(spark, d).agg(one.alias("h")).select(F.col("h.f1").alias("f1"), F.col("h.n").alias("n"))
+    arrays.write.json(folder)
+    return files.read_history(spark, folder, ["f1", "n"])
+
+
+@query(f"with {PX3} select layout, c, j::int as j, round(w, 6) as w from params, (values ('flat'), ('nested')) t(layout)")
+def checkpoint_layouts(spark, d):
+    """Parameters are saved as a table, and as structs below one name, and both are loaded alike."""
+    folder, params = files.scratch_folder(spark), centroids(spark, d)
+    files.save_params(params, f"{folder}/flat")
+    files.save_params(params.select(F.struct("*").alias("params")), f"{folder}/nested")
+    both = [files.load_params(spark, f"{folder}/{name}").select(F.lit(name).alias("layout"), "c", "j", F.round("w", 6).alias("w")) for name in ("flat", "nested")]
+    return both[0].unionByName(both[1])
+
+
+@query("select url, regexp_extract(url, '([^/.]*)[^/]*$', 1) as bare, 'head._module.w' || page_id % 3 as key, 'head.w' || page_id % 3 as name from pages")
+def strip_names(spark, d):
+    rows = table(spark, d, "pages").select("url", F.concat(F.lit("head._module.w"), F.col("page_id") % 3).alias("key"))
+    return rows.select("url", report.strip_extension(F.col("url")).alias("bare"), "key", report.strip_wrapper(F.col("key")).alias("name"))
+
+
+@query(None)
+def experiment_sweep(spark, d):
+    """Every configured experiment, each with one epoch, and one that can't run."""
+    rows = three(spark, d).persist()
+    once = [(name, setting, kind, alpha, clients, 1) for name, setting, kind, alpha, clients, _ in report.ABLATIONS] + [("no_such_setting", "none", "resnet50", 0.5, 1, 1)]
+    out = report.run_sweep(spark, lambda *config: experiment.run(rows, *config, MODEL_CLASSES, seed=42), once)
+    rows.unpersist()
+    return report.ablation_table(out)
 
 
 _KEYS = ("A5_alpha0.1", "A5_alpha1.0", "A5_alpha100.0", "A6_K2", "A6_K6", "A7_E1", "A1_no_dp")
@@ -729,12 +872,8 @@ _SWEEPS = [(a, k) for a in (0.1, 0.5, 1.0, 100.0) for k in (2, 4, 6)]
 
 @query(" union all ".join(f"select * from (with {sql.dealt(a, k)} select {a!r}::double as alpha, {k} as clients, client, count(*) as total, count(distinct label) as classes from dealt group by client)" for a, k in _SWEEPS))
 def ablation_grid(spark, d):
-    out = None
-    for a, k in _SWEEPS:
-        stats = dealt(spark, d, a, k).groupBy("client").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("label").alias("classes"))
-        stats = stats.select(F.lit(a).alias("alpha"), F.lit(k).alias("clients"), "client", "total", "classes")
-        out = stats if out is None else out.unionByName(stats)
-    return out
+    rows = split.deal_by_cuts(samples(spark, d).select("id", "label"), CLASSES, _SWEEPS)
+    return rows.groupBy("alpha", "clients", "client").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("label").alias("classes"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +55,37 @@ def metrics_to_json(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def read_metrics(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Metric files by name pattern, with their file names; missing figures are 0."""
-    found = spark.read.schema(schema).option("multiLine", True).json(pattern)
-    return found.na.fill(0.0).withColumn("experiment", F.regexp_extract(F.input_file_name(), r"([^/]+)_metrics\.json$", 1))
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's path below the one that the cluster names for checkpoints; where none is named, a temporary one if the session is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='fedspark-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def write_metrics(metrics: DataFrame, folder: str) -> None:
+    """A JSON file for each experiment (a column of metrics), in a folder of its name."""
+    metrics.repartition("experiment").write.mode("append").partitionBy("experiment").json(folder)
+
+
+def read_metrics(spark: SparkSession, folder: str, schema: str, names: str = "*") -> DataFrame:
+    """Metric files of the experiments whose names fit the pattern, with those names; missing figures are 0."""
+    found = spark.read.schema(schema).json(f"{folder}/experiment={names}")
+    return found.na.fill(0.0).withColumn("experiment", F.regexp_extract(F.input_file_name(), r"experiment=([^/]+)/", 1))
+
+
+def write_csv(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("overwrite").option("header", True).csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(folder)
 
 
 def read_history(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
-    """A history file of parallel arrays as a row for each step."""
-    found = spark.read.option("multiLine", True).json(path)
+    """Histories of parallel arrays as a row for each step."""
+    found = spark.read.schema(", ".join(f"{x} array<double>" for x in series)).json(path)
     return found.select(F.posexplode(F.arrays_zip(*series)).alias("step", "x")).select("step", "x.*")

@@ -5,22 +5,44 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.prep import lanczos_weights
+
 #: NIfTI-1 datatype codes (fixed by the format).
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
-SCHEMA = "path string, label string, ok boolean, error string, axis int, slice int, h int, w int, image array<float>"
+SCHEMA = "path string, label string, ok boolean, error string, axis int, nth int, slice int, h int, w int, image array<float>"
+#: Height and width that slices are resized to.
+SIZE = (224, 224)
 
 
 def find_volumes(spark: SparkSession, folder: str) -> DataFrame:
-    """All .nii and .nii.gz files below a folder, with the name of the directory that holds each as its label."""
+    """All .nii and .nii.gz files below a folder, by path, with the name of the directory that holds each as its label."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nii*").load(folder)
-    return files.filter(F.col("path").rlike(r"\.nii(\.gz)?$")).withColumn("label", F.element_at(F.split("path", "/"), -2))
+    return files.filter(F.col("path").rlike(r"\.nii(\.gz)?$")).withColumn("label", F.element_at(F.split("path", "/"), -2)).orderBy("path")
+
+
+def first_paths(files: DataFrame, n: int) -> DataFrame:
+    """The first n files of each label, by path. n is small, so each task keeps its own first n before they meet."""
+    first = Window.partitionBy("label").orderBy("path")
+    return files.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= n).drop("_nth")
+
+
+def encode(volume: np.ndarray) -> bytes:
+    """A volume of 32-bit floats as a NIfTI-1 file."""
+    header = bytearray(352)
+    struct.pack_into("<i", header, 0, 348)
+    struct.pack_into("<8h", header, 40, volume.ndim, *volume.shape, *[1] * (7 - volume.ndim))
+    struct.pack_into("<2h", header, 70, 16, 32)
+    struct.pack_into("<3f", header, 108, 352.0, 1.0, 0.0)
+    header[344:348] = b"n+1\0"
+    return bytes(header) + np.asarray(volume, "<f4").tobytes(order="F")
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -40,15 +62,32 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def normalise(image: np.ndarray) -> np.ndarray:
-    """z-score clipped at three deviations, then scaled to 256 levels of [0, 1]."""
+    """z-score clipped at three deviations, then scaled to whole levels of 0 to 255; a flat image is 0."""
     spread = image.std()
-    z = np.clip((image - image.mean()) / spread, -3, 3) if spread > 0 else np.zeros_like(image)
-    return np.floor((z - z.min()) / (z.max() - z.min() + 1e-8) * 255) / 255
+    if not spread > 0:
+        return np.zeros(image.shape)
+    z = np.clip((image - image.mean()) / spread, -3, 3)
+    return np.floor((z - z.min()) / (z.max() - z.min() + 1e-8) * 255)
+
 
+@lru_cache(maxsize=256)
+def _weights(source: int, target: int) -> np.ndarray:
+    return np.array(lanczos_weights(source, target))
 
-def read_slices(files: DataFrame) -> DataFrame:
-    """A row for each of three slices of each volume: the middle of the longest axis and a sixth to either side. A file
-    that can't be decoded gives one row with ok false and the reason."""
+
+def resize_levels(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Levels of 0 to 255 by the Lanczos kernel: first across, then down, each rounded to whole levels."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    across = level(image @ _weights(image.shape[1], size[1]).T)
+    return level(_weights(image.shape[0], size[0]) @ across)
+
+
+def read_slices(files: DataFrame, size: tuple[int, int] | None = SIZE) -> DataFrame:
+    """A row for each of three slices of each volume of files (path, label, content): a sixth before the middle of the
+    longest axis, the middle, and a sixth behind, normalised to [0, 1] and resized.
+
+    A file that can't be decoded gives one row with ok false and the reason. Without a size, slices stay as large as they are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -58,12 +97,21 @@ def read_slices(files: DataFrame) -> DataFrame:
                     volume = decode(content)
                     axis = int(np.argmax(volume.shape))
                     n = volume.shape[axis]
-                    for k in (n // 2, n // 2 - n // 6, n // 2 + n // 6):
+                    made = []
+                    for nth, k in enumerate((n // 2 - n // 6, n // 2, n // 2 + n // 6)):
                         k = min(max(k, 0), n - 1)
                         image = normalise(np.take(volume, k, axis))
-                        rows.append((path, label, True, None, axis, k, *image.shape, image.ravel().astype(np.float32).tolist()))
+                        image = (image if size is None else resize_levels(image, size)) / 255
+                        made.append((path, label, True, None, axis, nth, k, *image.shape, image.ravel().astype(np.float32).tolist()))
+                    rows += made
                 except Exception as error:  # the file's fault: it becomes a row
-                    rows.append((path, label, False, str(error), None, None, None, None, None))
+                    rows.append((path, label, False, str(error), None, None, None, None, None, None))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return files.select("path", "label", "content").mapInPandas(run, SCHEMA)
+
+
+def ingest_stats(slices: DataFrame) -> DataFrame:
+    """For each label: files, those that could be read, those that couldn't, and slices."""
+    by_file = F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok") & (F.col("nth") == 0)).alias("processed"), F.count_if("ok").alias("output_slices")
+    return slices.groupBy("label").agg(*by_file).select("label", (F.col("processed") + F.col("failed")).alias("total"), "processed", "failed", "output_slices")
