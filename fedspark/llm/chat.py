@@ -11,14 +11,15 @@ from .common import table
 BLOCK_TURNS = 256
 
 
-def rotate_perspectives(messages: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def rotate_perspectives(messages: DataFrame, block_turns: int | None = BLOCK_TURNS) -> DataFrame:
     """Renders every conversation of messages (conv_id, turn, role, text) once for each of its participants.
 
     The participant's own messages are the assistant's, those of others a named user's, and those of the role system
     stay the system's. Each message becomes `<|im_start|>header\\ntext<|im_end|>\\n`. Returns for each conversation,
     participant and block of turns: n_messages, rendered, and mask: where the participant's texts stand in rendered, as
     start:end in code points, joined by commas; only there a loss is taken. Long conversations are cut by turn number
-    into blocks, so that no task gathers a whole one. A null role is the participant "unknown", a null text is empty, a
+    into blocks, so that no task gathers a whole one; later blocks don't repeat the system's turns. With block_turns None each
+    conversation is one block. Texts stand as they are, marks like <|im_end|> in them included: the mask says what is text. A null role is the participant "unknown", a null text is empty, a
     null turn stands in a block -1 of its own, before all others, ties in turn are ordered by role and text, rows equal
     in all four columns are one message, and a null conv_id is a conversation of its own. A conversation with system messages only has no
     participant and gives no row; an empty table gives an empty one; other columns aren't read.
@@ -29,7 +30,8 @@ def rotate_perspectives(messages: DataFrame, block_turns: int = BLOCK_TURNS) ->
         F.coalesce(messages["role"].cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(messages["text"].cast("string"), F.lit("")).alias("text"),
     ).distinct()
-    base = base.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("long"))
+    at = F.floor(F.col("turn") / block_turns) if block_turns else F.when(F.col("turn").isNotNull(), 0)
+    base = base.withColumn("block", F.coalesce(at, F.lit(-1)).cast("long"))
     speakers = base.filter(F.col("role") != "system").select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
     blocks = base.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     both = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")

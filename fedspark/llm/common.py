@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import warnings
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,18 @@ def spread(spark: SparkSession, units: float, per_partition: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(units // per_partition) + 1)
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, n: int) -> Iterator[None]:
+    """While it lasts, Python tasks take n rows at a time, for tables whose rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with at most so many bytes of text; a null text becomes an empty one."""
     at = batch.schema.get_field_index(column)

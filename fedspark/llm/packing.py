@@ -15,8 +15,9 @@ from .common import Memo, ragged, spread, split_words, table, text_slices, with_
 
 WINDOW = 4096
 END_ID = 2
-#: Ranks within a length are taken in so many parts, so that many documents of one length don't meet in one task.
-SALTS = 64
+#: Ranks within a length are taken in parts of about so many pieces of all lengths, so that many pieces of one length, as
+#: full windows are, don't meet in one task.
+RANKED = 20_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -122,10 +123,13 @@ def _word_encoder(path: str):
             some = parts[at : at + 4096]
             ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
             last = np.flatnonzero(ends[ids])
-            if len(last) != len(some):
-                raise ValueError("the tokenizer did not end each pretoken with a word end")
-            flat.append(ids)
-            lengths.append(np.diff(np.concatenate(([-1], last))))
+            if len(last) == len(some):
+                flat.append(ids)
+                lengths.append(np.diff(np.concatenate(([-1], last))))
+            else:  # a pretoken without a word end: one by one
+                each = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in some]
+                flat += each
+                lengths.append(np.array([len(x) for x in each]))
         return (np.concatenate(flat), np.concatenate(lengths)) if flat else (np.empty(0, np.int32), np.empty(0, np.int64))
 
     memo = Memo(many, 400_000)
@@ -137,8 +141,8 @@ def _word_encoder(path: str):
         per_word = np.zeros(len(words), np.int64)
         per_word[ok.to_numpy(zero_copy_only=False)] = pc.count_substring_regex(lower, pattern).to_numpy(zero_copy_only=False)
         parts = pretokens.findall(" ".join(lower.to_pylist()))
-        if len(parts) != per_word.sum():
-            raise ValueError("two regular-expression libraries cut words differently")
+        if len(parts) != per_word.sum():  # two regular-expression libraries cut words differently: all go one by one
+            ok, parts, per_word = pa.array([False] * len(words)), [], np.zeros(len(words), np.int64)
         odd = {k: np.array(tokenizer.encode(words[k], add_special_tokens=False).ids, np.int32) for k in np.flatnonzero(~ok.to_numpy(zero_copy_only=False)).tolist()}
         starts, lengths = memo(parts)
         ends_at = np.concatenate(([0], np.cumsum(lengths)))
@@ -190,7 +194,9 @@ def _place(runs: list[tuple[int, int, int, int, int, int]], window: int):
     order = np.lexsort((rank, length))
     length, rank, first, each, offset = (x[order] for x in (length, rank, first, each, offset))
     base = int(rank.max()) + 1
-    key = length.astype(float) if base * (window + 1) > 1 << 62 else length * base + rank
+    if base * (window + 1) > 1 << 62:
+        raise ValueError("a length's ranks and the window are too large for one key")
+    key = length * base + rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,10 +223,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     spark = docs.sparkSession
     schema = PIECES + (", ids array<long>" if with_ids else "")
     pieces = written(with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_pieces(tokenizer, window, end_id, with_ids), schema), "pieces")
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("long"))
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
+    salts = spread(spark, sum(lengths.values()), RANKED)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("long"))
     counts = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
-    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
     runs = best_fit_plan(lengths, window)
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = pieces.join(counts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.row_number().over(order) - 1)

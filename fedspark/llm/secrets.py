@@ -41,6 +41,8 @@ TEXT_REPEATS = 0.065
 LEVEL = 1e-3  # each test of the battery must not reject randomness at this level
 FDR = 0.01
 BINS_PER_DECADE, MOST_DECADES = 20, 60
+#: Lengths are weighed by classes, so many for each doubling.
+CLASSES_PER_DOUBLING = 4
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 GUESS = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("bin", pa.int32())])
@@ -94,15 +96,14 @@ def _normal(z: float) -> float:
 
 
 def guess_bin(text: str) -> int | None:
-    """The bin of a string's length-weighted p, in twentieths of a decade from 1 downward; None where a test rejects."""
+    """The bin of a string's p, in twentieths of a decade from 1 downward; None where a test rejects."""
     encoding = infer_encoding(text)
     if encoding is None:
         return None
     below, *random = battery(text, encoding)
     if min(random) < LEVEL:
         return None
-    weighted = below * 2 * LEAST / len(text)  # longer strings say more, so they get the larger share of the error rate
-    return int(min(max(-math.log10(max(weighted, 1e-300)), 0), MOST_DECADES) * BINS_PER_DECADE)
+    return int(min(max(-math.log10(max(below, 1e-300)), 0), MOST_DECADES) * BINS_PER_DECADE)
 
 
 def guessed(text: str, start: int = 0) -> list[tuple[int, int, int]]:
@@ -143,14 +144,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def discovery_bin(counts: dict[int, int], rate: float = FDR) -> int:
-    """The lowest accepted bin by the procedure of Benjamini and Hochberg over binned p; above all bins if none is."""
-    total, so_far, lowest = sum(counts.values()), 0, MOST_DECADES * BINS_PER_DECADE + 1
-    for b in sorted(counts, reverse=True):
-        so_far += counts[b]
-        if 10 ** (-b / BINS_PER_DECADE) <= rate * so_far / total:
-            lowest = b
-    return lowest
+def length_weight(kind: int) -> float:
+    """The weight of a length class: longer strings say more, so they get the larger share of the error rate."""
+    return 2.0 ** (kind / CLASSES_PER_DOUBLING)
+
+
+def discovery(counts: dict[tuple[int, int], int], rate: float = FDR) -> tuple[float, float]:
+    """(mean weight, least score) by the procedure of Benjamini and Hochberg with weights of mean 1, over counts of (bin,
+    length class). A string's score is -log10 of its p over its weight; infinity where none is accepted."""
+    total = sum(counts.values())
+    mean = sum(n * length_weight(kind) for (_, kind), n in counts.items()) / total if total else 1.0
+    scores: dict[float, int] = {}
+    for (b, kind), n in counts.items():
+        score = b / BINS_PER_DECADE + math.log10(length_weight(kind) / mean)
+        scores[score] = scores.get(score, 0) + n
+    so_far, least = 0, math.inf
+    for score in sorted(scores, reverse=True):
+        so_far += scores[score]
+        if 10**-score <= rate * so_far / total:
+            least = score
+    return mean, least
 
 
 def scan_secrets(docs: DataFrame, rate: float = FDR) -> DataFrame:
@@ -166,10 +179,12 @@ def scan_secrets(docs: DataFrame, rate: float = FDR) -> DataFrame:
     a null doc_id stays null; an empty table gives an empty one; other columns aren't read.
     """
     found = written(with_columns(docs, {"doc_id": "long", "text": "string"}).mapInArrow(_scan, SCHEMA), "secrets")
-    bins = found.select(F.explode("guesses.bin").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    lowest = discovery_bin({r["bin"]: r["n"] for r in bins.collect()}, rate)  # at most 1201 bins
+    kind = lambda g: F.floor(F.log2(g["end"] - g["start"]) * CLASSES_PER_DOUBLING).cast("int")
+    bins = found.select(F.explode("guesses").alias("g")).select("g.bin", kind(F.col("g")).alias("kind")).groupBy("bin", "kind").agg(F.count(F.lit(1)).alias("n"))
+    mean, least = discovery({(r["bin"], r["kind"]): r["n"] for r in bins.collect()}, rate)  # at most 1201 bins of 120 length classes
+    score = lambda g: g["bin"] / BINS_PER_DECADE + (kind(g) / CLASSES_PER_DOUBLING) * math.log10(2) - math.log10(mean)
     order = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
-    random = F.transform(F.filter("guesses", lambda g: g["bin"] >= lowest), lambda g: F.struct(F.lit("random").alias("kind"), g["start"].alias("start"), g["end"].alias("end")))
+    random = F.transform(F.filter("guesses", lambda g: score(g) >= least - 1e-9), lambda g: F.struct(F.lit("random").alias("kind"), g["start"].alias("start"), g["end"].alias("end")))
     keyed = F.array_sort(F.transform(F.concat("base", random), lambda s: F.struct(s["start"].alias("start"), order(s).alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return found.select("doc_id", "base", "base_sha256", F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 

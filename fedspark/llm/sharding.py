@@ -9,6 +9,8 @@ from .common import spread, table, written
 
 #: Hash buckets that rank a source's rows; each source is dealt over as many, so a hot one is spread as well.
 ROWS_PER_BUCKET = 20_000
+#: Buckets whose counts are summed up in one window.
+RUN = 1024
 
 
 def _ranked(rows: DataFrame, keys: list[str], bucket: str, order: list, name: str) -> DataFrame:
@@ -25,13 +27,12 @@ def _ranked(rows: DataFrame, keys: list[str], bucket: str, order: list, name: st
 
 
 def _running(counts: DataFrame, bucket: str) -> DataFrame:
-    """Rows in earlier buckets. The buckets' number is a parameter, not the data's, and one row each."""
-    pairs = F.array_sort(F.collect_list(F.struct(bucket, "_in")))
-    step = lambda acc, x: F.struct(
-        F.concat(acc["out"], F.array(F.struct(x[bucket].alias(bucket), acc["sum"].alias("_before")))).alias("out"), (acc["sum"] + x["_in"]).alias("sum")
-    )
-    empty = F.struct(F.expr(f"cast(array() as array<struct<{bucket}:bigint,_before:bigint>>)").alias("out"), F.lit(0).cast("long").alias("sum"))
-    return counts.agg(F.aggregate(pairs, empty, step)["out"].alias("all")).select(F.inline("all"))
+    """Rows in earlier buckets: those of its run of RUN buckets, and those of earlier runs, of which there is one row each."""
+    runs = counts.withColumn("_run", F.floor(F.col(bucket) / RUN))
+    totals = runs.groupBy("_run").agg(F.sum("_in").alias("_all"))
+    first = totals.select("_run", (F.sum("_all").over(Window.orderBy("_run")) - F.col("_all")).alias("_first"))
+    inner = runs.withColumn("_inner", F.sum("_in").over(Window.partitionBy("_run").orderBy(bucket)) - F.col("_in"))
+    return inner.join(first, "_run").select(bucket, (F.col("_first") + F.col("_inner")).alias("_before"))
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,6 +196,7 @@ class CheckedEncoder:
                     own, said = flat[ends[k] - sizes[k] : ends[k]].tolist(), v.library.encode(words[k])
                     if words[k] and own != said:
                         self.mended += 1
+                        warnings.warn(f"the agenda's ids of {words[k]!r} are {own}, the library's {said}", stacklevel=2)
                         flat = np.concatenate((flat[: ends[k] - sizes[k]], said, flat[ends[k] :])).astype(np.int32)
                         sizes[k] = len(said)
                         ends = np.cumsum(sizes)

@@ -16,6 +16,9 @@ from .test_pairs import brute_components, lower, near_copies
 from .test_texts import BASE_PII, WORD
 
 
+RANKS = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "é"), (1, 2, "ann", "é"), (1, None, None, "x"), (1, 300, "ann", "late"), (2, 0, "system", "alone"), (None, 1, "ann", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as block", "'y' as speaker")
@@ -39,8 +42,7 @@ def test_chat(spark):
 
 def test_scores(spark):
     values = texts()
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    got = {r.doc_id: r for r in lm.score_texts(documents(spark, values), path).collect()}
+    got = {r.doc_id: r for r in lm.score_texts(documents(spark, values), *RANKS).collect()}
     assert sorted(got) == list(range(len(values)))
     tokens = [[*WORD.findall(lower(t or "")), None] for t in values]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(values))]
@@ -53,24 +55,23 @@ def test_scores(spark):
         assert math.isfinite(r.score) and r.score < 0
     # better than giving each of the vocabulary's ids the same chance
     some = [i for i in range(len(values)) if held[i] and len(tokens[i]) > 20]
-    assert sum(got[i].score for i in some) > -math.log10(32000) * sum(len(tokens[i]) for i in some) * 2
-    assert lm.score_texts(empty(spark), path).count() == 0
+    assert sum(got[i].score for i in some) > -math.log10(lm.END) * sum(len(values[i].encode()) for i in some) / 2
+    assert lm.score_texts(empty(spark), *RANKS).count() == 0
 
 
 def test_a_fixed_share_of_windows_trains(spark, monkeypatch):
     monkeypatch.setattr(lm, "ID_SLICE", 2000)
-    monkeypatch.setattr(lm, "LEAST_WINDOWS", 10)
-    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 5)
     seen = []
     fit = lm.fit_all
     monkeypatch.setattr(lm, "fit_all", lambda texts, *more: seen.append((texts.select("held", "ids", "id_ends").collect(), fit(texts, *more))))
-    lm.score_texts(documents(spark, texts()), path).count()
+    lm.score_texts(documents(spark, texts()), *RANKS).count()
     (rows, n), want = seen[0], 0
     for r in rows:
         owner, _ = lm.runs_of(np.frombuffer(r["id_ends"], np.int64))
         held = np.frombuffer(r["held"], np.uint8).astype(bool)
-        some = lm.training_windows(owner, held, zlib.crc32(r["ids"]), 8)
-        assert not held[owner[some]].any() and abs(len(some) - (~held[owner]).sum() / 8) < 1
+        some = lm.training_windows(owner, held, zlib.crc32(r["ids"]), lm.TRAIN_EVERY)
+        assert not held[owner[some]].any() and abs(len(some) - (~held[owner]).sum() / lm.TRAIN_EVERY) < 1
         want += len(some)
     assert n == want > 10
     assert lm.schedule(10**9) == (lm.TRAIN_EVERY, 1) and lm.schedule(0)[0] == 1 < lm.schedule(0)[1] and lm.schedule(3 * lm.LEAST_WINDOWS) == (3, 1)
@@ -78,7 +79,7 @@ def test_a_fixed_share_of_windows_trains(spark, monkeypatch):
 
 def test_every_seen_id_has_its_own_place():
     counts = np.random.default_rng(1).zipf(1.3, 32000).clip(0, 10**6) - 1
-    model = lm.AttentionModel.begin(counts, np.arange(32000) % 7)
+    model = lm.AttentionModel.begin(counts)
     seen = np.flatnonzero(counts)
     at = list(zip(model.class_of[model.place_of].tolist(), model.member_of[model.place_of].tolist()))
     assert len({at[i] for i in seen}) == len(seen) == len(model.embedding) - 1
@@ -97,7 +98,8 @@ def plain_score(model, ids: list) -> float:
         own = keys[-1][1]
         query = own @ model.query + model.place_query[k % lm.STRIDE]
         a = soft(np.array([query @ (e @ model.key + model.place_key[j - first]) for j, e in keys]) / math.sqrt(len(own)))
-        h = np.tanh(sum(w * (e @ model.value) for w, (_, e) in zip(a, keys)) + own @ model.residual + model.hidden_bias)
+        h = sum(w * (e @ model.value) for w, (_, e) in zip(a, keys)) + own @ model.residual + model.hidden_bias
+        h = h / (1 + np.abs(h))
         place = model.place_of[target]
         c = model.class_of[place]
         total += math.log(soft(h @ model.out + model.out_bias)[c]) + math.log(soft(h @ model.inner[c] + model.inner_bias[c])[model.member_of[place]]) + model.log_share[target]
@@ -107,7 +109,7 @@ def plain_score(model, ids: list) -> float:
 def test_scores_equal_those_of_one_token_at_a_time(monkeypatch):
     monkeypatch.setattr(lm, "SCORED_WINDOWS", 3)
     rng = np.random.default_rng(2)
-    model = lm.AttentionModel.begin(np.bincount(rng.integers(3, 80, 900), minlength=100))
+    model = lm.AttentionModel.begin(np.bincount(np.append(rng.integers(3, 80, 900), lm.END), minlength=lm.END + 1))
     for name in model.WEIGHTS:
         setattr(model, name, getattr(model, name) + 0.3 * rng.standard_normal(getattr(model, name).shape).astype(np.float32))
     docs = [rng.integers(3, 100, n).tolist() for n in (0, 1, lm.STRIDE - 1, lm.STRIDE, 5 * lm.STRIDE + 3, 7)]
@@ -127,7 +129,7 @@ def test_model_learns_what_follows_what(spark):
         while len(words) < 80:
             words.append(rng.choice(follow[words[-1]]))
         values.append(" ".join(words))
-    got = lm.score_texts(documents(spark, values), public_tokenizers.path("piece_bpe_32k.model")).filter("held_out").collect()
+    got = lm.score_texts(documents(spark, values), *RANKS).filter("held_out").collect()
     # the counts of words know nothing of what stands before them
     assert sum(r.score for r in got) > 0.7 * sum(r.base_score for r in got)
 

@@ -143,11 +143,6 @@ def test_mask(spark):
     assert [got[i]["kept_text"] for i in range(3)] == ["é <EMAIL> <IP> x", "none", None]
 
 
-def test_labelers_are_weighed():
-    assert 0 < pii.ACCEPT < 1
-    assert len(pii.LABELERS) == 5
-
-
 BASE_SECRETS = [
     ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
@@ -183,11 +178,89 @@ def test_secrets_after_names_and_in_mixed_runs(spark):
     assert got[5]["spans"] == []
 
 
+def test_labelers_are_weighed_and_decide(spark):
+    """Spans that the labelers should know, and look-alikes that they should not, among base spans that teach them."""
+    import random
+
+    rng = random.Random(2)
+    digits = lambda n: "".join(rng.choices("123456789", k=n))
+    teach = [f"call +1 ({digits(3)}) 555-{digits(4)} or mail ann{k}@mail.example.com at 10.{k % 250}.3.4 today" for k in range(150)]
+    decoys = [f"lot {digits(15)}0 of part{digits(7)}x in row {digits(6)}" for _ in range(60)]
+    decoys = [t for t in decoys if not any(ok(m[0]) for p, ok in BASE_PII.values() for m in re.finditer(p, t))]
+    more = {"write to ann (at) mail (dot) com soon": "spelled", "pay to DE89 3704 0044 0532 0130 00 please": "iban", "so said Mrs. Anna Novak then": "name", "she lives at 12 Long Hill Road now": "address"}
+    values = teach + decoys + list(more) + ["pay to DE00 3704 0044 0532 0130 00 please", "a plain line of words"]
+    got = by_id(pii.find_personal_data(documents(spark, values)))
+    added = [[s["kind"] for s in got[i]["spans"][len(got[i]["base"]) :]] for i in range(len(values))]
+    at = len(teach) + len(decoys)
+    assert added[at : at + 4] == [[kind] for kind in more.values()]
+    assert not any(added[:at]) and not any(added[at + 4 :])
+
+
+def test_reliabilities_by_em():
+    import random
+
+    rng = random.Random(1)
+    truth = {True: (0.9, 0.7, 0.5, 0.8, 0.6), False: (0.05, 0.2, 0.3, 0.1, 0.5)}
+    votes = Counter(tuple(1 if rng.random() < p else -1 for p in truth[rng.random() < 0.3]) for _ in range(20000))
+    prior, given = pii.fit_reliabilities(dict(votes))
+    assert abs(prior - 0.3) < 0.04
+    for k, labeler in enumerate(pii.LABELERS):
+        assert abs(given[labeler, 1][0] - truth[True][k]) < 0.05 and abs(given[labeler, 1][1] - truth[False][k]) < 0.05
+    assert pii.fit_reliabilities({})[0] == 0.5
+
+
+def test_columns_of_like_names_stay(spark):
+    df = spark.createDataFrame([(1, "mail a@b.c", "own", 7, 8)], "doc_id long, text string, email string, number int, base int")
+    (row,) = pii.find_personal_data(df).collect()
+    assert (row["email"], row["number"], [s["kind"] for s in row["base"]]) == ("own", 7, ["email"])
+
+
 def test_battery_tells_text_from_codes():
     assert secrets.guess_bin("aaaaaaaaaaaaaaaaaaaaaaaaaa1") is None
     assert secrets.guess_bin("thisisjustalongwordwithoutdigits") is None
     assert secrets.guess_bin("q9XfT2LmZ8aVw3Kc7RjY5tHbN1sDpE6u0GoIvQxM") > 40
-    assert secrets.discovery_bin({}) > 1000 and secrets.discovery_bin({100: 5, 0: 5}) == 100
+    assert secrets.discovery({})[1] > 1000 and secrets.discovery({(100, 20): 5, (0, 20): 5})[1] == 5
+
+
+def test_discoveries_equal_those_of_a_plain_procedure():
+    import math
+    import random
+
+    rng = random.Random(5)
+    drawn = [(rng.choice([0, 1, 3, 8, 20, 60, 90]), rng.randint(17, 30)) for _ in range(300)]
+    mean, least = secrets.discovery(Counter(drawn), 0.05)
+    weights = [2 ** (kind / 4) for _, kind in drawn]
+    scaled = [w * len(drawn) / sum(weights) for w in weights]
+    p = [10 ** (-b / 20) / w for (b, _), w in zip(drawn, scaled)]
+    ranked = sorted(p)
+    accepted = max((x for k, x in enumerate(ranked) if x <= 0.05 * (k + 1) / len(p)), default=-1)
+    found = [b / 20 + math.log10(2 ** (kind / 4) / mean) >= least - 1e-9 for b, kind in drawn]
+    assert found == [x <= accepted * (1 + 1e-9) for x in p] and 0 < sum(found) < len(p)
+
+
+def test_battery_alone_finds_what_is_random(spark):
+    import random
+
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta7", "gamma", "delta", "release-notes-2024-final-version", "aaaaaaaaaa1aaaaaaaaaaaaa", "path/to/the/file2/of/this/thing"]) for _ in range(n))
+    code = lambda n: "".join(rng.choices(secrets.ALPHABETS["base62"], k=n))
+    values = [words(30) for _ in range(60)] + [words(9) + " " + code(44) + " " + words(9) for _ in range(40)]
+    got = by_id(secrets.scan_secrets(documents(spark, values)))
+    hits = [bool([s for s in got[i]["spans"] if s["kind"] == "random" and s["end"] - s["start"] == 44]) for i in range(100)]
+    assert not any(hits[:60]) and sum(hits[60:]) >= 38
+    assert not any(got[i]["spans"] for i in range(60)) and not any(got[i]["base"] for i in range(100))
+
+
+def test_agenda_needs_no_mending():
+    import random
+
+    rng = random.Random(7)
+    vocabulary = spm_codec.MergeVocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    encoder = spm_codec.CheckedEncoder(vocabulary)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEéßüñ0123456789.,-_@#&"
+    words = {w for t in texts() for w in spm_codec.words_of(t or "")} | {"".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(5000)}
+    encoder(sorted(w for w in words if w))
+    assert encoder.mended == 0
 
 
 def test_sentencepiece(spark):
