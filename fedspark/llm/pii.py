@@ -49,25 +49,33 @@ RUN = 64
 OWN = "_pii_"
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once for each row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def in_runs(items: Column, start: Column, step, out) -> Column:
     """Folds items in runs of RUN: step(state, item) makes states with a field `out`, an array that a run begins anew."""
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda i: F.slice(items, i * RUN + 1, RUN))
-    fold = lambda acc, run: F.transform(F.array(F.aggregate(run, acc["state"], step)), lambda s: F.struct(F.concat(acc["all"], F.array(s["out"])).alias("all"), s.withField("out", out).alias("state")))[0]
+    fold = lambda acc, run: let(F.aggregate(run, acc["state"], step), lambda s: F.struct(F.concat(acc["all"], F.array(s["out"])).alias("all"), s.withField("out", out).alias("state")))
     first = F.struct(F.slice(F.array(out), 1, 0).alias("all"), start.alias("state"))
-    return F.flatten(F.aggregate(runs, first, fold, lambda acc: acc["all"]))
+
+    def of(given: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(given) - 1) / RUN).cast("int")), lambda i: F.slice(given, i * RUN + 1, RUN))
+        return F.flatten(F.aggregate(runs, first, fold, lambda acc: acc["all"]))
+
+    return let(items, of)
 
 
 def find(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all matches, in code points: matches and what lies between them have the lengths."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))
     step = lambda acc, x: F.struct(
         F.when(x["match"].isNull(), acc["out"])
         .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["match"])).alias("end"), x["match"].alias("match")))))
         .alias("out"),
         (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["match"]), F.lit(0))).alias("at"),
     )
-    return F.when(F.size(found) > 0, in_runs(pairs, F.struct(_none().alias("out"), F.lit(0).alias("at")), step, _none())).otherwise(_none())
+    fold = lambda found: in_runs(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match")), F.struct(_none().alias("out"), F.lit(0).alias("at")), step, _none())
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, fold(found)).otherwise(_none()))
 
 
 def _none() -> Column:
@@ -241,7 +249,7 @@ def find_personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     order = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     accepted = F.transform(F.array_sort(F.transform(F.filter(OWN + "more", lambda s: score(s) >= bar), order)), slim)
     base = F.transform(OWN + "base", slim)
-    return narrow.select(*own, F.concat(base, accepted).alias("spans"), base.alias("base"))
+    return narrow.select(*own, F.concat(base, F.when(F.size(OWN + "more") > 0, accepted).otherwise(F.slice(base, 1, 0))).alias("spans"), base.alias("base"))
 
 
 def joined(spans: str) -> Column:
@@ -250,15 +258,19 @@ def joined(spans: str) -> Column:
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of spans that touch, the union by the first one's kind."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
     none = F.expr("cast(array() as array<string>)")
     step = lambda acc, s: F.struct(
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], -s["less"]).alias("at"),
     )
-    pieces = in_runs(ordered, F.struct(none.alias("out"), F.lit(0).alias("at")), step, none)
-    rest = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.char_length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+
+    def masked(given: Column) -> Column:
+        ordered = F.array_sort(F.transform(given, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+        pieces = in_runs(ordered, F.struct(none.alias("out"), F.lit(0).alias("at")), step, none)
+        rest = F.substring(text, F.array_max(F.transform(given, lambda s: s["end"])) + 1, F.char_length(text))
+        return F.when(F.size(given) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+
+    return let(spans, masked)
 
 
 def op2_personal_data(spark, sf_dir):

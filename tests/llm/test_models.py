@@ -160,7 +160,9 @@ def test_pipeline(spark, tmp_path):
 
     import corpus_pipeline
 
-    values = texts(n=25) + near_copies()
+    prose = [t for t in texts(n=60) if len(WORD.findall(t or "")) > 50][:8]
+    marked = [f"{t} {x} {t.upper()}" for t, x in zip(prose, ["mail some.one@host.example.com", "at 10.20.30.40 and +1 (743) 555-3824", "card 4111 1111 1111 1111 x@y.zz", "+49 30 123 456 78 90 4111-1111-1111-1111"])]
+    values = texts(n=25) + near_copies() + marked
     table = pa.table({"doc_id": pa.array(range(len(values)), pa.int64()), "text": pa.array(values, pa.string()), "lang": ["en"] * len(values), "source": ["s"] * len(values), "n_chars": pa.array([len(t or "") for t in values], pa.int64())})
     rows = corpus_pipeline.run(spark, write(tmp_path, documents=table)).collect()
     kept = {r.doc_id for r in quality.quality_rules(documents(spark, values)).filter("kept").collect()}
@@ -173,13 +175,21 @@ def test_pipeline(spark, tmp_path):
     pieces = {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
+    masked_some = 0
     for i in stay:
-        spans = [(m.start(), m.end(), kind) for kind, (p, ok) in BASE_PII.items() for m in re.finditer(p, values[i]) if ok(m[0])]
-        if not spans:
-            ids = [*tokenizer.encode(values[i], add_special_tokens=False).ids, 2]
-            for r in pieces[i]:
-                assert r.doc_tokens == len(ids)
-                assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r.start : r.start + r.length]))
+        spans = sorted((m.start(), -m.end(), kind) for kind, (p, ok) in BASE_PII.items() for m in re.finditer(p, values[i]) if ok(m[0]))
+        masked, at = "", 0
+        for start, end, kind in spans:
+            if start >= at:
+                masked += values[i][at:start] + f"<{kind.upper()}>"
+            at = max(at, -end)
+        masked += values[i][at:]
+        masked_some += masked != values[i]
+        ids = [*tokenizer.encode(masked, add_special_tokens=False).ids, 2]
+        for r in pieces[i]:
+            assert r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r.start : r.start + r.length]))
+    assert masked_some >= 3
     assert corpus_pipeline.ORACLE_SQL is None and [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "PII", "packing"]
 
 
@@ -196,3 +206,16 @@ def test_pipeline_decides_by_row(spark):
     assert found(first) == sorted([(1, rows[0][1]), (1, rows[2][1]), (2, long[2]), (0, long[3])])
     masked = corpus_pipeline.mask_personal_data(spark, first, "")
     assert found(masked) == sorted([(1, rows[0][1].replace("a.b@c.de", "<EMAIL>")), (1, rows[2][1].replace("someone.else@example.org", "<EMAIL>")), (2, long[2]), (0, long[3])])
+
+
+def test_pipeline_stages_on_empty_tables_and_null_texts(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    nulls = spark.createDataFrame([(1, None, None, None, None), (None, None, None, None, None), (1, None, None, None, None)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, "").count() == 0, name
+        assert stage(spark, nulls, "").count() == (0 if name == "quality rules" else 3), name
+    assert corpus_pipeline.pack_windows(spark, none, "").count() == 0
+    assert [(r.doc_id, r.length) for r in corpus_pipeline.pack_windows(spark, nulls.filter("doc_id is null"), "").collect()] == [(None, 1)]

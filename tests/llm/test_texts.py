@@ -242,7 +242,7 @@ def test_battery_alone_finds_what_is_random(spark):
     import random
 
     rng = random.Random(9)
-    words = lambda n: " ".join(rng.choice(["alpha", "beta7", "gamma", "delta", "release-notes-2024-final-version", "aaaaaaaaaa1aaaaaaaaaaaaa", "path/to/the/file2/of/this/thing"]) for _ in range(n))
+    words = lambda n: " ".join(rng.choice(["alpha", "beta7", "gamma", "delta", "release-notes-2024-final-version", "zzzzzzzzzz1zzzzzzzzzzzz", "path/to/the/file2/of/this/thing"]) for _ in range(n))
     code = lambda n: "".join(rng.choices(secrets.ALPHABETS["base62"], k=n))
     values = [words(30) for _ in range(60)] + [words(9) + " " + code(44) + " " + words(9) for _ in range(40)]
     got = by_id(secrets.scan_secrets(documents(spark, values)))
@@ -368,3 +368,47 @@ def test_sharding(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert sharding.interleave(empty(spark)).count() == 0
     assert sorted((r["shard"], r.slot) for r in sharding.interleave(documents(spark, ["a", "a", None]), 8).collect()) == [(0, 0), (2, 0), (5, 0)]
+
+
+def test_sharding_order_by_brute_force(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "ROWS_PER_BUCKET", 5)
+    monkeypatch.setattr(sharding, "RUN", 4)
+    values = texts(n=150)
+    docs = documents(spark, values)
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(42), F.col("doc_id").cast("long")).alias("h")).collect()}
+    rows = [(r.source, hashes[r.doc_id], r.doc_id) for r in docs.collect()]
+    by_source = {}
+    for source, h, doc in sorted(rows, key=lambda r: (str(r[0]), (r[1] % (1 << 64)) >> 33, r[1])):
+        by_source.setdefault(source, []).append((h, doc))
+    shares = [((k + 0.5) / len(own), "" if source is None else source, h, doc) for source, own in by_source.items() for k, (h, doc) in enumerate(own)]
+    n, want = len(shares), []
+    for place, (*_, doc) in enumerate(sorted(shares)):
+        shard = place * 8 // n
+        want.append((doc, shard, place - -(-shard * n // 8)))
+    got = [(r.doc_id, r["shard"], r.slot) for r in sharding.interleave(docs, 8).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_repeated_and_null_ids_and_long_texts(spark):
+    """Every operator on texts keeps rows with one doc_id, or none, apart, and takes texts beyond any of its slices."""
+    long = "long words of a text " * 8000 + "mail last@one.org token = abcdef1234"
+    rows = [(1, "first text of one mail a@b.c"), (1, "second text of one, token = qwerty99"), (None, "no id here 10.1.2.3"), (None, None), (1, "first text of one mail a@b.c"), (2, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source").repartition(2)
+    key = lambda r: (r is None, r or 0)
+    ids = sorted((i for i, _ in rows), key=key)
+    found = pii.find_personal_data(docs).collect()
+    assert sorted((len(r.base) for r in found)) == [0, 0, 1, 1, 1, 1]
+    assert sorted((r.doc_id for r in found), key=key) == ids
+    found = secrets.scan_secrets(docs).collect()
+    assert sorted(len(r.base) for r in found) == [0, 0, 0, 0, 1, 1] and sorted((r.doc_id for r in found), key=key) == ids
+    found = quality.quality_rules(docs).collect()
+    assert sorted(r.n_words for r in found) == sorted(len(WORD.findall(t or "")) for _, t in rows)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = spm_codec.encode_decode(docs, path, with_ids=True).collect()
+    assert sorted(r.decoded for r in found) == sorted(t or "" for _, t in rows)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id for r in pieces if r.start == 0), key=key) == ids and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    found = sharding.interleave(docs, 2).collect()
+    assert sorted((r.doc_id for r in found), key=key) == ids and sorted((r["shard"], r.slot) for r in found) == [(a, b) for a in range(2) for b in range(3)]
