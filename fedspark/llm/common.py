@@ -41,13 +41,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The table goes with forget(), or when the driver's process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = temporary_folder(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what stands there goes when the driver's process ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_all)
     _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def forget(df: DataFrame) -> None:
