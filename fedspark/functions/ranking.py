@@ -11,6 +11,30 @@ from pyspark.sql import functions as F
 from .hashing import hash_hex
 
 
+#: Rows of a bucket, about, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1024
+
+
+def sketched(df: DataFrame, value: str, per_bucket: int = BUCKET_ROWS, most: int = MOST_BUCKETS) -> Column:
+    """A bucket for running() that doesn't fall as value rises: ranges that a quantile sketch of df's values bounds, so that
+    crowded values get narrow ones. Equal values share a bucket. One scan; the driver gets `most` numbers at most."""
+    row = df.agg(F.count(value).alias("n"), F.percentile_approx(value, [k / most for k in range(1, most)], 10 * most).alias("cuts")).first()
+    wanted = min(most, -(-row["n"] // per_bucket))
+    if wanted < 2:
+        return F.lit(0)
+    found = row["cuts"]
+    cuts = sorted({found[round(k * most / wanted) - 1] for k in range(1, wanted)})
+
+    def tree(low: int, high: int) -> Column:
+        """The number of cuts below a value that lies above cuts[:low] and not above cuts[high:]."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(value) > cuts[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(cuts))
+
+
 def running(df: DataFrame, bucket: Column, order: list, sums: dict[str, Column | str], keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds, for each name of sums, the sum up to and with the row's peers, in the order of `bucket` and then `order`.
 

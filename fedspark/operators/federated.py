@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .model import Adam, gradients, score
+from . import training
+from .model import gradients, score
 
 
 def fedavg(client_params: DataFrame) -> DataFrame:
@@ -34,60 +34,22 @@ def federated_rounds(rows: DataFrame, classes: int, width: int, rounds: int, rat
     return w
 
 
-#: Rows that one group of local training holds, about.
-BLOCK_ROWS = 100_000
+def federated_adam(rows: DataFrame, classes: int, width: int, rounds: int, epochs: int, batch: int | None = 32, rate: float = 1e-2, validate: DataFrame | None = None) -> tuple[np.ndarray, list[dict]]:
+    """Rounds of local Adam and averaging, over rows (id, features, label, client) with clients from 0 on.
 
-
-def local_adam(rows: DataFrame, w: np.ndarray, epochs: int, blocks: int | None = None, rate: float = 1e-2, decay: float = 1e-4, batch: int = 32) -> DataFrame:
-    """Clients' parameters (client, c, j, w, n) after epochs of Adam in mini-batches.
-
-    A client's rows are dealt to `blocks` groups, which train apart and are averaged like clients of their own, so a
-    client that holds most rows isn't one task. Without blocks, each client has one for every BLOCK_ROWS rows: a client of
-    so many rows at most trains in one sequence of mini-batches, and a larger one is the average of such sequences.
+    A client's epoch is one step for each batch of its own shuffle, whose gradient is summed where its rows are: a
+    client of any size trains by one definition. All clients' b-th batches are one job, so an epoch has as many jobs as its
+    largest client has batches; choose batch by that. With validate, the best round by macro F1 on it wins, and it must
+    be neither train nor test rows.
     """
-    classes, width = w.shape
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        x, y = np.stack(group["features"].to_numpy()).astype(float), group["label"].to_numpy()
-        own, adam, rng = w.copy(), Adam(rate, decay), np.random.default_rng(7)
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(y), batch):
-                some = order[at : at + batch]
-                z = x[some] @ own.T
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(some)), y[some]] -= 1
-                own = adam(own, p.T @ x[some] / len(some))
-        return pd.DataFrame({"client": group["client"].iloc[0], "c": np.repeat(np.arange(classes), width), "j": np.tile(np.arange(width), classes), "w": own.ravel(), "n": len(y)})
-
-    rows = rows.withColumn("client", F.col("client").cast("long"))
-    if blocks is None:
-        sizes = rows.groupBy("client").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_blocks")).withColumnRenamed("client", "_of")
-        rows = rows.join(F.broadcast(sizes), rows["client"].eqNullSafe(F.col("_of")))
-    else:
-        rows = rows.withColumn("_blocks", F.lit(blocks))
-    dealt = rows.select("id", "features", "label", "client", F.pmod(F.xxhash64("id"), F.col("_blocks").cast("long")).alias("_block"))
-    parts = dealt.groupBy("client", "_block").applyInPandas(fit, "client long, c long, j long, w double, n long")
-    return parts.groupBy("client", "c", "j").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"), F.sum("n").alias("n"))
-
-
-def federated_adam(rows: DataFrame, classes: int, width: int, rounds: int, epochs: int, blocks: int | None = None, rate: float = 1e-2, validate: DataFrame | None = None) -> tuple[np.ndarray, list[dict]]:
-    """Rounds of local Adam and averaging. With validate, the best round by macro F1 on it wins, and it must be neither train nor test rows."""
     from .metrics import macro_f1
 
-    w, best, history = np.zeros((classes, width)), None, []
-    for r in range(rounds):
-        after = np.zeros_like(w)
-        for x in fedavg(local_adam(rows, w, epochs, blocks, rate)).collect():
-            after[int(x["c"]), int(x["j"])] = x["w"]
-        w = after
-        f1 = macro_f1(score(validate, w)) if validate is not None else 0.0
-        history.append({"round": r + 1, "f1": f1})
-        if validate is not None and (best is None or f1 > best[0]):
-            best = (f1, w)
-    return (best[1] if best else w), history
+    clients = (rows.agg(F.max("client")).first()[0] or 0) + 1
+    plan = training.Experiment("federated", clients, rounds=rounds, epochs=epochs, batch=batch, rate=rate)
+    trainer = training.Trainer([plan], classes, width)
+    figure = (lambda _, w: macro_f1(score(validate, w))) if validate is not None else None
+    state = trainer.train(rows.withColumn("units", F.array(F.col("client").cast("int"))), figure)
+    return trainer.weights_of(0), [{"round": h["round"], "f1": h["f1"]} for h in state.history]
 
 
 def client_metrics(scored: DataFrame) -> DataFrame:

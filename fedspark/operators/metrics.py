@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import running
-
-#: Scores are put into so many ranges, each a window of its own.
-SCORE_BUCKETS = 4096
+from ..functions.ranking import running, sketched
 
 
 def confusion(scored: DataFrame, classes: int) -> DataFrame:
@@ -25,14 +22,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def precision_recall(counts: DataFrame) -> DataFrame:
-    """(c, support, hits, precision, recall, f1) from confusion counts; 0 where undefined."""
-    both = counts.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(True).alias("is_label")), F.struct(F.col("pred").alias("c"), F.lit(False).alias("is_label")))).alias("x"), "label", "pred", "n")
-    sums = both.groupBy(F.col("x.c").alias("c")).agg(
+def precision_recall(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, c, support, hits, precision, recall, f1) from confusion counts; 0 where undefined."""
+    both = counts.select(*keys, F.explode(F.array(F.struct(F.col("label").alias("c"), F.lit(True).alias("is_label")), F.struct(F.col("pred").alias("c"), F.lit(False).alias("is_label")))).alias("x"), "label", "pred", "n")
+    sums = both.groupBy(*keys, F.col("x.c").alias("c")).agg(
         F.sum(F.when(F.col("x.is_label") & (F.col("label") == F.col("pred")), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("x.is_label"), F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(~F.col("x.is_label"), F.col("n")).otherwise(0)).alias("predicted")
     )
     p, r = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    return sums.select("c", "support", F.col("tp").alias("hits"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+    return sums.select(*keys, "c", "support", F.col("tp").alias("hits"), p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
 def macro(scored: DataFrame, classes: int) -> DataFrame:
@@ -41,6 +38,13 @@ def macro(scored: DataFrame, classes: int) -> DataFrame:
     return by_class.agg(ratio(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"), F.avg("f1").alias("f1_macro"))
 
 
+def macro_by(scored: DataFrame, classes: int, keys: tuple[str, ...]) -> DataFrame:
+    """macro() of each key's rows. A class that no row has and none is taken for counts as 0."""
+    by_class = precision_recall(scored.groupBy(*keys, "label", "pred").agg(F.count(F.lit(1)).alias("n")), keys)
+    mean = lambda name: (F.sum(name) / classes).alias(f"{name}_macro")
+    return by_class.groupBy(*keys).agg(ratio(F.sum("hits"), F.sum("support")).alias("accuracy"), mean("precision"), mean("recall"), mean("f1"))
+
+
 def macro_f1_present(scored: DataFrame) -> DataFrame:
     """Mean F1 over the classes that are labels or predictions of some row."""
     counts = scored.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
@@ -51,28 +55,28 @@ def macro_f1(scored: DataFrame) -> float:
     return macro_f1_present(scored).first()["f1_macro"] or 0.0
 
 
-def one_vs_rest(scored: DataFrame) -> DataFrame:
-    """(c, score, pos, neg): for each class and distinct score, to nine decimals, its positives and negatives."""
-    long = scored.select("label", F.posexplode("probs").alias("c", "p"))
-    return long.groupBy("c", F.round("p", 9).alias("score")).agg(F.sum(F.when(F.col("label") == F.col("c"), 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") != F.col("c"), 1).otherwise(0)).alias("neg"))
+def one_vs_rest(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, c, score, pos, neg): for each class and distinct score, to nine decimals, its positives and negatives."""
+    long = scored.select(*keys, "label", F.posexplode("probs").alias("c", "p"))
+    return long.groupBy(*keys, "c", F.round("p", 9).alias("score")).agg(F.sum(F.when(F.col("label") == F.col("c"), 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") != F.col("c"), 1).otherwise(0)).alias("neg"))
 
 
-def auroc(points: DataFrame) -> DataFrame:
-    """(c, auroc) by the rank statistic, ties half: each positive beats the negatives below it. Null without both kinds."""
-    below = running(points, F.floor(F.col("score") * SCORE_BUCKETS), ["score"], {"neg_to": "neg"}, ("c",))
-    won = below.groupBy("c").agg(F.sum(F.col("pos") * (F.col("neg_to") - F.col("neg") / 2)).alias("won"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return won.select("c", F.try_divide(F.col("won").cast("double"), (F.col("_p") * F.col("_n")).cast("double")).alias("auroc"))
+def auroc(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, c, auroc) by the rank statistic, ties half: each positive beats the negatives below it. Null without both kinds."""
+    below = running(points, sketched(points, "score"), ["score"], {"neg_to": "neg"}, (*keys, "c"))
+    won = below.groupBy(*keys, "c").agg(F.sum(F.col("pos") * (F.col("neg_to") - F.col("neg") / 2)).alias("won"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return won.select(*keys, "c", F.try_divide(F.col("won").cast("double"), (F.col("_p") * F.col("_n")).cast("double")).alias("auroc"))
 
 
-def auroc_macro(points: DataFrame) -> DataFrame:
+def auroc_macro(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean over the classes; 0 where any class has no positives or no negatives, as the mean is then undefined."""
-    of = auroc(points)
-    return of.agg(F.when(F.count("auroc") == F.count(F.lit(1)), F.avg("auroc")).otherwise(0.0).alias("auroc_macro")).select(F.coalesce("auroc_macro", F.lit(0.0)).alias("auroc_macro"))
+    of = auroc(points, keys)
+    return of.groupBy(*keys).agg(F.when(F.count("auroc") == F.count(F.lit(1)), F.avg("auroc")).otherwise(0.0).alias("auroc_macro")).select(*keys, F.coalesce("auroc_macro", F.lit(0.0)).alias("auroc_macro"))
 
 
 def roc_points(points: DataFrame) -> DataFrame:
     """(c, score, tpr, fpr), from the highest score down."""
-    down = running(points, -F.floor(F.col("score") * SCORE_BUCKETS), [F.desc("score")], {"tp": "pos", "fp": "neg"}, ("c",))
+    down = running(points, -sketched(points, "score"), [F.desc("score")], {"tp": "pos", "fp": "neg"}, ("c",))
     totals = points.groupBy("c").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     return down.join(F.broadcast(totals), "c").select("c", "score", "pos", "neg", ratio(F.col("tp"), F.col("_p")).alias("tpr"), ratio(F.col("fp"), F.col("_n")).alias("fpr"), "_p", "_n")
 

@@ -156,7 +156,7 @@ def count_params(params: DataFrame, frozen: Column) -> DataFrame:
     return params.agg(F.count(F.lit(1)).alias("total"), F.count_if(~frozen).alias("trainable"))
 
 
-def freeze_schedule(spark: SparkSession, epochs: int, freeze_epochs: int, rate: float = 1e-4) -> DataFrame:
-    e = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"))
+def freeze_schedule(epochs: DataFrame, freeze_epochs: int, rate: float = 1e-4) -> DataFrame:
+    """Epochs with their phase and rate: frozen up to freeze_epochs, then all at a tenth by a fresh optimiser."""
     on = F.col("epoch") < freeze_epochs
-    return e.select("epoch", F.when(on, "frozen").otherwise("all").alias("phase"), F.when(on, rate).otherwise(rate * 0.1).alias("rate"), (F.col("epoch") == freeze_epochs).alias("fresh_optimiser"))
+    return epochs.select("epoch", F.when(on, "frozen").otherwise("all").alias("phase"), F.when(on, rate).otherwise(rate * 0.1).alias("rate"), (F.col("epoch") == freeze_epochs).alias("fresh_optimiser"))

@@ -72,21 +72,25 @@ def lanczos_weights(source: int, target: int, lobes: int = 3) -> list[list[float
     return out
 
 
+#: Pixels that one step of resizing makes, about.
+STEP_PIXELS = 1 << 21
 WEIGHTS = {"bilinear": bilinear_weights, "lanczos": lanczos_weights}
 
 
 def resize(rows: DataFrame, column: str, source: tuple[int, int], target: tuple[int, int], method: str = "bilinear") -> DataFrame:
     """Images (arrays of pixels, rows first) in a column, resized from one height and width to another.
 
-    Two matrix products for each Arrow batch: one over the rows' weights and one over the columns'. A null image stays
-    null, and one of another size becomes null.
+    Two matrix products for each run of images, of STEP_PIXELS pixels at most: one over the rows' weights and one over the
+    columns'. A null image stays null, and one of another size becomes null.
     """
     down, across = (np.array(WEIGHTS[method](s, t)) for s, t in zip(source, target))
     pixels, names = source[0] * source[1], rows.columns
     at = names.index(column)
 
+    step = max(1, STEP_PIXELS // (target[0] * max(target[1], source[1])))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, step) for b in batches for k in range(0, len(b), step)):
             images = batch.column(at)
             fits = pc.fill_null(pc.equal(pc.list_value_length(images), pixels), False)
             given = images.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *source)

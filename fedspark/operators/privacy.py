@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_gauss
-from ..functions.ranking import running
+from ..functions.ranking import running, sketched
 from .model import clip_by_norm, gradients, matrix
 
 #: Noise multipliers by target epsilon (fixed values); others take the default.
@@ -91,29 +91,30 @@ def thresholds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t,) for t in THRESHOLDS], "t double")
 
 
-def attack_sweep(members: DataFrame) -> DataFrame:
-    """(t, accuracy): the share of rows (confidence, member) whose `confidence >= t` says whether they are members.
+def attack_sweep(members: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, accuracy): the share of rows (confidence, member) whose `confidence >= t` says whether they are members.
 
     Rows are counted by the threshold they still reach, which is one small aggregation; the sums over thresholds follow.
     """
     spark = members.sparkSession
     reached = F.size(F.filter(F.array(*map(F.lit, THRESHOLDS)), lambda t: F.col("confidence") >= t))
-    counts = members.groupBy(reached.alias("reached")).agg(F.sum("member").alias("m"), F.sum(1 - F.col("member")).alias("o"))
+    counts = members.groupBy(*keys, reached.alias("reached")).agg(F.sum("member").alias("m"), F.sum(1 - F.col("member")).alias("o"))
     index = spark.createDataFrame(list(enumerate(THRESHOLDS)), "i int, t double")
-    pairs = index.crossJoin(F.broadcast(counts))  # 90 thresholds and at most 91 counts
+    pairs = index.crossJoin(F.broadcast(counts))  # 90 thresholds and at most 91 counts a key
     hits = F.when(F.col("reached") > F.col("i"), F.col("m")).otherwise(F.col("o"))
-    return pairs.groupBy("t").agg((F.sum(hits) / F.sum(F.col("m") + F.col("o"))).alias("accuracy"))
+    return pairs.groupBy(*keys, "t").agg((F.sum(hits) / F.sum(F.col("m") + F.col("o"))).alias("accuracy"))
 
 
-def best_attack(sweep: DataFrame) -> DataFrame:
-    """The lowest of the best thresholds: accuracy and advantage in percent, beside the rate of always saying member."""
-    return sweep.orderBy(F.desc("accuracy"), "t").limit(1).select((F.col("accuracy") * 100).alias("accuracy_pct"), (F.col("accuracy") * 100 - 50).alias("advantage_pct"), F.col("t").alias("threshold"))
+def best_attack(sweep: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The lowest of the best thresholds, of each key: accuracy and advantage in percent, beside the rate of always saying member."""
+    best = sweep.groupBy(*keys).agg(F.max(F.struct("accuracy", (-F.col("t")).alias("t"))).alias("_best")).filter("_best is not null")
+    return best.select(*keys, F.col("_best.accuracy").alias("accuracy"), (-F.col("_best.t")).alias("t")).select(*keys, (F.col("accuracy") * 100).alias("accuracy_pct"), (F.col("accuracy") * 100 - 50).alias("advantage_pct"), F.col("t").alias("threshold"))
 
 
 def attack_curve(members: DataFrame) -> DataFrame:
     """(confidence, tpr, fpr) for each distinct confidence to six decimals: shares of members and others at or above it."""
     points = members.groupBy(F.round("confidence", 6).alias("confidence")).agg(F.sum("member").alias("m"), F.sum(1 - F.col("member")).alias("o"))
-    down = running(points, -F.floor(F.col("confidence") * 1024), [F.desc("confidence")], {"mt": "m", "ot": "o"})
+    down = running(points, -sketched(points, "confidence"), [F.desc("confidence")], {"mt": "m", "ot": "o"})
     totals = points.agg(F.sum("m").alias("_m"), F.sum("o").alias("_o"))
     return down.crossJoin(F.broadcast(totals)).select("confidence", (F.col("mt") / F.col("_m")).alias("tpr"), (F.col("ot") / F.col("_o")).alias("fpr"))
 

@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Experiments by name (setting, model, alpha, clients, epochs), one variable at a time around a base configuration.
+#: Experiments by name (setting, model, alpha, clients, rounds, local epochs), one variable at a time around a base configuration.
 ABLATIONS = (
-    ("A1_no_dp", "federated", "resnet50", 0.5, 4, 5),
-    ("A2_with_dp", "private", "resnet50", 0.5, 1, 5),
-    ("A4_resnet50", "central", "resnet50", 0.5, 1, 5),
-    ("A4_vgg19", "central", "vgg19", 0.5, 1, 5),
-    ("A5_alpha0.1", "federated", "resnet50", 0.1, 4, 5),
-    ("A5_alpha0.5", "federated", "resnet50", 0.5, 4, 5),
-    ("A5_alpha1.0", "federated", "resnet50", 1.0, 4, 5),
-    ("A5_alpha100.0", "federated", "resnet50", 100.0, 4, 5),
-    ("A6_K2", "federated", "resnet50", 0.5, 2, 5),
-    ("A6_K4", "federated", "resnet50", 0.5, 4, 5),
-    ("A6_K6", "federated", "resnet50", 0.5, 6, 5),
-    ("A7_E1", "federated", "resnet50", 0.5, 4, 1),
-    ("A7_E3", "federated", "resnet50", 0.5, 4, 3),
-    ("A7_E5", "federated", "resnet50", 0.5, 4, 5),
+    ("A1_no_dp", "federated", "resnet50", 0.5, 4, 15, 5),
+    ("A2_with_dp", "private", "resnet50", 0.5, 1, 1, 15),
+    ("A4_resnet50", "central", "resnet50", 0.5, 1, 1, 15),
+    ("A4_vgg19", "central", "vgg19", 0.5, 1, 1, 15),
+    ("A5_alpha0.1", "federated", "resnet50", 0.1, 4, 8, 5),
+    ("A5_alpha0.5", "federated", "resnet50", 0.5, 4, 8, 5),
+    ("A5_alpha1.0", "federated", "resnet50", 1.0, 4, 8, 5),
+    ("A5_alpha100.0", "federated", "resnet50", 100.0, 4, 8, 5),
+    ("A6_K2", "federated", "resnet50", 0.5, 2, 8, 5),
+    ("A6_K4", "federated", "resnet50", 0.5, 4, 8, 5),
+    ("A6_K6", "federated", "resnet50", 0.5, 6, 8, 5),
+    ("A7_E1", "federated", "resnet50", 0.5, 4, 8, 1),
+    ("A7_E3", "federated", "resnet50", 0.5, 4, 8, 3),
+    ("A7_E5", "federated", "resnet50", 0.5, 4, 8, 5),
 )
 
 
@@ -63,17 +61,6 @@ def unpivot_metrics(rows: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return rows.unpivot(key, metrics, "metric", "value")
 
 
-def run_sweep(spark: SparkSession, run: Callable[..., dict], configs=ABLATIONS) -> DataFrame:
-    """One row for each configuration: its metrics as a map, or what went wrong."""
-    out = []
-    for name, *rest in configs:
-        try:
-            out.append((name, {k: float(v) for k, v in run(*rest).items()}, None))
-        except Exception as error:  # a failed experiment is a row
-            out.append((name, None, str(error)))
-    return spark.createDataFrame(out, "experiment string, metrics map<string,double>, error string")
-
-
 def ablation_table(results: DataFrame) -> DataFrame:
     """A sweep's rows as shown: figures in percent to one decimal, 0 where an experiment failed or lacks one."""
     of = lambda name: F.coalesce(F.try_element_at("metrics", F.lit(name)), F.lit(0.0))

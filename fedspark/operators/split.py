@@ -46,21 +46,33 @@ def dirichlet_partition(rows: DataFrame, classes: int, clients: int = 4, alpha:
     return dealt.drop("alpha", "clients")
 
 
+def _ranked_ways(rows: DataFrame, classes: int, ways: list[tuple[float, int]], seed: int) -> DataFrame:
+    """Rows with their rank within their label and `_ways`: for each way, in order, its number, alpha, clients and the ranks
+    at which clients end. Labels outside 0 to classes - 1, and null ones, have no cuts."""
+    spark = rows.sparkSession
+    shares = [(i, a, k, c, [float(x) for x in row[:-1]]) for i, (a, k) in enumerate(ways) for c, row in enumerate(dirichlet_proportions(classes, k, a, seed))]
+    cuts = spark.createDataFrame(shares, "i int, alpha double, clients int, _label int, shares array<double>")
+    n = rows.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = n.join(cuts, "_label").withColumn("_cuts", F.transform("shares", lambda s: F.floor(s * F.col("_n"))))
+    by_label = F.broadcast(cuts.groupBy("_label").agg(F.array_sort(F.collect_list(F.struct("i", "alpha", "clients", "_cuts"))).alias("_ways")))  # a row for each class
+    none = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("alpha"), F.lit(k).alias("clients"), F.expr("cast(array() as array<bigint>)").alias("_cuts")) for i, (a, k) in enumerate(ways)))
+    ranked = hash_rank(rows, seed, keys=("label",)).join(by_label, F.col("label") == F.col("_label"), "left")
+    return ranked.select(*rows.columns, "rn", F.coalesce("_ways", none).alias("_ways"))
+
+
 def deal_by_cuts(rows: DataFrame, classes: int, ways: list[tuple[float, int]], seed: int = 42) -> DataFrame:
     """Rows with alpha, clients and client for each way (alpha, clients) of dealing them out; the rows are ranked once.
 
     Labels outside 0 to classes - 1, and null ones, have no shares: they go to client 0.
     """
-    spark = rows.sparkSession
-    shares = [(a, k, c, [float(x) for x in row[:-1]]) for a, k in ways for c, row in enumerate(dirichlet_proportions(classes, k, a, seed))]
-    cuts = spark.createDataFrame(shares, "alpha double, clients int, _label int, shares array<double>")
-    n = rows.groupBy(F.col("label").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = n.join(cuts, "_label").withColumn("_cuts", F.transform("shares", lambda s: F.floor(s * F.col("_n"))))
-    by_label = F.broadcast(cuts.groupBy("_label").agg(F.collect_list(F.struct("alpha", "clients", "_cuts")).alias("_ways")))  # a row for each class
-    none = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(k).alias("clients"), F.expr("cast(array() as array<bigint>)").alias("_cuts")) for a, k in ways))
-    ranked = hash_rank(rows, seed, keys=("label",)).join(by_label, F.col("label") == F.col("_label"), "left")
-    each = ranked.select(*rows.columns, "rn", F.explode(F.coalesce("_ways", none)).alias("_way")).select(*rows.columns, "rn", "_way.*")
-    return each.withColumn("client", F.size(F.filter("_cuts", lambda c: F.col("rn") > c)).cast("int")).drop("rn", "_cuts")
+    each = _ranked_ways(rows, classes, ways, seed).select(*rows.columns, "rn", F.explode("_ways").alias("_way")).select(*rows.columns, "rn", "_way.*")
+    return each.withColumn("client", F.size(F.filter("_cuts", lambda c: F.col("rn") > c)).cast("int")).drop("rn", "_cuts", "i")
+
+
+def deal_many(rows: DataFrame, classes: int, ways: list[tuple[float, int]], seed: int = 42, name: str = "dealt") -> DataFrame:
+    """Rows with the array `name` of their client by each way (alpha, clients); otherwise as deal_by_cuts()."""
+    client = lambda way: F.size(F.filter(way["_cuts"], lambda c: F.col("rn") > c)).cast("int")
+    return _ranked_ways(rows, classes, ways, seed).withColumn(name, F.transform("_ways", client)).drop("rn", "_ways")
 
 
 def partition_stats(assigned: DataFrame, classes: list[int], total_row: bool = False) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import mean, total
-from ..operators import experiment, explain, federated, metrics, model, prep, privacy, report, split
-from ..sources import files, nifti
+from ..operators import conv, experiment, explain, federated, metrics, model, prep, privacy, report, split, training
+from ..sources import arrays, files, nifti
+from ..sources import volumes as volume_source
 from ..sources.tables import samples, table
 from . import sql
 from .sql import CLASSES, CLIENTS, HISTORY, MODEL_CLASSES, PX, PX3, SCORED, WIDTH
@@ -143,12 +144,15 @@ def lanczos_resize(spark, d):
     return long(prep.resize(samples(spark, d).select("id", "features"), "features", (8, 8), (12, 12), "lanczos"), "features", "id")
 
 
-@query(f"""with {PX}, {_kernel_sql("wt", 8, 224, prep.lanczos_weights)}, m as (select i, sum(w) / 224 as w from wt group by i), spot as (select a.i as y, b.i as x, a.w * b.w as w from wt a join wt b on a.o = 100 and b.o = 57),
-s as (select id, sum(a.w * b.w * v) as mean from px join m a on a.i = j // 8 join m b on b.i = j % 8 group by id), t as (select id, sum(w * v) as pixel from px join spot on y = j // 8 and x = j % 8 group by id)
-select id, 50176 as pixels, round(mean, 6) as mean, round(pixel, 6) as pixel from s join t using (id)""")
+@query(f"""with {PX}, {_kernel_sql("wt", 8, 224, prep.lanczos_weights)}, m as (select i, sum(w) as w, sum(w * o) as wo from wt group by i), spot as (select a.i as y, b.i as x, a.w * b.w as w from wt a join wt b on a.o = 100 and b.o = 57),
+s as (select id, sum(a.w * b.w * v) / 50176 as mean, sum((224 * a.wo * b.w + a.w * b.wo + a.w * b.w) * v) as digest from px join m a on a.i = j // 8 join m b on b.i = j % 8 group by id),
+t as (select id, sum(w * v) as pixel from px join spot on y = j // 8 and x = j % 8 group by id)
+select id, 50176 as pixels, round(mean, 6) as mean, round(pixel, 6) as pixel, round(digest, 3) as digest from s join t using (id)""")
 def lanczos_resize_224(spark, d):
+    """Each image's mean, one pixel, and the sum of all pixels by their numbers from 1 on."""
     large = prep.resize(samples(spark, d).select("id", "features"), "features", (8, 8), (224, 224), "lanczos")
-    return large.select("id", F.size("features").alias("pixels"), F.round(mean("features"), 6).alias("mean"), F.round(F.col("features")[100 * 224 + 57], 6).alias("pixel"))
+    digest = total(F.transform("features", lambda v, j: v * (j + 1)))
+    return large.select("id", F.size("features").alias("pixels"), F.round(mean("features"), 6).alias("mean"), F.round(F.col("features")[100 * 224 + 57], 6).alias("pixel"), F.round(digest, 3).alias("digest"))
 
 
 def volumes(spark: SparkSession, d: str) -> DataFrame:
@@ -173,9 +177,76 @@ def ingest_slices(spark, d):
     return slices.select("path", "nth", "slice", "h", "w", F.round(total(F.transform("image", lambda v: v.cast("double"))), 4).alias("total"))
 
 
+def volume_files(spark: SparkSession, d: str) -> str:
+    """A folder with a file for each sample's volume, in a folder for each label, written by the data source of volumes."""
+    folder = files.scratch_folder(spark)
+    rows = volumes(spark, d).select(F.col("label").alias("folder"), F.concat(F.substring("path", 2, 100), F.lit(".nii")).alias("file_name"), "content")
+    volume_source.register(spark)
+    rows.write.format("volumes").mode("append").save(folder)
+    return folder
+
+
 @query("select label::varchar as label, count(*) as total, count(*) filter (vec_id % 7 <> 0) as processed, count(*) filter (vec_id % 7 = 0) as failed, 3 * count(*) filter (vec_id % 7 <> 0) as output_slices from embeddings group by label")
 def ingest_files(spark, d):
-    return nifti.ingest_stats(nifti.read_slices(volumes(spark, d)))
+    """Volumes on disk are counted by what their headers promise and their sizes hold."""
+    folder = volume_files(spark, d)
+    return nifti.ingest_stats(spark.read.format("volumes").schema("label string, ok boolean, nth int").load(folder))
+
+
+@query(f"""with px as (select vec_id as id, label, cast(cast(round(cast(unnest(embedding) as double), 6) as float) as double) as v, unnest(range(64)) as j from embeddings where vec_id % 7 <> 0 and label in (1, 2)),
+sl as materialized (select id, label, nth, k, (j % 8) // 2 as y, j % 2 as x, v from px join (values (0, 3), (1, 4), (2, 5)) t(nth, k) on j // 8 = k),
+z as (select *, greatest(-3, least(3, (v - avg(v) over w) / stddev_pop(v) over w)) as z from sl window w as (partition by id, nth)),
+r as materialized (select *, floor((z - min(z) over w) / (max(z) over w - min(z) over w + 1e-8::double) * 255) as level from z window w as (partition by id, nth)),
+{_kernel_sql("kx", 2, 224, prep.lanczos_weights)}, {_kernel_sql("ky", 4, 224, prep.lanczos_weights)},
+across as materialized (select id, label, nth, k, y, o as x, greatest(0, least(255, floor(round(sum(w * level), 9) + 0.5::double))) as level from r join kx on i = x group by all),
+down as materialized (select id, label, nth, k, o as y, x, greatest(0, least(255, floor(round(sum(w * level), 9) + 0.5::double))) as level from across join ky on i = y group by all)
+select label::varchar as label, id, nth::int as nth, k::int as slice, 224 as h, 224 as w, round(sum(level * (1 + (y * 224 + x) % 997))::double / 1e6::double, 3) as digest from down group by all""")
+def ingest_images(spark, d):
+    """Slices of the volumes of two classes, read from disk at full size; every pixel's level counts in a row's digest."""
+    found = spark.read.format("volumes").load(volume_files(spark, d)).filter("label in ('1', '2')").filter("ok")
+    level = lambda v, i: F.round(v.cast("double") * 255) * (1 + i % 997)
+    digest = total(F.transform("image", level)) / 1e6
+    name = F.regexp_extract("path", r"([0-9]+)\.nii$", 1).cast("long")
+    return found.select("label", name.alias("id"), "nth", "slice", "h", "w", F.round(digest, 3).alias("digest"))
+
+
+@query(f"""with {sql.dealt()}, px as (select vec_id as id, cast(cast(round(cast(unnest(embedding) as double), 6) as float) as double) as v from embeddings), t as (select id, sum(v) as v from px group by id)
+select 'client_' || client as folder, coalesce(case label when 0 then 'CN' when 1 then 'MCI' when 2 then 'AD' end, cast(label as varchar)) || '_' || lpad(cast(row_number() over (partition by client, label order by id) - 1 as varchar), 4, '0') || '.nii' as file_name,
+round(v, 4) as total from dealt join t using (id)""")
+def client_sample_files(spark, d):
+    """A file for each sample in its client's folder, named by its counter; all are found and read again."""
+    folder = files.scratch_folder(spark)
+    volume_source.register(spark)
+
+    def contents(batches):
+        for batch in batches:
+            batch["content"] = [nifti.encode(np.round(np.array(x), 6).reshape(8, 4, 2)) for x in batch.pop("features")]
+            yield batch
+
+    named = files.client_file_names(dealt(spark, d), NAMES).select(F.concat(F.lit("client_"), F.col("client")).alias("folder"), F.concat("file_name", F.lit(".nii")).alias("file_name"), "features")
+    named.mapInPandas(contents, "folder string, file_name string, content binary").write.format("volumes").mode("append").save(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nii").load(folder)
+
+    def sums(batches):
+        for batch in batches:
+            batch["total"] = [float(nifti.decode(x).sum()) for x in batch.pop("content")]
+            yield batch
+
+    rows = found.select("path", "content").mapInPandas(sums, "path string, total double")
+    part = F.split("path", "/")
+    return rows.select(F.element_at(part, -2).alias("folder"), F.element_at(part, -1).alias("file_name"), F.round("total", 4).alias("total"))
+
+
+@query("select row, round(sum((j + 1) * v), 4) as total from (select row_number() over (order by vec_id) - 1 as row, unnest(range(64)) as j, cast(unnest(embedding) as double) as v from embeddings) group by row")
+def array_files(spark, d):
+    """Images are written as parts of one array of 8 x 8 floats, in the order of their ids, and read again by ranges of rows."""
+    folder = files.scratch_folder(spark)
+    arrays.register(spark)
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("values"))
+    ordered = rows.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").select("values")
+    ordered.write.format("arrays").option("shape", "8,8").mode("append").save(folder)
+    found = spark.read.format("arrays").option("bytesPerTask", 64 * 1024).load(folder)
+    return found.select("row", F.round(total(F.transform("values", lambda v, j: v * (j + 1))), 4).alias("total"))
 
 
 @query("select label, path from (select label::varchar as label, '/' || vec_id as path, row_number() over (partition by label order by '/' || vec_id) as k from embeddings) where k <= 5")
@@ -515,10 +586,67 @@ def fl_disjoint(spark, d):
     return model.score(sides.filter("split = 'test'"), w).groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@query(f"with {sql.batches_sql(2, 12)} select c::int as c, j::int as j, round(w, 5) as w from f2")
 def fl_adam(spark, d):
-    w, _ = federated.federated_adam(dealt3(spark, d), MODEL_CLASSES, WIDTH, rounds=2, epochs=1)
-    return model.from_matrix(spark, w)
+    """Two rounds of an epoch of Adam in mini-batches of 32. (The SQL takes clients of up to 384 rows.)"""
+    rows = experiment.written(dealt3(spark, d).select("id", "features", "label", "client"))
+    w, _ = federated.federated_adam(rows, MODEL_CLASSES, WIDTH, rounds=2, epochs=1)
+    return model.from_matrix(spark, w).withColumn("w", F.round("w", 5))
+
+
+def units3(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with their client as the only unit, written."""
+    return experiment.written(dealt3(spark, d).select("features", "label", F.array("client").alias("units")))
+
+
+_PRIVATE = training.Experiment("private", CLIENTS, rounds=1, epochs=2, sigma=1.1, clip=0.5, adam=False, rate=0.5, decay=0.0)
+
+
+@query(f"""with {PX}, {sql.dealt(where='label < 3')}, {sql.steps_sql("select client as unit, px.id, px.label, j, v from px join dealt using (id)", "select distinct client as unit, client, 1.1::double as sigma from dealt", 2, 0.5, 0.5)}
+select c::int as c, j::int as j, round(sum(w * n) / sum(n), 6) as w from s2 join un using (unit) group by c, j""")
+def fl_private_round(spark, d):
+    """A round in which each client takes two steps on clipped and noisy sums of its own rows."""
+    trainer = training.Trainer([_PRIVATE], MODEL_CLASSES, WIDTH, seed=42)
+    trainer.train(units3(spark, d))
+    return model.from_matrix(spark, trainer.weights_of(0)).withColumn("w", F.round("w", 6))
+
+
+@query(f"""with {sql.dealt(where='label < 3')}, c as (select distinct client from dealt)
+select 'private' as experiment, r::int as round, client::int as client, (2 * r)::int as steps, round(sqrt(2.0::double * 2 * r * {float(np.log(1e5))!r}::double) / 1.1::double, 6) as epsilon from c, range(1, 4) t(r)""")
+def fl_private_ledger(spark, d):
+    """What each client has spent after each of three private rounds."""
+    from dataclasses import replace
+
+    trainer = training.Trainer([replace(_PRIVATE, rounds=3)], MODEL_CLASSES, WIDTH, seed=42)
+    ledger = trainer.train(units3(spark, d)).ledger
+    return training.ledger_table(spark, ledger).withColumn("epsilon", F.round("epsilon", 6))
+
+
+@query(f"with {sql.rounds_sql(3, 1.0)} select c::int as c, j::int as j, round(w, 6) as w from w3")
+def fl_resumed(spark, d):
+    """Three rounds, cut off after the second and taken up from its checkpoint by another trainer."""
+    plan = training.Experiment("resumed", CLIENTS, rounds=3, adam=False, rate=1.0, decay=0.0)
+    rows, folder = units3(spark, d), files.scratch_folder(spark)
+    first = training.Trainer([plan], MODEL_CLASSES, WIDTH)
+
+    def after_round(trainer):
+        training.save_round(spark, trainer.state, folder)
+        return trainer.state.round[0] == 2
+
+    first.train(rows, after_round=after_round)
+    second = training.Trainer([plan], MODEL_CLASSES, WIDTH)
+    training.load_round(second, spark, folder)
+    second.train(rows)
+    return model.from_matrix(spark, second.weights_of(0)).withColumn("w", F.round("w", 6))
+
+
+@query(f"""with {sql.dealt(where='label < 3')}, n as (select client, label, count(*) as n from dealt group by all), t as (select client, sum(n) as total, count(*) as present from n group by client)
+select k.client::int as client, c::int as label, round(coalesce(total / (present * n)::double, 1), 9) as weight from range(4) k(client) cross join range(3) r(c) left join t on t.client = k.client left join n on n.client = k.client and n.label = c""")
+def client_class_weights(spark, d):
+    """Each client's class weights from its own labels."""
+    w = training.label_weights(units3(spark, d), CLIENTS, MODEL_CLASSES)
+    rows = [(k, c, float(w[k, c])) for k in range(CLIENTS) for c in range(MODEL_CLASSES)]
+    return spark.createDataFrame(rows, "client int, label int, weight double").withColumn("weight", F.round("weight", 9))
 
 
 @query(f"""with {SCORED}, {sql.dealt(where='label < 3')}
@@ -556,9 +684,10 @@ def adam_step_1(spark, d):
     return model.adam_step(centroids(spark, d), grads(spark, d)).select("c", "j", F.round("w", 6).alias("w"))
 
 
-@query("""select e::int as epoch, case when e < 3 then 'frozen' else 'all' end as phase, case when e < 3 then 1e-4::double else 1e-4::double * 0.1::double end as rate, e = 3 as fresh_optimiser from range(10) t(e)""")
+@query("with " + HISTORY + """ select step as epoch, case when step < 15 then 'frozen' else 'all' end as phase, case when step < 15 then 1e-4::double else 1e-4::double * 0.1::double end as rate, step = 15 as fresh_optimiser from history""")
 def freeze_schedule(spark, d):
-    return model.freeze_schedule(spark, 10, 3)
+    """The phase of each epoch of a history."""
+    return model.freeze_schedule(history(spark, d).select(F.col("step").alias("epoch")), 15)
 
 
 _FIRST = "w - {rate} * (g + 1e-4::double * w) / (abs(g + 1e-4::double * w) + 1e-8::double)"
@@ -616,33 +745,47 @@ def epsilon_budget(spark, d):
     return rows.select("sigma", F.round(privacy.epsilon_simple(F.col("sigma"), F.lit(340), privacy.sample_rate(F.col("n"))), 6).alias("epsilon_simple"))
 
 
-@query("""with t as (select cast(unnest([1.0, 1.5, 2.0, 3.0, 5.0, 10.0]) as double) as target)
-select target, case target when 1.0 then 2.0 when 1.5 then 1.5 when 2.0 then 1.1 when 5.0 then 0.7 when 10.0 then 0.5 else 1.0 end::double as sigma, 2 * target as stop_above from t""")
+@query("""with t as (select p_partkey, (p_size % 21)::double / 2 as target from part)
+select p_partkey, target, case target when 1.0 then 2.0 when 1.5 then 1.5 when 2.0 then 1.1 when 5.0 then 0.7 when 10.0 then 0.5 else 1.0 end::double as sigma, 2 * target as stop_above from t""")
 def sigma_lookup(spark, d):
-    rows = spark.createDataFrame([(x,) for x in (1.0, 1.5, 2.0, 3.0, 5.0, 10.0)], "target double")
-    return rows.select("target", privacy.sigma_for(F.col("target")).alias("sigma"), (F.col("target") * 2).alias("stop_above"))
+    """The noise for each part's target; targets are halves of sizes."""
+    rows = table(spark, d, "part").select("p_partkey", ((F.col("p_size") % 21) / 2.0).alias("target"))
+    return rows.select("p_partkey", "target", privacy.sigma_for(F.col("target")).alias("sigma"), (F.col("target") * 2).alias("stop_above"))
 
 
-@query("""with k as (select unnest(['inf', '10.0', '2.0', '1.0', '5.0']) as key)
-select key, row_number() over (order by case when key = 'inf' then 999 else cast(key as double) end)::int as place, case when key = 'inf' then 20 else cast(key as double) end::double as x
-from (select key, case when key = 'inf' then null else key end as num from k) where key is not null""".replace("cast(key as double)", "cast(num as double)"))
+@query("""with k as (select distinct case when user_id % 40 = 0 then 'inf' else (user_id % 40) || '.0' end as key from events)
+select key, row_number() over (order by case when key = 'inf' then 999 else try_cast(key as double) end)::int as place, case when key = 'inf' then 20 else try_cast(key as double) end::double as x from k""")
 def privacy_curve_order(spark, d):
+    """Stringified numbers that events have, in their numeric order; there are forty at most."""
     from pyspark.sql import Window
 
-    keys = spark.createDataFrame([(k,) for k in ("inf", "10.0", "2.0", "1.0", "5.0")], "key string")
+    user = F.col("user_id") % 40
+    keys = table(spark, d, "events").select(F.when(user == 0, "inf").otherwise(F.concat(user.cast("string"), F.lit(".0"))).alias("key")).distinct()
     at = report.numeric_order(F.col("key"))
     return keys.select("key", F.row_number().over(Window.orderBy(at)).alias("place"), F.when(F.col("key") == "inf", 20.0).otherwise(at).alias("x"))
 
 
-@query(None)
+_SIGMAS = (1.1, 0.7, 0.5, 0.0)
+
+
+@query(f"""with {PX}, side as materialized (select id, label, row_number() over (order by {sql.hashed('42')}) as rn, count(*) over () as n from (select vec_id as id, label from embeddings where label < 3)),
+{sql.steps_sql("select unit, px.id, px.label, j, v from px join side using (id), range(4) u(unit) where rn <= cast(floor(0.8::double * n) as bigint)", f"select unit, 0 as client, {list(_SIGMAS)!r}[unit + 1]::double as sigma from range(4) u(unit)", 5, 0.5, 1.0)},
+tz as (select unit, px.id, px.label, c, sum(v * w) as z from px join side using (id) join s5 using (j) where rn > cast(floor(0.9::double * n) as bigint) group by all),
+pred as (select unit, id, label, c as pred from (select *, row_number() over (partition by unit, id order by round(z, 9) desc, c) as k from tz) where k = 1),
+cls as (select unit, c, count(*) filter (label = c and pred = c) as tp, count(*) filter (label = c) as p, count(*) filter (pred = c) as q from pred, range(3) t(c) group by all)
+select sigma, round(case when sigma = 0 then 'infinity'::double else sqrt(2.0::double * 5 * {float(np.log(1e5))!r}::double) / sigma end, 6) as epsilon_simple, round(sum(tp) / sum(p)::double, 6) as accuracy,
+round(avg(coalesce(2.0::double * tp / nullif(p + q, 0), 0)), 6) as f1_macro from cls join unit using (unit) group by sigma""")
 def privacy_utility_table(spark, d):
-    rows = three(spark, d)
-    out = []
-    for sigma in (1.1, 0.5, 0.0):
-        w, ledger = privacy.private_train(rows, MODEL_CLASSES, WIDTH, 2, sigma, 1.0, seed=42)
-        got = metrics.macro(model.score(rows, w), MODEL_CLASSES).first()
-        out.append((sigma, float(ledger[-1]["epsilon_simple"]), got["accuracy"], got["f1_macro"]))
-    return spark.createDataFrame(out, "sigma double, epsilon_simple double, accuracy double, f1_macro double")
+    """Five private steps for each noise, and as many without any, on training rows; figures on rows held out. The noise
+    comes from hashes here, so that it can be drawn again."""
+    plans = [training.Experiment(str(s), epochs=5, sigma=s, clip=1.0 if s else None, adam=False, rate=0.5, decay=0.0) for s in _SIGMAS]
+    sides = experiment.written(split.split_by_cuts(three(spark, d).select("id", "features", "label"), [("train", 0.8), ("val", 0.9)], "test"))
+    trainer = training.Trainer(plans, MODEL_CLASSES, WIDTH, seed=42)
+    state = trainer.train(experiment.written(training.deal(sides.filter("split = 'train'"), plans, MODEL_CLASSES)))
+    got = metrics.macro_by(training.score_all(sides.filter("split = 'test'"), trainer), MODEL_CLASSES, ("experiment",))
+    spent = training.spent(training.ledger_table(spark, state.ledger)).select("experiment", "epsilon")
+    rows = got.join(spent, "experiment", "left").select(F.col("experiment").cast("double").alias("sigma"), F.coalesce("epsilon", F.lit(float("inf"))).alias("epsilon_simple"), "accuracy", "f1_macro")
+    return rows.select("sigma", *(F.round(x, 6).alias(x) for x in ("epsilon_simple", "accuracy", "f1_macro")))
 
 
 # membership inference
@@ -719,30 +862,64 @@ _CAM = f"""{PX}, av as materialized (select a.id, a.j // 16 as ch, (a.j % 16) //
 cw as (select id, ch, avg(grad) as w from av group by all), cam as materialized (select id, y::int as y, x::int as x, greatest(0, sum(w * act)) as heat from av join cw using (id, ch) group by all)"""
 
 
-def activations(spark: SparkSession, d: str) -> DataFrame:
-    rows = samples(spark, d)
-    both = F.arrays_zip(F.col("features").alias("act"), F.reverse("features").alias("grad"))
-    cells = rows.select("id", F.posexplode(both).alias("j", "v"))
-    return cells.select("id", F.floor(F.col("j") / 16).cast("int").alias("ch"), F.floor(F.col("j") % 16 / 4).cast("int").alias("y"), (F.col("j") % 4).alias("x"), "v.act", "v.grad")
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    heat = explain.activation_map(F.col("features"), F.reverse("features"), 4, 16)
+    return samples(spark, d).select("id", heat.alias("map"))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    found = rows.select("id", F.posexplode("map").alias("j", "heat"))
+    return found.select("id", F.expr("cast(j div 4 as int)").alias("y"), (F.col("j") % 4).alias("x"), F.round("heat", 6).alias("heat"))
 
 
 @query(f"with {_CAM} select id, y, x, round(heat, 6) as heat from cam")
 def gradcam_map(spark, d):
-    return explain.activation_map(activations(spark, d)).withColumn("heat", F.round("heat", 6))
+    return cells(maps(spark, d))
 
 
 @query(f"""with {_CAM}, {_kernel_sql("wt", 4, 8, prep.bilinear_weights)}
 select id, cast(a.o * 8 + b.o as int) as j, round(sum(a.w * b.w * heat), 6) as heat from cam join wt a on a.i = y join wt b on b.i = x group by all""")
 def gradcam_upsampled(spark, d):
-    heat = explain.activation_map(activations(spark, d))
-    maps = heat.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "heat"))), lambda m: m["heat"]).alias("map"))  # 16 cells each
-    return long(prep.resize(maps, "map", (4, 4), (8, 8)), "map", "id", name="heat")
+    return long(prep.resize(maps(spark, d), "map", (4, 4), (8, 8)), "map", "id", name="heat")
 
 
 @query(f"""with {_CAM}, s as (select *, min(heat) over (partition by id) as lo, max(heat) over (partition by id) as hi from cam)
 select id, y, x, round(case when hi > 0 then (heat - lo) / nullif(hi - lo, 0) else heat end, 6) as heat from s""")
 def gradcam_norm(spark, d):
-    return explain.scale_maps(explain.activation_map(activations(spark, d))).withColumn("heat", F.round("heat", 6))
+    return cells(maps(spark, d).withColumn("map", explain.scale_map(F.col("map"))))
+
+
+_NET = conv.drawn_net((1, 8, 8), (2, 3), (2, 1), MODEL_CLASSES)
+_CONV = sql.conv_sql(_NET)
+
+
+@query(f"with {_CONV} select id, c::int as c, round(e / sum(e) over (partition by id), 6) as p from prob")
+def conv_scores(spark, d):
+    """Probabilities by a convolutional network with drawn weights; an embedding is an image of 8 x 8."""
+    return conv.score(samples(spark, d), _NET).select("id", F.posexplode("probs").alias("c", "p")).withColumn("p", F.round("p", 6))
+
+
+@query(f"""with {_CONV}, {_kernel_sql("wt", 4, 8, prep.bilinear_weights)}, {sql.cam_sql()}, span as (select *, min(v) over (partition by id, layer) as lo, max(v) over (partition by id, layer) as hi from heat)
+select id, layer, c::int as target, round(confidence, 6) as confidence, j::int as j, round(case when hi > 0 then (v - lo) / (hi - lo) else v end, 5) as heat from span join best using (id)""")
+def gradcam_class(spark, d):
+    """Class-activation maps of the predicted class at both layers, by the network's own gradients."""
+    rows = samples(spark, d)
+    maps = [conv.class_maps(rows, _NET, k).withColumn("layer", F.lit(k)) for k in (0, 1)]
+    cells = maps[0].unionByName(maps[1]).select("id", "layer", "target", F.round("confidence", 6).alias("confidence"), F.posexplode("heat").alias("j", "heat"))
+    return cells.withColumn("heat", F.round("heat", 5))
+
+
+@query(f"""with {PX}, p3 as materialized (select * from px where label < 3), par as (select label as c, j, avg(v) * 8 as w, avg(v * v) * 8 as w2 from p3 group by all),
+bg as (select vec_id as b from embeddings where label < 3 order by {sql.hashed('bg', 'vec_id')}, vec_id limit 20),
+draw as materialized (select p.id, b, (k + {sql.uniform('42', "(p.id || '_' || b || '_' || k)")}) / 2 as t from (select distinct id from p3) p, bg, range(2) r(k)),
+phi as (select x.id, c, x.j, avg((x.v - y.v) * (w + 2 * w2 * (y.v + t * (x.v - y.v)))) as phi from draw join p3 x using (id) join p3 y on y.id = b and y.j = x.j join par on par.j = x.j group by all)
+select id, c, j::int as j, round(phi, 6) + 0.0::double as phi from phi""")
+def expected_gradients(spark, d):
+    """Attributions of a model over features and their squares, two points on each way from 20 background rows."""
+    rows = three(spark, d)
+    w = model.to_matrix(model.centroid_params(experiment.with_model(rows, "vgg19")), MODEL_CLASSES, 2 * WIDTH)
+    phi = explain.expected_gradients(rows, split.draw(rows, 20, "bg"), explain.square_gradient(w), paths=2)
+    return phi.select("id", "c", F.posexplode("phi").alias("j", "phi")).withColumn("phi", F.round("phi", 6) + F.lit(0.0))
 
 
 _SHAP = f"""{PX3}, bg as (select vec_id as id from embeddings where label < 3 order by {sql.hashed('bg', 'vec_id')}, vec_id limit 20),
@@ -758,14 +935,14 @@ def shap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_SHAP} select id, c, j, round(phi, 6) + 0.0::double as phi from phi")
 def shap_linear(spark, d):
-    return shap(spark, d).withColumn("phi", F.round("phi", 6) + F.lit(0.0))  # no -0
+    return shap(spark, d).select("id", "c", F.posexplode("phi").alias("j", "phi")).withColumn("phi", F.round("phi", 6) + F.lit(0.0))  # no -0
 
 
 @query(f"with {SCORED} select id, c, round(z, 6) as total from logits")
 def shap_additivity(spark, d):
     """A row's attributions and the background's logit, summed."""
     base = explain.background_logits(centroids(spark, d), split.draw(three(spark, d), 20, "bg"))
-    summed = shap(spark, d).groupBy("id", "c").agg(F.sum("phi").alias("phi"))
+    summed = shap(spark, d).withColumn("phi", total(F.col("phi")))
     return summed.join(F.broadcast(base), "c").select("id", "c", F.round(F.col("phi") + F.col("base"), 6).alias("total"))
 
 
@@ -776,7 +953,20 @@ def shap_importance(spark, d):
 
 @query(f"""with {_SHAP} select id, c, j, round(greatest(phi, 0), 6) as positive, round(abs(least(phi, 0)), 6) as negative, round(coalesce(abs(phi) / nullif(max(abs(phi)) over (partition by id, c), 0), 0), 6) as strength from phi""")
 def shap_pos_neg(spark, d):
-    return explain.signed_parts(shap(spark, d)).select("id", "c", "j", *(F.round(x, 6).alias(x) for x in ("positive", "negative", "strength")))
+    names = ("positive", "negative", "strength")
+    each = explain.signed_parts(shap(spark, d)).select("id", "c", F.posexplode(F.arrays_zip(*names)).alias("j", "v"))
+    return each.select("id", "c", "j", *(F.round(f"v.{x}", 6).alias(x) for x in names))
+
+
+@query(f"with {_SHAP} select row_number() over (order by id, c) - 1 as row, round(sum(phi * (j + 1)), 4) as digest from phi group by id, c")
+def attribution_files(spark, d):
+    """Attributions are written as one array of 8 x 8 maps, by id and class, and read again by ranges of rows."""
+    folder = files.scratch_folder(spark)
+    arrays.register(spark)
+    ordered = shap(spark, d).repartitionByRange(4, "id", "c").sortWithinPartitions("id", "c").select(F.col("phi").alias("values"))
+    ordered.write.format("arrays").option("shape", "8,8").option("dtype", "float64").mode("append").save(folder)
+    found = spark.read.format("arrays").option("bytesPerTask", 64 * 1024).load(folder)
+    return found.select("row", F.round(total(F.transform("values", lambda v, j: v * (j + 1))), 4).alias("digest"))
 
 
 # reports
@@ -839,22 +1029,19 @@ def strip_names(spark, d):
 
 @query(None)
 def experiment_sweep(spark, d):
-    """Every configured experiment, each with one epoch, and one that can't run."""
-    rows = three(spark, d).persist()
-    once = [(name, setting, kind, alpha, clients, 1) for name, setting, kind, alpha, clients, _ in report.ABLATIONS] + [("no_such_setting", "none", "resnet50", 0.5, 1, 1)]
-    out = report.run_sweep(spark, lambda *config: experiment.run(rows, *config, MODEL_CLASSES, seed=42), once)
-    rows.unpersist()
-    return report.ablation_table(out)
-
-
-_KEYS = ("A5_alpha0.1", "A5_alpha1.0", "A5_alpha100.0", "A6_K2", "A6_K6", "A7_E1", "A1_no_dp")
+    """Every configured experiment with all its rounds and epochs, and one that can't run."""
+    configs = (*report.ABLATIONS, ("no_such_setting", "none", "resnet50", 0.5, 1, 1, 1))
+    return report.ablation_table(experiment.sweep(three(spark, d), configs, MODEL_CLASSES, WIDTH, seed=42))
 
 
-@query(f"""with k as (select unnest({list(_KEYS)!r}) as key)
-select key, split_part(key, '_', 1) as family, regexp_extract(key, '_(K|E|alpha)[0-9.]+$', 1) as variable,
+@query("""with k as (select p_partkey, case p_size % 4 when 0 then 'A5_alpha' || (p_partkey % 300) || '.5' when 1 then 'A6_K' || p_size when 2 then 'A7_E' || p_size else 'A1_no_dp' end as key from part)
+select p_partkey, key, split_part(key, '_', 1) as family, regexp_extract(key, '_(K|E|alpha)[0-9.]+$', 1) as variable,
 case when key like '%alpha%' and coalesce(try_cast(regexp_extract(key, '(?:K|E|alpha)([0-9.]+)$', 1) as double), 0) >= 100 then 'IID' else regexp_extract(key, '(?:K|E|alpha)([0-9.]+)$', 1) end as value from k""")
 def parse_experiment_key(spark, d):
-    return spark.createDataFrame([(k,) for k in _KEYS], "key string").select("key", *report.parse_key(F.col("key")))
+    """Experiments' keys, made from parts, taken apart."""
+    size = F.col("p_size")
+    key = F.when(size % 4 == 0, F.concat(F.lit("A5_alpha"), (F.col("p_partkey") % 300).cast("string"), F.lit(".5"))).when(size % 4 == 1, F.concat(F.lit("A6_K"), size)).when(size % 4 == 2, F.concat(F.lit("A7_E"), size)).otherwise("A1_no_dp")
+    return table(spark, d, "part").select("p_partkey", key.alias("key")).select("p_partkey", "key", *report.parse_key(F.col("key")))
 
 
 @query(f"with {HISTORY} select step, printf('%.1f%%', round(f1 * 100, 1)) as shown from history")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from ..operators.privacy import THRESHOLDS
 from ..operators.split import dirichlet_proportions
 
@@ -68,3 +70,66 @@ g{k} as materialized (select rows.client, c, j, sum(d * v) as g from rows join q
 u{k} as (select g{k}.client, c, j, w{k}.w - {rate!r}::double * g / n as w, n from g{k} join w{k} using (c, j) join sizes on sizes.client = g{k}.client),
 w{k + 1} as materialized (select c, j, sum(w * n) / sum(n) as w from u{k} group by all)""")
     return ",\n".join(parts)
+
+
+def steps_sql(rows: str, units: str, steps: int, rate: float, clip: float, width: int = WIDTH) -> str:
+    """Full-batch steps from zero for units that each have a sigma; with noise, rows are clipped. `rows` selects (unit, id,
+    label, j, v) and `units` (unit, client, sigma); the last weights are in s{steps}(unit, c, j, w)."""
+    parts = [f"""urows as materialized ({rows}), unit as materialized ({units}), un as (select unit, count(*) / {width} as n from urows group by unit),
+xn as materialized (select unit, id, sqrt(sum(v * v)) as x from urows group by all),
+s0 as materialized (select unit, c, j, 0.0::double as w from unit, range(3) a(c), range({width}) b(j))"""]
+    for k in range(steps):
+        key = f"('{k}_' || client || '_' || c || '_' || j)"
+        parts.append(f"""sz{k} as materialized (select unit, id, label, c, sum(v * w) as z from urows join s{k} using (unit, j) group by all),
+se{k} as (select *, exp(z - max(z) over (partition by unit, id)) as e from sz{k}),
+sd{k} as materialized (select unit, id, c, e / sum(e) over (partition by unit, id) - (c = label)::int as d from se{k}),
+sc{k} as materialized (select unit, id, case when any_value(sigma) > 0 then least(1, {clip!r}::double / (sqrt(sum(d * d)) * any_value(x))) else 1.0::double end as s
+  from sd{k} join xn using (unit, id) join unit using (unit) group by unit, id),
+sg{k} as materialized (select unit, c, j, sum(d * s * v) as g from sd{k} join sc{k} using (unit, id) join urows using (unit, id) group by unit, c, j),
+s{k + 1} as materialized (select unit, c, j, w - {rate!r}::double * (coalesce(g, 0) + case when sigma > 0 then {gauss('42', key)} * sigma * {clip!r}::double else 0 end) / n as w
+  from s{k} join unit using (unit) join un using (unit) left join sg{k} using (unit, c, j))""")
+    return ",\n".join(parts)
+
+
+def batches_sql(rounds: int, steps: int, batch: int = 32, rate: float = 1e-2) -> str:
+    """Rounds of one epoch of Adam in mini-batches on each client, `steps` of them at most; the last mean is in f{rounds}."""
+    parts = [PX, dealt(where="label < 3"), """crows as materialized (select px.id, px.label, j, v, client from px join dealt using (id)), csize as (select client, count(*) / 64 as n from crows group by client),
+f0 as materialized (select c, j, 0.0::double as w from range(3) a(c), range(64) b(j))"""]
+    for r in range(rounds):
+        parts.append(f"""o{r} as materialized (select id, (row_number() over (partition by client order by {hashed(f"batch_{r}_0")}) - 1) // {batch} as b from dealt),
+r{r} as materialized (select crows.*, b from crows join o{r} using (id)),
+m{r}_0 as materialized (select client, c, j, w, 0.0::double as m, 0.0::double as v from f{r}, csize)""")
+        for k in range(steps):
+            a = f"{r}_{k}"
+            parts.append(f"""z{a} as materialized (select r.client, id, label, c, sum(r.v * w) as z from r{r} r join m{a} s on s.client = r.client and s.j = r.j where b = {k} group by all),
+e{a} as (select *, exp(z - max(z) over (partition by id)) as e from z{a}),
+d{a} as materialized (select client, id, c, e / sum(e) over (partition by id) - (c = label)::int as d from e{a}),
+g{a} as materialized (select d.client, c, j, sum(d * v) / count(*) as g from d{a} d join r{r} r on r.id = d.id group by all),
+n{a} as materialized (select s.*, g + 1e-4::double * w as g, 0.9::double * m + 0.1::double * (g + 1e-4::double * w) as m1, 0.999::double * v + 0.001::double * (g + 1e-4::double * w) * (g + 1e-4::double * w) as v1 from m{a} s left join g{a} using (client, c, j)),
+m{r}_{k + 1} as materialized (select client, c, j, case when g is null then w else w - {rate!r}::double * (m1 / {1 - 0.9 ** (k + 1)!r}::double) / (sqrt(v1 / {1 - 0.999 ** (k + 1)!r}::double) + 1e-8::double) end as w, coalesce(m1, m) as m, coalesce(v1, v) as v from n{a})""")
+        parts.append(f"f{r + 1} as materialized (select c, j, sum(w * n) / sum(n) as w from m{r}_{steps} join csize using (client) group by all)")
+    return ",\n".join(parts)
+
+
+def conv_sql(net) -> str:
+    """Activations, probabilities and maps of a network of two layers, with a mean over 2 x 2 cells after the first, on 8 x 8 images."""
+    values = lambda a: ", ".join("(" + ", ".join([*map(str, at), f"{float(v)!r}::double"]) + ")" for at, v in np.ndenumerate(a))
+    k1, k2 = net.kernels
+    return f"""{PX}, im as materialized (select id, j // 8 as y, j % 8 as x, v from px), k1 as (select * from (values {values(k1)}) t(f, ch, dy, dx, w)), k2 as (select * from (values {values(k2)}) t(f, ch, dy, dx, w)),
+head as (select * from (values {values(net.head)}) t(c, f, w)),
+a1 as materialized (select id, f as ch, im.y - dy + 1 as y, im.x - dx + 1 as x, greatest(0, sum(v * w)) as v from im, k1 where im.y - dy + 1 between 0 and 7 and im.x - dx + 1 between 0 and 7 group by all),
+p1 as materialized (select id, ch, y // 2 as y, x // 2 as x, avg(v) as v from a1 group by all),
+a2 as materialized (select id, f, p1.y - dy + 1 as y, p1.x - dx + 1 as x, greatest(0, sum(v * w)) as v from p1 join k2 using (ch) where p1.y - dy + 1 between 0 and 3 and p1.x - dx + 1 between 0 and 3 group by all),
+mean as (select id, f, avg(v) as v from a2 group by all),
+logit as materialized (select id, c, sum(v * w) as z from mean join head using (f) group by all),
+prob as materialized (select id, c, z, exp(z - max(z) over (partition by id)) as e from logit),
+best as materialized (select id, c, confidence from (select id, c, e / sum(e) over (partition by id) as confidence, row_number() over (partition by id order by round(z, 9) desc, c) as k from prob) where k = 1)"""
+
+
+def cam_sql() -> str:
+    """Maps of both layers of conv_sql(), for each image's predicted class."""
+    return """w2 as (select id, f, w / 16 as w from best join head using (c)),
+w1 as (select id, k2.ch, sum(w2.w * k2.w) / 64 as w from w2 join a2 using (id, f) join k2 using (f) where a2.v > 0 and a2.y + dy - 1 between 0 and 3 and a2.x + dx - 1 between 0 and 3 group by all),
+c2 as materialized (select id, y, x, greatest(0, sum(w * v)) as v from a2 join w2 using (id, f) group by id, y, x),
+heat as materialized (select id, 0 as layer, y * 8 + x as j, greatest(0, sum(coalesce(w, 0) * v)) as v from a1 left join w1 using (id, ch) group by id, y, x
+  union all select id, 1, a.o * 8 + b.o, sum(a.w * b.w * v) from c2 join wt a on a.i = y join wt b on b.i = x group by id, a.o, b.o)"""
