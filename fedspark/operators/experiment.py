@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import scratch_folder
+from ..sources.files import written
 from . import metrics, privacy, split, training
 
 #: Models by the names of experiments: the features as they are, or with their squares beside them.
@@ -34,13 +34,6 @@ def with_model(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumn("features", F.concat("features", F.transform("features", lambda v: v * v))) if MODELS[kind] else rows
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """rows as a table in the shared folder, in as few files as their size allows, so that steps don't compute them again."""
-    folder = scratch_folder(rows.sparkSession)
-    rows.hint("rebalance").write.parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
-
-
 def measured(scored: DataFrame, classes: int) -> DataFrame:
     """(experiment, FIGURES) from scored rows (experiment, split, label, probs, pred, confidence): metrics of test rows, and
     the attack that tells train from test rows by confidence."""

@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import gauss_of
 from ..functions.ranking import hash_rank
+from ..sources.files import remove, written
 from .model import matrix
 from .split import deal_many
 
@@ -239,10 +240,10 @@ class Trainer:
             active = going[self.of]
             if batch := self.experiments[0].batch:
                 dealt, most = epoch_batches(rows, batch, f"batch_{s.round[0]}_{s.epoch[0]}")
-                dealt = dealt.persist()  # an epoch's rows by batch: each step reads its own
+                dealt = written(dealt, "batch")  # an epoch's rows by batch: each step reads its own
                 for b in range(most):
                     self.step(dealt.filter(F.col("batch") == b), active)
-                dealt.unpersist()
+                remove(dealt)
             else:
                 self.step(rows, active)
             ended = False

@@ -10,7 +10,7 @@ from ..functions.vectors import mean, total
 from ..operators import conv, experiment, explain, federated, metrics, model, prep, privacy, report, split, training
 from ..sources import arrays, files, nifti
 from ..sources import volumes as volume_source
-from ..sources.tables import samples, table
+from ..sources.tables import samples, spread, table
 from . import sql
 from .sql import CLASSES, CLIENTS, HISTORY, MODEL_CLASSES, PX, PX3, SCORED, WIDTH
 
@@ -150,7 +150,7 @@ t as (select id, sum(w * v) as pixel from px join spot on y = j // 8 and x = j %
 select id, 50176 as pixels, round(mean, 6) as mean, round(pixel, 6) as pixel, round(digest, 3) as digest from s join t using (id)""")
 def lanczos_resize_224(spark, d):
     """Each image's mean, one pixel, and the sum of all pixels by their numbers from 1 on."""
-    large = prep.resize(samples(spark, d).select("id", "features"), "features", (8, 8), (224, 224), "lanczos")
+    large = prep.resize(spread(samples(spark, d).select("id", "features")), "features", (8, 8), (224, 224), "lanczos")
     digest = total(F.transform("features", lambda v, j: v * (j + 1)))
     return large.select("id", F.size("features").alias("pixels"), F.round(mean("features"), 6).alias("mean"), F.round(F.col("features")[100 * 224 + 57], 6).alias("pixel"), F.round(digest, 3).alias("digest"))
 
@@ -164,7 +164,7 @@ def volumes(spark: SparkSession, d: str) -> DataFrame:
             yield batch[["path", "label", "content"]].assign(label=batch["label"].astype(str))
 
     rows = samples(spark, d).select("id", F.concat(F.lit("/"), F.col("id")).alias("path"), "label", "features")
-    return rows.mapInPandas(files_of, "path string, label string, content binary")
+    return spread(rows).mapInPandas(files_of, "path string, label string, content binary")
 
 
 @query("""with px as (select vec_id as id, label, cast(cast(round(cast(unnest(embedding) as double), 6) as float) as double) as v, unnest(range(64)) as j from embeddings where vec_id % 7 <> 0),
@@ -589,14 +589,14 @@ def fl_disjoint(spark, d):
 @query(f"with {sql.batches_sql(2, 12)} select c::int as c, j::int as j, round(w, 5) as w from f2")
 def fl_adam(spark, d):
     """Two rounds of an epoch of Adam in mini-batches of 32. (The SQL takes clients of up to 384 rows.)"""
-    rows = experiment.written(dealt3(spark, d).select("id", "features", "label", "client"))
+    rows = files.written(dealt3(spark, d).select("id", "features", "label", "client"))
     w, _ = federated.federated_adam(rows, MODEL_CLASSES, WIDTH, rounds=2, epochs=1)
     return model.from_matrix(spark, w).withColumn("w", F.round("w", 5))
 
 
 def units3(spark: SparkSession, d: str) -> DataFrame:
     """Rows with their client as the only unit, written."""
-    return experiment.written(dealt3(spark, d).select("features", "label", F.array("client").alias("units")))
+    return files.written(dealt3(spark, d).select("features", "label", F.array("client").alias("units")))
 
 
 _PRIVATE = training.Experiment("private", CLIENTS, rounds=1, epochs=2, sigma=1.1, clip=0.5, adam=False, rate=0.5, decay=0.0)
@@ -779,9 +779,9 @@ def privacy_utility_table(spark, d):
     """Five private steps for each noise, and as many without any, on training rows; figures on rows held out. The noise
     comes from hashes here, so that it can be drawn again."""
     plans = [training.Experiment(str(s), epochs=5, sigma=s, clip=1.0 if s else None, adam=False, rate=0.5, decay=0.0) for s in _SIGMAS]
-    sides = experiment.written(split.split_by_cuts(three(spark, d).select("id", "features", "label"), [("train", 0.8), ("val", 0.9)], "test"))
+    sides = files.written(split.split_by_cuts(three(spark, d).select("id", "features", "label"), [("train", 0.8), ("val", 0.9)], "test"))
     trainer = training.Trainer(plans, MODEL_CLASSES, WIDTH, seed=42)
-    state = trainer.train(experiment.written(training.deal(sides.filter("split = 'train'"), plans, MODEL_CLASSES)))
+    state = trainer.train(files.written(training.deal(sides.filter("split = 'train'"), plans, MODEL_CLASSES)))
     got = metrics.macro_by(training.score_all(sides.filter("split = 'test'"), trainer), MODEL_CLASSES, ("experiment",))
     spent = training.spent(training.ledger_table(spark, state.ledger)).select("experiment", "epsilon")
     rows = got.join(spent, "experiment", "left").select(F.col("experiment").cast("double").alias("sigma"), F.coalesce("epsilon", F.lit(float("inf"))).alias("epsilon_simple"), "accuracy", "f1_macro")

@@ -66,6 +66,22 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """rows as a table in the shared folder, in as few files as their size allows, so that steps don't compute them again.
+    Clustered by a column, a filter on it reads its own files and row groups alone."""
+    folder = scratch_folder(rows.sparkSession)
+    (rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows.hint("rebalance")).write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def remove(rows: DataFrame) -> None:
+    """Deletes the table of written() that rows reads; nothing may read it afterwards."""
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    for folder in {file.rpartition("/")[0] for file in rows.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def write_metrics(metrics: DataFrame, folder: str) -> None:
     """A JSON file for each experiment (a column of metrics), in a folder of its name."""
     metrics.repartition("experiment").write.mode("append").partitionBy("experiment").json(folder)

@@ -21,10 +21,15 @@ def files_below(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffixes) and not hidden(f.path))
 
 
+#: Bytes that opening a file counts as.
+FILE_COST = 1 << 20
+
+
 def packed(items: Iterable[tuple[str, int]], most: int) -> Iterator[list[str]]:
-    """Items in their order, in runs of about `most` bytes; one that is larger stands alone."""
+    """Items in their order, in runs of about `most` bytes, FILE_COST for each added; one that is larger stands alone."""
     run, size = [], 0
     for name, n in items:
+        n += FILE_COST
         if run and size + n > most:
             yield run
             run, size = [], 0
@@ -34,10 +39,14 @@ def packed(items: Iterable[tuple[str, int]], most: int) -> Iterator[list[str]]:
         yield run
 
 
-def put(store: fs.FileSystem, path: str, data: bytes) -> None:
-    """Writes a file that others see whole or not at all: under another name first, so a task may be repeated or run twice."""
+def put(store: fs.FileSystem, path: str, data: bytes, there: set[str] | None = None) -> None:
+    """Writes a file that others see whole or not at all: under another name first, so a task may be repeated or run twice.
+    `there` keeps the folders that were made already."""
     folder, _, name = path.rpartition("/")
-    store.create_dir(folder, recursive=True)
+    if there is None or folder not in there:
+        store.create_dir(folder, recursive=True)
+        if there is not None:
+            there.add(folder)
     hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(hidden) as out:
         out.write(data)

@@ -21,3 +21,9 @@ def samples(spark: SparkSession, sf_dir: str, classes: int | None = None) -> Dat
 def pixels(rows: DataFrame) -> DataFrame:
     """Samples as a long table (id, label, j, v)."""
     return rows.select("id", "label", F.posexplode("features").alias("j", "v"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where a scan gives fewer: for work that makes much of each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

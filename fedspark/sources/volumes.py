@@ -118,9 +118,10 @@ class SampleWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = opened(self.path)
+        there: set[str] = set()
         for batch in iterator:
             for folder, name, content in zip(*(batch.column(c) for c in ("folder", "file_name", "content"))):
-                put(store, f"{root}/{folder.as_py()}/{name.as_py()}", content.as_py())
+                put(store, f"{root}/{folder.as_py()}/{name.as_py()}", content.as_py(), there)
         return WriterCommitMessage()
 
     def commit(self, messages: list) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fedspark.functions.hashing import gauss_of, hash_gauss, hash_hex
 from fedspark.operators import experiment, federated, metrics, split, training
+from fedspark.sources import files
 
 from .test_core_parts import made, probs
 
@@ -57,7 +58,7 @@ def test_experiments_in_the_same_scans_equal_separate_loops(spark):
     assert all(u[1] - at[1] == u[2] - at[2] == same[i] for i, u in units.items())
     weights = training.label_weights(dealt, 13, 3)
     trainer = training.Trainer(plans, 3, 4, seed=7, weights=weights)
-    state = trainer.train(experiment.written(dealt.select("features", "label", "units")))
+    state = trainer.train(files.written(dealt.select("features", "label", "units")))
     for k, plan in enumerate(plans):
         clients = [np.array([i for i in range(180) if units[i][k] == at[k] + c], int) for c in range(plan.clients)]
         for c, own in enumerate(clients):
@@ -108,7 +109,7 @@ def test_mini_batches_equal_a_plain_loop_and_the_best_round_is_kept(spark):
 def test_a_cut_run_goes_on_from_its_last_whole_round(spark, tmp_path):
     rows, *_ = made(spark, 120)
     plans = [training.Experiment("a", 3, rounds=4, epochs=2, sigma=0.5, clip=1.0), training.Experiment("b", 2, rounds=3, epochs=1)]
-    dealt = experiment.written(training.deal(rows, plans, 3).select("features", "label", "units"))
+    dealt = files.written(training.deal(rows, plans, 3).select("features", "label", "units"))
     figure = lambda k, w: float(w.sum() ** 2 % 1)
     new = lambda: training.Trainer(plans, 3, 4, seed=3)
     whole = new()
@@ -122,7 +123,7 @@ def test_a_cut_run_goes_on_from_its_last_whole_round(spark, tmp_path):
     first.train(dealt, figure, after_round)
     (tmp_path / "rounds" / "after=9").mkdir()  # a state that was never committed
     again = new()
-    assert training.load_round(again, spark, folder) and sum(again.state.round) >= 4 and again.state.epoch != [0, 0] or True
+    assert training.load_round(again, spark, folder) and 4 <= sum(again.state.round) < 7
     again.train(dealt, figure)
     for k in range(2):
         assert np.allclose(again.weights_of(k), whole.weights_of(k))
