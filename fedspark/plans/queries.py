@@ -237,6 +237,26 @@ def client_sample_files(spark, d):
     return rows.select(F.element_at(part, -2).alias("folder"), F.element_at(part, -1).alias("file_name"), F.round("total", 4).alias("total"))
 
 
+@query("""with px as (select vec_id as id, label, cast(cast(round(cast(unnest(embedding) as double), 6) as float) as double) as v, unnest(range(64)) as j from embeddings where vec_id % 7 <> 0),
+sl as materialized (select id, label, nth, j % 8 as p, v from px join (values (0, 3), (1, 4), (2, 5)) t(nth, k) on j // 8 = k),
+z as (select *, greatest(-3, least(3, (v - avg(v) over w) / stddev_pop(v) over w)) as z from sl window w as (partition by id, nth)),
+r as (select *, floor((z - min(z) over w) / (max(z) over w - min(z) over w + 1e-8::double) * 255) as level from z window w as (partition by id, nth))
+select row_number() over (order by label, id, nth) - 1 as row, label::bigint as label, round(sum(level / 255.0::double * (p + 1)), 4) as digest from r group by label, id, nth""")
+def slice_files(spark, d):
+    """Slices of all volumes are written as one array, and their labels as another in the same order; both are read again
+    and met by row."""
+    folder = files.scratch_folder(spark)
+    arrays.register(spark)
+    found = spark.read.format("volumes").option("resize", "false").load(volume_files(spark, d)).filter("ok")
+    keyed = found.select(F.col("label").cast("long").alias("label"), F.regexp_extract("path", r"([0-9]+)\.nii$", 1).cast("long").alias("id"), "nth", "image")
+    ordered = files.written(keyed).repartitionByRange(4, "label", "id", "nth").sortWithinPartitions("label", "id", "nth")
+    ordered.select(F.col("image").alias("values")).write.format("arrays").option("shape", "4,2").mode("append").save(f"{folder}/images")
+    ordered.select(F.array("label").alias("values")).write.format("arrays").option("shape", "1").option("dtype", "int64").mode("append").save(f"{folder}/labels")
+    images, labels = (spark.read.format("arrays").load(f"{folder}/{name}") for name in ("images", "labels"))
+    met = images.join(labels.select("row", F.col("values")[0].cast("long").alias("label")), "row")
+    return met.select("row", "label", F.round(total(F.transform("values", lambda v, p: v * (p + 1))), 4).alias("digest"))
+
+
 @query("select row, round(sum((j + 1) * v), 4) as total from (select row_number() over (order by vec_id) - 1 as row, unnest(range(64)) as j, cast(unnest(embedding) as double) as v from embeddings) group by row")
 def array_files(spark, d):
     """Images are written as parts of one array of 8 x 8 floats, in the order of their ids, and read again by ranges of rows."""
@@ -561,7 +581,8 @@ def dealt3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rounds(spark: SparkSession, d: str, rounds: int) -> DataFrame:
-    w = federated.federated_rounds(dealt3(spark, d), MODEL_CLASSES, WIDTH, rounds)
+    rows = files.written(dealt3(spark, d).select("features", "label", "client"))
+    w = federated.federated_rounds(rows, MODEL_CLASSES, WIDTH, rounds)
     return model.from_matrix(spark, w).withColumn("w", F.round("w", 6))
 
 
@@ -1027,6 +1048,22 @@ def strip_names(spark, d):
     return rows.select("url", report.strip_extension(F.col("url")).alias("bare"), "key", report.strip_wrapper(F.col("key")).alias("name"))
 
 
+@query(f"""with {sql.experiment_sql(3)}, {sql.thresholds()},
+cls as (select c, count(*) filter (label = c and pred = c) as tp, count(*) filter (label = c) as p, count(*) filter (pred = c) as q from esc where side = 'test' group by c),
+auc as (select a.c, avg(case when round(a.p, 9) > round(b.p, 9) then 1.0::double when round(a.p, 9) = round(b.p, 9) then 0.5::double else 0.0::double end) as v from esc a join esc b on a.c = b.c and a.label = a.c and b.label <> b.c and a.side = 'test' and b.side = 'test' group by a.c),
+conf as (select id, any_value(side) as side, max(p) as confidence from esc group by id),
+mia as (select t, avg(case when (confidence >= t) = (side = 'train') then 1.0::double else 0.0::double end) as accuracy from conf, thresholds group by t),
+best as (select accuracy * 100 as accuracy from mia order by accuracy desc, t limit 1),
+m as (select sum(tp) / sum(p)::double as accuracy, avg(coalesce(tp / nullif(q, 0)::double, 0)) as precision_macro, avg(coalesce(tp / nullif(p, 0)::double, 0)) as recall_macro, avg(coalesce(2.0::double * tp / nullif(p + q, 0), 0)) as f1_macro from cls),
+a as (select case when count(*) = 3 then avg(v) else 0 end as v from auc)
+select metric, round(value, 5) as value from (select 'accuracy' as metric, accuracy as value from m union all select 'precision_macro', precision_macro from m union all select 'recall_macro', recall_macro from m
+  union all select 'f1_macro', f1_macro from m union all select 'auroc_macro', v from a union all select 'mia_accuracy', accuracy from best union all select 'mia_advantage', accuracy - 50 from best)""")
+def experiment_one(spark, d):
+    """One configured experiment: split, three epochs, metrics of the test rows and the attack."""
+    out = experiment.sweep(three(spark, d), [("one", "central", "resnet50", 0.5, 1, 1, 3)], MODEL_CLASSES, WIDTH)
+    return out.select(F.explode("metrics").alias("metric", "value")).withColumn("value", F.round("value", 5))
+
+
 @query(None)
 def experiment_sweep(spark, d):
     """Every configured experiment with all its rounds and epochs, and one that can't run."""

@@ -133,3 +133,22 @@ w1 as (select id, k2.ch, sum(w2.w * k2.w) / 64 as w from w2 join a2 using (id, f
 c2 as materialized (select id, y, x, greatest(0, sum(w * v)) as v from a2 join w2 using (id, f) group by id, y, x),
 heat as materialized (select id, 0 as layer, y * 8 + x as j, greatest(0, sum(coalesce(w, 0) * v)) as v from a1 left join w1 using (id, ch) group by id, y, x
   union all select id, 1, a.o * 8 + b.o, sum(a.w * b.w * v) from c2 join wt a on a.i = y join wt b on b.i = x group by id, a.o, b.o)"""
+
+
+def experiment_sql(epochs: int, rate: float = 1e-2) -> str:
+    """Central training by full-batch Adam with class weights, and the scores of train and test rows in esc(id, label, side, c, p, pred)."""
+    parts = [f"""{PX}, lab as (select vec_id as id, label, row_number() over (order by {hashed('42', 'vec_id')}) as rn, count(*) over () as n from embeddings where label < 3),
+side as materialized (select id, label, case when rn <= cast(floor(0.8::double * n) as bigint) then 'train' when rn <= cast(floor(0.9::double * n) as bigint) then 'val' else 'test' end as side from lab),
+cw as materialized (select label, sum(count(*)) over () / (count(*) over () * count(*))::double as cw from lab group by label),
+tr as materialized (select px.id, px.label, j, v, cw from px join side using (id) join cw on cw.label = px.label where side = 'train'), total as (select sum(cw) / 64 as t from tr),
+t0 as materialized (select c, j, 0.0::double as w, 0.0::double as m, 0.0::double as v from range(3) a(c), range(64) b(j))"""]
+    for k in range(epochs):
+        parts.append(f"""tz{k} as (select id, tr.label, cw, c, sum(tr.v * w) as z from tr join t{k} using (j) group by all), te{k} as (select *, exp(z - max(z) over (partition by id)) as e from tz{k}),
+td{k} as materialized (select id, c, cw * (e / sum(e) over (partition by id) - (c = label)::int) as d from te{k}),
+tg{k} as materialized (select c, j, sum(d * v) / (select t from total) as g from td{k} join tr using (id) group by all),
+tm{k} as (select t.c, t.j, w, 0.9::double * m + 0.1::double * (g + 1e-4::double * w) as m, 0.999::double * v + 0.001::double * (g + 1e-4::double * w) * (g + 1e-4::double * w) as v from t{k} t join tg{k} using (c, j)),
+t{k + 1} as materialized (select c, j, w - {rate!r}::double * (m / {1 - 0.9 ** (k + 1)!r}::double) / (sqrt(v / {1 - 0.999 ** (k + 1)!r}::double) + 1e-8::double) as w, m, v from tm{k})""")
+    parts.append(f"""ez as materialized (select px.id, px.label, side, c, sum(px.v * w) as z from px join side using (id) join t{epochs} using (j) where side <> 'val' group by all),
+ee as (select *, exp(z - max(z) over (partition by id)) as e, row_number() over (partition by id order by round(z, 9) desc, c) as k from ez),
+esc as materialized (select id, label, side, c, e / sum(e) over (partition by id) as p, max(case when k = 1 then c end) over (partition by id) as pred from ee)""")
+    return ",\n".join(parts)
