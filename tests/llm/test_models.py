@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from fedspark.llm import chat, lm, quality
 
@@ -219,3 +221,23 @@ def test_pipeline_stages_on_empty_tables_and_null_texts(spark):
         assert stage(spark, nulls, "").count() == (0 if name == "quality rules" else 3), name
     assert corpus_pipeline.pack_windows(spark, none, "").count() == 0
     assert [(r.doc_id, r.length) for r in corpus_pipeline.pack_windows(spark, nulls.filter("doc_id is null"), "").collect()] == [(None, 1)]
+
+
+def test_a_word_of_all_documents_is_one_number_a_block(spark, monkeypatch):
+    """Whatever the number of documents that have a word, what meets by words has one count of it for each block."""
+    monkeypatch.setattr(lm, "WORD_SLICE", 4000)
+    values = [f"common common w{i} common w{i % 7}" for i in range(600)]
+    docs = documents(spark, values).select("doc_id", F.xxhash64("doc_id").alias("key"), "text").coalesce(1)
+    rows = docs.mapInArrow(lm._deal_words(3), lm.DEALT).collect()
+    blocks = {r.block for r in rows if r.range < 0}
+    assert 1 < len(blocks) == len([r for r in rows if r.range < 0])
+    hashes = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows if r.range >= 0])
+    assert np.unique(hashes, return_counts=True)[1].max() == len(blocks)
+    assert rows == docs.mapInArrow(lm._deal_words(3), lm.DEALT).collect()  # a task that is repeated gives the same blocks
+    train = Counter(w for i, v in enumerate(values) if not lm.held_out(i) for w in v.split())
+    n, v = sum(train.values()) + sum(not lm.held_out(i) for i in range(600)), len(train) + 1
+    ends = sum(not lm.held_out(i) for i in range(600))
+    for r in lm.word_scores(docs).collect():
+        words = values[r.doc_id].split()
+        want = sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words) + math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
+        assert r.base_score == pytest.approx(want) and r.n_known == sum(train[w] > 0 for w in words) + 1
