@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import written
+from ..sources.files import remove, written
 from . import metrics, privacy, split, training
 
 #: Models by the names of experiments: the features as they are, or with their squares beside them.
@@ -73,5 +73,7 @@ def sweep(rows: DataFrame, configs, classes: int, width: int, seed: int | None =
                 state.w[trainer.at[k] : trainer.at[k + 1]] = 0
         scored = written(training.score_all(sides, trainer, ("label", "split")))
         found = {r["experiment"]: r.asDict() for r in measured(scored, classes).collect()}  # a row for each experiment
+        for own in (scored, train, sides):
+            remove(own)
     out = [(name, None if name in errors else {k: float(found[name][k]) for k in FIGURES}, errors.get(name)) for name, *_ in configs]
     return spark.createDataFrame(out, "experiment string, metrics map<string,double>, error string")

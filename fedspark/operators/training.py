@@ -30,7 +30,8 @@ class Experiment:
     """Rounds of local epochs on clients that a Dirichlet draw deals out, and averages between them.
 
     An epoch is one step on all rows of a client, or with `batch` one for each batch of its shuffle. With `sigma`, a step
-    takes rows' gradients clipped to a norm of `clip` and adds Gaussian noise of sigma * clip to their sum.
+    takes rows' gradients clipped to a norm of `clip` and adds Gaussian noise of sigma * clip to their sum; it ends after the
+    first epoch in which some client has spent more than `most_epsilon`.
     """
 
     name: str
@@ -41,6 +42,7 @@ class Experiment:
     squares: bool = False
     sigma: float = 0.0
     clip: float | None = None
+    most_epsilon: float | None = None
     batch: int | None = None
     adam: bool = True
     rate: float = RATE
@@ -72,6 +74,7 @@ class State:
     best_f1: list[float] = field(default_factory=list)
     history: list[dict] = field(default_factory=list)
     ledger: list[dict] = field(default_factory=list)
+    epochs: list[dict] = field(default_factory=list)
 
 
 def offsets(experiments: list[Experiment]) -> list[int]:
@@ -98,7 +101,8 @@ def unit_gradients(rows: DataFrame, w: np.ndarray, active: np.ndarray, widths: n
     """Of each active unit that has rows: the sum of its rows' gradients, of their loss, of their weights, and their number.
 
     Only the first `widths` of a unit's features count; a width beyond the features' takes their squares. A unit with a
-    finite clip scales each row's gradient to that norm first. weights (units, classes) weigh a row by its label.
+    finite clip scales each row's gradient to that norm first. weights (units, classes) weigh a row by its label; rows
+    without one add nothing.
     """
     units, classes, width = w.shape
 
@@ -137,7 +141,7 @@ def unit_gradients(rows: DataFrame, w: np.ndarray, active: np.ndarray, widths: n
         flat = np.concatenate([sums[used].reshape(len(used), cells), more[used]], 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(used, cells + 3).astype(np.int32)), pa.array(np.tile(np.arange(cells + 3), len(used)).astype(np.int32)), pa.array(flat.ravel())], names=["unit", "at", "g"])
 
-    sent = rows.select("features", "label", "units").mapInArrow(run, "unit int, at int, g double").groupBy("unit", "at").agg(F.sum("g").alias("g")).toArrow()
+    sent = rows.filter("label is not null").select("features", "label", "units").mapInArrow(run, "unit int, at int, g double").groupBy("unit", "at").agg(F.sum("g").alias("g")).toArrow()
     flat = np.zeros((units, classes * width + 3))
     flat[sent.column("unit").to_numpy(), sent.column("at").to_numpy()] = sent.column("g").to_numpy()
     return {int(u): (flat[u, :-3].reshape(classes, width), flat[u, -3], flat[u, -2], int(flat[u, -1])) for u in np.flatnonzero(flat[:, -1])}
@@ -241,25 +245,28 @@ class Trainer:
             if batch := self.experiments[0].batch:
                 dealt, most = epoch_batches(rows, batch, f"batch_{s.round[0]}_{s.epoch[0]}")
                 dealt = written(dealt, "batch")  # an epoch's rows by batch: each step reads its own
-                for b in range(most):
-                    self.step(dealt.filter(F.col("batch") == b), active)
+                found = [self.step(dealt.filter(F.col("batch") == b), active) for b in range(most)]
                 remove(dealt)
             else:
-                self.step(rows, active)
+                found = [self.step(rows, active)]
             ended = False
             for k in np.flatnonzero(going):
-                e = self.experiments[k]
+                e, own = self.experiments[k], range(self.at[k], self.at[k + 1])
                 s.epoch[k] += 1
-                if s.epoch[k] < e.epochs:
+                seen = [step[u] for step in found for u in own if u in step]
+                spent = max((self.epsilon(u, int(sizes[u])) for u in own if sizes[u]), default=0.0) if e.sigma else None
+                s.epochs.append({"experiment": e.name, "round": s.round[k] + 1, "epoch": s.epoch[k], "loss": float(sum(x[1] for x in seen) / max(sum(x[2] for x in seen), 1e-300)), "epsilon": spent})
+                over = e.most_epsilon is not None and spent is not None and spent > e.most_epsilon
+                if s.epoch[k] < e.epochs and not over:
                     continue
                 self.average(k, sizes)
-                s.epoch[k], s.round[k], ended = 0, s.round[k] + 1, True
+                s.epoch[k], s.round[k], ended = 0, e.rounds if over else s.round[k] + 1, True
                 if e.sigma:
-                    for u in range(self.at[k], self.at[k + 1]):
+                    for u in own:
                         s.ledger.append({"experiment": e.name, "round": s.round[k], "client": u - self.at[k], "steps": int(s.private_steps[u]), "epsilon": self.epsilon(u, int(sizes[u])) if sizes[u] else 0.0})
                 if validate:
                     w = s.w[self.at[k]]
-                    figure = validate(int(k), w)
+                    figure = float(validate(int(k), w))
                     s.history.append({"experiment": e.name, "round": s.round[k], "f1": figure})
                     if figure > s.best_f1[k]:
                         s.best_f1[k], s.best[k] = figure, w.copy()
@@ -277,6 +284,11 @@ def ledger_table(spark: SparkSession, ledger: list[dict]) -> DataFrame:
     return spark.createDataFrame([(x["experiment"], x["round"], x["client"], x["steps"], x["epsilon"]) for x in ledger], "experiment string, round int, client int, steps int, epsilon double")
 
 
+def epoch_table(spark: SparkSession, epochs: list[dict]) -> DataFrame:
+    """Each epoch's mean loss before its steps, and what has been spent after them."""
+    return spark.createDataFrame([(x["experiment"], x["round"], x["epoch"], x["loss"], x["epsilon"]) for x in epochs], "experiment string, round int, epoch int, loss double, epsilon double")
+
+
 def spent(ledger: DataFrame) -> DataFrame:
     """(experiment, round, epsilon) after each round: clients hold different rows, so the largest of theirs counts."""
     return ledger.groupBy("experiment", "round").agg(F.max("epsilon").alias("epsilon"))
@@ -284,14 +296,14 @@ def spent(ledger: DataFrame) -> DataFrame:
 
 # checkpoints of rounds
 
-STATE = "round array<int>, epoch array<int>, w array<double>, m array<double>, v array<double>, steps array<int>, private_steps array<int>, best array<array<double>>, best_f1 array<double>, history array<struct<experiment:string,round:int,f1:double>>, ledger array<struct<experiment:string,round:int,client:int,steps:int,epsilon:double>>"
+STATE = "round array<int>, epoch array<int>, w array<double>, m array<double>, v array<double>, steps array<int>, private_steps array<int>, best array<array<double>>, best_f1 array<double>, history array<struct<experiment:string,round:int,f1:double>>, ledger array<struct<experiment:string,round:int,client:int,steps:int,epsilon:double>>, epochs array<struct<experiment:string,round:int,epoch:int,loss:double,epsilon:double>>"
 
 
 def save_round(spark: SparkSession, state: State, folder: str) -> None:
     """The state after a round, one row of one file, which stands there whole or not at all."""
     flat = lambda a: a.ravel().tolist()
     best = [None if b is None else flat(b) for b in state.best]
-    row = (state.round, state.epoch, flat(state.w), flat(state.m), flat(state.v), state.steps.tolist(), state.private_steps.tolist(), best, state.best_f1, [(h["experiment"], h["round"], h["f1"]) for h in state.history], [(x["experiment"], x["round"], x["client"], x["steps"], x["epsilon"]) for x in state.ledger])
+    row = (state.round, state.epoch, flat(state.w), flat(state.m), flat(state.v), state.steps.tolist(), state.private_steps.tolist(), best, state.best_f1, [(h["experiment"], h["round"], h["f1"]) for h in state.history], [(x["experiment"], x["round"], x["client"], x["steps"], x["epsilon"]) for x in state.ledger], [(x["experiment"], x["round"], x["epoch"], x["loss"], x["epsilon"]) for x in state.epochs])
     spark.createDataFrame([row], STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/after={sum(state.round)}")
 
 
@@ -309,6 +321,7 @@ def load_round(trainer: Trainer, spark: SparkSession, folder: str) -> bool:
     s.steps, s.private_steps, s.round, s.epoch = np.array(r["steps"]), np.array(r["private_steps"]), list(r["round"]), list(r["epoch"])
     s.best, s.best_f1 = [None if b is None else np.array(b).reshape(shape[1:]) for b in r["best"]], list(r["best_f1"])
     s.history, s.ledger = [h.asDict() for h in r["history"]], [x.asDict() for x in r["ledger"]]
+    s.epochs = [x.asDict() for x in r["epochs"]]
     return True
 
 

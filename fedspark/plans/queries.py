@@ -661,6 +661,34 @@ def fl_resumed(spark, d):
     return model.from_matrix(spark, second.weights_of(0)).withColumn("w", F.round("w", 6))
 
 
+@query(f"""with {PX}, {sql.dealt(where='label < 3')}, loc as (select id, label, client, row_number() over (partition by client order by {sql.hashed('local')}) as rn, count(*) over (partition by client) as n from dealt),
+side as materialized (select id, label, client, rn <= greatest(1, floor(n * 0.1::double)) as val from loc),
+cw as materialized (select client, label, sum(count(*)) over (partition by client) / (count(*) over (partition by client) * count(*))::double as cw from side group by client, label),
+r as materialized (select px.id, px.label, client, val, cw, j, v from px join side using (id) join cw using (client) where cw.label = px.label),
+n as (select client, count(*) filter (not val) / 64 as n, sum(cw) filter (not val) / 64 as t from r group by client),
+u as (select r.client, c, j, -sum(cw * (1 / 3.0::double - (c = label)::int) * v) / any_value(t) as w from r join n using (client), range(3) k(c) where not val group by all),
+w as materialized (select c, j, sum(w * n) / sum(n) as w from u join n using (client) group by c, j),
+z as (select id, client, label, cw, c, sum(v * w) as z from r join w using (j) where val group by all),
+e as (select *, exp(z - max(z) over (partition by id)) as e, row_number() over (partition by id order by round(z, 9) desc, c) as k from z),
+p as (select *, e / sum(e) over (partition by id) as p, max(case when k = 1 then c end) over (partition by id) as pred from e)
+select client::int as client, any_value(n)::bigint as n_train, count(*) as n_val, round(sum(cw * -ln(p)) / sum(cw), 6) as loss, round(avg((pred = label)::int) * 100, 6) as accuracy_pct from p join n using (client) where c = label group by client""")
+def client_round(spark, d):
+    """A round in which each client trains on nine tenths of its rows, weighted by its own labels, and the mean is
+    evaluated on the rest of each."""
+    rows = files.written(split.client_local_split(dealt3(spark, d)).withColumn("units", F.array("client")))
+    weights = training.label_weights(rows, CLIENTS, MODEL_CLASSES)
+    plan = training.Experiment("local", CLIENTS, adam=False, rate=1.0, decay=0.0)
+    trainer = training.Trainer([plan], MODEL_CLASSES, WIDTH, weights=weights)
+    trainer.train(rows.filter("split = 'train'"))
+    of = F.array(*(F.array(*map(F.lit, map(float, w))) for w in weights))
+    own = F.element_at(F.element_at(of, F.col("client") + 1), F.col("label") + 1)
+    scored = model.score(rows.filter("split = 'val'"), trainer.weights_of(0)).withColumn("_w", own)
+    loss = F.sum(-F.log(F.element_at("probs", F.col("label") + 1)) * F.col("_w")) / F.sum("_w")
+    out = scored.groupBy("client").agg(F.count(F.lit(1)).alias("n_val"), F.round(loss, 6).alias("loss"), F.round(F.avg(F.when(F.col("pred") == F.col("label"), 1.0).otherwise(0.0)) * 100, 6).alias("accuracy_pct"))
+    trained = rows.filter("split = 'train'").groupBy("client").agg(F.count(F.lit(1)).alias("n_train"))
+    return out.join(trained, "client").select(F.col("client").cast("int").alias("client"), "n_train", "n_val", "loss", "accuracy_pct")
+
+
 @query(f"""with {sql.dealt(where='label < 3')}, n as (select client, label, count(*) as n from dealt group by all), t as (select client, sum(n) as total, count(*) as present from n group by client)
 select k.client::int as client, c::int as label, round(coalesce(total / (present * n)::double, 1), 9) as weight from range(4) k(client) cross join range(3) r(c) left join t on t.client = k.client left join n on n.client = k.client and n.label = c""")
 def client_class_weights(spark, d):
@@ -809,6 +837,24 @@ def privacy_utility_table(spark, d):
     return rows.select("sigma", *(F.round(x, 6).alias(x) for x in ("epsilon_simple", "accuracy", "f1_macro")))
 
 
+_TARGETS = ((2.0, 1.1), (5.0, 0.7), (10.0, 0.5))
+
+
+@query(f"""with {PX}, {sql.steps_sql("select unit, id, label, j, v from px, range(3) u(unit) where label < 3", f"select unit, 0 as client, {[s for _, s in _TARGETS]!r}[unit + 1]::double as sigma from range(3) u(unit)", 3, 0.5, 1.0)},
+loss as (select 1 as epoch, unit, avg(-ln(e / t)) as loss from (select *, sum(e) over (partition by unit, id) as t from se0) where c = label group by unit
+  union all select 2, unit, avg(-ln(e / t)) from (select *, sum(e) over (partition by unit, id) as t from se1) where c = label group by unit
+  union all select 3, unit, avg(-ln(e / t)) from (select *, sum(e) over (partition by unit, id) as t from se2) where c = label group by unit),
+h as (select {[t for t, _ in _TARGETS]!r}[unit + 1]::double as target, epoch, loss, sqrt(2.0::double * epoch * {float(np.log(1e5))!r}::double) / sigma as epsilon from loss join unit using (unit))
+select target, epoch::int as epoch, round(loss, 6) as loss, round(epsilon, 6) as epsilon from h where coalesce((select max(b.epsilon) from h b where b.target = h.target and b.epoch < h.epoch), 0) <= 2 * target""")
+def private_history(spark, d):
+    """Loss and spent privacy after each epoch, for each target with its noise: training ends once it has spent twice the target."""
+    plans = [training.Experiment(str(t), epochs=3, sigma=s, clip=1.0, most_epsilon=2 * t, adam=False, rate=0.5, decay=0.0) for t, s in _TARGETS]
+    trainer = training.Trainer(plans, MODEL_CLASSES, WIDTH, seed=42)
+    state = trainer.train(files.written(training.deal(three(spark, d), plans, MODEL_CLASSES).select("features", "label", "units")))
+    found = training.epoch_table(spark, state.epochs)
+    return found.select(F.col("experiment").cast("double").alias("target"), "epoch", F.round("loss", 6).alias("loss"), F.round("epsilon", 6).alias("epsilon"))
+
+
 # membership inference
 
 _MEMBERS = f"""{SCORED}, sp as (select id, row_number() over (order by {sql.hashed('42')}) as rn, count(*) over () as n from pred),
@@ -930,6 +976,17 @@ def gradcam_class(spark, d):
     return cells.withColumn("heat", F.round("heat", 5))
 
 
+@query(f"with {_CONV}, {sql.conv_gradient_sql()} select part, i::int as i, round(g, 5) as g from grad")
+def conv_gradients(spark, d):
+    """The loss's gradient by every weight of the network, summed over all rows."""
+    g, _, _ = conv.gradients(three(spark, d), _NET)
+    out, at = [], 0
+    for part, a in zip(("kernel_0", "kernel_1", "bias_0", "bias_1", "head", "bias"), (*_NET.kernels, *_NET.biases, _NET.head, _NET.bias)):
+        out += [(part, i, float(v)) for i, v in enumerate(g[at : at + a.size])]
+        at += a.size
+    return spark.createDataFrame(out, "part string, i int, g double").withColumn("g", F.round("g", 5) + F.lit(0.0))
+
+
 @query(f"""with {PX}, p3 as materialized (select * from px where label < 3), par as (select label as c, j, avg(v) * 8 as w, avg(v * v) * 8 as w2 from p3 group by all),
 bg as (select vec_id as b from embeddings where label < 3 order by {sql.hashed('bg', 'vec_id')}, vec_id limit 20),
 draw as materialized (select p.id, b, (k + {sql.uniform('42', "(p.id || '_' || b || '_' || k)")}) / 2 as t from (select distinct id from p3) p, bg, range(2) r(k)),

@@ -152,3 +152,20 @@ t{k + 1} as materialized (select c, j, w - {rate!r}::double * (m / {1 - 0.9 ** (
 ee as (select *, exp(z - max(z) over (partition by id)) as e, row_number() over (partition by id order by round(z, 9) desc, c) as k from ez),
 esc as materialized (select id, label, side, c, e / sum(e) over (partition by id) as p, max(case when k = 1 then c end) over (partition by id) as pred from ee)""")
     return ",\n".join(parts)
+
+
+def conv_gradient_sql() -> str:
+    """The cross-entropy's gradient by all weights of conv_sql()'s network, over rows of the first three classes: (part, i, g)."""
+    return """lab as (select vec_id as id, label from embeddings where label < 3),
+dz as materialized (select id, c, p - (c = label)::int as d from (select id, c, e / sum(e) over (partition by id) as p from prob) join lab using (id)),
+df as (select id, f, sum(d * w) / 16 as g from dz join head using (c) group by id, f),
+d2 as materialized (select id, f, y, x, g from a2 join df using (id, f) where v > 0),
+g2 as (select f, p1.ch, dy, dx, sum(g * v) as g from d2, range(3) r(dy), range(3) s(dx), p1 where p1.id = d2.id and p1.y = d2.y + dy - 1 and p1.x = d2.x + dx - 1 group by all),
+dp as materialized (select id, ch, d2.y + dy - 1 as y, d2.x + dx - 1 as x, sum(g * w) as g from d2 join k2 using (f) group by all),
+d1 as materialized (select a1.id, a1.ch as f, a1.y, a1.x, g / 4 as g from a1 join dp on dp.id = a1.id and dp.ch = a1.ch and dp.y = a1.y // 2 and dp.x = a1.x // 2 where a1.v > 0),
+g1 as (select f, dy, dx, sum(g * v) as g from d1, range(3) r(dy), range(3) s(dx), im where im.id = d1.id and im.y = d1.y + dy - 1 and im.x = d1.x + dx - 1 group by all),
+grad as (select 'kernel_0' as part, (f * 9 + dy * 3 + dx) as i, coalesce(g, 0) as g from k1 left join g1 using (f, dy, dx)
+  union all select 'kernel_1', ((f * 2 + ch) * 9 + dy * 3 + dx), coalesce(g, 0) from k2 left join g2 using (f, ch, dy, dx)
+  union all select 'bias_0', k.f, coalesce(sum(g), 0) from (select distinct f from k1) k left join d1 using (f) group by k.f
+  union all select 'bias_1', k.f, coalesce(sum(g), 0) from (select distinct f from k2) k left join d2 using (f) group by k.f
+  union all select 'head', c * 3 + f, sum(d * v) from dz join mean using (id) group by c, f union all select 'bias', c, sum(d) from dz group by c)"""

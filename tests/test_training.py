@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fedspark.functions.hashing import gauss_of, hash_gauss, hash_hex
-from fedspark.operators import experiment, federated, metrics, split, training
+from fedspark.operators import experiment, federated, metrics, report, split, training
 from fedspark.sources import files
 
 from .test_core_parts import made, probs
@@ -81,6 +81,18 @@ def test_noise_needs_a_clip_and_comes_from_the_system(spark):
     assert np.allclose([r.g for r in got], [gauss_of(5, i) for i in range(3)])
 
 
+def test_training_ends_once_its_privacy_is_spent(spark):
+    rows, *_ = made(spark, 90)
+    plans = [training.Experiment("short", epochs=9, sigma=1.0, clip=1.0, most_epsilon=8.0), training.Experiment("free", epochs=4), training.Experiment("long", 2, rounds=3, epochs=2, sigma=1.0, clip=1.0)]
+    trainer = training.Trainer(plans, 3, 4, seed=1)
+    state = trainer.train(training.deal(rows, plans, 3))
+    spent = [x["epsilon"] for x in state.epochs if x["experiment"] == "short"]
+    assert len(spent) == 3 and spent[1] <= 8 < spent[2]  # sqrt(2 t ln 1e5)
+    assert [x["round"] for x in state.epochs if x["experiment"] == "long"] == [1, 1, 2, 2, 3, 3]
+    free = [x["loss"] for x in state.epochs if x["experiment"] == "free"]
+    assert free[0] == pytest.approx(math.log(3)) and free == sorted(free, reverse=True) and training.epoch_table(spark, state.epochs).count() == 13
+
+
 def test_mini_batches_equal_a_plain_loop_and_the_best_round_is_kept(spark):
     rows, x, y = made(spark, 150)
     parts = rows.withColumn("client", F.when(F.col("id") < 50, 0).otherwise(1))
@@ -128,6 +140,7 @@ def test_a_cut_run_goes_on_from_its_last_whole_round(spark, tmp_path):
     for k in range(2):
         assert np.allclose(again.weights_of(k), whole.weights_of(k))
     assert again.state.ledger == whole.state.ledger and again.state.history == whole.state.history
+    assert [(x["experiment"], x["round"], x["epoch"]) for x in again.state.epochs] == [(x["experiment"], x["round"], x["epoch"]) for x in whole.state.epochs]
     assert not training.load_round(new(), spark, f"file://{tmp_path}/none")
 
 
@@ -139,6 +152,8 @@ def test_a_sweep_measures_each_experiment_and_keeps_failures(spark):
     assert len(got) == 6 and set(got["good"].metrics) == set(experiment.FIGURES)
     assert got["good"].metrics["accuracy"] > 0.6 and got["e1"].metrics != got["e5"].metrics
     assert "no such setting" in got["bad"].error and "alpha" in got["worse"].error and got["bad"].metrics is None
+    shown = {r.experiment: r for r in report.ablation_table(out).collect()}
+    assert shown["bad"].failed and shown["bad"].accuracy == "0.0%" and not shown["good"].failed
 
 
 def test_measures_by_experiment_equal_those_of_each_alone(spark):
