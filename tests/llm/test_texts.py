@@ -69,16 +69,33 @@ def plain_kept(values: list) -> list:
         if passed[-1]:
             data = text.encode()
             by_class.setdefault(int(2 * math.log2(len(data))), []).append(min(int(100 * ratio(data)), 2000))
-    fitted = {}
+    texts, centre, spread = {}, {}, {}
     for kind, found in by_class.items():
-        if len(found) >= quality.LEAST_TEXTS:
-            first, median, third = (sorted(found)[math.ceil(q * len(found)) - 1] / 100 + 0.005 for q in (0.25, 0.5, 0.75))
-            reach = max(quality.SPREADS * (third - first) / 1.349, quality.NARROWEST * median)
-            fitted[kind] = (median - reach, median + reach)
+        first, centre[kind], third = (sorted(found)[math.ceil(q * len(found)) - 1] / 100 + 0.005 for q in (0.25, 0.5, 0.75))
+        texts[kind], spread[kind] = len(found), (third - first) / 1.349
+
+    def fitted(kind):
+        say = {k: n / 2 ** abs(k - kind) for k, n in texts.items() if k != kind}
+        if say:
+            mean = lambda of: sum(say[k] * of(k) for k in say) / sum(say.values())
+            at, level = mean(lambda k: k), mean(centre.get)
+            heard = sum(say.values())
+            rise = heard * mean(lambda k: (k - at) * (centre[k] - level)) / (heard * mean(lambda k: (k - at) ** 2) + 1)
+            line = lambda k: level + rise * (k - at)
+            foretold, doubt = line(kind), mean(lambda k: spread[k] ** 2 + (centre[k] - line(k)) ** 2) + (rise * (kind - at) / 2) ** 2
+            doubt = (heard * doubt + 0.0625 * (1 + mean(lambda k: abs(k - kind)))) / (heard + 1)
+        else:
+            foretold, doubt = centre[kind], 0.0625
+        n, prior = texts.get(kind, 0), quality.PRIOR_TEXTS
+        middle = (n * centre.get(kind, 0) + prior * foretold) / (n + prior)
+        reach = max(quality.SPREADS * math.sqrt((n * spread.get(kind, 0) ** 2 + prior * doubt) / (n + prior)), quality.NARROWEST * middle)
+        return middle - reach, middle + reach
+
     def inside(data):
         low, high = next((low, high) for least, low, high in reversed(quality.BANDS) if len(data) >= least)
-        own = fitted.get(int(2 * math.log2(len(data))), (low, high))
+        own = fitted(int(2 * math.log2(len(data))))
         return max(low, own[0]) <= ratio(data) <= min(high, own[1])
+
     out = []
     for text, ok in zip(values, passed):
         data = (text or "").encode()
@@ -108,6 +125,33 @@ def test_quality_bands_follow_the_table(spark):
     assert quality.keep_good(whole).schema == whole.schema
 
 
+@pytest.mark.parametrize("n", [25, 100, 800])
+def test_quality_bands_do_not_hang_on_the_tables_size(spark, n):
+    import random
+
+    rng = random.Random(n)
+    syllables = ["th", "an", "er", "on", "in", "the", "ou", "ti", "ed", "re", "st", "ly"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    prose = [" ".join(word() for _ in range(int(30 * 2 ** rng.uniform(0, 6)))) for _ in range(n)]
+    dense = " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(200))
+    ring = [word() for _ in range(9)]
+    loop = " ".join(ring[rng.randrange(9)] for _ in range(800))  # few windows of five words come twice: some words in 59,049
+    values = prose + [dense, loop]
+    got = by_id(quality.quality_rules(documents(spark, values)))
+    assert [got[i].kept for i in range(len(values))] == plain_kept(values)
+    assert all(got[i].kept for i in range(n))
+    assert not got[n].base_failed and not got[n + 1].base_failed and not got[n].kept and not got[n + 1].kept
+
+
+def test_bands_of_lengths_without_texts():
+    assert quality.bands_of({}) == {}
+    one = quality.bands_of({(20, 190): 3})
+    assert len(one) == quality.CLASSES and all(low < 1.905 < high for low, high in one.values())
+    few, many = (quality.bands_of({(k, 100 + 5 * k + d): n for k in (18, 19, 20, 21) for d in (-1, 0, 1)}) for n in (1, 10_000))
+    assert all(low < 1.005 + 0.05 * k < high for f in (few, many) for k, (low, high) in f.items())
+    assert many[30][1] - many[30][0] > many[24][1] - many[24][0] > many[20][1] - many[20][0]
+
+
 def test_repeated_windows_of_one_hash(monkeypatch):
     import numpy as np
 
