@@ -196,7 +196,7 @@ def _search(k: int):
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -228,7 +228,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.col("_length") == lengths["_length"]).drop("_length").withColumn("row", F.xxhash64("vec_id", "vector"))
-    rows = written(rows.dropDuplicates(["row"]), "vectors")
+    rows = written(rows.dropDuplicates(["vec_id", "row"]), "vectors")
     n = rows.count()
     fit = rows.orderBy(F.xxhash64(F.lit(7), "row"), "row").limit(sample).select("vector").toArrow()
     share = len(fit) / n
@@ -238,7 +238,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
     queries = written(indexed.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vector"), "queries")
 
     # brute force for the trial queries: every block of vectors meets all of them, which are few
-    given = queries.orderBy(F.xxhash64(F.lit(11), "query"), "query").limit(CALIBRATION).toArrow()
+    given = queries.orderBy(F.xxhash64(F.lit(11), "query"), "query", "query_id").limit(CALIBRATION).toArrow()
     trial, trial_ids, trial_vectors = given.column("query").to_numpy(), given.column("query_id").to_numpy(), _matrix(given.column("vector"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
     needed = sorted(place[r["query"]][r["leaf"]] + 1 for r in lies)
     most = needed[math.ceil(recall * len(needed)) - 1] if needed else tree.leaves
 
-    visits = queries.mapInArrow(_visit(tree, most), "query long, query_id long, vector array<double>, cell long, leaves array<long>")
+    visits = written(queries.mapInArrow(_visit(tree, most), "query long, query_id long, vector array<double>, cell long, leaves array<long>"), "visits")
     # a row for each cell, whose number the sample bounds
     blocks = indexed.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
     parts = visits.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / QUERY_BLOCK) + 1).cast("int").alias("parts"))
