@@ -15,15 +15,16 @@ from .common import forget, table, written
 
 #: The tree is fitted on so many vectors at most, those of the smallest hashes; all vectors are indexed.
 SAMPLE = 100_000
-#: Leaves hold about LEAF_ROWS of all vectors, so their number grows with the table, as far as LEAF_SAMPLE vectors of the
-#: sample fall to each.
-BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 100, 16
+#: Leaves hold LEAF_ROWS of all vectors at most, and an eighth of that or more in the mean, so their number grows with the
+#: table, as far as LEAF_SAMPLE vectors of the sample fall to each.
+BRANCHES, LEAF_ROWS, LEAF_SAMPLE = 8, 800, 16
 #: Queries on which the number of leaf visits is calibrated against brute force over all vectors.
 CALIBRATION, RECALL = 128, 0.95
-#: A cell is a subtree of about CELL vectors, which a query is sent to once, with the leaves it visits there. Vectors of a
-#: cell, and queries that visit it, which meet in one task.
-CELL, BLOCK, QUERY_BLOCK = 4096, 8192, 8192
-QUERIES_AT_ONCE = 256
+#: A cell is a subtree whose vectors take about CELL_BYTES; a query is sent to it once, with the leaves it visits there, and
+#: takes its best of them all at once. Vectors of a cell of so many bytes, and QUERY_BLOCK queries that visit it, meet in one task.
+CELL_BYTES, QUERY_BLOCK = 32 << 20, 8192
+#: Inner products that are held at a time.
+PRODUCTS_AT_ONCE = 8_000_000
 
 FOUND = "query long, query_id long, vec_id long, score double"
 
@@ -32,7 +33,7 @@ class KMeansTree:
     """Inner nodes hold their children's centres; leaves are numbered, and each belongs to a cell: the largest subtree around
     it with at most `cell` vectors of the sample."""
 
-    def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, cell: int = CELL, seed: int = 1):
+    def __init__(self, sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE, cell: int = 4096, seed: int = 1):
         self.centres: list[np.ndarray] = []
         self.children: list[list[int]] = []  # a leaf is ~number
         self.cell_of: list[int] = []
@@ -100,17 +101,20 @@ def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (points @ centres.T - (centres**2).sum(1) / 2).argmax(1)
 
 
-def exact_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def exact_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, names: np.ndarray | None = None, asked=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the query, id, inner product) of each query's k best, ties to smaller ids, the query's own id left out; names
-    are given instead of ids, if there are any.
+    are given instead of ids, if there are any. asked(a, b), if given, tells for the queries from a to b which vectors each asks for.
 
     Products are summed alike for equal vectors, so that copies tie; a blocked product only picks what to compute so.
     """
     out = []
-    for at in range(0, len(queries), QUERIES_AT_ONCE):
-        q = queries[at : at + QUERIES_AT_ONCE]
+    step = max(1, PRODUCTS_AT_ONCE // max(len(ids), 1))
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step]
         rough = q @ vectors.T
-        rough[query_ids[at : at + QUERIES_AT_ONCE][:, None] == ids] = -np.inf
+        rough[query_ids[at : at + step][:, None] == ids] = -np.inf
+        if asked is not None:
+            rough[~asked(at, at + len(q))] = -np.inf
         n = min(k, rough.shape[1])
         bar = np.partition(rough, rough.shape[1] - n, axis=1)[:, rough.shape[1] - n]
         scale = 1e-12 * (np.abs(q).max() * np.abs(vectors).max() * q.shape[1] + 1e-300)
@@ -164,33 +168,21 @@ def _visit(tree: KMeansTree, most: int):
 
 
 def _search(k: int):
-    """A block of a cell's vectors, leaf by leaf, against the queries that visit each; a query's k best of them all."""
+    """A block of a cell's vectors against the queries that visit it: a query's k best in the leaves it visits."""
 
     def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        empty = pa.table({name: pa.array([], pa.float64() if name == "score" else pa.int64()) for name in ("query", "query_id", "vec_id", "score")})
         if not len(queries) or not len(vectors):
-            return empty
-        ids, given = queries.column("query_id").to_numpy(), _matrix(queries.column("vector"))
-        asked = queries.column("leaves").combine_chunks()
-        asked = asked if isinstance(asked, pa.Array) else asked.chunk(0)
-        asker, wanted = np.repeat(np.arange(len(ids)), np.diff(asked.offsets.to_numpy())), asked.flatten().to_numpy()
-        leaf, vec, data = vectors.column("leaf").to_numpy(), vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vector"))
-        order, by_leaf = np.argsort(leaf, kind="stable"), np.argsort(wanted, kind="stable")
-        leaf, vec, data = leaf[order], vec[order], data[order]
-        found = []
-        for at in np.intersect1d(leaf, wanted).tolist():
-            a, b = np.searchsorted(leaf, [at, at + 1])
-            x, y = np.searchsorted(wanted[by_leaf], [at, at + 1])
-            who = asker[by_leaf[x:y]]
-            row, near, score = exact_top(given[who], ids[who], data[a:b], vec[a:b], k)
-            found.append((who[row], near, score))
-        if not found:
-            return empty
-        row, near, score = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((near, -score, row))
-        row, near, score = row[order], near[order], score[order]
-        best = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pa.table({"query": queries.column("query").to_numpy()[row[best]], "query_id": ids[row[best]], "vec_id": near[best], "score": score[best]})
+            return pa.table({name: pa.array([], pa.float64() if name == "score" else pa.int64()) for name in ("query", "query_id", "vec_id", "score")})
+        ids = queries.column("query_id").to_numpy()
+        lists = queries.column("leaves").combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+        leaves, place = np.unique(vectors.column("leaf").to_numpy(), return_inverse=True)
+        wanted, asker = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        here = np.isin(wanted, leaves)
+        visited = np.zeros((len(ids), len(leaves)), bool)
+        visited[asker[here], np.searchsorted(leaves, wanted[here])] = True
+        row, near, score = exact_top(_matrix(queries.column("vector")), ids, _matrix(vectors.column("vector")), vectors.column("vec_id").to_numpy(), k, asked=lambda a, b: visited[a:b][:, place])
+        return pa.table({"query": queries.column("query").to_numpy()[row], "query_id": ids[row], "vec_id": near, "score": score})
 
     return run
 
@@ -211,10 +203,10 @@ def clean_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding", recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """The k vectors of largest inner product for each row of vectors (vec_id, embedding) where is_query holds.
 
-    A k-means tree is fitted on at most `sample` vectors, with leaves of about LEAF_ROWS of all vectors; every vector is put
+    A k-means tree is fitted on at most `sample` vectors, with leaves of at most LEAF_ROWS of all vectors; every vector is put
     into its leaf. A query visits leaves best bin first, and is sent once to each cell, a subtree, in which it visits any. A
-    cell's vectors are cut into blocks of about BLOCK rows and the queries that visit it into parts of about
-    QUERY_BLOCK, so that a cell of many copies, or one that many queries visit, is shared among tasks. On CALIBRATION queries, compared
+    cell's vectors are cut into blocks of about CELL_BYTES and the queries that visit it into parts of
+    QUERY_BLOCK at most, and into more while there are fewer tasks than cores, so that a cell of many copies, or one that many queries visit, is shared among tasks. On CALIBRATION queries, compared
     with brute force over all rows, the visits are widened until `recall` of the true neighbours lie in visited leaves;
     all queries then visit as many. Scores are exact, on the given vectors. Returns query_id, rank, vec_id and score,
     ties to the smaller vec_id. Null, empty and zero vectors and those with null or non-finite components take no
@@ -231,8 +223,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
     rows = written(rows.dropDuplicates(["vec_id", "row"]), "vectors")
     n = rows.count()
     fit = rows.orderBy(F.xxhash64(F.lit(7), "row"), "row").limit(sample).select("vector").toArrow()
-    share = len(fit) / n
-    tree = KMeansTree(_matrix(fit.column("vector")), leaf=max(LEAF_SAMPLE, round(LEAF_ROWS * share)), cell=max(LEAF_SAMPLE, round(CELL * share)))
+    share, block = len(fit) / n, max(1, CELL_BYTES // (8 * lengths["_length"]))
+    tree = KMeansTree(_matrix(fit.column("vector")), leaf=max(LEAF_SAMPLE, round(LEAF_ROWS * share)), cell=max(LEAF_SAMPLE, round(block * share)))
     indexed = written(rows.mapInArrow(_index(tree), "vec_id long, vector array<double>, row long, leaf long, cell long"), "indexed")
     forget(rows)
     queries = written(indexed.filter(is_query).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vector"), "queries")
@@ -255,8 +247,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, column: str = "embedding"
 
     visits = written(queries.mapInArrow(_visit(tree, most), "query long, query_id long, vector array<double>, cell long, leaves array<long>"), "visits")
     # a row for each cell, whose number the sample bounds
-    blocks = indexed.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("blocks"))
-    parts = visits.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / QUERY_BLOCK) + 1).cast("int").alias("parts"))
+    blocks = indexed.groupBy("cell").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("blocks"))
+    least = -(-spark.sparkContext.defaultParallelism // tree.cells)
+    parts = visits.groupBy("cell").agg(F.greatest(F.floor(F.count(F.lit(1)) / QUERY_BLOCK) + 1, F.lit(least)).cast("int").alias("parts"))
     cells = F.broadcast(blocks.join(parts, "cell"))
     of = lambda name, by: F.pmod(F.xxhash64(name), F.col(by).cast("long")).cast("int")
     each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fedspark.llm import ann, jaccard
@@ -113,11 +114,12 @@ def vectors(spark, rows: list):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf int, vector string")
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 100)
+@pytest.mark.parametrize("cell", [150, 30])  # cells of many leaves, and of one, where copies fill two blocks
+def test_neighbours(spark, monkeypatch, cell):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     monkeypatch.setattr(ann, "LEAF_ROWS", 30)
-    monkeypatch.setattr(ann, "CELL", 150)
+    monkeypatch.setattr(ann, "CELL_BYTES", cell * 8 * 16)
+    monkeypatch.setattr(ann, "PRODUCTS_AT_ONCE", 500)
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((12, 16))
     m = (centres[rng.integers(0, 12, 700)] + 0.3 * rng.standard_normal((700, 16))).astype(np.float32)
