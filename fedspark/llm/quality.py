@@ -20,7 +20,7 @@ from .common import mix64, split_words, table, text_slices, with_columns, writte
 BANDS = ((0, 0.0, 1e9), (200, 1.0, 4.0), (1000, 1.35, 4.5), (4000, 1.45, 5.0), (16000, 1.5, 6.0))
 #: A length class holds texts of like length: two classes for each doubling. Its band reaches SPREADS robust deviations to
 #: either side of its centre, NARROWEST of the centre at least. Centre and deviation are those of its own texts, weighed by
-#: their number, and those that the classes around it foretell, weighed as PRIOR_TEXTS texts; a class's say in that halves
+#: their number, and those that the classes around it foretell, weighed as the texts around, PRIOR_TEXTS at most; a class's say in that halves
 #: with every class in between. What is foretold starts from one text of variance FIRST_VARIANCE, which grows by as much
 #: with each class of distance, and of no rise, so that a few texts do not pass for a rule.
 SPREADS, NARROWEST, PRIOR_TEXTS, FIRST_VARIANCE = 5.5, 0.06, 50, 0.0625
@@ -79,9 +79,9 @@ def bands_of(counts: dict[tuple[int, int], int]) -> dict[int, tuple[float, float
             doubt = (heard * doubt + FIRST_VARIANCE * (1 + say @ np.abs(kinds - kind))) / (heard + 1)
         else:
             foretold, doubt = centre[0], FIRST_VARIANCE
-        n = texts[own].sum()
-        middle = (n * centre[own].sum() + PRIOR_TEXTS * foretold) / (n + PRIOR_TEXTS)
-        reach = max(SPREADS * math.sqrt((n * spread[own].sum() ** 2 + PRIOR_TEXTS * doubt) / (n + PRIOR_TEXTS)), NARROWEST * middle)
+        n, prior = texts[own].sum(), min(heard + 1, PRIOR_TEXTS)
+        middle = (n * centre[own].sum() + prior * foretold) / (n + prior)
+        reach = max(SPREADS * math.sqrt((n * spread[own].sum() ** 2 + prior * doubt) / (n + prior)), NARROWEST * middle)
         out[kind] = (middle - reach, middle + reach)
     return out
 

@@ -86,7 +86,7 @@ def plain_kept(values: list) -> list:
             doubt = (heard * doubt + 0.0625 * (1 + mean(lambda k: abs(k - kind)))) / (heard + 1)
         else:
             foretold, doubt = centre[kind], 0.0625
-        n, prior = texts.get(kind, 0), quality.PRIOR_TEXTS
+        n, prior = texts.get(kind, 0), min(sum(say.values()) + 1, quality.PRIOR_TEXTS)
         middle = (n * centre.get(kind, 0) + prior * foretold) / (n + prior)
         reach = max(quality.SPREADS * math.sqrt((n * spread.get(kind, 0) ** 2 + prior * doubt) / (n + prior)), quality.NARROWEST * middle)
         return middle - reach, middle + reach
