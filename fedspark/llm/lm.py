@@ -24,8 +24,9 @@ STRIDE = 32
 WIDTH = 32
 #: Windows scored at once, and those of them whose attention is.
 SCORED_WINDOWS, ATTENDED = 256, 32
-#: Of every TRAIN_EVERY windows of the training documents' texts one trains the model, so that training grows with the table;
-#: in a small table more of them do, and again in up to MOST_PASSES passes, until LEAST_WINDOWS have.
+#: Unless all are asked for, one of every TRAIN_EVERY windows of the training documents' texts trains the model, so that training
+#: grows with the table, and more in a small table. In small tables windows train again, in up to MOST_PASSES passes, until
+#: LEAST_WINDOWS have.
 TRAIN_EVERY, LEAST_WINDOWS, MOST_PASSES = 8, 40_000, 12
 #: The training windows are dealt to ROUNDS; a round's trainers start from the mean of the round before and see each of
 #: their windows once, in batches of FIT_BATCH. A trainer holds about FIT_WINDOWS windows of all rounds.
@@ -425,9 +426,9 @@ def training_windows(owner: np.ndarray, held: np.ndarray, first: int, every: int
     return np.flatnonzero(~held[owner])[first % every :: every]
 
 
-def schedule(windows: float) -> tuple[int, int]:
-    """(every, passes) for so many windows of training documents."""
-    every = max(1, min(TRAIN_EVERY, int(windows // LEAST_WINDOWS)))
+def schedule(windows: float, whole: bool = False) -> tuple[int, int]:
+    """(every, passes) for so many windows of training documents, all of which train if whole."""
+    every = 1 if whole else max(1, min(TRAIN_EVERY, int(windows // LEAST_WINDOWS)))
     return every, max(1, min(MOST_PASSES, math.ceil(LEAST_WINDOWS * every / max(windows, 1))))
 
 
@@ -469,14 +470,14 @@ def _average(group: pa.Table) -> pa.Table:
     return pa.table({"piece": group.column("piece").slice(0, 1), "windows": pa.array([windows], pa.int64()), "weights": pa.array([_bytes(total / windows, np.float32)], pa.binary())})
 
 
-def fit_all(texts: DataFrame, model: AttentionModel, windows: float) -> int:
+def fit_all(texts: DataFrame, model: AttentionModel, windows: float, whole: bool = False) -> int:
     """Trains the model over the training windows of texts, by rounds of trainers where the rows are.
 
     windows: about how many windows training documents have. Trainers grow with them; what a round sends is their weights.
     Returns how many trained it, counted in each pass.
     """
     spark = texts.sparkSession
-    every, passes = schedule(windows)
+    every, passes = schedule(windows, whole)
     trainers, seen = int(windows / every // FIT_WINDOWS) + 1, 0
     piece = max(1024, min(1 << 20, AVERAGED // trainers))
     size = len(model.flat())
@@ -526,17 +527,18 @@ def word_scores(docs: DataFrame) -> DataFrame:
     )
 
 
-def fit_model(texts: DataFrame, size: int) -> AttentionModel:
-    """The attention model of texts' ids: they are counted over all training documents, and every TRAIN_EVERY-th window trains."""
+def fit_model(texts: DataFrame, size: int, whole: bool = False) -> AttentionModel:
+    """The attention model of texts' ids: they are counted over all training documents, and all of their windows train, or,
+    unless whole, every TRAIN_EVERY-th."""
     counted = texts.select("held", "ids", "id_ends").mapInArrow(_id_counts(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id at most
     counts = np.zeros(size, np.int64)
     counts[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
     model = AttentionModel.begin(counts)
-    fit_all(texts, model, counts.sum() / STRIDE)
+    fit_all(texts, model, counts.sum() / STRIDE, whole)
     return model
 
 
-def score_texts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def score_texts(docs: DataFrame, ranks_file: str, pattern: str, whole: bool = False) -> DataFrame:
     """Scores the whole texts of docs (doc_id, text) by word counts and by a causal self-attention model.
 
     Documents with crc32(doc_id as text) mod 5 = 1 are held out. Words are lower-cased (A to Z). base_score is the sum of
@@ -545,7 +547,8 @@ def score_texts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     to the blocks, where documents are summed; so a frequent word's documents never meet. score is the model's log10 probability of the text's subword ids, by the ranks in a file and a pattern that cuts texts
     before them, and an end id, each given between
     STRIDE and 2 * STRIDE - 1 ids before, as far as there are any. Ids are counted over all
-    training documents; every TRAIN_EVERY-th of their windows trains the model, more of them in a small table, where the rows are, so that what trains it grows with the table. Returns doc_id, held_out, n_tokens,
+    training documents. With whole, all of their windows train the model; without, every TRAIN_EVERY-th, and more of them in
+    a small table. They train where the rows are, so that what trains the model grows with the table. Returns doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score. A null text counts as empty: its end alone is scored. A null doc_id trains;
     rows with one doc_id are scored each; an empty table gives an empty one; other columns aren't read.
     """
@@ -555,7 +558,7 @@ def score_texts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     bases = word_scores(docs)
     texts = written(docs.mapInArrow(_write_ids(ranks_file, pattern), IDS), "ids")
     with rows_at_once(spark, ROWS_AT_ONCE):
-        model = fit_model(texts, END + 1)
+        model = fit_model(texts, END + 1, whole)
         shared = spark.sparkContext.broadcast(model)  # its size is set by the tokenizer's
         # rows equal in doc_id and text have one key, and one score
         scores = written(texts.select("keys", "held", "ids", "id_ends").mapInArrow(_score(shared), "key long, score double").groupBy("key").agg(F.max("score").alias("score")), "scores")
@@ -564,6 +567,7 @@ def score_texts(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
 
 def op10_lm(spark, sf_dir):
+    """All windows of all training documents train the model."""
     import public_tokenizers
 
-    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, whole=True)

@@ -79,6 +79,21 @@ def test_a_fixed_share_of_windows_trains(spark, monkeypatch):
     assert lm.schedule(10**9) == (lm.TRAIN_EVERY, 1) and lm.schedule(0)[0] == 1 < lm.schedule(0)[1] and lm.schedule(3 * lm.LEAST_WINDOWS) == (3, 1)
 
 
+def test_every_window_trains_in_the_query(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm, "ID_SLICE", 2000)
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 5)
+    seen = []
+    fit = lm.fit_all
+    monkeypatch.setattr(lm, "fit_all", lambda texts, *more: seen.append((texts.select("held", "id_ends").collect(), fit(texts, *more))))
+    values = texts()
+    write(tmp_path, documents=pa.table({"doc_id": pa.array(range(len(values)), pa.int64()), "text": pa.array(values, pa.string())}))
+    lm.op10_lm(spark, str(tmp_path)).count()
+    rows, n = seen[0]
+    windows = [int((~np.frombuffer(r["held"], np.uint8).astype(bool))[lm.runs_of(np.frombuffer(r["id_ends"], np.int64))[0]].sum()) for r in rows]
+    assert n == sum(windows) > 8 * lm.LEAST_WINDOWS
+    assert [lm.schedule(k * lm.LEAST_WINDOWS, True) for k in (0.5, 3, 10**9)] == [(1, 2), (1, 1), (1, 1)]
+
+
 def test_every_seen_id_has_its_own_place():
     counts = np.random.default_rng(1).zipf(1.3, 32000).clip(0, 10**6) - 1
     model = lm.AttentionModel.begin(counts)
