@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +77,14 @@ STEP_PIXELS = 1 << 21
 WEIGHTS = {"bilinear": bilinear_weights, "lanczos": lanczos_weights}
 
 
-def resize(rows: DataFrame, column: str, source: tuple[int, int], target: tuple[int, int], method: str = "bilinear") -> DataFrame:
+def resize(rows: DataFrame, column: str, source: tuple[int, int], target: tuple[int, int], method: str = "bilinear", summary: Callable[[np.ndarray], list[np.ndarray]] | None = None, kinds: str = "") -> DataFrame:
     """Images (arrays of pixels, rows first) in a column, resized from one height and width to another.
 
     Two matrix products for each run of images, of STEP_PIXELS pixels at most: one over the rows' weights and one over the
     columns'. A null image stays null, and one of another size becomes null.
+
+    With a summary, large images don't leave the task that makes them: in the column's place stand the columns `kinds`
+    (names and types) that it gives of resized images (one a row, all pixels), null where the image would be.
     """
     down, across = (np.array(WEIGHTS[method](s, t)) for s, t in zip(source, target))
     pixels, names = source[0] * source[1], rows.columns
@@ -96,11 +99,18 @@ def resize(rows: DataFrame, column: str, source: tuple[int, int], target: tuple[
             given = images.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, *source)
             made = (down @ given @ across.T).reshape(len(given), target[0] * target[1])
             ok = fits.to_numpy(zero_copy_only=False)
+            if summary:
+                at_made = pa.array(np.cumsum(ok) - 1, mask=~ok)
+                yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != at), *(pa.array(x).take(at_made) for x in summary(made))], names=schema.names)
+                continue
             ends = np.concatenate(([0], np.cumsum(ok))) * made.shape[1]
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel()), mask=pa.array(~ok))
             yield pa.RecordBatch.from_arrays([found if k == at else c for k, c in enumerate(batch.columns)], names=names)
 
-    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == column else f.dataType) for f in rows.schema])
+    if summary:
+        schema = T.StructType([*(f for f in rows.schema if f.name != column), *T._parse_datatype_string(kinds)])
+    else:
+        schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == column else f.dataType) for f in rows.schema])
     return rows.mapInArrow(run, schema)
 
 

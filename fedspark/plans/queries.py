@@ -150,9 +150,14 @@ t as (select id, sum(w * v) as pixel from px join spot on y = j // 8 and x = j %
 select id, 50176 as pixels, round(mean, 6) as mean, round(pixel, 6) as pixel, round(digest, 3) as digest from s join t using (id)""")
 def lanczos_resize_224(spark, d):
     """Each image's mean, one pixel, and the sum of all pixels by their numbers from 1 on."""
-    large = prep.resize(spread(samples(spark, d).select("id", "features")), "features", (8, 8), (224, 224), "lanczos")
-    digest = total(F.transform("features", lambda v, j: v * (j + 1)))
-    return large.select("id", F.size("features").alias("pixels"), F.round(mean("features"), 6).alias("mean"), F.round(F.col("features")[100 * 224 + 57], 6).alias("pixel"), F.round(digest, 3).alias("digest"))
+    number = np.arange(1.0, 224 * 224 + 1)
+
+    def summary(images):
+        return [np.full(len(images), images.shape[1], np.int32), images.mean(1), images[:, 100 * 224 + 57], np.array([(x * number).sum() for x in images])]
+
+    rows = spread(samples(spark, d).select("id", "features"))
+    large = prep.resize(rows, "features", (8, 8), (224, 224), "lanczos", summary, "pixels int, mean double, pixel double, digest double")
+    return large.select("id", "pixels", F.round("mean", 6).alias("mean"), F.round("pixel", 6).alias("pixel"), F.round("digest", 3).alias("digest"))
 
 
 def volumes(spark: SparkSession, d: str) -> DataFrame:

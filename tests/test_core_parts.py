@@ -41,6 +41,25 @@ def test_resize_of_odd_images(spark):
     assert prep.resize(rows.limit(0), "image", (2, 2), (4, 4)).count() == 0
 
 
+def test_summaries_of_resized_images(spark):
+    """A summary sees what resize gives, and null and odd images have null summaries."""
+    rows = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0]), (2, None), (3, [1.0]), (4, [4.0, 4.0, 4.0, 0.0])], "id int, image array<double>")
+    images = {r.id: r.image for r in prep.resize(rows, "image", (2, 2), (4, 4)).collect()}
+    got = prep.resize(rows, "image", (2, 2), (4, 4), "bilinear", lambda x: [x.sum(1), x[:, 5]], "total double, one double")
+    assert got.columns == ["id", "total", "one"]
+    assert {r.id: (r.total, r.one) for r in got.collect()} == {i: (None, None) if x is None else (sum(x), x[5]) for i, x in images.items()}
+    assert prep.resize(rows.limit(0), "image", (2, 2), (4, 4), "bilinear", lambda x: [x.sum(1)], "total double").count() == 0
+
+
+@pytest.mark.parametrize("name", ["lanczos_resize_224"])
+def test_large_images_are_summed_in_arrays(spark, name):
+    """No expression goes over 50,176 pixels one by one."""
+    from fedspark.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
 def test_volumes_are_found_read_and_counted(spark, tmp_path):
     rng = np.random.default_rng(3)
     for label, names in {"CN": ("a.nii", "b.nii.gz"), "AD": ("deep/c.nii", "bad.nii", "note.txt")}.items():
