@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,10 +210,18 @@ select label::varchar as label, id, nth::int as nth, k::int as slice, 224 as h,
 def ingest_images(spark, d):
     """Slices of the volumes of two classes, read from disk at full size; every pixel's level counts in a row's digest."""
     found = spark.read.format("volumes").load(volume_files(spark, d)).filter("label in ('1', '2')").filter("ok")
-    level = lambda v, i: F.round(v.cast("double") * 255) * (1 + i % 997)
-    digest = total(F.transform("image", level)) / 1e6
+    weight = 1.0 + np.arange(224 * 224) % 997
+
+    def digests(batches):
+        for batch in batches:
+            images = batch.column("image")
+            pixels, starts = images.values.to_numpy(), images.offsets.to_numpy()
+            found = [float(np.rint(pixels[a:b] * 255.0) @ weight[: b - a]) / 1e6 for a, b in zip(starts[:-1], starts[1:])]
+            yield batch.drop_columns(["image"]).append_column("digest", pa.array(found, pa.float64()))
+
     name = F.regexp_extract("path", r"([0-9]+)\.nii$", 1).cast("long")
-    return found.select("label", name.alias("id"), "nth", "slice", "h", "w", F.round(digest, 3).alias("digest"))
+    rows = found.select("label", name.alias("id"), "nth", "slice", "h", "w", "image")
+    return rows.mapInArrow(digests, "label string, id long, nth int, slice int, h int, w int, digest double").withColumn("digest", F.round("digest", 3))
 
 
 @query(f"""with {sql.dealt()}, px as (select vec_id as id, cast(cast(round(cast(unnest(embedding) as double), 6) as float) as double) as v from embeddings), t as (select id, sum(v) as v from px group by id)

@@ -51,7 +51,7 @@ def test_summaries_of_resized_images(spark):
     assert prep.resize(rows.limit(0), "image", (2, 2), (4, 4), "bilinear", lambda x: [x.sum(1)], "total double").count() == 0
 
 
-@pytest.mark.parametrize("name", ["lanczos_resize_224"])
+@pytest.mark.parametrize("name", ["lanczos_resize_224", "ingest_images"])
 def test_large_images_are_summed_in_arrays(spark, name):
     """No expression goes over 50,176 pixels one by one."""
     from fedspark.plans import queries
