@@ -8,6 +8,7 @@ import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -154,20 +155,24 @@ class Memo:
 
     def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) in self.flat of each string."""
-        at = self.at
-        new = list(dict.fromkeys(s for s in strings if s not in at))
-        if new and len(at) + len(new) > self.most:
-            self.clear()
-            at, new = self.at, list(dict.fromkeys(strings))
-        if new:
+        rows = np.fromiter(map(self.at.get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            unknown = strings if len(missing) == len(strings) else [strings[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
+            if len(self.at) + len(new) > self.most:
+                self.clear()
+                missing, unknown, new = slice(None), strings, list(dict.fromkeys(strings))
+            at, known = self.at, len(self.at)
             flat, lengths = self.encode(new)
             begin = len(self.flat)
-            at.update(zip(new, range(len(at), len(at) + len(new))))
+            at.update(zip(new, range(known, known + len(new))))
             self.starts = np.concatenate((self.starts, begin + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
-        rows = np.fromiter(map(at.__getitem__, strings), np.int64, len(strings))
-        return self.starts[rows], self.lengths[rows]
+            # without repeats, their numbers follow one another
+            rows[missing] = np.arange(known, known + len(new)) if len(new) == len(unknown) else np.fromiter(map(at.__getitem__, unknown), np.int64, len(unknown))
+        return self.starts.take(rows), self.lengths.take(rows)
 
 
 def with_columns(docs: DataFrame, needed: dict[str, str]) -> DataFrame:

@@ -140,7 +140,7 @@ def _word_encoder(path: str):
         lower = pc.utf8_lower(given.filter(ok))
         per_word = np.zeros(len(words), np.int64)
         per_word[ok.to_numpy(zero_copy_only=False)] = pc.count_substring_regex(lower, pattern).to_numpy(zero_copy_only=False)
-        parts = pretokens.findall(" ".join(lower.to_pylist()))
+        parts = pretokens.findall(" ".join(lower.to_numpy(zero_copy_only=False).tolist()))
         if len(parts) != per_word.sum():  # two regular-expression libraries cut words differently: all go one by one
             ok, parts, per_word = pa.array([False] * len(words)), [], np.zeros(len(words), np.int64)
         odd = {k: np.array(tokenizer.encode(words[k], add_special_tokens=False).ids, np.int32) for k in np.flatnonzero(~ok.to_numpy(zero_copy_only=False)).tolist()}
@@ -148,7 +148,7 @@ def _word_encoder(path: str):
         ends_at = np.concatenate(([0], np.cumsum(lengths)))
         word_ends = np.cumsum(per_word)
         sizes = ends_at[word_ends] - ends_at[word_ends - per_word]
-        flat = memo.flat[ragged(starts, lengths)]
+        flat = memo.flat.take(ragged(starts, lengths))
         if odd:
             cuts = np.cumsum(sizes) - sizes
             for k, ids in odd.items():
@@ -167,10 +167,10 @@ def _pieces(path: str, window: int, end_id: int, with_ids: bool):
             for part in text_slices(batch):
                 words, counts = split_words(part.column("text"))
                 coded = words.dictionary_encode()
-                starts, lengths = memo(coded.dictionary.to_pylist())
+                starts, lengths = memo(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
                 codes = coded.indices.to_numpy(zero_copy_only=False)
-                sizes = lengths[codes]
-                ids = memo.flat[ragged(starts[codes], sizes)].astype("<u4")
+                sizes = lengths.take(codes)
+                ids = memo.flat.take(ragged(starts.take(codes), sizes)).astype("<u4")
                 word_at = np.concatenate(([0], np.cumsum(sizes)))
                 doc_at = word_at[np.concatenate(([0], np.cumsum(counts)))]
                 rows, all_ids = [], []

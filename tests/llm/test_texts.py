@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -456,3 +457,28 @@ def test_repeated_and_null_ids_and_long_texts(spark):
     assert sorted((r.doc_id for r in pieces if r.start == 0), key=key) == ids and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
     found = sharding.interleave(docs, 2).collect()
     assert sorted((r.doc_id for r in found), key=key) == ids and sorted((r["shard"], r.slot) for r in found) == [(a, b) for a in range(2) for b in range(3)]
+
+
+def test_a_memo_looks_known_strings_up_once():
+    from fedspark.llm.common import Memo
+
+    class Counted(str):
+        hashed = 0
+
+        def __hash__(self):
+            Counted.hashed += 1
+            return str.__hash__(self)
+
+    asked = []
+
+    def lengths(strings):
+        asked.append(strings)
+        return np.concatenate([np.full(len(s), len(s), np.int32) for s in strings]), np.array([len(s) for s in strings])
+
+    memo = Memo(lengths, 4)
+    for given in (["a", "bb", "a"], ["bb", "ccc", "a", "ccc"], ["dddd", "ccc", "ee", "dddd"], ["ee", "dddd"]):
+        starts, sizes = memo(given)
+        assert [memo.flat[s : s + n].tolist() for s, n in zip(starts, sizes)] == [[len(x)] * len(x) for x in given]
+    assert asked == [["a", "bb"], ["ccc"], ["dddd", "ccc", "ee"]]  # the third would have held more than four
+    memo([Counted("ee"), Counted("dddd"), Counted("ccc")])
+    assert Counted.hashed == 3 and len(asked) == 3
