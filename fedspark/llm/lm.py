@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import math
 import zlib
 from collections.abc import Iterator
@@ -17,24 +18,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, rows_at_once, spread, split_words, table, text_slices, with_columns, written
+from .common import forget, ragged, rows_at_once, spread, split_words, table, text_slices, with_columns, written
 
 #: Queries of a window; its keys are they and as many before. So windows overlap by half, and each token is scored once.
 STRIDE = 32
 WIDTH = 32
 #: Windows scored at once, and those of them whose attention is.
-SCORED_WINDOWS, ATTENDED = 256, 32
+SCORED_WINDOWS, ATTENDED = 512, 32
 #: Unless all are asked for, one of every TRAIN_EVERY windows of the training documents' texts trains the model, so that training
 #: grows with the table, and more in a small table. In small tables windows train again, in up to MOST_PASSES passes, until
 #: LEAST_WINDOWS have.
 TRAIN_EVERY, LEAST_WINDOWS, MOST_PASSES = 8, 40_000, 12
 #: The training windows are dealt to ROUNDS; a round's trainers start from the mean of the round before and see each of
-#: their windows once, in batches of FIT_BATCH. A trainer holds about FIT_WINDOWS windows of all rounds.
-ROUNDS, FIT_WINDOWS, FIT_BATCH, FIT_RATE = 4, 100_000, 128, 8e-3
+#: their windows once, in batches of FIT_BATCH. A trainer holds about FIT_WINDOWS windows of all rounds. Windows stay in groups of
+#: GROUPED that follow one another and share keys; about MIXED are gathered, and their groups are shuffled.
+ROUNDS, FIT_WINDOWS, FIT_BATCH, FIT_RATE = 4, 100_000, 256, 1.8e-2
+GROUPED, MIXED = 8, 8192
 #: Numbers that one task averages at once.
 AVERAGED = 16_000_000
 #: Text bytes whose words are counted at once, and whose ids make one row.
 WORD_SLICE, ID_SLICE = 2 << 20, 128 << 10
+#: Text bytes whose different words are encoded once.
+WORDS_SLICE = 16 << 20
 #: Rows of ids that a task takes from Spark at once.
 ROWS_AT_ONCE = 64
 #: (block, word) counts that one task adds up at once.
@@ -132,16 +137,66 @@ def _write_ids(ranks_file: str, pattern: str):
         if len(ranks) != END:
             raise ValueError(f"the vocabulary has {len(ranks)} ids, and its end was to be {END}")
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        sizes = np.zeros(END, np.int64)
+        sizes[list(ranks.values())] = list(map(len, ranks))
+        apart = words_apart(pattern)
         for batch in batches:
-            for part in text_slices(batch, most=ID_SLICE):
+            for part, ids, ends in _ids_of_slices(encoding, sizes, apart, batch):
                 held = np.array([held_out(d) for d in part.column("doc_id").to_pylist()])
-                found = [encoding.encode_to_numpy(text, disallowed_special=()) for text in pc.ascii_lower(part.column("text")).to_pylist()]
-                blobs = (part.column("key").to_numpy().tobytes(), _bytes(held, np.uint8), _bytes(np.concatenate(found), np.uint16), _bytes(np.cumsum([len(x) for x in found]), np.int64))
+                blobs = (part.column("key").to_numpy().tobytes(), _bytes(held, np.uint8), _bytes(ids, np.uint16), _bytes(ends, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(blobs[2])], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], names=[x.split()[0] for x in IDS.split(", ")])
 
     return run
 
 
+#: Whitespace, in brackets of a regular expression.
+WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def words_apart(pattern: str) -> bool:
+    """Whether a pattern is known never to go on over a space after another character than whitespace, so that it may start anew there."""
+    return pattern == r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def ids_of_texts(encoding, sizes: np.ndarray, apart: bool, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts, one after another, and each one's end in them. sizes: bytes of each id's token.
+
+    If words may stand apart, texts are cut before each space, and each different word is encoded once. A text with
+    whitespace before a space, or at its end, is encoded as a whole.
+    """
+    if not apart:
+        found = [encoding.encode_to_numpy(text, disallowed_special=()) for text in texts.to_pylist()]
+        return np.concatenate(found), np.cumsum([len(x) for x in found])
+    cut = pc.invert(pc.match_substring_regex(texts, f"[{WHITE}]( |$)"))
+    parts = pc.split_pattern(pc.if_else(cut, texts, ""), " ")
+    starts, words = parts.offsets.to_numpy()[:-1], parts.flatten()
+    begins = np.zeros(len(words), bool)
+    begins[starts] = True  # without a space before
+    coded = words.filter(pa.array(~begins)).dictionary_encode()
+    known = len(coded.dictionary)
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, known], coded.dictionary), " ")[0].as_py()
+    pool = [encoding.encode_to_numpy(f" {joined}", disallowed_special=())] if known else []
+    lengths = np.diff(np.searchsorted(np.cumsum(sizes[pool[0]]), np.cumsum(pc.binary_length(coded.dictionary).to_numpy() + 1)) + 1, prepend=0) if known else np.empty(0, np.int64)
+    pool += [encoding.encode_to_numpy(text, disallowed_special=()) for text in pc.if_else(cut, words.take(pa.array(starts)), texts).to_pylist()]
+    lengths = np.concatenate((lengths, [len(x) for x in pool[bool(known) :]])).astype(np.int64)
+    at = np.empty(len(words), np.int64)
+    at[begins] = known + np.arange(len(texts))
+    at[~begins] = coded.indices.to_numpy()
+    own = lengths[at]
+    return np.concatenate(pool)[ragged((np.cumsum(lengths) - lengths)[at], own)], np.cumsum(own)[np.append(starts[1:], len(words)) - 1]
+
+
+def _ids_of_slices(encoding, sizes: np.ndarray, apart: bool, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of texts with their ids; larger slices share their words."""
+    for large in text_slices(batch, most=WORDS_SLICE):
+        ids, ends = ids_of_texts(encoding, sizes, apart, pc.ascii_lower(large.column("text")))
+        first = begin = 0
+        for part in text_slices(large, most=ID_SLICE):
+            own = ends[first : first + len(part)]
+            yield part, ids[begin : own[-1]], own - begin
+            first, begin = first + len(part), int(own[-1])
+
+
 def _ids_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A row's ids, each document's end in them, and whether it is held out."""
     return np.frombuffer(row["ids"], np.uint16), np.frombuffer(row["id_ends"], np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
@@ -157,16 +212,15 @@ def runs_of(id_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(runs)), runs), np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
 
 
-def lay_out(ids: np.ndarray, id_ends: np.ndarray, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The inputs of runs and their targets; -1 outside the document."""
-    starts = np.concatenate(([0], id_ends))[owner][:, None]
-    size = (id_ends[owner] + 1)[:, None] - starts
-    at = number[:, None] * STRIDE + np.arange(STRIDE)
-    take = lambda k: ids[np.clip(starts + k, 0, len(ids) - 1)].astype(np.int64) if len(ids) else np.zeros_like(at)
-    inputs = np.where(at == 0, BEGIN, take(at - 1))
-    targets = np.where(at == size - 1, END, take(at))
-    outside = (at < 0) | (at >= size)
-    return np.where(outside, -1, inputs), np.where(outside, -1, targets)
+def lay_out(ids: np.ndarray, id_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inputs of all runs and their targets; -1 outside the document."""
+    sizes = np.diff(np.concatenate(([0], id_ends))) + 1
+    runs = -(-sizes // STRIDE)
+    at = ragged((np.cumsum(runs) - runs) * STRIDE, sizes)
+    inputs, targets = np.full((2, int(runs.sum()) * STRIDE), -1)
+    targets[at] = stream = np.insert(ids.astype(np.int64), id_ends, END)
+    inputs[at] = np.concatenate(([BEGIN], stream[:-1]))  # what ends a document begins the next
+    return inputs.reshape(-1, STRIDE), targets.reshape(-1, STRIDE)
 
 
 @dataclass
@@ -197,7 +251,7 @@ class AttentionModel:
         """Biases begin at the shares of counts and a half. Ids of like frequency share a class.
 
         Each id that training documents have gets a place of its own; the others, which nothing there tells apart, share
-        one. Places stand in a square of classes and members, so that a token costs two short softmaxes.
+        one. A token costs two short softmaxes, over classes and over its class's members; classes of frequent ids are small.
         """
         rng = np.random.default_rng(seed)
         seen = np.flatnonzero(counts)
@@ -206,11 +260,11 @@ class AttentionModel:
         place_of[seen[np.argsort(-counts[seen], kind="stable")]] = np.arange(places - 1)
         mass = np.bincount(place_of, counts + 0.5, minlength=places)
         log_share = np.log(counts + 0.5) - np.log(mass[place_of])
-        classes = math.isqrt(places - 1) + 1
-        members = -(-places // classes)
         ranked = np.argsort(-mass, kind="stable")
+        sizes = class_sizes(mass[ranked])
+        classes, members = len(sizes), int(sizes.max())
         class_of, member_of = np.empty(places, np.int64), np.empty(places, np.int64)
-        class_of[ranked], member_of[ranked] = np.arange(places) // members, np.arange(places) % members
+        class_of[ranked], member_of[ranked] = np.repeat(np.arange(classes), sizes), ragged(np.zeros(classes, np.int64), sizes)
         inner_bias = np.full((classes, members), -30.0)
         inner_bias[class_of, member_of] = np.log(np.maximum(mass, 1e-9))
         out_bias = np.log(np.exp(inner_bias).sum(1))
@@ -239,121 +293,174 @@ class AttentionModel:
         """Ids as places; -1 stays."""
         return np.where(rows >= 0, self.place_of[np.maximum(rows, 0)], -1)
 
-    @staticmethod
-    def hide(s: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Logits s of queries by keys, with -1e9 where a query may not see a key: later keys, and those before a document's
-        first window."""
-        s += np.triu(np.full((STRIDE, 2 * STRIDE), np.float32(-1e9)), STRIDE + 1)
-        s[np.flatnonzero(before[:, 0] < 0), :, :STRIDE] = -1e9
-        return s
+    @property
+    def sizes(self) -> np.ndarray:
+        """The members of each class; the arrays are as wide as the largest."""
+        return np.bincount(self.class_of, minlength=len(self.inner))
+
+    def joined(self) -> np.ndarray:
+        """The projections of an embedding side by side: query (with attention's scale), residual, key and value."""
+        width = self.embedding.shape[1]
+        return np.concatenate((self.query * self.query.dtype.type(1 / math.sqrt(width)), self.residual, self.key, self.value), 1)
+
+    def projected(self, used: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """The places' projections, with the residual's bias."""
+        table, width = self.embedding[used] @ self.joined(), self.embedding.shape[1]
+        table[:, width : 2 * width] += self.hidden_bias
+        return table
+
+    def attend(self, table: np.ndarray, runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden states of groups of windows. runs: group x (windows + 1) x STRIDE rows of table, where each window's keys
+        are its own run and the one before; first: group x windows, those that don't see the run before. Returns them before
+        they are squashed, and what gradients need: queries, keys, values, weights and their sums, and means of values."""
+        n, windows, width = len(runs), runs.shape[1] - 1, self.embedding.shape[1]
+        t = table.take(runs.ravel(), 0).reshape(*runs.shape, 4 * width)
+        q = t[:, 1:, :, :width] + self.place_query * t.dtype.type(1 / math.sqrt(width))
+        k = np.empty((n, windows, 2, STRIDE, width), t.dtype)
+        np.add(t[:, :-1, :, 2 * width : 3 * width], self.place_key[:STRIDE], out=k[:, :, 0])
+        np.add(t[:, 1:, :, 2 * width : 3 * width], self.place_key[STRIDE:], out=k[:, :, 1])
+        k = k.reshape(n, windows, 2 * STRIDE, width)
+        # a window's values are two runs of t, of which the second is the next one's first
+        v = np.ndarray(k.shape, t.dtype, t, 3 * width * t.itemsize, t.strides)
+        a = q @ k.swapaxes(2, 3)
+        if a.max() > 60 or a.min() < -60:
+            np.copyto(a, -np.inf, where=SEEN == 0)
+            a[first, :, :STRIDE] = -np.inf
+            a -= a.max(3, keepdims=True)
+        np.exp(a, out=a)
+        a *= SEEN.astype(a.dtype)
+        a[first, :, :STRIDE] = 0
+        total = (a.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, a.dtype)).reshape(n, windows, STRIDE, 1)
+        mean = a @ v
+        mean /= total
+        return mean + t[:, 1:, :, width : 2 * width], q, k, v, a, total, mean
+
+    def attend_back(self, dz: np.ndarray, d: np.ndarray, q, k, v, a, total, mean) -> np.ndarray:
+        """The gradients of the positions' keys; d gets those of all rows of table that attend() took, from those of its states.
+        The weights are used up."""
+        width = dz.shape[3]
+        d = d.reshape(*d.shape[:3], 4, width)
+        part = dz / total
+        dv = a.swapaxes(2, 3) @ part
+        da = part @ v.swapaxes(2, 3)
+        part *= mean
+        da -= part.sum(3, keepdims=True)
+        da *= a
+        d[:, 0, :, :2], d[:, 1:, :, 1] = 0, dz
+        np.matmul(da, k, out=d[:, 1:, :, 0])
+        dk = da.swapaxes(2, 3) @ q
+        for at, x in ((2, dk), (3, dv)):
+            d[:, :-1, :, at] = x[:, :, :STRIDE]
+            d[:, -1, :, at] = 0
+            d[:, 1:, :, at] += x[:, :, STRIDE:]
+        return dk.sum((0, 1))
 
     def loss_and_gradients(self, rows: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """rows: 2 * STRIDE inputs and STRIDE targets, as places."""
-        before, now, targets = rows[:, :STRIDE], rows[:, STRIDE : 2 * STRIDE], rows[:, 2 * STRIDE :]
-        ids = np.maximum(np.concatenate((before, now), 1), 0)
-        scale = np.float32(1 / math.sqrt(self.embedding.shape[1]))
-        e = self.embedding[ids]
-        eq = e[:, STRIDE:]
-        q, k, v = eq @ self.query + self.place_query, e @ self.key + self.place_key, e @ self.value
-        a = self.hide(q * scale @ k.transpose(0, 2, 1), before)
-        a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        h = squash(a @ v + eq @ self.residual + self.hidden_bias)
-        flat = lambda x: x.reshape(-1, x.shape[-1])
+        runs, targets = np.maximum(rows[:, : 2 * STRIDE], 0).reshape(-1, 2, STRIDE), rows[:, 2 * STRIDE :].reshape(-1, 1, STRIDE)
+        losses = []
+        g, used = self.gradients(runs, targets, rows[:, :1] < 0, losses)
+        embedding = np.zeros_like(self.embedding)
+        embedding[used] = g["embedding"]
+        return float(sum(losses)) / max(1, int((targets >= 0).sum())), g | {"embedding": embedding}
+
+    def gradients(self, runs: np.ndarray, targets: np.ndarray, first: np.ndarray, losses: list | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The gradients of the mean loss of groups of windows that follow one another; those of the embedding are of the
+        places that are returned beside. Inputs and targets are places, -1 where there is no target. Losses are appended, if asked for."""
+        width, places = self.embedding.shape[1], len(self.embedding)
+        here = np.bincount(runs.ravel(), minlength=places)
+        used = np.flatnonzero(here)
+        of = np.empty(places, np.int64)
+        of[used] = np.arange(len(used))
+        runs = of[runs]
+        table, block = self.projected(used), max(1, ATTENDED // first.shape[1])
+        blocks = [slice(at, at + block) for at in range(0, len(runs), block)]  # few enough for a processor's cache
+        attended = [self.attend(table, runs[x], first[x]) for x in blocks]
+        h, slope = np.empty((2, *targets.shape, width), table.dtype)
+        for x, (z, *_) in zip(blocks, attended):
+            slope[x] = 1 / (1 + np.abs(z))
+            h[x] = z * slope[x]
+        h = h.reshape(-1, width)
         known = np.flatnonzero(targets.ravel() >= 0)
-        n = max(len(known), 1)
         want = targets.ravel()[known]
-        x, c, m = flat(h)[known], self.class_of[want], self.member_of[want]
-        p = softmax(x @ self.out + self.out_bias)
-        row = np.arange(len(want))
-        loss = -np.log(p[row, c] + 1e-30).sum()
-        p[row, c] -= 1
-        p /= np.float32(n)
-        g = {"out": x.T @ p, "out_bias": p.sum(0), "inner": np.zeros_like(self.inner), "inner_bias": np.zeros_like(self.inner_bias)}
+        n = h.dtype.type(1 / max(len(known), 1))
+        order = np.argsort(self.class_of[want].astype(np.uint16), kind="stable")  # by counting
+        known, want = known[order], want[order]
+        x, c = with_one(h, known), self.class_of[want]
+        outer = np.concatenate((self.out, self.out_bias[None]))
+        p = x @ outer
+        softmax_gradients(p.ravel(), np.arange(len(p) + 1) * p.shape[1], c, n, losses)
         dx = p @ self.out.T
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(len(self.inner) + 1))
-        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if hi > lo:
-                some = order[lo:hi]
-                p = softmax(x[some] @ self.inner[i] + self.inner_bias[i])
-                loss -= np.log(p[np.arange(hi - lo), m[some]] + 1e-30).sum()
-                p[np.arange(hi - lo), m[some]] -= 1
-                p /= np.float32(n)
-                g["inner"][i], g["inner_bias"][i] = x[some].T @ p, p.sum(0)
-                dx[some] += p @ self.inner[i].T
-        dh = np.zeros_like(flat(h))
-        dh[known] = dx
-        dz = dh.reshape(h.shape) * (1 - np.abs(h)) ** 2
-        g |= {"residual": flat(eq).T @ flat(dz), "hidden_bias": flat(dz).sum(0)}
-        da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-        da -= np.einsum("bqk,bqk->bq", da, a)[..., None]
-        da *= a
-        da *= scale
-        ds = da
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g |= {"query": flat(eq).T @ flat(dq), "key": flat(e).T @ flat(dk), "value": flat(e).T @ flat(dv), "place_query": dq.sum(0), "place_key": dk.sum(0)}
-        de = dk @ self.key.T + dv @ self.value.T
-        de[:, STRIDE:] += dz @ self.residual.T + dq @ self.query.T
-        g["embedding"] = np.zeros_like(self.embedding)
-        order = np.argsort(ids.ravel(), kind="stable")
-        ranked = ids.ravel()[order]
-        new = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        g["embedding"][ranked[new]] = np.add.reduceat(flat(de)[order], new)
-        return float(loss / n), g
-
-    def train(self, rows: np.ndarray, rate: float, adam: Moments | None = None, batch: int = FIT_BATCH) -> list[float]:
-        """Adam over batches of windows of ids, once each in the order given; returns each batch's mean loss."""
-        adam, losses = adam or Moments(self), []
-        for at in range(0, len(rows), batch):
-            loss, g = self.loss_and_gradients(self.places(rows[at : at + batch]))
-            losses.append(loss)
-            adam.step(g, rate)
-        return losses
-
-    def scores(self, ids: np.ndarray, id_ends: np.ndarray) -> np.ndarray:
+        out = x.T @ p
+        inner, inner_grads = np.concatenate((self.inner, self.inner_bias[:, None]), 1), np.zeros((len(self.inner), width + 1, self.inner.shape[2]), h.dtype)
+        flat, starts, parts = self.member_logits(x, c, inner)
+        softmax_gradients(flat, starts, self.member_of[want], n, losses)
+        for i, lo, hi, p in parts:
+            inner_grads[i, :, : p.shape[1]] = x[lo:hi].T @ p
+            dx[lo:hi] += p @ self.inner[i, :, : p.shape[1]].T
+        g = {"out": out[:-1], "out_bias": out[-1], "inner": inner_grads[:, :-1], "inner_bias": inner_grads[:, -1]}
+        dz = np.zeros_like(h)
+        dz[known] = dx
+        dz = dz.reshape(slope.shape)
+        d = np.empty((*runs.shape, 4 * width), h.dtype)
+        place_key = 0
+        for x, (_, *kept) in zip(blocks, attended):
+            slope[x] *= slope[x]
+            dz[x] *= slope[x]
+            place_key = place_key + self.attend_back(dz[x], d[x], *kept)
+        order = np.argsort(runs.ravel().astype(np.uint16), kind="stable")  # by counting
+        sums = sum_runs(d.reshape(-1, 4 * width).take(order, 0), here[used])
+        g["query"], g["residual"], g["key"], g["value"] = np.split(self.embedding[used].T @ sums, 4, 1)
+        scale = h.dtype.type(1 / math.sqrt(width))
+        g["query"] = g["query"] * scale
+        g |= {"hidden_bias": sums[:, width : 2 * width].sum(0), "place_query": d[:, 1:, :, :width].sum((0, 1)) * scale, "place_key": place_key, "embedding": sums @ self.joined().T}
+        return g, used
+
+    def member_logits(self, x: np.ndarray, c: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """The logits of the members of each row's class, for rows in the order of their classes c. inner: weights and, last,
+        biases. Returns them one row after another, where rows start and the last one ends, and each class with its rows."""
+        counts, sizes = np.bincount(c, minlength=len(inner)), self.sizes
+        starts = np.concatenate(([0], np.cumsum(np.repeat(sizes, counts))))
+        flat, parts, lo = np.empty(starts[-1], x.dtype), [], 0
+        for i, (n, size) in enumerate(zip(counts.tolist(), sizes.tolist())):
+            if n:
+                own = flat[starts[lo] : starts[lo + n]].reshape(n, size)
+                np.matmul(x[lo : lo + n], inner[i, :, :size], out=own)
+                parts.append((i, lo, lo + n, own))
+                lo += n
+        return flat, starts, parts
+
+    def train(self, runs: np.ndarray, targets: np.ndarray, first: np.ndarray, rate: float, adam: Moments) -> None:
+        """Adam over batches of groups of windows, once each in the order given."""
+        most = max(1, FIT_BATCH // first.shape[1])
+        for at in range(0, len(first), most):
+            adam.step(*self.gradients(runs[at : at + most], targets[at : at + most], first[at : at + most]), rate)
+
+    def scores(self, ids: np.ndarray, id_ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each document's ids and its end: batches of windows, each with the keys of its own inputs
-        and of the window before."""
+        and of the window before. table: the embedding's projections, if they are at hand."""
+        table = self.projected() if table is None else table
         owner, number = runs_of(id_ends)
-        inputs, targets = lay_out(ids, id_ends, owner, number)
-        inputs, first = np.maximum(self.places(inputs), 0), number == 0
-        scale, width = np.float32(1 / math.sqrt(self.embedding.shape[1])), self.embedding.shape[1]
-        q_of, k_of, v_of, r_of = self.embedding @ self.query * scale, self.embedding @ self.key, self.embedding @ self.value, self.embedding @ self.residual + self.hidden_bias
-        place_query, early, late = self.place_query * scale, self.place_key[:STRIDE], self.place_key[STRIDE:]
-        v_of = np.concatenate((v_of, np.ones((len(v_of), 1), np.float32)), 1)  # the last column adds up the weights
-        seen = np.tril(np.ones((STRIDE, STRIDE), np.float32))
-        out = np.zeros(len(id_ends))
+        inputs, targets = lay_out(ids, id_ends)
+        inputs = self.place_of[np.maximum(inputs, 0)]
+        inputs, first = np.concatenate((inputs[:1], inputs)), number == 0
+        width, out = self.embedding.shape[1], np.zeros(len(id_ends))
+        outer, inner = np.concatenate((self.out, self.out_bias[None])), np.concatenate((self.inner, self.inner_bias[:, None]), 1)
         for at in range(0, len(owner), SCORED_WINDOWS):
             end = min(at + SCORED_WINDOWS, len(owner))
             h = np.empty((end - at, STRIDE, width), np.float32)
             for x in range(at, end, ATTENDED):  # few enough for a processor's cache
-                part = slice(x, min(x + ATTENDED, end))
-                now, before = inputs[part], inputs[max(x - 1, 0) : part.stop - 1] if x else np.concatenate((inputs[:1], inputs[: part.stop - 1]))
-                q = q_of[now] + place_query
-                a, b = q @ (k_of[before] + early).transpose(0, 2, 1), q @ (k_of[now] + late).transpose(0, 2, 1)
-                top = max(a.max(), b.max())
-                if top > 60:
-                    a, b = a - top, b - top
-                np.exp(a, out=a)
-                np.exp(b, out=b)
-                a[first[part]] = 0
-                b *= seen
-                mixed = a @ v_of[before]
-                mixed += b @ v_of[now]
-                h[x - at : part.stop - at] = squash(mixed[..., :-1] / np.maximum(mixed[..., -1:], np.float32(1e-30)) + r_of[now])
+                y = min(x + ATTENDED, end)
+                h[x - at : y - at] = squash(self.attend(table, inputs[None, x : y + 1], first[None, x:y])[0][0])
             aim = targets[at:end].ravel()
             known = np.flatnonzero(aim >= 0)
+            c = self.class_of[self.place_of[aim[known]]].astype(np.uint16)
+            known = known[np.argsort(c, kind="stable")]
             want = self.place_of[aim[known]]
-            x, c, m = h.reshape(-1, width)[known], self.class_of[want].astype(np.int16), self.member_of[want]
-            p = self.log_share[aim[known]] + log_softmax_at(x @ self.out + self.out_bias, c)
-            order = np.argsort(c, kind="stable")
-            cuts = np.searchsorted(c[order], np.arange(len(self.inner) + 1))
-            x, m, inner = x[order], m[order], np.empty(len(order))
-            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                if hi > lo:
-                    inner[lo:hi] = log_softmax_at(x[lo:hi] @ self.inner[i] + self.inner_bias[i], m[lo:hi])
-            p[order] += inner
+            x, c = with_one(h.reshape(-1, width), known), self.class_of[want]
+            logits = x @ outer
+            p = self.log_share[aim[known]] + log_softmax_at(logits.ravel(), np.arange(len(logits) + 1) * logits.shape[1], c)
+            p += log_softmax_at(*self.member_logits(x, c, inner)[:2], self.member_of[want])
             out += np.bincount(owner[at + known // STRIDE], p, minlength=len(out))
         return out / math.log(10)
 
@@ -365,13 +472,34 @@ class Moments:
         self.model, self.steps = model, 0
         self.of = {name: (np.zeros_like(getattr(model, name)), np.zeros_like(getattr(model, name))) for name in model.WEIGHTS}
 
-    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, g: dict[str, np.ndarray], used: np.ndarray, rate: float) -> None:
+        """The gradients are used up. An embedding that no window of the batch has stays, and so do its moments."""
         self.steps += 1
-        now = rate * min(1.0, self.steps / 20)
+        now = np.float32(rate * min(1.0, self.steps / 20) / (1 - 0.9**self.steps))
+        unbias = np.float32(1 / math.sqrt(1 - 0.99**self.steps))
         for name, (m, v) in self.of.items():
-            m += 0.1 * (g[name] - m)
-            v += 0.01 * (g[name] ** 2 - v)
-            getattr(self.model, name).__isub__((now / (1 - 0.9**self.steps) * m / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32))
+            w, d = getattr(self.model, name), g[name]
+            if name == "embedding":
+                every, w, m, v = (w, m, v), w[used], m[used], v[used]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            v *= np.float32(0.99)
+            d *= d
+            d *= np.float32(0.01)
+            v += d
+            np.sqrt(v, out=d)
+            d *= unbias
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= now
+            w -= d
+            if name == "embedding":
+                for whole, part in zip(every, (w, m, v)):
+                    whole[used] = part
+
+
+#: The keys that each query of a window may see: those of the run before, and its own run's up to itself.
+SEEN = np.concatenate((np.ones((STRIDE, STRIDE)), np.tril(np.ones((STRIDE, STRIDE)))), 1)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -379,26 +507,100 @@ def squash(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    """In place of logits."""
-    logits -= logits.max(1, keepdims=True)
+def class_sizes(mass: np.ndarray) -> np.ndarray:
+    """Cuts ids, given by falling mass, into classes such that a token's two softmaxes, over all classes and over its class's
+    members, are short in the mean. No class has over three times the square root of the ids."""
+    ends = np.concatenate(([0], np.cumsum(mass / mass.sum())))
+    most, best = 3 * (math.isqrt(len(mass)) + 1), (math.inf, None)
+    for bound in np.geomspace(0.05, 8, 24):
+        cuts = [0]
+        while (a := cuts[-1]) < len(mass):
+            near = slice(a + 1, a + most + 1)
+            cuts.append(a + max(1, int(np.searchsorted((ends[near] - ends[a]) * np.arange(1, len(ends[near]) + 1), bound, side="right"))))
+        cuts = np.array(cuts)
+        best = min(best, (len(cuts) - 1 + float((np.diff(ends[cuts]) * np.diff(cuts)).sum()), cuts), key=lambda x: x[0])
+    return np.diff(best[1])
+
+
+def sum_runs(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows. Long ones are summed each, short ones all at once: their first rows, their second rows and so on."""
+    starts = np.cumsum(lengths) - lengths
+    by_length = np.argsort(-lengths, kind="stable")
+    long = int(np.searchsorted(-lengths[by_length], -24))
+    out = np.empty((len(lengths), rows.shape[1]), rows.dtype)
+    for k in by_length[:long].tolist():
+        np.add.reduce(rows[starts[k] : starts[k] + lengths[k]], 0, out=out[k])
+    short = by_length[long:]
+    if len(short):
+        at, falling = starts[short], -lengths[short]
+        total = rows.take(at, 0)
+        for k in range(1, -int(falling[0])):
+            more = int(np.searchsorted(falling, -k))
+            total[:more] += rows.take(at[:more] + k, 0)
+        out[short] = total
+    return out
+
+
+def keep_memory() -> None:
+    """Lets the C library keep freed arrays of up to 64 MB in all for the next ones; else it takes each large one's pages from the system anew,
+    which costs more than what is done with them."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return
+    mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
+def with_one(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Some rows, with a 1 after each for biases."""
+    out = np.empty((len(rows), x.shape[1] + 1), x.dtype)
+    out[:, :-1], out[:, -1] = x.take(rows, 0), 1
+    return out
+
+
+def level(logits: np.ndarray, starts: np.ndarray) -> None:
+    """Where a row's logits are too large or small for exponentials, takes the row's largest from all."""
+    if len(logits) and (logits.max() > 60 or logits.min() < -60):
+        logits -= np.repeat(np.maximum.reduceat(logits, starts[:-1]), np.diff(starts))
+
+
+def row_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of rows that stand one after another."""
+    if len(starts) > 1 and starts[1] * (len(starts) - 1) == starts[-1] and (np.diff(starts) == starts[1]).all():
+        return x.reshape(-1, starts[1]) @ np.ones(starts[1], x.dtype)
+    return np.add.reduceat(x, starts[:-1]) if len(x) else x
+
+
+def softmax_gradients(logits: np.ndarray, starts: np.ndarray, at: np.ndarray, share: np.floating, losses: list | None) -> None:
+    """Rows of logits, one after another, become share times the gradients of the losses by them; the sum of losses is
+    appended, if asked for."""
+    level(logits, starts)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+    total, own = row_sums(logits, starts), starts[:-1] + at
+    if losses is not None:
+        losses.append((np.log(total) - np.log(logits[own] + logits.dtype.type(1e-30))).sum())
+    logits *= np.repeat(share / total, np.diff(starts))
+    logits[own] -= share
 
 
-def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logits are used up."""
-    if logits.max() > 60 or logits.min() < -60:
-        logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+def log_softmax_at(logits: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of rows of logits, one after another, which are used up."""
+    level(logits, starts)
+    own = logits[starts[:-1] + at].astype(np.float64)
+    return own - np.log(row_sums(np.exp(logits, out=logits), starts))
 
 
-def windows_of(ids: np.ndarray, id_ends: np.ndarray, owner: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """2 * STRIDE inputs and STRIDE targets of each run."""
-    inputs, targets = lay_out(ids, id_ends, owner, number)
-    return np.concatenate((lay_out(ids, id_ends, owner, number - 1)[0], inputs, targets), 1)
+def grouped(model: AttentionModel, ids: np.ndarray, id_ends: np.ndarray, number: np.ndarray, some: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Some windows in groups of `size`, each after the other: runs, targets and whether a window is its document's first,
+    as in gradients(). Over one in a group, they must hold all windows of their documents. The last group is filled up."""
+    inputs, targets = lay_out(ids, id_ends)
+    fill = np.arange(-(-len(some) // size) * size)
+    own = some[np.minimum(fill, len(some) - 1)].reshape(-1, size)
+    targets = model.places(targets[own])
+    targets.reshape(-1, STRIDE)[len(some) :] = -1
+    runs = np.concatenate((np.maximum(own[:, :1] - 1, 0), own), 1)
+    return model.place_of[np.maximum(inputs[runs], 0)], targets, (number[own] == 0) | (fill >= len(some)).reshape(own.shape)
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -436,23 +638,35 @@ def _fit(model, piece: int, rate: float, every: int, passes: int):
     """Trains the model over the task's training windows, once each; its weights, flat and in pieces, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         net, adam, windows = None, None, 0
         rows = (row for batch in batches for row in _each(batch))
         if passes > 1:  # there are under LEAST_WINDOWS windows then
             rows = list(rows) * passes
-        for turn, row in enumerate(rows):
+        held_back, rng = [], np.random.default_rng(0)
+        size = GROUPED if every == 1 else 1
+
+        def train():
+            parts = [np.concatenate(x) for x in zip(*held_back)]
+            held_back.clear()
+            order = rng.permutation(len(parts[0]))
+            net.train(*(x[order] for x in parts), rate, adam)
+
+        for row in rows:
             ids, id_ends, held = _ids_of(row)
             owner, number = runs_of(id_ends)
-            first = zlib.crc32(row["ids"])
-            some = training_windows(owner, held, first, every)
-            if len(some) and net is None:
+            some = training_windows(owner, held, zlib.crc32(row["ids"]), every)
+            if not len(some):
+                continue
+            if net is None:
                 net = model.value.copy()
                 adam = Moments(net)
-            some = np.random.default_rng(first + turn).permutation(some)
-            for at in range(0, len(some), FIT_BATCH):
-                own = some[at : at + FIT_BATCH]
-                net.train(windows_of(ids, id_ends, owner[own], number[own]), rate, adam)
+            held_back.append(grouped(net, ids, id_ends, number, some, size))
             windows += len(some)
+            if sum(len(x[0]) for x in held_back) * size >= MIXED:
+                train()
+        if held_back:
+            train()
         if net is not None:
             flat = net.flat()
             for k, at in enumerate(range(0, len(flat), piece)):
@@ -498,10 +712,12 @@ def fit_all(texts: DataFrame, model: AttentionModel, windows: float, whole: bool
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        table = model.value.projected()
         for batch in batches:
             for row in _each(batch):
                 ids, id_ends, _ = _ids_of(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], np.int64)), pa.array(model.value.scores(ids, id_ends))], names=["key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], np.int64)), pa.array(model.value.scores(ids, id_ends, table))], names=["key", "score"])
 
     return run
 

@@ -172,6 +172,54 @@ def test_gradients():
         assert math.isclose((up - down) / (2 * step), g[name][at], rel_tol=2e-3, abs_tol=1e-5), name
 
 
+def test_groups_of_windows_have_the_gradients_of_windows_alone():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(3, 60, n) for n in (700, 0, 31, 32, 300, 450, 9)]
+    ids, ends = np.concatenate(docs).astype(np.uint16), np.cumsum([len(d) for d in docs])
+    model = lm.AttentionModel.begin(np.bincount(np.append(ids, lm.END), minlength=lm.END + 1), width=8)
+    for name in model.WEIGHTS:
+        setattr(model, name, getattr(model, name) + 0.3 * rng.standard_normal(getattr(model, name).shape))
+    owner, number = lm.runs_of(ends)
+    held = np.array([False, False, False, True, False, False, False])
+    some = lm.training_windows(owner, held, 0, 1)
+    assert len(some) % lm.GROUPED and not held[owner[some]].any()
+    (g, used), (one, same) = (model.gradients(*lm.grouped(model, ids, ends, number, some, size)) for size in (lm.GROUPED, 1))
+    both = np.intersect1d(used, same)  # the run before a first window, which isn't seen, may differ
+    g["embedding"], one["embedding"] = (x["embedding"][np.searchsorted(u, both)] for x, u in ((g, used), (one, same)))
+    for name in model.WEIGHTS:
+        assert np.abs(one[name]).max() > 0 and np.allclose(g[name], one[name], rtol=1e-8, atol=1e-12), name
+
+
+def test_classes_are_short_in_the_mean():
+    counts = np.append(np.sort(np.random.default_rng(1).zipf(1.3, 4000))[::-1], 0)
+    model = lm.AttentionModel.begin(counts)
+    sizes = np.bincount(model.class_of)
+    mass = np.append(counts[counts > 0], 0) / counts.sum()
+    mean = len(sizes) + (mass * sizes[model.class_of]).sum()
+    assert mean < 1.5 * math.sqrt(len(model.embedding)) and sizes.max() <= model.inner.shape[2]
+
+
+def test_words_encoded_once_have_the_ids_of_whole_texts():
+    import base64
+    import random
+
+    import tiktoken
+
+    with open(RANKS[0], "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("ranks", pat_str=RANKS[1], mergeable_ranks=ranks, special_tokens={})
+    sizes = np.zeros(lm.END, np.int64)
+    sizes[list(ranks.values())] = list(map(len, ranks))
+    rng = random.Random(7)
+    bits = [" ", " ", " ", "a", "b", "é", "'s", "'", "1", "22", ".", "!?", "\n", "\t", "\u00a0", "\u3000", "\x0b", "\x85", "\u200b", "語", "😀", "\x1c", "\r\n", "ll", " don't"]
+    assert lm.words_apart(RANKS[1]) and not lm.words_apart(".+")
+    for _ in range(60):
+        values = pa.array(["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(40)] + ["", " ", "a b a b"])
+        ids, ends = lm.ids_of_texts(encoding, sizes, True, values)
+        want = [encoding.encode(t, disallowed_special=()) for t in values.to_pylist()]
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
 def test_pipeline(spark, tmp_path):
     from tokenizers import Tokenizer
 
