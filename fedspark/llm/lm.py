@@ -32,7 +32,7 @@ TRAIN_EVERY, LEAST_WINDOWS, MOST_PASSES = 8, 40_000, 12
 #: The training windows are dealt to ROUNDS; a round's trainers start from the mean of the round before and see each of
 #: their windows once, in batches of FIT_BATCH. A trainer holds about FIT_WINDOWS windows of all rounds. Windows stay in groups of
 #: GROUPED that follow one another and share keys; about MIXED are gathered, and their groups are shuffled.
-ROUNDS, FIT_WINDOWS, FIT_BATCH, FIT_RATE = 4, 100_000, 256, 1.8e-2
+ROUNDS, FIT_WINDOWS, FIT_BATCH, FIT_RATE = 4, 100_000, 128, 1.6e-2
 GROUPED, MIXED = 8, 8192
 #: Numbers that one task averages at once.
 AVERAGED = 16_000_000
