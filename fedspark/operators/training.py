@@ -2,7 +2,8 @@
 
 An experiment has clients, each with weights of its own between two averages: a *unit*. All units of all experiments stand
 in one array (units, classes, width), and a step computes the gradients of all units that still train in a single pass
-over the rows, which never move. What comes to the driver are classes * width sums for each unit.
+over the rows, which never move. What comes to the driver are classes * width sums for each unit. Steps of small batches
+are made many in a job, each unit's in one task, as every step needs the one before.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .model import matrix
 from .split import deal_many
 
 RATE, DECAY = 1e-2, 1e-4
+#: Features that a unit's batches of one job hold at most.
+LEG_NUMBERS = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -97,6 +100,23 @@ def with_squares(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, x * x])
 
 
+def gradient(x: np.ndarray, labels: np.ndarray, w: np.ndarray, clip: float, weights: np.ndarray | None, more: np.ndarray) -> np.ndarray:
+    """The sum of the rows' gradients, each clipped first if clip is finite; their loss, weights and number are added to more."""
+    z = x @ w.T
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(1, keepdims=True)
+    at = np.arange(len(x))
+    weight = np.ones(len(x)) if weights is None else weights[labels]
+    more += (-np.log(p[at, labels]) * weight).sum(), weight.sum(), len(x)
+    p[at, labels] -= 1
+    p *= weight[:, None]
+    if np.isfinite(clip):
+        norm = np.sqrt((p * p).sum(1)) * np.sqrt((x * x).sum(1))
+        p *= np.minimum(1.0, clip / np.maximum(norm, 1e-300))[:, None]
+    return p.T @ x
+
+
 def unit_gradients(rows: DataFrame, w: np.ndarray, active: np.ndarray, widths: np.ndarray, clips: np.ndarray, weights: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, float, float, int]]:
     """Of each active unit that has rows: the sum of its rows' gradients, of their loss, of their weights, and their number.
 
@@ -122,20 +142,7 @@ def unit_gradients(rows: DataFrame, w: np.ndarray, active: np.ndarray, widths: n
                     u = of[on[0]]
                     if u < 0 or not active[u]:
                         continue
-                    own, labels = x[on, : widths[u]], y[on]
-                    z = own @ w[u, :, : widths[u]].T
-                    z -= z.max(1, keepdims=True)
-                    p = np.exp(z)
-                    p /= p.sum(1, keepdims=True)
-                    at = np.arange(len(on))
-                    weight = np.ones(len(on)) if weights is None else weights[u, labels]
-                    more[u] += (-np.log(p[at, labels]) * weight).sum(), weight.sum(), len(on)
-                    p[at, labels] -= 1
-                    p *= weight[:, None]
-                    if np.isfinite(clips[u]):
-                        norm = np.sqrt((p * p).sum(1)) * np.sqrt((own * own).sum(1))
-                        p *= np.minimum(1.0, clips[u] / np.maximum(norm, 1e-300))[:, None]
-                    sums[u, :, : widths[u]] += p.T @ own
+                    sums[u, :, : widths[u]] += gradient(x[on, : widths[u]], y[on], w[u, :, : widths[u]], clips[u], None if weights is None else weights[u], more[u])
         used = np.flatnonzero(more[:, 2])
         cells = classes * width
         flat = np.concatenate([sums[used].reshape(len(used), cells), more[used]], 1)
@@ -192,25 +199,72 @@ class Trainer:
         client, step = unit - self.at[self.of[unit]], self.state.private_steps[unit]
         return np.array([[gauss_of(self.seed, f"{step}_{client}_{c}_{j}") for j in range(shape[1])] for c in range(shape[0])])
 
+    def move(self, u: int, g: np.ndarray, weight: float, n: int) -> None:
+        """Unit u's step by the sum of its rows' gradients, with their weights and their number."""
+        s, e = self.state, self.experiments[self.of[u]]
+        if e.sigma:
+            g = g + self.noise(u) * (e.sigma * e.clip)
+            s.private_steps[u] += 1
+        g = g / max(n if e.sigma else weight, 1e-300)
+        g[:, self.widths[u] :] = 0
+        g[:, : self.widths[u]] += e.decay * s.w[u, :, : self.widths[u]]
+        s.steps[u] += 1
+        if not e.adam:
+            s.w[u] -= e.rate * g
+            return
+        t = int(s.steps[u])
+        s.m[u], s.v[u] = 0.9 * s.m[u] + 0.1 * g, 0.999 * s.v[u] + 0.001 * g * g
+        s.w[u] -= e.rate * (s.m[u] / (1 - 0.9**t)) / (np.sqrt(s.v[u] / (1 - 0.999**t)) + 1e-8)
+
     def step(self, rows: DataFrame, active: np.ndarray) -> dict[int, tuple]:
         """One step of every active unit that has rows."""
-        s = self.state
-        found = unit_gradients(rows, s.w, active, self.widths, self.clips, self.weights)
+        found = unit_gradients(rows, self.state.w, active, self.widths, self.clips, self.weights)
         for u, (g, _, weight, n) in found.items():
-            e = self.experiments[self.of[u]]
-            if e.sigma:
-                g = g + self.noise(u) * (e.sigma * e.clip)
-                s.private_steps[u] += 1
-            g = g / max(n if e.sigma else weight, 1e-300)
-            g[:, self.widths[u] :] = 0
-            g[:, : self.widths[u]] += e.decay * s.w[u, :, : self.widths[u]]
-            s.steps[u] += 1
-            if not e.adam:
-                s.w[u] -= e.rate * g
-                continue
-            t = int(s.steps[u])
-            s.m[u], s.v[u] = 0.9 * s.m[u] + 0.1 * g, 0.999 * s.v[u] + 0.001 * g * g
-            s.w[u] -= e.rate * (s.m[u] / (1 - 0.9**t)) / (np.sqrt(s.v[u] / (1 - 0.999**t)) + 1e-8)
+            self.move(u, g, weight, n)
+        return found
+
+    def leg(self, rows: DataFrame) -> dict[int, tuple]:
+        """One step for each batch of rows (features, label, units, batch) in every unit of the one experiment, in batches'
+        order: a task makes all steps of a unit, since each needs the weights of the one before."""
+        s, full, kept = self.state, self.state.w.shape[2], ("w", "m", "v")
+
+        def run(group: pa.Table) -> pa.Table:
+            u = group.column("unit")[0].as_py()
+            self.rng = np.random.default_rng()
+            group, more = group.sort_by("batch").combine_chunks(), np.zeros(3)
+            x, y = matrix(group.column("features").chunk(0)), group.column("label").to_numpy()
+            x = with_squares(x) if full > x.shape[1] else x
+            edges = np.flatnonzero(np.diff(group.column("batch").to_numpy(), prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:]):
+                own, g = np.zeros(3), np.zeros(self.state.w.shape[1:])
+                g[:, : self.widths[u]] = gradient(x[a:b, : self.widths[u]], y[a:b], self.state.w[u, :, : self.widths[u]], self.clips[u], None if self.weights is None else self.weights[u], own)
+                self.move(u, g, own[1], int(own[2]))
+                more += own
+            after = [*(pa.array([getattr(self.state, k)[u].ravel()]) for k in kept), pa.array([more]), pa.array([[self.state.steps[u], self.state.private_steps[u]]])]
+            return pa.table([pa.array([u], pa.int32()), *after], names=["unit", *kept, "more", "steps"])
+
+        rows = rows.filter("label is not null").select(F.col("units")[0].alias("unit"), "batch", "features", "label").filter("unit >= 0")
+        sent = rows.groupBy("unit").applyInArrow(run, "unit int, w array<double>, m array<double>, v array<double>, more array<double>, steps array<long>").toArrow().to_pylist()
+        for r in sent:
+            u = r["unit"]
+            for k in kept:
+                getattr(s, k)[u] = np.reshape(r[k], s.w.shape[1:])
+            s.steps[u], s.private_steps[u] = r["steps"]
+        return {r["unit"]: (None, *r["more"][:2], int(r["more"][2])) for r in sent}
+
+    def epoch_in_batches(self, rows: DataFrame, batch: int, active: np.ndarray) -> list[dict[int, tuple]]:
+        """An epoch of one step for each batch of a unit's shuffle. Its rows are written by batch, and a job takes a leg of
+        so many batches as LEG_NUMBERS of a unit hold, and reads them alone; so no task holds more, and jobs grow with the
+        largest unit's rows, not with its batches. Batches too large for that are a job each, summed where their rows are."""
+        s = self.state
+        dealt, most = epoch_batches(rows, batch, f"batch_{s.round[0]}_{s.epoch[0]}")
+        dealt = written(dealt, "batch")
+        batches = LEG_NUMBERS // (batch * s.w.shape[2])
+        if batches < 2:
+            found = [self.step(dealt.filter(F.col("batch") == b), active) for b in range(most)]
+        else:
+            found = [self.leg(dealt.filter(F.col("batch").between(b, b + batches - 1))) for b in range(0, most, batches)]
+        remove(dealt)
         return found
 
     def average(self, k: int, sizes: np.ndarray) -> None:
@@ -243,10 +297,7 @@ class Trainer:
             going = np.array([r < e.rounds for r, e in zip(s.round, self.experiments)])
             active = going[self.of]
             if batch := self.experiments[0].batch:
-                dealt, most = epoch_batches(rows, batch, f"batch_{s.round[0]}_{s.epoch[0]}")
-                dealt = written(dealt, "batch")  # an epoch's rows by batch: each step reads its own
-                found = [self.step(dealt.filter(F.col("batch") == b), active) for b in range(most)]
-                remove(dealt)
+                found = self.epoch_in_batches(rows, batch, active)
             else:
                 found = [self.step(rows, active)]
             ended = False

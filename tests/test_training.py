@@ -118,6 +118,39 @@ def test_mini_batches_equal_a_plain_loop_and_the_best_round_is_kept(spark):
     assert np.allclose([h["f1"] for h in history], f1) and np.allclose(best, every[int(np.argmax(f1))])
 
 
+def test_mini_batches_take_jobs_by_rows_and_not_by_batches(spark, monkeypatch):
+    rows, x, y = made(spark, 600)
+    parts = files.written(rows.withColumn("client", F.when(F.col("id") < 150, 0).otherwise(1)))
+    clients = [np.arange(150), np.arange(150, 600)]
+    orders = {r: [v.id for v in rows.select("id", hash_hex(f"batch_{r}_0", "id").alias("h")).orderBy("h").collect()] for r in range(2)}
+
+    def batches(r, e, k):
+        own = np.array([i for i in orders[r] if i in set(clients[k].tolist())])
+        return [own[a : a + 4] for a in range(0, len(own), 4)]
+
+    want, jobs = plain(x, y, clients, training.Experiment("x", 2, rounds=2), batches=batches), []
+    for numbers in (4 << 20, 4 * 4 * 50):  # one leg, three legs of 50 batches
+        monkeypatch.setattr(training, "LEG_NUMBERS", numbers)
+        spark.sparkContext.setJobGroup(f"batches {numbers}", "")
+        got, _ = federated.federated_adam(parts, 3, 4, 2, 1, batch=4)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"batches {numbers}")))
+        assert np.allclose(got, want)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] < jobs[1] < 80  # 226 batches of the larger client
+
+
+@pytest.mark.parametrize("numbers", [2 * 32 * 8, 32 * 8])
+def test_private_mini_batches_in_legs_or_jobs_of_their_own_equal_a_plain_loop(spark, monkeypatch, numbers):
+    rows, x, y = made(spark, 150)
+    monkeypatch.setattr(training, "LEG_NUMBERS", numbers)
+    order = np.array([v.id for v in rows.select("id", hash_hex("batch_0_0", "id").alias("h")).orderBy("h").collect()])
+    plan = training.Experiment("x", 1, sigma=0.9, clip=0.4, batch=32, squares=True, decay=0.0)
+    trainer = training.Trainer([plan], 3, 4, seed=7)
+    state = trainer.train(rows.withColumn("units", F.array(F.lit(0))))
+    want = plain(x, y, [np.arange(150)], plan, batches=lambda r, e, k: [order[a : a + 32] for a in range(0, 150, 32)])
+    assert np.allclose(trainer.weights_of(0), want) and state.private_steps.tolist() == [5]
+
+
 def test_a_cut_run_goes_on_from_its_last_whole_round(spark, tmp_path):
     rows, *_ = made(spark, 120)
     plans = [training.Experiment("a", 3, rounds=4, epochs=2, sigma=0.5, clip=1.0), training.Experiment("b", 2, rounds=3, epochs=1)]
