@@ -24,7 +24,7 @@ from .common import forget, ragged, rows_at_once, spread, split_words, table, te
 STRIDE = 32
 WIDTH = 32
 #: Windows scored at once, and those of them whose attention is.
-SCORED_WINDOWS, ATTENDED = 512, 32
+SCORED_WINDOWS, ATTENDED = 512, 64
 #: Unless all are asked for, one of every TRAIN_EVERY windows of the training documents' texts trains the model, so that training
 #: grows with the table, and more in a small table. In small tables windows train again, in up to MOST_PASSES passes, until
 #: LEAST_WINDOWS have.
@@ -303,25 +303,27 @@ class AttentionModel:
         width = self.embedding.shape[1]
         return np.concatenate((self.query * self.query.dtype.type(1 / math.sqrt(width)), self.residual, self.key, self.value), 1)
 
-    def projected(self, used: slice | np.ndarray = slice(None)) -> np.ndarray:
-        """The places' projections, with the residual's bias."""
-        table, width = self.embedding[used] @ self.joined(), self.embedding.shape[1]
-        table[:, width : 2 * width] += self.hidden_bias
-        return table
+    def projected(self, used: slice | np.ndarray = slice(None)) -> list[np.ndarray]:
+        """The places' projections, as arrays of their own: query, residual with its bias, key and value."""
+        own, scale = self.embedding[used], self.query.dtype.type(1 / math.sqrt(self.embedding.shape[1]))
+        tables = [own @ w for w in (self.query * scale, self.residual, self.key, self.value)]
+        tables[1] += self.hidden_bias
+        return tables
 
-    def attend(self, table: np.ndarray, runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Hidden states of groups of windows. runs: group x (windows + 1) x STRIDE rows of table, where each window's keys
+    def attend(self, tables: list[np.ndarray], runs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden states of groups of windows. runs: group x (windows + 1) x STRIDE rows of tables, where each window's keys
         are its own run and the one before; first: group x windows, those that don't see the run before. Returns them before
         they are squashed, and what gradients need: queries, keys, values, weights and their sums, and means of values."""
         n, windows, width = len(runs), runs.shape[1] - 1, self.embedding.shape[1]
-        t = table.take(runs.ravel(), 0).reshape(*runs.shape, 4 * width)
-        q = t[:, 1:, :, :width] + self.place_query * t.dtype.type(1 / math.sqrt(width))
-        k = np.empty((n, windows, 2, STRIDE, width), t.dtype)
-        np.add(t[:, :-1, :, 2 * width : 3 * width], self.place_key[:STRIDE], out=k[:, :, 0])
-        np.add(t[:, 1:, :, 2 * width : 3 * width], self.place_key[STRIDE:], out=k[:, :, 1])
+        own = runs[:, 1:].ravel()
+        q, z = (x.take(own, 0).reshape(n, windows, STRIDE, width) for x in tables[:2])
+        keys, values = (x.take(runs.ravel(), 0).reshape(*runs.shape, width) for x in tables[2:])
+        q += self.place_query * q.dtype.type(1 / math.sqrt(width))
+        k = np.empty((n, windows, 2, STRIDE, width), q.dtype)
+        np.add(keys[:, :-1], self.place_key[:STRIDE], out=k[:, :, 0])
+        np.add(keys[:, 1:], self.place_key[STRIDE:], out=k[:, :, 1])
         k = k.reshape(n, windows, 2 * STRIDE, width)
-        # a window's values are two runs of t, of which the second is the next one's first
-        v = np.ndarray(k.shape, t.dtype, t, 3 * width * t.itemsize, t.strides)
+        v = np.ndarray(k.shape, q.dtype, values, 0, values.strides)  # two runs, of which the second is the next one's first
         a = q @ k.swapaxes(2, 3)
         if a.max() > 60 or a.min() < -60:
             np.copyto(a, -np.inf, where=SEEN == 0)
@@ -333,26 +335,25 @@ class AttentionModel:
         total = (a.reshape(-1, 2 * STRIDE) @ np.ones(2 * STRIDE, a.dtype)).reshape(n, windows, STRIDE, 1)
         mean = a @ v
         mean /= total
-        return mean + t[:, 1:, :, width : 2 * width], q, k, v, a, total, mean
+        z += mean
+        return z, q, k, v, a, total, mean
 
     def attend_back(self, dz: np.ndarray, d: np.ndarray, q, k, v, a, total, mean) -> np.ndarray:
-        """The gradients of the positions' keys; d gets those of all rows of table that attend() took, from those of its states.
-        The weights are used up."""
+        """The gradients of the positions' keys; d (4 x group x run) gets those of all rows of tables that attend() took, from
+        those of its states. The weights are used up."""
         width = dz.shape[3]
-        d = d.reshape(*d.shape[:3], 4, width)
         part = dz / total
         dv = a.swapaxes(2, 3) @ part
         da = part @ v.swapaxes(2, 3)
         part *= mean
-        da -= part.sum(3, keepdims=True)
+        da -= (part.reshape(-1, width) @ np.ones(width, part.dtype)).reshape(total.shape)
         da *= a
-        d[:, 0, :, :2], d[:, 1:, :, 1] = 0, dz
-        np.matmul(da, k, out=d[:, 1:, :, 0])
+        d[:2, :, 0], d[1, :, 1:] = 0, dz
+        np.matmul(da, k, out=d[0, :, 1:])
         dk = da.swapaxes(2, 3) @ q
         for at, x in ((2, dk), (3, dv)):
-            d[:, :-1, :, at] = x[:, :, :STRIDE]
-            d[:, -1, :, at] = 0
-            d[:, 1:, :, at] += x[:, :, STRIDE:]
+            d[at, :, 0], d[at, :, -1] = x[:, 0, :STRIDE], x[:, -1, STRIDE:]
+            np.add(x[:, :-1, STRIDE:], x[:, 1:, :STRIDE], out=d[at, :, 1:-1])
         return dk.sum((0, 1))
 
     def loss_and_gradients(self, rows: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -373,10 +374,10 @@ class AttentionModel:
         of = np.empty(places, np.int64)
         of[used] = np.arange(len(used))
         runs = of[runs]
-        table, block = self.projected(used), max(1, ATTENDED // first.shape[1])
+        tables, block = self.projected(used), max(1, ATTENDED // first.shape[1])
         blocks = [slice(at, at + block) for at in range(0, len(runs), block)]  # few enough for a processor's cache
-        attended = [self.attend(table, runs[x], first[x]) for x in blocks]
-        h, slope = np.empty((2, *targets.shape, width), table.dtype)
+        attended = [self.attend(tables, runs[x], first[x]) for x in blocks]
+        h, slope = np.empty((2, *targets.shape, width), tables[0].dtype)
         for x, (z, *_) in zip(blocks, attended):
             slope[x] = 1 / (1 + np.abs(z))
             h[x] = z * slope[x]
@@ -402,18 +403,19 @@ class AttentionModel:
         dz = np.zeros_like(h)
         dz[known] = dx
         dz = dz.reshape(slope.shape)
-        d = np.empty((*runs.shape, 4 * width), h.dtype)
+        d = np.empty((4, *runs.shape, width), h.dtype)
         place_key = 0
         for x, (_, *kept) in zip(blocks, attended):
             slope[x] *= slope[x]
             dz[x] *= slope[x]
-            place_key = place_key + self.attend_back(dz[x], d[x], *kept)
+            place_key = place_key + self.attend_back(dz[x], d[:, x], *kept)
         order = np.argsort(runs.ravel().astype(np.uint16), kind="stable")  # by counting
-        sums = sum_runs(d.reshape(-1, 4 * width).take(order, 0), here[used])
+        parts = (order[:, None] + np.arange(4) * len(order)).ravel()  # of all four projections
+        sums = sum_runs(d.reshape(-1, width).take(parts, 0).reshape(-1, 4 * width), here[used])
         g["query"], g["residual"], g["key"], g["value"] = np.split(self.embedding[used].T @ sums, 4, 1)
         scale = h.dtype.type(1 / math.sqrt(width))
         g["query"] = g["query"] * scale
-        g |= {"hidden_bias": sums[:, width : 2 * width].sum(0), "place_query": d[:, 1:, :, :width].sum((0, 1)) * scale, "place_key": place_key, "embedding": sums @ self.joined().T}
+        g |= {"hidden_bias": sums[:, width : 2 * width].sum(0), "place_query": d[0, :, 1:].sum((0, 1)) * scale, "place_key": place_key, "embedding": sums @ self.joined().T}
         return g, used
 
     def member_logits(self, x: np.ndarray, c: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
@@ -436,10 +438,10 @@ class AttentionModel:
         for at in range(0, len(first), most):
             adam.step(*self.gradients(runs[at : at + most], targets[at : at + most], first[at : at + most]), rate)
 
-    def scores(self, ids: np.ndarray, id_ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    def scores(self, ids: np.ndarray, id_ends: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of each document's ids and its end: batches of windows, each with the keys of its own inputs
-        and of the window before. table: the embedding's projections, if they are at hand."""
-        table = self.projected() if table is None else table
+        and of the window before. tables: the embedding's projections, if they are at hand."""
+        tables = self.projected() if tables is None else tables
         owner, number = runs_of(id_ends)
         inputs, targets = lay_out(ids, id_ends)
         inputs = self.place_of[np.maximum(inputs, 0)]
@@ -451,7 +453,7 @@ class AttentionModel:
             h = np.empty((end - at, STRIDE, width), np.float32)
             for x in range(at, end, ATTENDED):  # few enough for a processor's cache
                 y = min(x + ATTENDED, end)
-                h[x - at : y - at] = squash(self.attend(table, inputs[None, x : y + 1], first[None, x:y])[0][0])
+                h[x - at : y - at] = squash(self.attend(tables, inputs[None, x : y + 1], first[None, x:y])[0][0])
             aim = targets[at:end].ravel()
             known = np.flatnonzero(aim >= 0)
             c = self.class_of[self.place_of[aim[known]]].astype(np.uint16)
@@ -466,36 +468,46 @@ class AttentionModel:
 
 
 class Moments:
-    """Adam's moments of a model's weights; its first 20 steps are shorter."""
+    """Adam's moments of a model's weights; its first 20 steps are shorter. They are kept ten times (the first) and a hundred
+    times as large. All weights but the embedding become views of one array, which a step goes through in pieces that a processor's cache holds."""
+
+    PIECE = 1 << 14
 
     def __init__(self, model: AttentionModel):
         self.model, self.steps = model, 0
-        self.of = {name: (np.zeros_like(getattr(model, name)), np.zeros_like(getattr(model, name))) for name in model.WEIGHTS}
+        self.names = [name for name in model.WEIGHTS if name != "embedding"]
+        old = [getattr(model, name) for name in self.names]
+        self.flat = np.concatenate([w.ravel() for w in old])
+        for name, w, flat in zip(self.names, old, np.split(self.flat, np.cumsum([w.size for w in old])[:-1])):
+            setattr(model, name, flat.reshape(w.shape))
+        self.of, self.of_embedding = np.zeros((2, len(self.flat)), self.flat.dtype), np.zeros((2, *model.embedding.shape), model.embedding.dtype)
 
     def step(self, g: dict[str, np.ndarray], used: np.ndarray, rate: float) -> None:
         """The gradients are used up. An embedding that no window of the batch has stays, and so do its moments."""
         self.steps += 1
-        now = np.float32(rate * min(1.0, self.steps / 20) / (1 - 0.9**self.steps))
-        unbias = np.float32(1 / math.sqrt(1 - 0.99**self.steps))
-        for name, (m, v) in self.of.items():
-            w, d = getattr(self.model, name), g[name]
-            if name == "embedding":
-                every, w, m, v = (w, m, v), w[used], m[used], v[used]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * d
-            v *= np.float32(0.99)
-            d *= d
-            d *= np.float32(0.01)
-            v += d
-            np.sqrt(v, out=d)
-            d *= unbias
-            d += np.float32(1e-8)
-            np.divide(m, d, out=d)
-            d *= now
-            w -= d
-            if name == "embedding":
-                for whole, part in zip(every, (w, m, v)):
-                    whole[used] = part
+        unbias = math.sqrt(1 - 0.99**self.steps) * 10
+        now, least = np.float32(rate * min(1.0, self.steps / 20) / (1 - 0.9**self.steps) * 0.1 * unbias), np.float32(1e-8 * unbias)
+        d = np.concatenate([g[name].ravel() for name in self.names])
+        for at in range(0, len(d), self.PIECE):
+            self._move(self.flat[at : at + self.PIECE], *self.of[:, at : at + self.PIECE], d[at : at + self.PIECE], now, least)
+        every = (self.model.embedding, *self.of_embedding)
+        parts = [x.take(used, 0) for x in every]
+        self._move(*parts, g["embedding"], now, least)
+        for whole, part in zip(every, parts):
+            whole[used] = part
+
+    @staticmethod
+    def _move(w: np.ndarray, m: np.ndarray, v: np.ndarray, d: np.ndarray, now: np.float32, least: np.float32) -> None:
+        m *= np.float32(0.9)
+        m += d
+        v *= np.float32(0.99)
+        d *= d
+        v += d
+        np.sqrt(v, out=d)
+        d += least
+        np.divide(m, d, out=d)
+        d *= now
+        w -= d
 
 
 #: The keys that each query of a window may see: those of the run before, and its own run's up to itself.
@@ -526,11 +538,10 @@ def sum_runs(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of runs of rows. Long ones are summed each, short ones all at once: their first rows, their second rows and so on."""
     starts = np.cumsum(lengths) - lengths
     by_length = np.argsort(-lengths, kind="stable")
-    long = int(np.searchsorted(-lengths[by_length], -24))
-    out = np.empty((len(lengths), rows.shape[1]), rows.dtype)
-    for k in by_length[:long].tolist():
-        np.add.reduce(rows[starts[k] : starts[k] + lengths[k]], 0, out=out[k])
-    short = by_length[long:]
+    long, short = np.split(by_length, [int(np.searchsorted(-lengths[by_length], -12))])
+    out, ones = np.empty((len(lengths), rows.shape[1]), rows.dtype), np.ones(int(lengths.max(initial=0)), rows.dtype)
+    for k, at, n in zip(long.tolist(), starts[long].tolist(), lengths[long].tolist()):
+        np.matmul(ones[:n], rows[at : at + n], out=out[k])
     if len(short):
         at, falling = starts[short], -lengths[short]
         total = rows.take(at, 0)
@@ -565,13 +576,26 @@ def level(logits: np.ndarray, starts: np.ndarray) -> None:
         logits -= np.repeat(np.maximum.reduceat(logits, starts[:-1]), np.diff(starts))
 
 
+def equally_long(starts: np.ndarray) -> bool:
+    return len(starts) > 1 and starts[1] * (len(starts) - 1) == starts[-1] and bool((np.diff(starts) == starts[1]).all())
+
+
 def row_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of rows that stand one after another."""
-    if len(starts) > 1 and starts[1] * (len(starts) - 1) == starts[-1] and (np.diff(starts) == starts[1]).all():
+    if equally_long(starts):
         return x.reshape(-1, starts[1]) @ np.ones(starts[1], x.dtype)
     return np.add.reduceat(x, starts[:-1]) if len(x) else x
 
 
+def scale_rows(x: np.ndarray, starts: np.ndarray, by: np.ndarray) -> None:
+    """Multiplies rows that stand one after another, each by a number of its own."""
+    if equally_long(starts):
+        rows = x.reshape(-1, starts[1])
+        rows *= by[:, None]
+    else:
+        x *= np.repeat(by, np.diff(starts))
+
+
 def softmax_gradients(logits: np.ndarray, starts: np.ndarray, at: np.ndarray, share: np.floating, losses: list | None) -> None:
     """Rows of logits, one after another, become share times the gradients of the losses by them; the sum of losses is
     appended, if asked for."""
@@ -580,7 +604,7 @@ def softmax_gradients(logits: np.ndarray, starts: np.ndarray, at: np.ndarray, sh
     total, own = row_sums(logits, starts), starts[:-1] + at
     if losses is not None:
         losses.append((np.log(total) - np.log(logits[own] + logits.dtype.type(1e-30))).sum())
-    logits *= np.repeat(share / total, np.diff(starts))
+    scale_rows(logits, starts, share / total)
     logits[own] -= share
 
 
@@ -713,11 +737,11 @@ def fit_all(texts: DataFrame, model: AttentionModel, windows: float, whole: bool
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_memory()
-        table = model.value.projected()
+        tables = model.value.projected()
         for batch in batches:
             for row in _each(batch):
                 ids, id_ends, _ = _ids_of(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], np.int64)), pa.array(model.value.scores(ids, id_ends, table))], names=["key", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["keys"], np.int64)), pa.array(model.value.scores(ids, id_ends, tables))], names=["key", "score"])
 
     return run
 

@@ -199,6 +199,36 @@ def test_classes_are_short_in_the_mean():
     assert mean < 1.5 * math.sqrt(len(model.embedding)) and sizes.max() <= model.inner.shape[2]
 
 
+def test_steps_in_pieces_are_adams(monkeypatch):
+    monkeypatch.setattr(lm.Moments, "PIECE", 37)
+    rng = np.random.default_rng(6)
+    model = lm.AttentionModel.begin(rng.integers(1, 9, 50), width=8)
+    start = {name: getattr(model, name).astype(float) for name in model.WEIGHTS}
+    want, m, v = ({name: x.copy() for name, x in start.items()} for _ in range(3))
+    for x in (*m.values(), *v.values()):
+        x[:] = 0
+    adam = lm.Moments(model)
+    for t in range(1, 31):
+        g = {name: rng.standard_normal(w.shape).astype(np.float32) * 10.0 ** rng.integers(-6, 2) for name, w in start.items()}
+        used = np.flatnonzero(rng.random(len(model.embedding)) < 0.4)
+        for name, w in want.items():
+            at = used if name == "embedding" else slice(None)
+            m[name][at] = 0.9 * m[name][at] + 0.1 * g[name][at]
+            v[name][at] = 0.99 * v[name][at] + 0.01 * g[name][at].astype(float) ** 2
+            w[at] -= 1e-2 * min(1, t / 20) * m[name][at] / (1 - 0.9**t) / (np.sqrt(v[name][at] / (1 - 0.99**t)) + 1e-8)
+        adam.step(g | {"embedding": g["embedding"][used]}, used, 1e-2)
+    assert all(np.allclose(getattr(model, name), w, rtol=1e-4, atol=1e-5) for name, w in want.items())
+    assert all(np.abs(w - start[name]).max() > 0.01 for name, w in want.items())
+    assert np.shares_memory(model.inner, adam.flat) and np.allclose(model.copy().flat(), model.flat())
+
+
+def test_sums_of_runs_of_rows():
+    rng = np.random.default_rng(7)
+    for lengths in (np.array([1, 40, 3, 12, 1, 11, 200, 2]), np.array([50]), np.array([1, 1]), np.empty(0, int)):
+        rows = rng.standard_normal((int(lengths.sum()), 5))
+        assert np.allclose(lm.sum_runs(rows, lengths), [x.sum(0) for x in np.split(rows, np.cumsum(lengths)[:-1])] if len(lengths) else np.empty((0, 5)))
+
+
 def test_words_encoded_once_have_the_ids_of_whole_texts():
     import base64
     import random
